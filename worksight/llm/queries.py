@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, urls
+from . import decontaminate, mixing, near_dup, secrets, sharding, urls
 from .common import read
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", secrets.of_kind(k))).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE)]
+    return out.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.report(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -31,7 +41,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dup": op2_near_dup,
         "op3_url_filter": op3_url_filter,
+        "op4_secrets": op4_secrets,
         "op6_decontaminate": op6_decontaminate,
         "op7_sharding": op7_sharding,
         "op10_mixing": op10_mixing,
@@ -73,6 +85,45 @@ FROM v JOIN s USING (page_id) CROSS JOIN c
 _LEVEL = """m{k} AS (SELECT gram, a, b, (sum(a) OVER (PARTITION BY substr(gram, {s}, {n})) + 4.0 * pa) / (sum(a) OVER (PARTITION BY substr(gram, {s}, {k})) + 4.0) AS pa,
               (sum(b) OVER (PARTITION BY substr(gram, {s}, {n})) + 4.0 * pb) / (sum(b) OVER (PARTITION BY substr(gram, {s}, {k})) + 4.0) AS pb FROM m{j}),"""
 
+_OP4 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT * FROM (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]{12,})$'),
+  (1, 'access', 'AKIA[A-Z0-9]+', '^.{18,}$'), (2, 'hex', '[0-9a-f]+', '^.{16,}$'), (3, 'entropy', '[A-Za-z0-9+/_=-]+', '^.{20,}$')) AS t(k, kind, pattern, needs)),
+raw AS (
+  SELECT doc_id, k, kind, needs, m, list_transform(string_split_regex(text, pattern), lambda x: length(x)) AS gaps
+  FROM (
+    SELECT doc_id, text, 0 AS k, regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m FROM d
+    UNION ALL SELECT doc_id, text, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM d
+    UNION ALL SELECT doc_id, text, 2, regexp_extract_all(text, '[0-9a-f]+') FROM d
+    UNION ALL SELECT doc_id, text, 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]+') FROM d) JOIN p USING (k)
+  WHERE len(m) > 0),
+flat AS (SELECT doc_id, k, kind, needs, unnest(m) AS m, unnest(gaps[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM raw),
+pos AS (
+  SELECT doc_id, k, kind, needs, m, (sum(gap + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(m))::BIGINT AS s FROM flat),
+ok AS (SELECT doc_id, k, kind, m, s, s + length(m) AS e FROM pos WHERE regexp_matches(m, needs)),
+cand AS (
+  SELECT * FROM ok WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
+    AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+    AND NOT regexp_matches(m, '^[+/_=-]*([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$')
+    AND NOT regexp_matches(m, '(EXAMPLE|example|XXXX|xxxx|1234567890|0123456789|abcdefgh)')
+    AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = ok.doc_id AND b.k < 3 AND b.s < ok.e AND ok.s < b.e)),
+ent AS (
+  SELECT doc_id, k, kind, m, s, e FROM (
+    SELECT c.*, max(list_aggregate(string_split(substr(m, i, 20), ''), 'entropy')) OVER (PARTITION BY doc_id, s) AS bits
+    FROM cand c, unnest(range(1, length(m) - 18)) AS t(i)) WHERE bits >= CASE WHEN regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') THEN 2.9
+      WHEN regexp_matches(m, '^([0-9a-z]+|[0-9A-Z]+)$') THEN 3.4 ELSE 3.6 END GROUP BY ALL),
+spans AS (SELECT * FROM ok WHERE k < 3 UNION ALL SELECT * FROM ent),
+agg AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg USING (doc_id)
+"""
+
 _OP6 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {az}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -96,4 +147,4 @@ FROM d LEFT JOIN i USING (doc_id) LEFT JOIN p USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     levels = "\n".join(_LEVEL.format(k=k, j=k - 1, n=k + 1, s=5 - k) for k in range(1, 5))
-    return {"op3_url_filter": _OP3.format(az=_AZ, levels=levels), "op6_decontaminate": _OP6.format(az=_AZ)}
+    return {"op3_url_filter": _OP3.format(az=_AZ, levels=levels), "op4_secrets": _OP4, "op6_decontaminate": _OP6.format(az=_AZ)}
