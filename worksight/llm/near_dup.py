@@ -29,6 +29,8 @@ MARGIN, SMALL = 0.2, 16
 HUB_ROUNDS = 2
 #: Members of a hub that one task verifies, and of a bucket that are compared with each other at once.
 SALT_ROWS, BLOCK_ROWS = 256, 512
+#: Shingles that one matrix product takes at once.
+COLUMNS = 8192
 #: Pairs up to this number are broadcast to the scan of the texts (16 bytes each); more are joined by shuffle.
 BROADCAST_PAIRS = 400_000
 
@@ -206,9 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             hubs = held.groupBy("key").agg(hub, F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "hub.*")
             pairs = held.join(hubs, "key").filter((F.col("comp") != F.col("_c")) & sizes_fit).select("a", "m", F.col("rep").alias("b"), "n").distinct()
             pairs = likely(pairs, reps, percent)
+            fresh = verified(docs, pairs, width, percent)
         else:
-            pairs = left_apart(held, reps, percent)
-        fresh = verified(docs, pairs, width, percent)
+            fresh = left_apart(docs, held, reps, width, percent)
         links = links.unionByName(fresh)
         if k < HUB_ROUNDS or fresh.count():
             comps = stash(components(links), "near-comps")
@@ -234,30 +236,105 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def left_apart(held: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of members of one bucket that are in different components after the hub rounds. Large buckets are cut
-    into blocks of about BLOCK_ROWS members, and each two blocks meet in a group of their own."""
-    mixed = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("rep").alias("size")).filter("low < high")
-    rows = held.join(mixed.select("key", F.ceil(F.col("size") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
-    rows = rows.join(reps, ["rep", "n"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+def linkable(docs: DataFrame, held: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of held, and the sets of their documents, in buckets that still hold different components, whose documents can have a link at all: enough of
+    their shingles occur in another document that is still apart. (A document shares no more with another than it shares
+    with all of them, and a union is no smaller than the document.) Exact, and linear in the shingles; done twice, as
+    what falls away takes its shingles with it."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in byte_slices(batch.column(1)):
+                found = [s.view(np.int64) for s in shingle_sets(data, offsets, width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], ["rep", "elements"])
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "key")
+
+    held = stash(apart(held), "near-apart")
+    ids = stash(held.select("rep").distinct(), "near-apart-ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(side, "rep").select("rep", "text")
+    elements = stash(texts.mapInArrow(sets, "rep long, elements array<bigint>").filter(F.size("elements") > 0), "near-apart-sets")
+    for _ in range(2):
+        each = elements.select("rep", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+        shared = each.groupBy("e").agg(F.count("rep").alias("c")).filter("c > 1").select("e")
+        enough = each.join(shared, "e").groupBy("rep").agg(F.count("e").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 100 >= F.col("n") * percent)
+        keep = stash(enough.select("rep"), "near-linkable")
+        held = stash(apart(held.join(keep, "rep", "left_semi")), "near-apart")
+        elements = elements.join(held.select("rep").distinct(), "rep", "left_semi")
+    return held, elements
+
+
+def merged(labels: np.ndarray, x: int, others: np.ndarray) -> None:
+    """Gives x and the others, with all that have their labels, one label: the least."""
+    own = np.unique(np.append(labels[others], labels[x]))
+    labels[np.isin(labels, own)] = own[0]
+
+
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows with i, j: a key's rows are cut into blocks of about BLOCK_ROWS by rep, and each two blocks meet as (key, i, j)."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("rep") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "n", "comp", "regs")
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
 
-    def run(table: pa.Table) -> pa.Table:
+
+def left_apart(docs: DataFrame, held: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that the hub rounds left in different components, as far as components need them.
+
+    Estimates within the buckets gather what may be linked into families. In each family every two sets are intersected, by
+    block: a product of the blocks' incidence matrices over the shingles that they share. Neither step hands on all its
+    pairs, only those that join what was apart in its block."""
+    held, elements = linkable(docs, held, width, percent)
+    rows = in_blocks(held.join(reps, ["rep", "n"]).select("key", "rep", "n", "comp", "regs"), "key")
+
+    def alike(table: pa.Table) -> pa.Table:
         rep, n, comp, block = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "block"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right, out = np.flatnonzero(block == i), np.flatnonzero(block == j), []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j else True)]
-            y = y[(n[y] * 100 >= n[x] * percent) & (n[x] * 100 >= n[y] * percent)]
+        i, j, labels = table.column("i")[0].as_py(), table.column("j")[0].as_py(), np.arange(len(rep))
+        right = np.flatnonzero(block == j)
+        for x in np.flatnonzero(block == i):
+            y = right[(comp[right] != comp[x]) & (labels[right] != labels[x]) & (n[right] * 100 >= n[x] * percent) & (n[x] * 100 >= n[right] * percent)]
             if len(y):
                 good = (estimate(regs[x], regs[y], n[x], n[y]) >= percent / 100 - MARGIN) | (np.minimum(n[x], n[y]) <= SMALL)
-                out.append(np.stack([np.full(good.sum(), rep[x]), rep[y[good]]]))
-        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found.min(axis=0), pa.int64()), "b": pa.array(found.max(axis=0), pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+                if good.any():
+                    merged(labels, x, y[good])
+        joined = np.flatnonzero(labels != np.arange(len(rep)))
+        return pa.table({"a": pa.array(rep[labels[joined]], pa.int64()), "b": pa.array(rep[joined], pa.int64())})
+
+    wanted = ["key", "i", "j", "block", "rep", "n", "comp", "regs"]
+    families = stash(components(stash(rows.select(*wanted).groupBy("key", "i", "j").applyInArrow(alike, "a long, b long").distinct(), "near-alike")), "near-families")
+    comps = held.select("rep", "comp").distinct()
+    members = elements.join(families.select(F.col("id").alias("rep"), F.col("comp").alias("family")), "rep").join(comps, "rep")
+
+    def exact(table: pa.Table) -> pa.Table:
+        rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        i, j, labels = table.column("i")[0].as_py(), table.column("j")[0].as_py(), np.arange(len(rep))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        lists = table.column("elements").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        _, place, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+        owner = np.repeat(np.arange(len(rep)), size)[column >= 0]
+        column = column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [low, low + COLUMNS])
+            there = np.zeros((len(rep), COLUMNS), np.float32)
+            there[owner[a:b], column[a:b] - low] = 1
+            both += there[left] @ there[right].T
+        linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+        for k, x in enumerate(left):
+            if linked[k].any():
+                merged(labels, x, right[linked[k]])
+        joined = np.flatnonzero(labels != np.arange(len(rep)))
+        return pa.table({"a": pa.array(rep[labels[joined]], pa.int64()), "b": pa.array(rep[joined], pa.int64())})
+
+    blocks = in_blocks(members, "family").select("family", "i", "j", "block", "rep", "comp", "elements")
+    return stash(blocks.groupBy("family", "i", "j").applyInArrow(exact, "a long, b long").distinct(), "near-links")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
