@@ -20,7 +20,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres on a sphere of 6371 km; null if a coordinate is missing."""
     a1, o1, a2, o2 = (c.cast("double") for c in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin(F.radians(a2 - a1) / 2), 2) + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * F.pow(F.sin(F.radians(o2 - o1) / 2), 2)
-    return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * 6_371_000.0)
+    return F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h))) * (2 * 6_371_000.0)
 
 
 def cost_similarity(a: Column, b: Column) -> Column:

@@ -1,0 +1 @@
+"""The operators: DataFrame in, DataFrame out."""

@@ -1,0 +1 @@
+"""Composed jobs."""

@@ -1,11 +1,360 @@
-"""The registered queries of the works jobs and their SQL."""
+"""The registered queries of the works jobs, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bench_views as views
+from .bench_views import TODAY
+from .operators import audit, cases, detect, duplicates, evaluate, forest, fusion, imports, reporting
+from .plans import detection
+
+
+def works(spark: SparkSession, d: str) -> DataFrame:
+    return views.works(spark, d)
+
+
+def _signals(spark, d) -> DataFrame:
+    return detection.rule_signals(works(spark, d), TODAY)
+
+
+def _brief(signals: DataFrame) -> DataFrame:
+    return signals.select("dataset_id", "project_id", "signal_type", "severity")
+
+
+def _dated(spark, d) -> DataFrame:
+    own = works(spark, d).select("dataset_id", F.col("id").alias("project_id"), F.col("sanction_date").cast("timestamp").alias("created_at"))
+    return _signals(spark, d).join(own, ["dataset_id", "project_id"])
+
+
+def _summary(spark, d) -> DataFrame:
+    w, s = works(spark, d), _signals(spark, d)
+    return reporting.work_summary(w, fusion.fuse(s), s, views.view(spark, d, views.CASES))
+
+
+def _raw(spark, d) -> DataFrame:
+    return imports.normalize_work(views.raw_works(spark, d))
+
+
+def _pairs(spark, d) -> DataFrame:
+    return duplicates.duplicate_pairs(works(spark, d))
+
+
+def _features(spark, d) -> DataFrame:
+    w = works(spark, d)
+    return forest.impute(forest.features(w, detect.work_metrics(w, TODAY), detect.peer_stats(w), duplicates.duplicate_score(duplicates.duplicate_pairs(w))))
+
+
+def _found(spark, d) -> DataFrame:
+    return evaluate.flags(works(spark, d), _signals(spark, d), views.view(spark, d, views.TRUTH))
+
+
+def _chain(spark, d) -> DataFrame:
+    own = views.view(spark, d, views.CASE_EVENTS).filter("case_id is not null")
+    from pyspark.sql.window import Window
+
+    return own.select(
+        F.col("case_id").alias("chain_id"), F.row_number().over(Window.partitionBy("case_id").orderBy("seq")).cast("long").alias("seq"), F.col("to_status").alias("action"), F.lit("officer").alias("actor_id"),
+        F.lit("case").alias("entity_type"), F.col("case_id").alias("entity_id"), F.concat(F.lit('{"n":'), F.col("seq").cast("string"), F.lit("}")).alias("payload"), F.col("seq").cast("string").alias("created_at"),
+    )
+
+
+def _broken(spark, d) -> DataFrame:
+    """Hashes of the events without their predecessors' (each links to the chain's fixed start): true where seq is 1, so chains
+    longer than that break at the second link; some chains have a changed hash or a gap before that."""
+    own = _chain(spark, d).withColumn("prev_hash", F.lit(audit.GENESIS)).withColumn("entry_hash", audit.entry_hash())
+    changed = F.col("chain_id").endswith("7") & (F.col("seq") == 1)
+    return own.withColumn("entry_hash", F.when(changed, F.lit("0")).otherwise(F.col("entry_hash"))).filter(~(F.col("chain_id").endswith("5") & (F.col("seq") == 2)))
+
+
+def _patterns(spark) -> DataFrame:
+    rows = [("P1", "FIN_PHYS_GAP", ["W-3", "W-9"]), ("P2", "COST_ANOMALY", ["W-4"]), ("P3", "COMPLIANCE", ["W-41"]), ("P4", "DELAY", []), ("P5", "AGENCY_CONCENTRATION", ["W-none"])]
+    return spark.createDataFrame(rows, "pattern_id string, expected_signal string, work_ids array<string>")
+
+
+def _trends(spark, d) -> DataFrame:
+    agg = imports.normalize_aggregate(views.view(spark, d, views.RAW_AGGREGATE)).groupBy("dataset_id", "house").agg(*[F.sum(c).alias(c) for c in ("works_recommended", "works_sanctioned", "works_completed")])
+    sets = agg.select("dataset_id").distinct().withColumn("ingested_at", F.when(F.col("dataset_id") == "AG0", F.lit("2024-01-01")).otherwise(F.lit("2024-02-01")).cast("timestamp"))
+    return reporting.trends(agg, sets)
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) if t.startswith(("decimal", "date", "timestamp")) else F.col(c) for c, t in df.dtypes])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "work_metrics": lambda s, d: detect.work_metrics(works(s, d), TODAY),
+        "peer_groups": lambda s, d: detect.peer_groups(works(s, d)),
+        "peer_stats": lambda s, d: detect.peer_stats(works(s, d)),
+        "cost_anomaly": lambda s, d: _brief(detect.cost_anomaly(works(s, d), detect.peer_stats(works(s, d)))),
+        "progress_gap": lambda s, d: _brief(detect.progress_gap(works(s, d))),
+        "delay_signals": lambda s, d: _brief(detect.delay(works(s, d), detect.work_metrics(works(s, d), TODAY))),
+        "compliance_findings": lambda s, d: detect.compliance_findings(works(s, d)).select("dataset_id", "id", "kind", "code", "term", "severity"),
+        "agency_share": lambda s, d: detect.agency_share(works(s, d)).select("dataset_id", "district", "agency", "agency_total", "agency_works", "district_works", F.round("share_pct", 4).alias("share_pct")),
+        "agency_concentration": lambda s, d: _brief(detect.agency_concentration(works(s, d))),
+        "quality_issues": lambda s, d: detect.quality_issues(works(s, d)).select("dataset_id", "id", "rule", "field", "severity"),
+        "quality_status": lambda s, d: detect.quality_status(works(s, d), detect.quality_issues(works(s, d))),
+        "normalize_works": lambda s, d: _raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "monetary_unit", "physical_progress", "financial_progress", "sanction_date", "completion_date", "expected_duration_days"),
+        "validate_works": lambda s, d: imports.validate_works(_raw(s, d)).select("dataset_id", "row_number", "field", "rule", "severity"),
+        "valid_works": lambda s, d: imports.to_work(imports.split_valid(_raw(s, d), imports.validate_works(_raw(s, d)))).select("dataset_id", "source_row_number", "work_id", "estimated_cost", "physical_progress", "status"),
+        "import_grade": lambda s, d: imports.grade(_raw(s, d), imports.validate_works(_raw(s, d))),
+        "issue_summary": lambda s, d: imports.issue_summary(imports.validate_works(_raw(s, d))),
+        "validate_allocation": lambda s, d: imports.validate_allocation(imports.normalize_allocation(views.view(s, d, views.RAW_ALLOCATION))).select("dataset_id", "row_number", "field", "rule", "severity"),
+        "validate_aggregate": lambda s, d: imports.validate_aggregate(imports.normalize_aggregate(views.view(s, d, views.RAW_AGGREGATE))).select("dataset_id", "row_number", "field", "rule", "severity"),
+        "duplicate_pairs": lambda s, d: _pairs(s, d).select("dataset_id", "a_id", "b_id", "text_similarity", F.round("location_distance_m", 0).alias("location_distance_m"), "category_match", "time_overlap", "vendor_match", "contextual_confidence", "combined_score"),
+        "duplicate_score": lambda s, d: duplicates.duplicate_score(_pairs(s, d)).withColumn("duplicate_score", F.round("duplicate_score", 3)),
+        "ml_features": lambda s, d: _features(s, d).select("dataset_id", "id", *[F.round(c, 3).alias(c) for c in forest.FEATURES]),
+        "iforest_scores": lambda s, d: forest.iforest_scores(_features(s, d)),
+        "ml_signals": lambda s, d: _brief(forest.ml_signals(forest.iforest_scores(_features(s, d)))),
+        "signal_counts": lambda s, d: _signals(s, d).groupBy("dataset_id", "signal_type", "severity").agg(F.count(F.lit(1)).alias("n")),
+        "evidence_rows": lambda s, d: __import__("worksight.operators.signals", fromlist=["x"]).evidence_rows(_signals(s, d)).groupBy("signal_type").agg(F.count(F.lit(1)).alias("evidence_rows")),
+        "priorities": lambda s, d: fusion.fuse(_signals(s, d)).select("dataset_id", "project_id", "score", "level", "signal_count"),
+        "detection_run": lambda s, d: detection.run_detection(works(s, d), TODAY)["summary"],
+        "queue_top": lambda s, d: reporting.queue(_summary(s, d))[0].select("work_id", "id", "district", "level", "score", "signal_count", "case_status"),
+        "queue_search": lambda s, d: reporting.queue(_summary(s, d), sort="cost", size=50, search="temple", level="critical")[0].select("id", "level", "sanctioned_cost"),
+        "dashboard": lambda s, d: reporting.dashboard(_summary(s, d), _signals(s, d)),
+        "district_rollup": lambda s, d: reporting.district_rollup(_summary(s, d)),
+        "work_timeline": lambda s, d: reporting.work_timeline(works(s, d)),
+        "work_detail": lambda s, d: (lambda w: reporting.work_detail(w, _signals(s, d), detect.work_metrics(w, TODAY), detect.peer_stats(w), duplicates.duplicate_pairs(w)).select("dataset_id", "id", "delay_days", "peer_count", F.size("signals").alias("n_signals"), "why_flagged"))(works(s, d)),
+        "case_per_work": lambda s, d: reporting.case_per_work(views.view(s, d, views.CASES)),
+        "stakeholder_summary": lambda s, d: reporting.stakeholder_summary(works(s, d), _signals(s, d), views.view(s, d, views.CASES), "DISTRICT_AUTHORITY", "NATION_1"),
+        "headlines": lambda s, d: reporting.headlines(works(s, d), _signals(s, d), "MP 7").select("work_id", "signal_type", "severity"),
+        "district_attention": lambda s, d: reporting.district_attention(works(s, d), _signals(s, d)),
+        "precision_summary": lambda s, d: reporting.precision_summary(works(s, d), _signals(s, d), views.view(s, d, views.CASES)),
+        "alert_digest": lambda s, d: _text(reporting.alert_digest(_dated(s, d), views.view(s, d, views.CASES), "MINISTRY", "2001-01-01")),
+        "trends": lambda s, d: _text(_trends(s, d)),
+        "open_cases": lambda s, d: cases.open_cases(works(s, d), views.view(s, d, views.CASES), fusion.fuse(_signals(s, d))),
+        "case_replay": lambda s, d: cases.replay_cases(views.view(s, d, views.CASE_EVENTS))[1],
+        "case_state": lambda s, d: _text(cases.case_state(views.view(s, d, views.CASE_EVENTS)).drop("closed_at")),
+        "verify_chain": lambda s, d: audit.verify_chain(_broken(s, d)).drop("chain_tip"),
+        "build_chain": lambda s, d: audit.verify_chain(audit.build_chain(_chain(s, d))),
+        "case_manifest": lambda s, d: audit.manifest(_text(views.view(s, d, views.CASE_EVENTS)).select("case_id", F.lit("case_event").alias("kind"), F.col("seq").alias("item_id"), "to_status", "resolution_type")).select("case_id", F.size("items").alias("n_items"), "root"),
+        "confusion": lambda s, d: evaluate.by_scenario(_found(s, d)),
+        "confusion_by_type": lambda s, d: evaluate.by_type(_found(s, d)),
+        "pattern_check": lambda s, d: evaluate.patterns(_patterns(s), works(s, d), _signals(s, d)),
+    }
+
+
+_METRICS = f"""
+metrics AS (
+  SELECT dataset_id, id AS project_id, (financial_progress - physical_progress)::DECIMAL(6,2) AS financial_physical_gap,
+    CASE WHEN sanctioned_cost <> 0 THEN round(expenditure::DOUBLE / sanctioned_cost::DOUBLE, 4)::DECIMAL(10,4) END AS expenditure_ratio,
+    (coalesce(completion_date, DATE '{TODAY}') - sanction_date)::INT AS elapsed_days, expected_duration_days,
+    CASE WHEN expected_duration_days IS NOT NULL AND sanction_date IS NOT NULL THEN greatest(0, (coalesce(completion_date, DATE '{TODAY}') - sanction_date)::INT - expected_duration_days) END AS delay_days
+  FROM works)"""
+_PEERS = """
+pw AS (SELECT dataset_id, district, coalesce(category, 'Uncategorised') AS cat, id, sanctioned_cost AS cost FROM works WHERE sanctioned_cost IS NOT NULL),
+others AS (
+  SELECT a.dataset_id, a.id, a.cost, count(*) AS n, list_sort(list(b.cost)) AS v, sum(CASE WHEN b.cost <= a.cost THEN 1 ELSE 0 END) AS le
+  FROM pw a JOIN pw b ON a.dataset_id = b.dataset_id AND a.district = b.district AND a.cat = b.cat AND a.id <> b.id GROUP BY ALL HAVING count(*) >= 5),
+med AS (
+  SELECT *, (v[((n - 1) // 2) + 1]::DECIMAL(18,4) + v[(n // 2) + 1]::DECIMAL(18,4)) AS twice, v[round_even(0.75 * (n - 1), 0)::INT + 1] AS p75 FROM others),
+peers AS (
+  SELECT dataset_id, id AS project_id, n AS peer_count, (twice::DECIMAL(18,4) * 0.5)::DECIMAL(14,2) AS peer_median_cost, p75 AS peer_p75_cost,
+    round(le / n * 100, 1)::DECIMAL(5,2) AS peer_percentile, round((cost::DOUBLE - twice::DOUBLE / 2) / (twice::DOUBLE / 2) * 100, 1)::DECIMAL(10,2) AS cost_deviation_pct
+  FROM med)"""
+_RULES = """
+cost_s AS (SELECT dataset_id, project_id, 'COST_ANOMALY' AS signal_type, CASE WHEN cost_deviation_pct >= 60 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM peers WHERE cost_deviation_pct >= 40),
+gap_s AS (SELECT dataset_id, id AS project_id, 'FIN_PHYS_GAP' AS signal_type, CASE WHEN financial_progress - physical_progress >= 40 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM works WHERE financial_progress - physical_progress >= 25),
+delay_s AS (SELECT dataset_id, project_id, 'DELAY' AS signal_type, CASE WHEN delay_days >= 180 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM metrics WHERE delay_days >= 90)"""
+_COMPLIANCE = """
+texts AS (
+  SELECT dataset_id, id, 'CATEGORY' AS kind, trim(array_to_string(regexp_extract_all(lower(description), '[a-z ]+'), ' ')) AS t FROM works
+  UNION ALL SELECT dataset_id, id, 'AGENCY', trim(array_to_string(regexp_extract_all(lower(implementing_agency), '[a-z ]+'), ' ')) FROM works WHERE implementing_agency IS NOT NULL),
+terms AS (SELECT * FROM (VALUES
+  ('CATEGORY', 1, 'RELIGIOUS_STRUCTURE', 'temple', 'CRITICAL'), ('CATEGORY', 2, 'RELIGIOUS_STRUCTURE', 'shrine', 'CRITICAL'), ('CATEGORY', 3, 'REPAIR_UNPERMITTED', 'repair work', 'MEDIUM'),
+  ('CATEGORY', 4, 'OFFICE_BUILDING', 'office building', 'HIGH'), ('AGENCY', 1, 'UNAPPROVED_TRUST', 'trust', 'MEDIUM')) AS x(kind, k, code, term, severity)),
+compliance AS (
+  SELECT dataset_id, id, kind, arg_min(code, k) AS code, arg_min(term, k) AS term, arg_min(severity, k) AS severity
+  FROM texts JOIN terms USING (kind) WHERE regexp_matches(t, '\\b' || term || '\\b') GROUP BY ALL)"""
+_AGENCY = """
+av AS (SELECT dataset_id, district, id, sanctioned_cost AS c, trim(coalesce(implementing_agency, '')) AS agency FROM works WHERE sanctioned_cost > 0),
+ag AS (SELECT dataset_id, district, agency, sum(c) AS agency_total, count(*) AS agency_works FROM av WHERE agency <> '' GROUP BY ALL),
+di AS (SELECT dataset_id, district, sum(c) AS district_total, count(*) AS district_works FROM av GROUP BY ALL),
+shares AS (SELECT ag.*, district_total, district_works, agency_total::DOUBLE / district_total::DOUBLE * 100 AS share_pct FROM ag JOIN di USING (dataset_id, district)),
+agency_s AS (
+  SELECT av.dataset_id, id AS project_id, 'AGENCY_CONCENTRATION' AS signal_type, CASE WHEN share_pct >= 60 THEN 'CRITICAL' ELSE 'HIGH' END AS severity
+  FROM av JOIN shares USING (dataset_id, district, agency) WHERE share_pct >= 40 AND district_works >= 4 AND agency_works >= 2)"""
+_QUALITY = """
+again AS (SELECT dataset_id, id FROM (SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id, work_id ORDER BY source_row_number, id) AS n FROM works) WHERE n > 1),
+quality AS (
+  SELECT dataset_id, id, 'completion_before_sanction' AS rule, 'completion_date' AS field, 'HIGH' AS severity FROM works WHERE completion_date < sanction_date
+  UNION ALL SELECT dataset_id, id, 'expenditure_above_sanctioned', 'expenditure', 'HIGH' FROM works WHERE expenditure > sanctioned_cost
+  UNION ALL SELECT dataset_id, id, 'progress_above_100', 'financial_progress', 'MEDIUM' FROM works WHERE financial_progress > 100
+  UNION ALL SELECT dataset_id, id, 'progress_above_100', 'physical_progress', 'MEDIUM' FROM works WHERE physical_progress > 100
+  UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'mp_name', 'LOW' FROM works WHERE mp_name IS NULL
+  UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'category', 'LOW' FROM works WHERE category IS NULL
+  UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'expenditure', 'LOW' FROM works WHERE expenditure IS NULL
+  UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'location_text', 'LOW' FROM works WHERE location_text IS NULL
+  UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'latitude', 'LOW' FROM works WHERE latitude IS NULL
+  UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'expected_duration_days', 'LOW' FROM works WHERE expected_duration_days IS NULL
+  UNION ALL SELECT dataset_id, id, 'duplicate_work_id', 'work_id', 'HIGH' FROM again
+  UNION ALL SELECT dataset_id, id, 'invalid_numeric', 'sanctioned_cost', 'MEDIUM' FROM works WHERE sanctioned_cost < 0)"""
+_SIGNALS = """
+signals AS (
+  SELECT *, 'RULE' AS src FROM cost_s UNION ALL SELECT *, 'RULE' FROM gap_s UNION ALL SELECT *, 'RULE' FROM delay_s UNION ALL SELECT *, 'RULE' FROM agency_s
+  UNION ALL SELECT dataset_id, id, 'COMPLIANCE', severity, 'RULE' FROM compliance UNION ALL SELECT dataset_id, id, 'DATA_QUALITY', severity, 'DATA_QUALITY' FROM quality),
+prio AS (
+  SELECT dataset_id, project_id, sum(round(
+      CASE signal_type WHEN 'FIN_PHYS_GAP' THEN 3.0 WHEN 'COST_ANOMALY' THEN 3.0 WHEN 'COMPLIANCE' THEN 3.5 WHEN 'DELAY' THEN 2.0 WHEN 'AGENCY_CONCENTRATION' THEN 1.5 ELSE 1.0 END
+      * CASE severity WHEN 'LOW' THEN 0.5 WHEN 'MEDIUM' THEN 1.0 WHEN 'HIGH' THEN 1.5 ELSE 2.0 END, 2))::DECIMAL(12,2) AS score, count(*) AS signal_count FROM signals GROUP BY ALL),
+priorities AS (SELECT *, CASE WHEN score < 2 THEN 'LOW' WHEN score < 4.5 THEN 'MEDIUM' WHEN score < 7 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM prio)"""
+_CASE1 = """first_case AS (SELECT project_id, arg_min(status, (opened_at, case_id)) AS case_status FROM cases GROUP BY project_id)"""
+_SUMMARY = """
+summary AS (
+  SELECT w.dataset_id, w.id, work_id, w.district, description, implementing_agency, sanctioned_cost, score, level, signal_count, case_status
+  FROM works w LEFT JOIN priorities p ON p.dataset_id = w.dataset_id AND p.project_id = w.id LEFT JOIN first_case c ON c.project_id = w.id)"""
+_RAW = """
+norm AS (
+  SELECT dataset_id, source_row_number, CASE WHEN lower(trim(work_id)) IN ('n/a', '-', 'nil') THEN NULL ELSE trim(work_id) END AS work_id, trim(state) AS state,
+    CASE WHEN trim(district) = '-' THEN NULL ELSE trim(district) END AS district, trim(description) AS description, estimated_cost::DECIMAL(20,4) AS estimated_cost,
+    CASE WHEN sanctioned_amount = 'nil' THEN NULL ELSE replace(replace(sanctioned_amount, '₹ ', ''), ' Lakh', '')::DECIMAL(20,4) END AS sanctioned_amount,
+    CASE WHEN sanctioned_amount LIKE '%Lakh' THEN 'LAKH' ELSE 'RUPEE' END AS monetary_unit, expenditure::DECIMAL(20,4) AS expenditure,
+    replace(physical_progress, '%', '')::DECIMAL(20,4) AS physical_progress, replace(financial_progress, ' %', '')::DECIMAL(20,4) AS financial_progress,
+    coalesce(try_strptime(sanction_date, '%Y-%m-%d'), try_strptime(sanction_date, '%d/%m/%Y'))::DATE AS sanction_date, completion_date::DATE AS completion_date,
+    expected_duration_days::BIGINT AS expected_duration_days, latitude::DECIMAL(12,7) AS latitude, longitude::DECIMAL(12,7) AS longitude, status FROM raw_works),
+issues AS (
+  SELECT dataset_id, source_row_number AS row_number, 'work_id' AS field, 'missing_work_id' AS rule, 'ERROR' AS severity FROM norm WHERE work_id IS NULL
+  UNION ALL SELECT dataset_id, source_row_number, 'district', 'missing_district', 'ERROR' FROM norm WHERE district IS NULL
+  UNION ALL SELECT dataset_id, source_row_number, 'sanctioned_amount', 'negative_amount', 'ERROR' FROM norm WHERE sanctioned_amount < 0
+  UNION ALL SELECT dataset_id, source_row_number, 'sanctioned_amount', 'missing_sanctioned_amount', 'ERROR' FROM norm WHERE sanctioned_amount IS NULL
+  UNION ALL SELECT dataset_id, source_row_number, 'sanctioned_amount', 'invalid_numeric', 'ERROR' FROM norm WHERE sanctioned_amount <= 0
+  UNION ALL SELECT dataset_id, source_row_number, 'expenditure', 'expenditure_above_sanctioned', 'WARNING' FROM norm WHERE sanctioned_amount > 0 AND expenditure > sanctioned_amount
+  UNION ALL SELECT dataset_id, source_row_number, 'physical_progress', 'progress_out_of_range', 'ERROR' FROM norm WHERE physical_progress NOT BETWEEN 0 AND 100
+  UNION ALL SELECT dataset_id, source_row_number, 'financial_progress', 'progress_out_of_range', 'ERROR' FROM norm WHERE financial_progress NOT BETWEEN 0 AND 100
+  UNION ALL SELECT dataset_id, source_row_number, 'completion_date', 'invalid_date_order', 'WARNING' FROM norm WHERE completion_date < sanction_date
+  UNION ALL SELECT dataset_id, source_row_number, 'latitude', 'invalid_coordinates', 'WARNING' FROM norm WHERE latitude NOT BETWEEN -90 AND 90
+  UNION ALL SELECT dataset_id, source_row_number, 'work_id', 'duplicate_work_id', 'ERROR' FROM (
+    SELECT *, min(source_row_number) OVER (PARTITION BY dataset_id, work_id) AS f FROM norm WHERE work_id IS NOT NULL) WHERE source_row_number > f)"""
+_TOKENS = """
+tok AS (
+  SELECT dataset_id, id, list_filter(string_split_regex(regexp_replace(lower(description), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 2 AND w NOT IN
+    ('construction', 'of', 'providing', 'at', 'the', 'and', 'in', 'to', 'renovation', 'upgradation', 'facility', 'work', 'works', 'building')) AS w FROM works),
+tf AS (
+  SELECT dataset_id, id, term, count(*) AS tf FROM (SELECT dataset_id, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok) GROUP BY ALL),
+dn AS (SELECT dataset_id, count(*) AS n FROM works GROUP BY ALL), df AS (SELECT dataset_id, term, count(*) AS df FROM tf GROUP BY ALL),
+raw_w AS (SELECT dataset_id, id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (dataset_id, term) JOIN dn USING (dataset_id)),
+vec AS (SELECT dataset_id, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY dataset_id, id)) AS w FROM raw_w),
+pos AS (SELECT dataset_id, id, latitude::DOUBLE AS lat, longitude::DOUBLE AS lon FROM works),
+near AS (
+  SELECT a.dataset_id, a.id AS a_id, b.id AS b_id, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS m
+  FROM pos a JOIN pos b ON a.dataset_id = b.dataset_id AND b.lat BETWEEN a.lat - 0.02 AND a.lat + 0.02 AND a.id < b.id AND abs(a.lon - b.lon) < 0.05),
+lost AS (SELECT dataset_id, id FROM pos WHERE lat IS NULL),
+cos_lost AS (
+  SELECT dataset_id, least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id, sum(x.w * y.w) AS t
+  FROM (SELECT vec.* FROM vec JOIN lost USING (dataset_id, id)) x JOIN vec y USING (dataset_id, term) WHERE x.id <> y.id GROUP BY dataset_id, x.id, y.id HAVING sum(x.w * y.w) >= 0.25),
+cos_near AS (SELECT n.dataset_id, a_id, b_id, sum(x.w * y.w) AS t FROM near n JOIN vec x ON x.dataset_id = n.dataset_id AND x.id = a_id JOIN vec y ON y.dataset_id = n.dataset_id AND y.id = b_id AND y.term = x.term WHERE m <= 2000 GROUP BY n.dataset_id, a_id, b_id HAVING sum(x.w * y.w) >= 0.25),
+cand AS (SELECT dataset_id, a_id, b_id, max(t) AS t FROM (SELECT * FROM cos_lost UNION ALL SELECT * FROM cos_near) GROUP BY ALL),
+vend AS (
+  SELECT dataset_id, id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce(implementing_agency, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN
+    ('sri', 'smt', 'private', 'limited', 'ltd', 'pvt', 'and', 'the', 'co', 'company', 'enterprises', 'contractors', 'constructions', 'builders', 'works', 'agency', 'division', 'department', 'engineering'))) AS v FROM works),
+facts AS (
+  SELECT c.*, m, 1 - abs(a.sanctioned_cost::DOUBLE - b.sanctioned_cost::DOUBLE) / greatest(a.sanctioned_cost::DOUBLE, b.sanctioned_cost::DOUBLE) AS cs, coalesce(a.category = b.category, false) AS cm,
+    coalesce(coalesce(a.start_date, a.sanction_date) <= coalesce(b.completion_date, DATE '9999-12-31') AND coalesce(b.start_date, b.sanction_date) <= coalesce(a.completion_date, DATE '9999-12-31'), false) AS ov,
+    CASE WHEN len(va.v) > 0 AND len(vb.v) > 0 THEN len(list_intersect(va.v, vb.v)) / least(len(va.v), len(vb.v)) >= 0.5 END AS vm
+  FROM cand c JOIN works a ON a.dataset_id = c.dataset_id AND a.id = a_id JOIN works b ON b.dataset_id = c.dataset_id AND b.id = b_id LEFT JOIN near n ON n.dataset_id = c.dataset_id AND n.a_id = c.a_id AND n.b_id = c.b_id
+    JOIN vend va ON va.dataset_id = c.dataset_id AND va.id = c.a_id JOIN vend vb ON vb.dataset_id = c.dataset_id AND vb.id = c.b_id),
+scored AS (
+  SELECT *, round(least(1.0, CASE WHEN m IS NOT NULL THEN base + greatest(0, 1 - least(m, 2000) / 2000) * 0.25 ELSE base / 0.75 END), 4) AS score
+  FROM (SELECT *, 0.4 * t + 0.2 * cs + CASE WHEN cm THEN 0.1 ELSE 0 END + CASE WHEN ov THEN 0.05 ELSE 0 END AS base FROM facts)),
+pairs AS (
+  SELECT *, CASE WHEN m IS NULL AND vm IS NULL THEN 'unavailable' WHEN m > 50 OR NOT vm THEN 'low' WHEN m <= 50 AND vm THEN 'high' ELSE 'medium' END AS band FROM scored WHERE score >= 0.6),
+dup AS (SELECT dataset_id, project_id, max(score) AS s FROM (SELECT dataset_id, a_id AS project_id, score FROM pairs UNION ALL SELECT dataset_id, b_id, score FROM pairs) GROUP BY ALL)"""
+_FOUND = """
+truth AS ({truth}),
+kinds AS (SELECT dataset_id, project_id AS id, list(DISTINCT signal_type) AS kinds FROM signals WHERE signal_type <> 'DATA_QUALITY' GROUP BY ALL),
+found AS (
+  SELECT w.dataset_id, w.id, kinds IS NOT NULL AS flagged, coalesce(injected, false) AS injected, anomaly_type, coalesce(list_contains(kinds, expected_detector), false) AS hit
+  FROM works w LEFT JOIN kinds USING (dataset_id, id) LEFT JOIN truth t ON t.record_id = w.id)"""
+_RATES = """round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(fp / nullif(fp + tn, 0), 4) AS fpr,
+  CASE WHEN tp + fp > 0 AND tp + fn > 0 THEN coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0), 4), 0) END AS f1"""
+
+
+def _with(*parts: str) -> str:
+    """WITH works AS (...), and the parts."""
+    views_ = {"raw_works": views.RAW_WORKS, "cases": views.CASES, "events_": views.CASE_EVENTS}
+    heads = [f"works AS ({views.sql(views.WORKS)})"]
+    heads += [f"{n} AS ({views.sql(t).replace('FROM (' + views.sql(views.WORKS) + ') w', 'FROM works w')})" for n, t in views_.items() if any(n in p for p in parts)]
+    return "WITH " + ",\n".join([*heads, *[p.strip() for p in parts[:-1]]]) + "\n" + parts[-1]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    rules = (_METRICS, _PEERS, _RULES, _COMPLIANCE, _AGENCY, _QUALITY, _SIGNALS)
+    brief = "SELECT dataset_id, project_id, signal_type, severity FROM "
+    rank = "CASE level WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 9 END"
+    srank = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
+    found = _FOUND.format(truth=views.sql(views.TRUTH))
+    counts = "count(*) FILTER (injected AND flagged) AS tp, count(*) FILTER (NOT injected AND flagged) AS fp, count(*) FILTER (NOT injected AND NOT flagged) AS tn, count(*) FILTER (injected AND NOT flagged) AS fn"
+    feats = """
+      f AS (SELECT w.dataset_id, w.id, CASE WHEN peer_median_cost <> 0 THEN round(sanctioned_cost::DOUBLE / peer_median_cost::DOUBLE, 6) END AS cost_ratio, financial_physical_gap::DOUBLE AS gap, delay_days::DOUBLE AS delay,
+        expenditure_ratio::DOUBLE AS expenditure_ratio, s::DOUBLE AS duplicate_score FROM works w LEFT JOIN metrics m ON m.dataset_id = w.dataset_id AND m.project_id = w.id
+        LEFT JOIN peers p ON p.dataset_id = w.dataset_id AND p.project_id = w.id LEFT JOIN dup d ON d.dataset_id = w.dataset_id AND d.project_id = w.id)"""
+    return {
+        "work_metrics": _with(_METRICS, "SELECT * FROM metrics"),
+        "peer_groups": _with("SELECT dataset_id, district, coalesce(category, 'Uncategorised') AS peer_category, count(*) AS members FROM works WHERE sanctioned_cost IS NOT NULL GROUP BY ALL HAVING count(*) >= 6"),
+        "peer_stats": _with(_PEERS, "SELECT * FROM peers"),
+        "cost_anomaly": _with(_METRICS, _PEERS, _RULES, brief + "cost_s"),
+        "progress_gap": _with(_METRICS, _PEERS, _RULES, brief + "gap_s"),
+        "delay_signals": _with(_METRICS, _PEERS, _RULES, brief + "delay_s"),
+        "compliance_findings": _with(_COMPLIANCE, "SELECT dataset_id, id, kind, code, term, severity FROM compliance"),
+        "agency_share": _with(_AGENCY, "SELECT dataset_id, district, agency, agency_total, agency_works, district_works, round(share_pct, 4) AS share_pct FROM shares"),
+        "agency_concentration": _with(_AGENCY, brief + "agency_s"),
+        "quality_issues": _with(_QUALITY, "SELECT * FROM quality"),
+        "quality_status": _with(_QUALITY, """t AS (SELECT dataset_id, count(*) AS total_rows FROM works GROUP BY ALL), q AS (SELECT dataset_id, count(DISTINCT id) AS rows_with_issues, count(*) AS total_issues FROM quality GROUP BY ALL)""",
+            "SELECT dataset_id, total_rows, coalesce(rows_with_issues, 0) AS rows_with_issues, coalesce(total_issues, 0) AS total_issues, CASE WHEN coalesce(total_issues, 0) = 0 THEN 'VALID' WHEN total_issues < greatest(3, total_rows * 0.2) THEN 'VALID_WITH_WARNINGS' ELSE 'INVALID' END AS quality_status FROM t LEFT JOIN q USING (dataset_id)"),
+        "normalize_works": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, state, district, sanctioned_amount, monetary_unit, physical_progress, financial_progress, sanction_date, completion_date, expected_duration_days FROM norm, (SELECT 1 FROM raw_works LIMIT 1)"),
+        "validate_works": _with(_RAW, "SELECT * FROM issues -- raw_works"),
+        "valid_works": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, coalesce(estimated_cost, sanctioned_amount)::DECIMAL(14,2) AS estimated_cost, coalesce(physical_progress, 0)::DECIMAL(5,2) AS physical_progress, coalesce(status, 'Unknown') AS status FROM norm n WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.severity = 'ERROR' AND i.dataset_id = n.dataset_id AND i.row_number = n.source_row_number) -- raw_works"),
+        "import_grade": _with(_RAW, """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL)""",
+            "SELECT dataset_id, total_rows, error_rows, warning_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade FROM t JOIN b USING (dataset_id) -- raw_works"),
+        "issue_summary": _with(_RAW, "SELECT dataset_id, rule, severity, count(*) AS issues, count(DISTINCT row_number) AS rows, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity -- raw_works"),
+        "validate_allocation": f"""WITH raw AS ({views.sql(views.RAW_ALLOCATION)}), n AS (SELECT dataset_id, source_row_number AS r, CASE WHEN serial_number = 'x' THEN NULL ELSE replace(serial_number, 'No. ', '')::BIGINT END AS serial, nullif(trim(state), '') AS state,
+            CASE WHEN mp_name = 'n/a' THEN NULL ELSE regexp_replace(mp_name, ' +', ' ', 'g') END AS mp, CASE WHEN allocated_amount = '?' THEN NULL ELSE allocated_amount::DECIMAL(20,4) END AS amount FROM raw)
+            SELECT dataset_id, r AS row_number, 'state' AS field, 'missing_state' AS rule, 'ERROR' AS severity FROM n WHERE state IS NULL
+            UNION ALL SELECT dataset_id, r, 'mp_name', 'missing_mp_name', 'ERROR' FROM n WHERE mp IS NULL UNION ALL SELECT dataset_id, r, 'allocated_amount', 'invalid_amount', 'ERROR' FROM n WHERE amount IS NULL
+            UNION ALL SELECT dataset_id, r, 'allocated_amount', 'negative_amount', 'ERROR' FROM n WHERE amount < 0 UNION ALL SELECT dataset_id, r, 'allocated_amount', 'implausible_amount', 'WARNING' FROM n WHERE amount >= 0 AND amount < 100000
+            UNION ALL SELECT dataset_id, r, 'serial_number', 'invalid_serial', 'INFO' FROM n WHERE serial IS NULL
+            UNION ALL SELECT dataset_id, r, 'serial_number', 'duplicate_serial', 'WARNING' FROM (SELECT *, min(r) OVER (PARTITION BY dataset_id, serial) AS f FROM n WHERE serial IS NOT NULL) WHERE r > f
+            UNION ALL SELECT dataset_id, r, 'mp_name', 'duplicate_mp_record', 'WARNING' FROM (SELECT *, min(r) OVER (PARTITION BY dataset_id, state, mp) AS f FROM n WHERE mp IS NOT NULL) WHERE r > f""",
+        "validate_aggregate": f"""WITH raw AS ({views.sql(views.RAW_AGGREGATE)})
+            SELECT dataset_id, source_row_number AS row_number, 'works_completed' AS field, 'invalid_count' AS rule, 'ERROR' AS severity FROM raw WHERE works_completed::INT < 0
+            UNION ALL SELECT dataset_id, source_row_number, 'works_completed', 'aggregate_consistency_issue', 'WARNING' FROM raw WHERE works_completed::INT > works_sanctioned::INT
+            UNION ALL SELECT dataset_id, source_row_number, 'allocated_limit', 'invalid_amount', 'ERROR' FROM raw WHERE replace(allocated_limit, ' Crore', '')::DECIMAL(14,2) < 0""",
+        "duplicate_pairs": _with(_TOKENS, "SELECT dataset_id, a_id, b_id, round(t, 4) AS text_similarity, round(m, 0) AS location_distance_m, cm AS category_match, ov AS time_overlap, vm AS vendor_match, band AS contextual_confidence, score AS combined_score FROM pairs"),
+        "duplicate_score": _with(_TOKENS, "SELECT dataset_id, project_id, round(s, 3) AS duplicate_score FROM dup"),
+        "ml_features": _with(_METRICS, _PEERS, _TOKENS, feats, "SELECT dataset_id, id, " + ", ".join(f"round(coalesce({c}, median({c}) OVER (PARTITION BY dataset_id), 0), 3) AS {c}" for c in forest.FEATURES) + " FROM f"),
+        "signal_counts": _with(*rules, "SELECT dataset_id, signal_type, severity, count(*) AS n FROM signals GROUP BY ALL"),
+        "evidence_rows": _with(*rules, "SELECT signal_type, count(*) AS evidence_rows FROM signals GROUP BY ALL"),
+        "priorities": _with(*rules, "SELECT dataset_id, project_id, score, level, signal_count FROM priorities"),
+        "queue_top": _with(*rules, _CASE1, _SUMMARY, f"SELECT work_id, id, district, level, score, signal_count, case_status FROM summary ORDER BY {rank}, score DESC NULLS LAST, work_id, id LIMIT 20 -- cases"),
+        "queue_search": _with(*rules, _CASE1, _SUMMARY, "SELECT id, level, sanctioned_cost FROM summary WHERE level = 'CRITICAL' AND contains(lower(concat_ws(' ', work_id, description, district, implementing_agency)), 'temple') ORDER BY sanctioned_cost DESC, work_id, id LIMIT 50 -- cases"),
+        "dashboard": _with(*rules, _CASE1, _SUMMARY, "SELECT count(*) AS works, sum(sanctioned_cost) AS value, " + ", ".join(f"count(*) FILTER (level = '{x.upper()}') AS {x}" for x in ("critical", "high", "medium", "low")) + ", count(*) FILTER (case_status NOT IN ('RESOLVED', 'CLOSED')) AS open_cases, " + ", ".join(f"(SELECT count(DISTINCT (dataset_id, project_id)) FROM signals WHERE signal_type = '{k}') AS {n}" for k, n in (("DELAY", "delayed_works"), ("DUPLICATE", "duplicate_works"), ("DATA_QUALITY", "quality_works"))) + " FROM summary -- cases"),
+        "district_rollup": _with(*rules, _CASE1, _SUMMARY, "SELECT district, count(*) AS works, sum(sanctioned_cost) AS value, count(*) FILTER (level IN ('HIGH', 'CRITICAL')) AS high_risk FROM summary GROUP BY ALL -- cases"),
+        "work_timeline": _with("SELECT dataset_id, id, 'sanctioned' AS step, sanction_date AS date FROM works WHERE sanction_date IS NOT NULL UNION ALL SELECT dataset_id, id, 'started', start_date FROM works WHERE start_date IS NOT NULL UNION ALL SELECT dataset_id, id, 'expected_completion', sanction_date + expected_duration_days FROM works WHERE expected_duration_days IS NOT NULL UNION ALL SELECT dataset_id, id, 'completed', completion_date FROM works WHERE completion_date IS NOT NULL"),
+        "case_per_work": f"WITH cases AS ({views.sql(views.CASES)}) SELECT project_id, arg_max(case_id, (opened_at, case_id)) AS case_id, arg_max(status, (opened_at, case_id)) AS case_status, arg_max({{'r': resolution_type}}, (opened_at, case_id)).r AS resolution_type FROM cases GROUP BY project_id",
+        "stakeholder_summary": _with(*rules, "own AS (SELECT * FROM works WHERE district = 'NATION_1'), c AS (SELECT * FROM cases WHERE project_id IN (SELECT id FROM own)), s AS (SELECT * FROM signals WHERE project_id IN (SELECT id FROM own))",
+            "SELECT 'works' AS measure, status AS key, count(*) AS n FROM own GROUP BY ALL UNION ALL SELECT 'signals', signal_type, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'severity', severity, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'case_status', status, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'cases', 'all', count(*) FROM c UNION ALL SELECT 'cases', 'open', count(*) FROM c WHERE status NOT IN ('RESOLVED', 'CLOSED')"),
+        "district_attention": _with(*rules, "SELECT district, count(*) AS signals FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id WHERE severity IN ('HIGH', 'CRITICAL') GROUP BY district ORDER BY signals DESC, district LIMIT 8"),
+        "precision_summary": _with(*rules, "SELECT (SELECT count(*) FROM works) AS works, (SELECT count(DISTINCT (dataset_id, project_id)) FROM signals) AS flagged_works, count(*) FILTER (resolution_type = 'CONFIRMED_CONCERN') AS confirmed, count(*) FILTER (resolution_type = 'FALSE_POSITIVE') AS false_positive, round(count(*) FILTER (resolution_type = 'CONFIRMED_CONCERN') / nullif(count(*) FILTER (resolution_type IN ('CONFIRMED_CONCERN', 'FALSE_POSITIVE')), 0), 4) AS precision, round((SELECT count(DISTINCT (dataset_id, project_id)) FROM signals) / (SELECT count(*) FROM works), 4) AS flag_rate FROM cases"),
+        "trends": f"""WITH raw AS ({views.sql(views.RAW_AGGREGATE)}), a AS (SELECT dataset_id, house, sum(works_recommended::BIGINT) AS r, sum(works_sanctioned::BIGINT) AS s, sum(works_completed::BIGINT) AS c FROM raw GROUP BY ALL)
+            SELECT dataset_id, CASE WHEN dataset_id = 'AG0' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS ingested_at, house, nullif(r, 0)::BIGINT AS works_recommended, nullif(s, 0)::BIGINT AS works_sanctioned, nullif(c, 0)::BIGINT AS works_completed, round(nullif(c, 0) / nullif(s, 0), 4) AS completion_ratio FROM a""",
+        "open_cases": _with(*rules, "latest AS (SELECT project_id, arg_max(status, (opened_at, case_id)) AS st FROM cases GROUP BY project_id), o AS (SELECT w.dataset_id, w.id, w.work_id FROM works w LEFT JOIN latest l ON l.project_id = w.id WHERE st IS NULL OR st IN ('RESOLVED', 'CLOSED'))",
+            "SELECT o.dataset_id, id AS project_id, 'CASE-' || (1000 + row_number() OVER (ORDER BY o.dataset_id, substr(work_id, 1, 4), work_id, id)) AS case_number, 'OPEN' AS status, coalesce(level, 'MEDIUM') AS priority FROM o LEFT JOIN priorities p ON p.dataset_id = o.dataset_id AND p.project_id = o.id -- cases"),
+        "case_replay": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), l AS (SELECT *, coalesce(lag(to_status) OVER (PARTITION BY case_id ORDER BY ts, seq), 'OPEN') AS f FROM e), ok AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, to in __import__("worksight.schemas", fromlist=["x"]).CASE_TRANSITIONS.items() for b in to)}) AS t(f, to_status))
+            SELECT case_id, seq, 'transition_not_allowed' AS violation FROM l WHERE to_status <> f AND (f, to_status) NOT IN (SELECT (f, to_status) FROM ok)
+            UNION ALL SELECT case_id, seq, 'resolution_type_required' FROM l WHERE to_status <> f AND to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED') AND resolution_type IS NULL
+            UNION ALL SELECT case_id, seq, 'closing_needs_not_substantiated' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND resolution_type <> 'NOT_SUBSTANTIATED'
+            UNION ALL SELECT case_id, seq, 'closing_needs_reason' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND resolution_reason IS NULL
+            UNION ALL SELECT case_id, seq, 'closing_needs_text' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND coalesce(resolution_summary, '') = ''
+            UNION ALL SELECT case_id, seq, 'unknown_resolution_type' FROM l WHERE resolution_type = 'NONSENSE'""",
+        "case_state": f"WITH e AS ({views.sql(views.CASE_EVENTS)}) SELECT case_id, arg_max(to_status, (ts, seq)) AS status, arg_max(resolution_type, (ts, seq)) FILTER (resolution_type IS NOT NULL) AS resolution_type, arg_max(resolution_reason, (ts, seq)) FILTER (resolution_reason IS NOT NULL) AS resolution_reason, arg_max(resolution_summary, (ts, seq)) FILTER (resolution_summary IS NOT NULL) AS resolution_summary FROM e GROUP BY case_id",
+        "verify_chain": f"""WITH e AS (SELECT case_id AS chain_id, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), c AS (SELECT chain_id, count(*) AS n FROM e GROUP BY ALL)
+            SELECT chain_id, n = 1 AND chain_id NOT LIKE '%7' AS valid, CASE WHEN chain_id LIKE '%7' THEN 1 WHEN n > 2 OR (n = 2 AND chain_id NOT LIKE '%5') THEN 2 END AS broken_at_seq,
+              CASE WHEN chain_id LIKE '%7' THEN 'entry_hash_mismatch' WHEN n > 2 AND chain_id LIKE '%5' THEN 'sequence_gap' WHEN n > 1 AND chain_id NOT LIKE '%5' THEN 'prev_hash_mismatch' END AS reason, CASE WHEN chain_id LIKE '%7' THEN 0 ELSE 1 END AS events_checked FROM c""",
+        "confusion": _with(*rules, found, f"c AS (SELECT dataset_id, {counts} FROM found GROUP BY ROLLUP (dataset_id))", f"SELECT dataset_id, tp, fp, tn, fn, {_RATES} FROM c"),
+        "confusion_by_type": _with(*rules, found, "cl AS (SELECT count(*) FILTER (flagged) AS fp, count(*) FILTER (NOT flagged) AS tn FROM found WHERE NOT injected), pt AS (SELECT anomaly_type, count(*) FILTER (flagged) AS tp, count(*) FILTER (NOT flagged) AS fn, count(*) FILTER (hit) AS detector_hits FROM found WHERE injected GROUP BY ALL)", f"SELECT anomaly_type, tp, fn, detector_hits, fp, tn, {_RATES} FROM pt CROSS JOIN cl"),
+    }

@@ -1,0 +1 @@
+"""Reading exports, knowing files, writing outputs."""

@@ -1,0 +1 @@
+"""Works as a stream."""
