@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tasks import ship  # noqa: F401
+
 #: Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -56,8 +56,3 @@ def az_lower(c: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the values alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
-
-
-def ship(module: str) -> None:
-    """Sends what tasks use of this module along with them, so that executors need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
