@@ -102,7 +102,7 @@ def iforest_scores(rows: DataFrame, seed: int = SEED) -> DataFrame:
     def train(group: pd.DataFrame) -> pd.DataFrame:
         model = fit(group.sort_values("id")[names].to_numpy(float), seed)
         if model is None:
-            return pd.DataFrame({"dataset_id": [], "sizes": [], "nodes": [], "norm": []})
+            return pd.DataFrame(columns=["dataset_id", "sizes", "nodes", "norm"], dtype=object)
         return pd.DataFrame({"dataset_id": [group["dataset_id"].iloc[0]], "sizes": [[len(t) for t in model["trees"]]], "nodes": [np.concatenate(model["trees"]).ravel().tolist()], "norm": [model["norm"]]})
 
     models = pool.groupBy("dataset_id").applyInPandas(train, "dataset_id string, sizes array<int>, nodes array<double>, norm double")
