@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import az_lower, lookup
+from .common import az_lower, lookup, stash
 
 #: A word is a run of letters a-z, digits and everything beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,10 +43,16 @@ def anchors(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return starts.select("item_id", "item_words", "width", best.alias("a")).select("item_id", "item_words", "width", "a.first", "a.second", "a.at").distinct()
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with _row, the digest of the text: what is found depends on the text alone, so equal texts share their findings and
+    no numbering of rows has to hold from one scan to the next."""
+    return docs.withColumn("_row", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+
 def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """_row, n_words, pos, item_id: one row of each document (pos null) and a row for each word that a window of an item covers.
 
-    docs has _row (a key of its rows) and text. Scan, split, explode and the join with the broadcast anchors are one stage;
+    docs has _row (a key of its texts) and text. Scan, split, explode and the join with the broadcast anchors are one stage;
     only matching anchors leave it. Each is verified on the words around it: runs of at least a window's width count."""
     spots = anchors(benchmark, window)
     spots = lookup(spots.withColumnRenamed("at", "_at"), spots.count())
@@ -83,7 +88,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """The columns of docs plus n_words, n_hit (words inside an occurrence of a window), items (sorted ids, as strings),
     n_items and contaminated, a row for each row of docs. Null and empty texts have no words; benchmark items without
     words have no windows; items with equal texts all count; an empty benchmark hits nothing."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = with_key(docs)
     every = found(keyed, benchmark, window)
     places = every.groupBy("_row", "pos").agg(F.max("n_words").alias("n_words"), F.collect_set(F.col("item_id").cast("string")).alias("_items"))
     per = places.groupBy("_row").agg(
@@ -94,14 +99,14 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows in which any window of the benchmark occurs. Columns stay as they are."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    hit = found(keyed, benchmark, window).filter("pos is not null").select("_row").distinct()
-    return keyed.join(hit, "_row", "left_anti").select(*docs.columns)
+    keyed = with_key(docs)
+    hit = stash(found(keyed, benchmark, window).filter("pos is not null").select("_row").distinct(), "contaminated")
+    return keyed.join(lookup(hit, hit.count()), "_row", "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the words that windows cover cut out of text, each with the gap before it. Other columns stay as they are."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = with_key(docs)
     hit = found(keyed, benchmark, window).filter("pos is not null").groupBy("_row").agg(F.collect_set("pos").alias("_hit"))
     gaps, own = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     kept = F.transform(own, lambda w, i: F.when(F.array_contains("_hit", i), F.lit("")).otherwise(F.concat(F.get("_gaps", i), w)))

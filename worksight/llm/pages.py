@@ -340,8 +340,10 @@ def lesson(rng: np.random.Generator) -> str:
 
     def main() -> str:
         out = [pick(["", f"<h1>{words(2, 9)}</h1>", f"<h1>{words(2, 9)}</h1>", f"<h2>{words(2, 9)}</h2>"])]
-        bare = chance(0.12)
-        for _ in range(int(rng.integers(1, 9))):
+        bare, brief = chance(0.12), chance(0.12)
+        if brief:
+            out.append(f"<p>{inline(words(1, 6))}.</p>")
+        for _ in range(0 if brief else int(rng.integers(1, 9))):
             kind = rng.random()
             if bare:
                 out.append(f"{inline(prose(1, 6))}<br>" if chance(0.7) else f"<div>{inline(prose(1, 6))}</div>")
@@ -369,6 +371,8 @@ def lesson(rng: np.random.Generator) -> str:
     article = f"<{tag}{name}>{main()}</{tag}>" if tag != "td" else f"<table><tr><td>{main()}</td></tr></table>"
     for _ in range(int(rng.integers(0, 3))):
         article = f"<{pick(['div', 'div', 'main', 'section'])}{named('content', 0.3)}>{boiler(pick(['menu', 'head', 'advert'])) if chance(0.3) else ''}{article}{boiler(pick(['side', 'comment', 'advert', 'form'])) if chance(0.4) else ''}</div>"
+    if chance(0.06):
+        return main()
     before = "".join(boiler(pick(["menu", "head", "advert", "notice", "form", "menu", "side"])) for _ in range(int(rng.integers(0, 5))))
     after = "".join(boiler(pick(["side", "comment", "comment", "foot", "advert", "notice", "form"])) for _ in range(int(rng.integers(0, 4)))) + (boiler("foot") if chance(0.7) else "")
     head = f"<head><title>{words(2, 6)}</title><script>var t='</p>';</script></head>" if chance(0.8) else ""
