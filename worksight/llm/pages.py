@@ -234,7 +234,7 @@ class Page:
 
 
 #: Gradient boosting: trees, their depth, shrinkage, bins of a feature, ridge on leaves.
-TREES, DEPTH, SHRINK, BINS, RIDGE = 60, 4, 0.2, 32, 1.0
+TREES, DEPTH, SHRINK, BINS, RIDGE = 90, 5, 0.2, 32, 1.0
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> dict:
@@ -283,7 +283,7 @@ def judge(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 #: The model is fitted on so many pages that are composed here: real pages come without marks of what is main text.
-LESSONS = 700
+LESSONS = 1500
 _OPEN, _SHUT = "\ue000", "\ue001"  # around the main text of a composed page
 
 
@@ -298,6 +298,8 @@ def lesson(rng: np.random.Generator) -> str:
         return " ".join(word() for _ in range(int(rng.integers(low, high))))
 
     def prose(low: int, high: int) -> str:
+        if chance(0.15):
+            return words(1, 6).capitalize() + "."
         text = ""
         for _ in range(int(rng.integers(low, high))):
             text += words(3, 18).capitalize() + (", " + words(2, 8) if chance(0.4) else "") + pick(". . . ! ?".split()) + " "
@@ -313,7 +315,7 @@ def lesson(rng: np.random.Generator) -> str:
         return f' {pick(["class", "class", "id"])}="{name}"'
 
     def linked(n: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{words(1, 4)}</a></li>' for _ in range(n))
+        return "".join(f'<li><a href="/{word()}">{words(1, 4)}{pick(["", "", ".", ","])}</a></li>' for _ in range(n))
 
     def boiler(kind: str) -> str:
         own = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form"}.get(kind)
@@ -340,7 +342,7 @@ def lesson(rng: np.random.Generator) -> str:
 
     def main() -> str:
         out = [pick(["", f"<h1>{words(2, 9)}</h1>", f"<h1>{words(2, 9)}</h1>", f"<h2>{words(2, 9)}</h2>"])]
-        bare, brief = chance(0.12), chance(0.12)
+        bare, brief = chance(0.12), chance(0.06)
         if brief:
             out.append(f"<p>{inline(words(1, 6))}.</p>")
         for _ in range(0 if brief else int(rng.integers(1, 9))):
@@ -371,7 +373,7 @@ def lesson(rng: np.random.Generator) -> str:
     article = f"<{tag}{name}>{main()}</{tag}>" if tag != "td" else f"<table><tr><td>{main()}</td></tr></table>"
     for _ in range(int(rng.integers(0, 3))):
         article = f"<{pick(['div', 'div', 'main', 'section'])}{named('content', 0.3)}>{boiler(pick(['menu', 'head', 'advert'])) if chance(0.3) else ''}{article}{boiler(pick(['side', 'comment', 'advert', 'form'])) if chance(0.4) else ''}</div>"
-    if chance(0.06):
+    if chance(0.04):
         return main()
     before = "".join(boiler(pick(["menu", "head", "advert", "notice", "form", "menu", "side"])) for _ in range(int(rng.integers(0, 5))))
     after = "".join(boiler(pick(["side", "comment", "comment", "foot", "advert", "notice", "form"])) for _ in range(int(rng.integers(0, 4)))) + (boiler("foot") if chance(0.7) else "")
