@@ -26,7 +26,9 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Pairs whose estimate is further below the threshold than this (6 standard errors) are not verified; small sets all are.
 MARGIN, SMALL = 0.2, 16
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
+#: Links up to this number (16 bytes each) find their components in one task without shuffles; more do in many.
+FEW_LINKS = 100_000
 #: Members of a hub that one task verifies, and of a bucket that are compared with each other at once.
 SALT_ROWS, BLOCK_ROWS = 256, 512
 #: Shingles that one matrix product takes at once.
@@ -155,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes; every round is a table in the shared folder."""
 
     def star(arcs: DataFrame, large: bool) -> DataFrame:
-        both = arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = arcs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         if large:
             near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
             return both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -167,12 +169,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     arcs = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "near-arcs")
     before = state(arcs)
+    # one partition is clustered by any key already, so the rounds over few arcs need no exchange
+    gathered = (lambda x: x.coalesce(1)) if before[0] <= FEW_LINKS else (lambda x: x)
+    arcs = gathered(arcs)
     while before[0]:
-        arcs = stash(star(star(arcs, True), False), "near-arcs")
+        arcs = gathered(stash(star(star(arcs, True), False), "near-arcs"))
         if (now := state(arcs)) == before:
             break
         before = now
-    return arcs.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(arcs.select(F.col("v").alias("id"), F.col("v").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
+    return arcs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("comp")), F.struct(F.col("v").alias("id"), F.col("v").alias("comp")))).alias("e")).select("e.id", "e.comp").groupBy("id").agg(F.min("comp").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -212,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         else:
             fresh = left_apart(docs, held, reps, width, percent)
         links = links.unionByName(fresh)
-        if k < HUB_ROUNDS or fresh.count():
+        if k < HUB_ROUNDS or fresh.limit(1).count():
             comps = stash(components(links), "near-comps")
     own = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id")).alias("component_id")
@@ -239,8 +244,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def linkable(docs: DataFrame, held: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows of held, and the sets of their documents, in buckets that still hold different components, whose documents can have a link at all: enough of
     their shingles occur in another document that is still apart. (A document shares no more with another than it shares
-    with all of them, and a union is no smaller than the document.) Exact, and linear in the shingles; done twice, as
-    what falls away takes its shingles with it."""
+    with all of them, and a union is no smaller than the document.) Exact, and linear in the shingles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,13 +260,10 @@ def linkable(docs: DataFrame, held: DataFrame, width: int, percent: int) -> tupl
     side = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(side, "rep").select("rep", "text")
     elements = stash(texts.mapInArrow(sets, "rep long, elements array<bigint>").filter(F.size("elements") > 0), "near-apart-sets")
-    for _ in range(2):
-        each = elements.select("rep", F.size("elements").alias("n"), F.explode("elements").alias("e"))
-        shared = each.groupBy("e").agg(F.count("rep").alias("c")).filter("c > 1").select("e")
-        enough = each.join(shared, "e").groupBy("rep").agg(F.count("e").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 100 >= F.col("n") * percent)
-        keep = stash(enough.select("rep"), "near-linkable")
-        held = stash(apart(held.join(keep, "rep", "left_semi")), "near-apart")
-        elements = elements.join(held.select("rep").distinct(), "rep", "left_semi")
+    each = elements.select("rep", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    shared = each.groupBy("e").agg(F.count("rep").alias("c")).filter("c > 1").select("e")
+    enough = each.join(shared, "e").groupBy("rep").agg(F.count("e").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 100 >= F.col("n") * percent)
+    held = stash(apart(held.join(enough.select("rep"), "rep", "left_semi")), "near-apart")
     return held, elements
 
 
