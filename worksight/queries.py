@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from . import bench_views as views
 from .bench_views import TODAY
-from .operators import audit, cases, detect, duplicates, evaluate, forest, fusion, imports, reporting
+from .operators import audit, cases, detect, duplicates, evaluate, forest, fusion, imports, reporting, signals
 from .plans import detection
+from .schemas import CASE_TRANSITIONS
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
@@ -21,8 +22,8 @@ def _signals(spark, d) -> DataFrame:
     return detection.rule_signals(works(spark, d), TODAY)
 
 
-def _brief(signals: DataFrame) -> DataFrame:
-    return signals.select("dataset_id", "project_id", "signal_type", "severity")
+def _brief(found: DataFrame) -> DataFrame:
+    return found.select("dataset_id", "project_id", "signal_type", "severity")
 
 
 def _dated(spark, d) -> DataFrame:
@@ -111,7 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "iforest_scores": lambda s, d: forest.iforest_scores(_features(s, d)),
         "ml_signals": lambda s, d: _brief(forest.ml_signals(forest.iforest_scores(_features(s, d)))),
         "signal_counts": lambda s, d: _signals(s, d).groupBy("dataset_id", "signal_type", "severity").agg(F.count(F.lit(1)).alias("n")),
-        "evidence_rows": lambda s, d: __import__("worksight.operators.signals", fromlist=["x"]).evidence_rows(_signals(s, d)).groupBy("signal_type").agg(F.count(F.lit(1)).alias("evidence_rows")),
+        "evidence_rows": lambda s, d: signals.evidence_rows(_signals(s, d)).groupBy("signal_type").agg(F.count(F.lit(1)).alias("evidence_rows")),
         "priorities": lambda s, d: fusion.fuse(_signals(s, d)).select("dataset_id", "project_id", "score", "level", "signal_count"),
         "detection_run": lambda s, d: detection.run_detection(works(s, d), TODAY)["summary"],
         "queue_top": lambda s, d: reporting.queue(_summary(s, d))[0].select("work_id", "id", "district", "level", "score", "signal_count", "case_status"),
@@ -344,7 +345,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT dataset_id, CASE WHEN dataset_id = 'AG0' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS ingested_at, house, nullif(r, 0)::BIGINT AS works_recommended, nullif(s, 0)::BIGINT AS works_sanctioned, nullif(c, 0)::BIGINT AS works_completed, round(nullif(c, 0) / nullif(s, 0), 4) AS completion_ratio FROM a""",
         "open_cases": _with(*rules, "latest AS (SELECT project_id, arg_max(status, (opened_at, case_id)) AS st FROM cases GROUP BY project_id), o AS (SELECT w.dataset_id, w.id, w.work_id FROM works w LEFT JOIN latest l ON l.project_id = w.id WHERE st IS NULL OR st IN ('RESOLVED', 'CLOSED'))",
             "SELECT o.dataset_id, id AS project_id, 'CASE-' || (1000 + row_number() OVER (ORDER BY o.dataset_id, substr(work_id, 1, 4), work_id, id)) AS case_number, 'OPEN' AS status, coalesce(level, 'MEDIUM') AS priority FROM o LEFT JOIN priorities p ON p.dataset_id = o.dataset_id AND p.project_id = o.id -- cases"),
-        "case_replay": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), l AS (SELECT *, coalesce(lag(to_status) OVER (PARTITION BY case_id ORDER BY ts, seq), 'OPEN') AS f FROM e), ok AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, to in __import__("worksight.schemas", fromlist=["x"]).CASE_TRANSITIONS.items() for b in to)}) AS t(f, to_status))
+        "case_replay": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), l AS (SELECT *, coalesce(lag(to_status) OVER (PARTITION BY case_id ORDER BY ts, seq), 'OPEN') AS f FROM e), ok AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, to in CASE_TRANSITIONS.items() for b in to)}) AS t(f, to_status))
             SELECT case_id, seq, 'transition_not_allowed' AS violation FROM l WHERE to_status <> f AND (f, to_status) NOT IN (SELECT (f, to_status) FROM ok)
             UNION ALL SELECT case_id, seq, 'resolution_type_required' FROM l WHERE to_status <> f AND to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED') AND resolution_type IS NULL
             UNION ALL SELECT case_id, seq, 'closing_needs_not_substantiated' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND resolution_type <> 'NOT_SUBSTANTIATED'
