@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detect, duplicates, forest, fusion
+from ..tables import stash
 
 
 def rule_signals(works: DataFrame, today: str) -> DataFrame:
@@ -27,7 +28,7 @@ def deterministic_signals(works: DataFrame, today: str, pairs: DataFrame | None
 
 def run_detection(works: DataFrame, today: str, with_forest: bool = True) -> dict[str, DataFrame]:
     """metrics, peers, pairs, signals, priorities, summary: a run is a pure function of the works and the date."""
-    pairs = duplicates.duplicate_pairs(works)
+    pairs = stash(duplicates.duplicate_pairs(works), "detection-pairs")
     metrics, peers = detect.work_metrics(works, today), detect.peer_stats(works)
     signals = deterministic_signals(works, today, pairs)
     out = {"metrics": metrics, "peers": peers, "pairs": pairs}

@@ -12,6 +12,7 @@ from .bench_views import TODAY
 from .operators import audit, cases, detect, duplicates, evaluate, forest, fusion, imports, reporting, signals
 from .plans import detection
 from .schemas import CASE_TRANSITIONS
+from .tables import stash
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +20,8 @@ def works(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(spark, d) -> DataFrame:
-    return detection.rule_signals(works(spark, d), TODAY)
+    """All signals of a detection run, duplicates and outliers included, as one table: queries read them more than once."""
+    return stash(detection.run_detection(works(spark, d), TODAY)["signals"], "signals")
 
 
 def _brief(found: DataFrame) -> DataFrame:
@@ -31,8 +33,8 @@ def _dated(spark, d) -> DataFrame:
     return _signals(spark, d).join(own, ["dataset_id", "project_id"])
 
 
-def _summary(spark, d) -> DataFrame:
-    w, s = works(spark, d), _signals(spark, d)
+def _summary(spark, d, s: DataFrame | None = None) -> DataFrame:
+    w, s = works(spark, d), _signals(spark, d) if s is None else s
     return reporting.work_summary(w, fusion.fuse(s), s, views.view(spark, d, views.CASES))
 
 
@@ -117,7 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "detection_run": lambda s, d: detection.run_detection(works(s, d), TODAY)["summary"],
         "queue_top": lambda s, d: reporting.queue(_summary(s, d))[0].select("work_id", "id", "district", "level", "score", "signal_count", "case_status"),
         "queue_search": lambda s, d: reporting.queue(_summary(s, d), sort="cost", size=50, search="temple", level="critical")[0].select("id", "level", "sanctioned_cost"),
-        "dashboard": lambda s, d: reporting.dashboard(_summary(s, d), _signals(s, d)),
+        "dashboard": lambda s, d: (lambda found: reporting.dashboard(_summary(s, d, found), found))(_signals(s, d)),
         "district_rollup": lambda s, d: reporting.district_rollup(_summary(s, d)),
         "work_timeline": lambda s, d: reporting.work_timeline(works(s, d)),
         "work_detail": lambda s, d: (lambda w: reporting.work_detail(w, _signals(s, d), detect.work_metrics(w, TODAY), detect.peer_stats(w), duplicates.duplicate_pairs(w)).select("dataset_id", "id", "delay_days", "peer_count", F.size("signals").alias("n_signals"), "why_flagged"))(works(s, d)),
