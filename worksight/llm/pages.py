@@ -40,6 +40,9 @@ _STEMS = [(stem, k) for k, words in enumerate(LEXICON.values()) for stem in word
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details".split()
 _TAG = {t: k for k, t in enumerate(TAGS)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where the content of a RAW element ends: at its end tag. An option, whose end tag may be left out, ends before what can't be in it.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
+_RAW_END["option"] = re.compile(rf"</option(?=[\s/>]|\Z)[^>]*(?:>|\Z)|(?=</?(?:option|optgroup|select|datalist|body|html|{'|'.join(sorted(CLOSES_P | set(ENDS)))})[\s/>])", re.I)
 _MARKS = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -95,12 +98,8 @@ class Page:
                 fresh = fresh or name not in INLINE
             del stack[k:]
 
-        raw_until = None
-        for m in _TOKEN.finditer(source):
-            if raw_until is not None:
-                if m[2] and m[1] and m[2].lower() == raw_until:
-                    raw_until, at = None, m.end()
-                continue
+        endless: set[str] = set()
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 text(source[at : m.start()])
             at = m.end()
@@ -117,12 +116,11 @@ class Page:
             self.elements[node] += 1
             if name in RAW:
                 self.controls[node] += name in ("select", "textarea", "option")
-                if not m[3].endswith("/"):
-                    end = source.lower().find(f"</{name}", at) if name in ("script", "style", "textarea", "title") else -2
-                    if end == -1:
-                        at = len(source)
-                        break
-                    raw_until = name
+                if not m[3].endswith("/") and name not in endless:
+                    if end := _RAW_END[name].search(source, at):
+                        at = end.end()
+                    else:  # the element ends at once, and so do all later ones of its name
+                        endless.add(name)
                 continue
             if name in VOID:
                 if name == "br":
@@ -162,7 +160,7 @@ class Page:
             for column, value in ((self.chars, 0), (self.link_chars, 0), (self.stops, 0), (self.elements, 1), (self.controls, 0)):
                 column.append(value)
             stack.append((name, len(self.tag) - 1))
-        if raw_until is None and at < len(source):
+        if at < len(source):
             text(source[at:])
 
     def features(self) -> np.ndarray:
