@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stash
+from .near_dup import components, in_blocks
 
 ship(__name__)
 #: A walk starts anew every BLOCK code points, so that texts of any length keep a bounded drift and share the vector steps.
@@ -28,6 +29,8 @@ CHUNK = 3 << 20
 #: Documents of one range of doc_id, and ranges, about.
 RANGE_ROWS, RANGES = 2000, 2000
 BANDS, BAND_SAMPLES = 24, 4
+#: Bands inside each octave of a block.
+OCTAVE_BANDS = 8
 _made: dict = {}
 
 
@@ -176,22 +179,100 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near(prints: DataFrame, least: float = 0.7) -> DataFrame:
-    """doc_id, near_id, alike: documents that share a band of sampled digits with the band's least doc_id and whose
-    fingerprints are at least so alike. prints has doc_id and fingerprint; empty ones and null ids are left out. A bucket of n
-    documents makes n - 1 pairs, to its hub."""
+def walked_alike(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+    """Between 0 and 1: the share of all steps of the walks of both texts (arrays of code points) at which both wrote the same
+    character. Both walks go on together, so nothing of them is stored. Two empty texts are alike."""
+    moves = tables()[0]
+    spans, owner, base = [], [], 0
+    for k, (a, b) in enumerate(pairs):
+        for at in range(0, max(len(a), len(b)), BLOCK):
+            low = [base + min(at, len(a)), base + len(a) + min(at, len(b))]
+            spans.append(low + [base + min(at + BLOCK, len(a)), base + len(a) + min(at + BLOCK, len(b))])
+            owner.append(k)
+        base += len(a) + len(b)
+    same, total = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+    codes = np.concatenate([*[t for pair in pairs for t in pair], np.zeros(1, np.uint32)])
+    classes = ((codes ^ (codes >> np.uint32(8))) & np.uint32(255)).astype(np.uint8)
+    ends = np.array(spans, np.int64).reshape(-1, 4).T
+    pointer, end, row = ends[:2].copy(), ends[2:], np.arange(len(owner))
+    for j in range(STEPS):
+        on = pointer < end
+        if j % 64 == 0:
+            some = on.any(axis=0)
+            pointer, end, row, on = pointer[:, some], end[:, some], row[some], on[:, some]
+            if not len(row):
+                break
+        own = codes.take(pointer)
+        same[row] += on[0] & on[1] & (own[0] == own[1])
+        total[row] += on[0] | on[1]
+        pointer = pointer + moves[j].take(classes.take(pointer)) * on
+    same, total = (np.bincount(owner, x, len(pairs)) if owner else np.zeros(len(pairs)) for x in (same, total))
+    return [float(x / y) if y else 1.0 for x, y in zip(same, total, strict=True)]
+
+
+def band_spots() -> list[list[int]]:
+    """The digits of a block that each band reads: BANDS over the first octaves together, OCTAVE_BANDS inside each octave."""
+    rng = np.random.default_rng(11)
+    spots = rng.integers(0, 160, (BANDS, BAND_SAMPLES)).tolist()
+    bounds = [0, 8, 16, 32, *range(64, len(tables()[1]) + 1, SAMPLES)]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        spots += rng.integers(low, high, (OCTAVE_BANDS, BAND_SAMPLES)).tolist()
+    return spots
+
+
+def band_keys(fingerprint: str) -> list[str]:
+    """The bands of every block. One with no digit inside the block's walk is left out: it would tell texts by length alone."""
+    spots = band_spots()
+    return [f"{k}.{b}.{own}" for k, block in enumerate(fingerprint.split(":")) for b, spot in enumerate(spots) if (own := ",".join(block[s : s + 1] for s in spot)).strip(",")]
+
+
+def near(prints: DataFrame, least: float = 0.7, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, near_id, alike: pairs of documents that share a band of sampled digits, of any octave and block, and are at least so alike.
+    prints has doc_id and fingerprint; empty ones and null ids are left out. alike compares the whole walks of the texts in
+    docs (doc_id, text), or the fingerprints alone without docs.
+
+    Each bucket is compared with its least doc_id; then all members that links have left apart are compared with each
+    other, by blocks. So any two alike documents of a bucket are a pair or joined by a chain of pairs, and n copies make about n
+    pairs; a bucket of n documents that are not alike costs n^2 comparisons."""
     known = prints.filter("doc_id is not null and fingerprint <> ''").select("doc_id", "fingerprint")
-    spots = np.random.default_rng(11).integers(0, 160, (BANDS, BAND_SAMPLES)).tolist()
-    bands = F.array(*[F.xxhash64(F.lit(k), *[F.substring("fingerprint", s + 1, 1) for s in spot]) for k, spot in enumerate(spots)])
-    banded = known.select("doc_id", F.explode(bands).alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("_high")).filter("near_id < _high").drop("_high")
-    pairs = stash(banded.join(hubs, "band").filter("doc_id <> near_id").select("doc_id", "near_id").distinct(), "edit-pairs")
-    both = pairs.join(known, "doc_id").join(known.select(F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("_other")), "near_id")
+    kind, whole = prints.schema["doc_id"].dataType.simpleString(), docs is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = pa.array([likeness(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), alike], ["doc_id", "near_id", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([band_keys(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "keys"])
 
-    kind = prints.schema["doc_id"].dataType.simpleString()
-    return both.select("doc_id", "near_id", "fingerprint", "_other").mapInArrow(run, f"doc_id {kind}, near_id {kind}, alike double").filter(F.col("alike") >= least)
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            if not whole:
+                alike = [likeness(a.as_py(), b.as_py()) for a, b in pairs]
+            else:
+                alike, some, size = [], [], 0
+                for a, b in pairs:
+                    some.append((code_points(a.as_py()), code_points(b.as_py())))
+                    size += len(some[-1][0]) + len(some[-1][1])
+                    if size >= CHUNK:
+                        alike, some, size = alike + walked_alike(some), [], 0
+                alike += walked_alike(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.float64())], ["doc_id", "near_id", "alike"])
+
+    source = known.withColumnRenamed("fingerprint", "_own") if docs is None else docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_own"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(source, "doc_id").join(source.select(F.col("doc_id").alias("near_id"), F.col("_own").alias("_other")), "near_id")
+        found = both.select("doc_id", "near_id", "_own", "_other").mapInArrow(judged, f"doc_id {kind}, near_id {kind}, alike double")
+        return stash(found.filter(F.col("alike") >= least), "edit-links")
+
+    banded = known.mapInArrow(keys, f"doc_id {kind}, keys array<string>").select("doc_id", F.explode("keys").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("_high")).filter("near_id < _high").drop("_high")
+    banded = stash(banded.join(hubs, "band").distinct(), "edit-bands")
+    links = verified(stash(banded.filter("doc_id <> near_id").select("doc_id", "near_id").distinct(), "edit-pairs"))
+    comps = components(links.select(F.col("doc_id").alias("a"), F.col("near_id").alias("b")))
+    held = banded.select(F.col("doc_id").alias("rep"), "band").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    apart = held.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("band")
+    rows = in_blocks(stash(held.join(apart, "band"), "edit-apart"), "band")
+    first = rows.filter("block = i").select("band", "i", "j", F.col("rep").alias("_a"), F.col("comp").alias("_c"))
+    second = rows.filter("block = j").select("band", "i", "j", F.col("rep").alias("_b"), "comp")
+    met = first.join(second, ["band", "i", "j"]).filter(F.col("_c") != F.col("comp")).select(F.greatest("_a", "_b").alias("doc_id"), F.least("_a", "_b").alias("near_id")).distinct()
+    tried = banded.select("doc_id", "near_id").distinct()
+    return links.unionByName(verified(stash(met.join(tried, ["doc_id", "near_id"], "left_anti"), "edit-pairs")))
