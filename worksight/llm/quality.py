@@ -146,5 +146,9 @@ def rank(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that are predicted 0. Columns stay as they are."""
-    return score(docs, train(docs, labels, sample)).filter("predicted = 1").select(*docs.columns)
+    """docs without the rows that are predicted 0; all of docs if no label is usable, since nothing was judged bad. Columns
+    stay as they are."""
+    model = train(docs, labels, sample)
+    if model.get("constant") == 0.5:  # labels of one kind make 0 or 1
+        return docs
+    return score(docs, model).filter("predicted = 1").select(*docs.columns)
