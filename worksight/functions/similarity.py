@@ -12,8 +12,9 @@ def tokens(c: Column) -> Column:
     """Words of two or more letters or digits, without the trade's stop words, and the pairs of neighbours. A null has none."""
     plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " ")
     words = F.filter(F.split(plain, r"\s+"), lambda w: (F.length(w) >= 2) & ~w.isin(*TEXT_STOPWORDS))
-    pairs = F.when(F.size(words) > 1, F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+    both = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.concat_ws(" ", x, y))
+    # one array in an array, so that the words are split once and not again for each use
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, both(w))))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -42,7 +43,10 @@ def vendor_tokens(c: Column) -> Column:
 
 def vendor_overlap(a: Column, b: Column) -> Column:
     """Whether the agencies share enough of the smaller name's tokens; null if either has none."""
-    x, y = vendor_tokens(a), vendor_tokens(b)
+    return token_overlap(vendor_tokens(a), vendor_tokens(b))
+
+
+def token_overlap(x: Column, y: Column) -> Column:
     ratio = F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))
     return F.when((F.size(x) > 0) & (F.size(y) > 0), ratio >= VENDOR_OVERLAP)
 

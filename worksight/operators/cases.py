@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import CASE_TRANSITIONS, CONCLUDING, RESOLUTION_REASONS, RESOLUTION_TYPES
+from ..tables import in_ranges, numbered
 from .reporting import case_per_work
 
 
-def open_cases(works: DataFrame, cases: DataFrame, priorities: DataFrame, first_number: int = 1001, blocks: int = 64) -> DataFrame:
+def open_cases(works: DataFrame, cases: DataFrame, priorities: DataFrame, first_number: int = 1001, ranges: int = 200) -> DataFrame:
     """A new case for each work whose latest case is absent, RESOLVED or CLOSED, with the fused priority (MEDIUM without one) and
-    the next numbers in order of (dataset_id, work_id, id). Numbers come from ranges of that order: counted, offset,
+    the next numbers in order of (dataset_id, work_id, id). Numbers come from `ranges` ranges of that order: counted, offset,
     numbered inside."""
     latest = case_per_work(cases, "latest").select(F.col("project_id").alias("id"), "case_status")
     open_ = works.join(latest, "id", "left").filter(F.col("case_status").isNull() | F.col("case_status").isin("RESOLVED", "CLOSED"))
@@ -20,13 +21,8 @@ def open_cases(works: DataFrame, cases: DataFrame, priorities: DataFrame, first_
     rows = open_.select("dataset_id", "work_id", "id").join(p, ["dataset_id", "id"], "left").withColumn("priority", F.coalesce("priority", F.lit("MEDIUM")))
     start = max(first_number, 1 + (cases.agg(F.max(F.regexp_extract("case_number", "([0-9]+)$", 1).try_cast("bigint"))).first()[0] or 0) if "case_number" in cases.columns else first_number)
     order = ["dataset_id", "work_id", "id"]
-    # the block of a row is the hash of its work's first sort columns; blocks are put in order of their place in the sort
-    rows = rows.withColumn("_block", F.concat_ws("|", "dataset_id", F.substring("work_id", 1, 4)))
-    counts = rows.groupBy("_block").count()
-    starts = counts.withColumn("_start", F.coalesce(F.sum("count").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = Window.partitionBy("_block").orderBy(*order)
-    numbered = rows.withColumn("_n", F.row_number().over(inside)).join(starts, "_block")
-    return numbered.select("dataset_id", F.col("id").alias("project_id"), F.format_string("CASE-%d", F.lit(start) + F.col("_start") + F.col("_n") - 1).alias("case_number"), F.lit("OPEN").alias("status"), "priority")
+    rows = numbered(in_ranges(rows, order, ranges, "cases-to-open"), [], order, "_n")
+    return rows.select("dataset_id", F.col("id").alias("project_id"), F.format_string("CASE-%d", F.lit(start) + F.col("_n") - 1).alias("case_number"), F.lit("OPEN").alias("status"), "priority")
 
 
 def replay_cases(events: DataFrame) -> tuple[DataFrame, DataFrame]:

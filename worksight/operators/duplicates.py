@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.similarity import combined_score, contextual_confidence, cost_similarity, haversine, time_overlap, tokens, vendor_overlap
-from ..schemas import DUPLICATE_TRIGGER, GEO_MAX_M, TEXT_TRIGGER
+from ..functions.similarity import combined_score, contextual_confidence, cost_similarity, haversine, time_overlap, token_overlap, tokens, vendor_tokens
+from ..schemas import DUPLICATE_TRIGGER, GEO_MAX_M, SCORE_WEIGHTS, TEXT_TRIGGER
+from ..tables import stash
 from .signals import evidence, make_signals
 
 #: Degrees of latitude of a grid band, a little over 2 km.
 BAND = 0.018
+#: Works of a term that one task looks at.
+PART_ROWS = 20_000
 
 
 def tfidf(works: DataFrame) -> DataFrame:
@@ -26,14 +29,12 @@ def tfidf(works: DataFrame) -> DataFrame:
 
 
 def vectors(weights: DataFrame) -> DataFrame:
-    """dataset_id, id, v: map of term to weight; prefix: the rarest terms, up to where what follows is too short to reach the
-    text threshold. Two works with that much in common share a term of both prefixes."""
-    order = F.array_sort(F.collect_list(F.struct("df", "term", "w")))
+    """dataset_id, id, terms, ws, dfs, tails: a work's terms (as 64-bit hashes) from the rarest to the most common of its dataset, their
+    weights and document frequencies, and the length of the vector from each term on."""
+    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("h"), "w")))
     rows = weights.groupBy("dataset_id", "id").agg(order.alias("t"))
-    # the terms from place k on have the squared length `left`; they can be cut once it is under the threshold's square
-    left = F.transform("t", lambda x, k: F.aggregate(F.slice("t", k + 1, F.size("t")), F.lit(0.0), lambda a, y: a + y["w"] * y["w"]))
-    prefix = F.filter(F.transform("t", lambda x, k: F.when(F.get(left, k) >= TEXT_TRIGGER * TEXT_TRIGGER - 1e-9, x["term"])), lambda x: x.isNotNull())
-    return rows.select("dataset_id", "id", F.map_from_entries(F.transform("t", lambda x: F.struct(x["term"], x["w"]))).alias("v"), prefix.alias("prefix"))
+    tails = F.transform("t", lambda x, k: F.sqrt(F.aggregate(F.slice("t", k + 1, F.size("t")), F.lit(0.0), lambda a, y: a + y["w"] * y["w"])))
+    return rows.select("dataset_id", "id", F.col("t.h").alias("terms"), F.col("t.w").alias("ws"), F.col("t.df").alias("dfs"), tails.alias("tails"))
 
 
 def geo_pairs(works: DataFrame) -> DataFrame:
@@ -53,38 +54,82 @@ def geo_pairs(works: DataFrame) -> DataFrame:
     return near.select("dataset_id", "a_id", "b_id").distinct()
 
 
-def text_pairs(works: DataFrame, vecs: DataFrame) -> DataFrame:
-    """dataset_id, a_id, b_id: works of which one at least has no place and which share a term of their prefixes."""
-    lost = works.select("dataset_id", "id", (F.col("latitude").isNull() | F.col("longitude").isNull()).alias("lost"))
-    terms = vecs.join(lost, ["dataset_id", "id"]).select("dataset_id", "id", "lost", F.explode("prefix").alias("term"))
-    a = terms.filter("lost").select("dataset_id", "term", F.col("id").alias("x"))
-    b = terms.select("dataset_id", "term", F.col("id").alias("y"))
-    pairs = a.join(b, ["dataset_id", "term"]).filter("x <> y")
-    return pairs.select("dataset_id", F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).distinct()
+def with_facts(works: DataFrame) -> DataFrame:
+    """dataset_id, id, lost (without a place) and what else of a work its pairs are judged by, as the struct f."""
+    facts = F.struct("latitude", "longitude", "sanctioned_cost", "category", F.coalesce("start_date", "sanction_date").alias("begins"), F.col("completion_date").alias("ends"), vendor_tokens(F.col("implementing_agency")).alias("vendor"))
+    return works.select("dataset_id", "id", (F.col("latitude").isNull() | F.col("longitude").isNull()).alias("lost"), facts.alias("f"))
+
+
+def likenesses(a: Column, b: Column) -> dict[str, Column]:
+    """What two works' facts say about them, but for their texts."""
+    return {
+        "location_distance_m": haversine(a["latitude"], a["longitude"], b["latitude"], b["longitude"]),
+        "cost_similarity": F.coalesce(cost_similarity(a["sanctioned_cost"], b["sanctioned_cost"]), F.lit(0.0)),
+        "category_match": F.coalesce(a["category"] == b["category"], F.lit(False)),
+        "time_overlap": time_overlap(a["begins"], a["ends"], b["begins"], b["ends"]),
+        "vendor_match": token_overlap(a["vendor"], b["vendor"]),
+    }
+
+
+def text_needed(distance_known: bool, c: dict[str, Column]) -> Column:
+    """The least text likeness with which a pair still reaches the trigger: its score less what everything else gives it. A
+    hair below, as scores are rounded; a place is taken to be the same."""
+    w = SCORE_WEIGHTS
+    rest = w["text"] + w["cost"] + w["category"] + w["time"]
+    goal = DUPLICATE_TRIGGER - 1e-4 - w["location"] if distance_known else (DUPLICATE_TRIGGER - 1e-4) * rest / (rest + w["location"])
+    given = c["cost_similarity"] * w["cost"] + F.when(c["category_match"], w["category"]).otherwise(0.0) + F.when(c["time_overlap"], w["time"]).otherwise(0.0)
+    return F.greatest(F.lit(TEXT_TRIGGER), (F.lit(goal) - given) / w["text"]) - 1e-9
+
+
+def dot(terms_a: Column, ws_a: Column, terms_b: Column, ws_b: Column) -> Column:
+    """The product of two vectors over the terms that both have."""
+    weight = lambda h: F.get(ws_b, (F.array_position(terms_b, h) - 1).cast("int"))
+    return F.aggregate(F.zip_with(terms_a, ws_a, lambda h, w: w * F.coalesce(F.when(F.array_contains(terms_b, h), weight(h)), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+
+def text_pairs(rows: DataFrame) -> DataFrame:
+    """dataset_id, a, b, _text: works of which one at least has no place and whose texts are alike enough for their score.
+
+    Two works meet at the terms that both have. The part of their likeness from a term on is at most the product of what is
+    left of both vectors there, so at the rarest term they share that product reaches what the pair needs; the common terms
+    at the ends of the vectors never meet at all. Only at their rarest common term a pair is computed, once. Works of a
+    common term are dealt over parts of PART_ROWS, each with a copy of the term's unplaced works."""
+    least = F.lit(TEXT_TRIGGER - 1e-9)
+    at = rows.select("dataset_id", "id", "lost", "f", "terms", "ws", "dfs", "tails", F.posexplode("terms").alias("k", "term")).withColumn("tail", F.get("tails", F.col("k"))).filter(F.col("tail") >= least)
+    at = at.withColumn("parts", F.ceil(F.get("dfs", F.col("k")) / PART_ROWS).cast("int")).drop("dfs", "tails")
+    pack = lambda n: F.struct("id", "lost", "f", "terms", "ws", "k", "tail").alias(n)
+    x = at.filter("lost").select("dataset_id", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), pack("x"))
+    y = at.select("dataset_id", "term", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), pack("y"))
+    a, b = F.col("x"), F.col("y")
+    met = x.join(y, ["dataset_id", "term", "part"]).filter((a["id"] != b["id"]) & (~b["lost"] | (a["id"] < b["id"])) & (a["tail"] * b["tail"] >= least))
+    met = met.filter(a["tail"] * b["tail"] >= text_needed(False, likenesses(a["f"], b["f"])))
+    met = met.filter(~F.arrays_overlap(F.slice(a["terms"], F.lit(1), a["k"]), F.slice(b["terms"], F.lit(1), b["k"])))
+    met = met.withColumn("_text", dot(a["terms"], a["ws"], b["terms"], b["ws"])).filter(F.col("_text") >= least)
+    side = lambda c: F.struct(c["id"].alias("id"), c["f"].alias("f"))
+    return met.select("dataset_id", F.when(a["id"] < b["id"], side(a)).otherwise(side(b)).alias("a"), F.when(a["id"] < b["id"], side(b)).otherwise(side(a)).alias("b"), "_text")
+
+
+def placed_pairs(rows: DataFrame) -> DataFrame:
+    """dataset_id, a, b, _text: the same of the pairs of located works at most 2 km apart."""
+    pack = lambda n: F.struct("id", "f", "terms", "ws").alias(n)
+    side = lambda n: rows.select("dataset_id", F.col("id").alias(f"{n}_id"), pack(n))
+    both = geo_pairs(rows.select("dataset_id", "id", "f.latitude", "f.longitude")).join(side("a"), ["dataset_id", "a_id"]).join(side("b"), ["dataset_id", "b_id"])
+    a, b = F.col("a"), F.col("b")
+    both = both.filter(text_needed(True, likenesses(a["f"], b["f"])) <= 1).withColumn("_text", dot(a["terms"], a["ws"], b["terms"], b["ws"])).filter(F.col("_text") >= TEXT_TRIGGER - 1e-9)
+    return both.select("dataset_id", *[F.struct(c["id"].alias("id"), c["f"].alias("f")).alias(n) for n, c in (("a", a), ("b", b))], "_text")
 
 
 def duplicate_pairs(works: DataFrame) -> DataFrame:
     """The candidate pairs (a_id < b_id) with their likenesses: text cosine 0.25 at least, at most 2 km apart if both are
     located, combined score 0.60 at least. Texts without terms pair with nothing."""
-    vecs = vectors(tfidf(works))
-    pairs = geo_pairs(works).unionByName(text_pairs(works, vecs))
-    dot = lambda x, y: F.aggregate(F.map_entries(x), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(y, e["key"]), F.lit(0.0)))
-    facts = works.select("dataset_id", "id", "latitude", "longitude", "sanctioned_cost", "category", F.coalesce("start_date", "sanction_date").alias("begins"), F.col("completion_date").alias("ends"), "implementing_agency").join(vecs.select("dataset_id", "id", "v"), ["dataset_id", "id"])
-    side = lambda s: facts.select("dataset_id", F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{c}_{s}") for c in facts.columns if c not in ("dataset_id", "id")])
-    both = pairs.join(side("a"), ["dataset_id", "a_id"]).withColumnRenamed("v_a", "va").join(side("b"), ["dataset_id", "b_id"])
-    both = both.withColumn("_text", dot(F.col("va"), F.col("v_b"))).filter(F.col("_text") >= TEXT_TRIGGER)
-    c: dict[str, Column] = {
-        "location_distance_m": haversine(*(F.col(x) for x in ("latitude_a", "longitude_a", "latitude_b", "longitude_b"))),
-        "cost_similarity": F.coalesce(cost_similarity(F.col("sanctioned_cost_a"), F.col("sanctioned_cost_b")), F.lit(0.0)),
-        "category_match": F.coalesce(F.col("category_a") == F.col("category_b"), F.lit(False)),
-        "time_overlap": time_overlap(F.col("begins_a"), F.col("ends_a"), F.col("begins_b"), F.col("ends_b")),
-        "vendor_match": vendor_overlap(F.col("implementing_agency_a"), F.col("implementing_agency_b")),
-    }
-    both = both.select("dataset_id", "a_id", "b_id", "_text", *[v.alias(k) for k, v in c.items()])
+    rows = stash(with_facts(works).join(vectors(tfidf(works)), ["dataset_id", "id"]), "duplicate-vectors")
+    both = stash(text_pairs(rows).unionByName(placed_pairs(rows)), "duplicate-candidates").filter(F.col("_text") >= TEXT_TRIGGER)
+    c = likenesses(F.col("a.f"), F.col("b.f"))
+    both = both.select("dataset_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "_text", *[v.alias(k) for k, v in c.items()])
     both = both.withColumn("combined_score", combined_score(F.col("_text"), *(F.col(k) for k in ("location_distance_m", "cost_similarity", "category_match", "time_overlap")))).filter(F.col("combined_score") >= DUPLICATE_TRIGGER)
     context = contextual_confidence(*(F.col(k) for k in ("location_distance_m", "vendor_match", "cost_similarity", "category_match", "time_overlap")))
     return both.withColumn("_c", context).select(
-        "dataset_id", "a_id", "b_id", F.round("_text", 4).alias("text_similarity"), F.round("location_distance_m", 2).alias("location_distance_m"), F.round("cost_similarity", 4).alias("cost_similarity"),
+        "dataset_id", "a_id", "b_id", F.round("_text", 4).alias("text_similarity"), F.round("location_distance_m", 1).alias("location_distance_m"), F.round("cost_similarity", 4).alias("cost_similarity"),
         "category_match", "time_overlap", "vendor_match", F.col("_c.band").alias("contextual_confidence"), F.col("_c.score").alias("confidence_score"), F.col("_c.reasons").alias("reasons"), "combined_score",
     )
 

@@ -1,13 +1,18 @@
-"""Statistical outliers: features, median imputation, and an isolation forest (Liu, Ting, Zhou 2008) fitted on a bounded sample."""
+"""Statistical outliers: features, median imputation, and an isolation forest (Liu, Ting, Zhou 2008) fitted on a bounded sample.
+
+Every draw of the forest is a hash: of the id for the order in which rows enter trees, of tree and node for features and cuts.
+So a forest depends on its dataset alone, not on partitions or a generator's state, and SQL can grow the same one."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import ANOMALY_HIGH, ANOMALY_TRIGGER
 from ..tasks import ship
@@ -17,8 +22,8 @@ ship(__name__)
 
 FEATURES = ("cost_ratio", "gap", "delay", "expenditure_ratio", "duplicate_score")
 TREES, SAMPLE, SEED, OFFSET, MIN_ROWS = 200, 256, 26102, -0.5, 10
-#: Rows of each dataset that the trees draw from, at most about.
-POOL = 4 * TREES * SAMPLE
+#: Rows of each dataset that enter trees, at most.
+POOL = TREES * SAMPLE
 
 
 def features(works: DataFrame, metrics: DataFrame, peers: DataFrame, scores: DataFrame) -> DataFrame:
@@ -43,34 +48,41 @@ def _path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """A tree as (feature, cut, left, right) or (-1, depth + expected rest, 0, 0): random cuts of random columns that vary."""
+def draw(*key) -> float:
+    """A number in [0, 1) that depends on the key alone: the first 52 bits of the MD5 of its parts, joined by `:`."""
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def grow(x: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """A tree as (feature, cut, left, right) or (-1, depth + expected rest, 0, 0): cuts drawn for columns drawn among those that
+    vary. The draws of a node hash its place in the tree: the root is 1, the children of k are 2 k and 2 k + 1."""
     limit, nodes = int(np.ceil(np.log2(max(2, len(x))))), []
 
-    def node(rows: np.ndarray, depth: int) -> int:
+    def node(rows: np.ndarray, depth: int, place: int) -> int:
         at = len(nodes)
         nodes.append(None)
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(x.shape[1]),) * 2
         varying = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or not len(varying):
             nodes[at] = (-1, depth + float(_path(len(rows))), 0, 0)
             return at
-        f = int(rng.choice(varying))
-        cut = float(rng.uniform(low[f], high[f]))
+        f = int(varying[int(draw(seed, tree, place, "f") * len(varying))])
+        cut = float(low[f] + draw(seed, tree, place, "c") * (high[f] - low[f]))
         left = x[rows, f] < cut
-        nodes[at] = (f, cut, node(rows[left], depth + 1), node(rows[~left], depth + 1))
+        nodes[at] = (f, cut, node(rows[left], depth + 1, 2 * place), node(rows[~left], depth + 1, 2 * place + 1))
         return at
 
-    node(np.arange(len(x)), 0)
+    node(np.arange(len(x)), 0, 1)
     return nodes
 
 
 def fit(pool: np.ndarray, seed: int = SEED, trees: int = TREES) -> dict | None:
-    """None for fewer than MIN_ROWS rows."""
+    """The forest of rows in the order in which they enter trees: each tree takes the next SAMPLE of them, around the end to the
+    start. None for fewer than MIN_ROWS rows."""
     if len(pool) < MIN_ROWS:
         return None
-    rng, size = np.random.default_rng(seed), min(SAMPLE, len(pool))
-    grown = [np.array(grow(pool[rng.choice(len(pool), size, replace=False)], rng), float) for _ in range(trees)]
+    size = min(SAMPLE, len(pool))
+    grown = [np.array(grow(pool[(t * SAMPLE + np.arange(size)) % len(pool)], seed, t), float) for t in range(trees)]
     return {"trees": grown, "norm": float(_path(size))}
 
 
@@ -91,28 +103,29 @@ def decide(model: dict, x: np.ndarray) -> np.ndarray:
 def iforest_scores(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """dataset_id, project_id, ml_anomaly_score (4 places) of imputed rows; datasets under MIN_ROWS rows have no scores.
 
-    A dataset's pool is the share of its rows with the least hashes of id: it doesn't depend on partitions, holds all
-    rows of a small dataset, and is bounded for a large one. Forests are fitted one dataset a task and joined to its rows."""
-    counts = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n"))
-    unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    pool = rows.join(counts, "dataset_id").filter(unit * F.col("_n") < POOL).select("dataset_id", "id", *FEATURES)
-
+    A dataset's rows enter trees in order of the hash of their id: all of a small dataset, POOL of a large one. Each tree is
+    grown in a group of its own, of SAMPLE rows at most; a forest (3 MB at most a dataset) goes to all tasks that score."""
+    counts = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_ROWS)
+    digest = F.md5(F.col("id").cast("binary"))
+    unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    # twice as many by the hash as are needed, then exactly those by rank
+    entering = rows.join(F.broadcast(counts), "dataset_id").filter(unit * F.col("_n") < 2 * POOL).withColumn("_at", F.row_number().over(Window.partitionBy("dataset_id").orderBy(digest, "id")) - 1)
+    places = F.transform(F.sequence(F.lit(0), F.lit(POOL - 1)), lambda k: F.when(k % SAMPLE < F.col("_n"), F.struct(F.floor(k / SAMPLE).cast("int").alias("tree"), (k % F.col("_n")).cast("int").alias("_at"))))
+    dealt = counts.select("dataset_id", F.explode(F.array_compact(places)).alias("_p")).select("dataset_id", "_p.*")
     names = list(FEATURES)
+    pool = dealt.join(entering, ["dataset_id", "_at"]).select("dataset_id", "tree", "_at", *names)
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
-        model = fit(group.sort_values("id")[names].to_numpy(float), seed)
-        if model is None:
-            return pd.DataFrame(columns=["dataset_id", "sizes", "nodes", "norm"], dtype=object)
-        return pd.DataFrame({"dataset_id": [group["dataset_id"].iloc[0]], "sizes": [[len(t) for t in model["trees"]]], "nodes": [np.concatenate(model["trees"]).ravel().tolist()], "norm": [model["norm"]]})
-
-    models = pool.groupBy("dataset_id").applyInPandas(train, "dataset_id string, sizes array<int>, nodes array<double>, norm double")
-    models = {r["dataset_id"]: r for r in models.collect()}  # a forest a dataset
-
-    def unpack(r) -> dict:
-        flat, ends = np.array(r["nodes"]).reshape(-1, 4), np.cumsum(r["sizes"])
-        return {"trees": [flat[e - s : e] for s, e in zip(r["sizes"], ends, strict=True)], "norm": r["norm"]}
-
-    forests = rows.sparkSession.sparkContext.broadcast({k: unpack(r) for k, r in models.items()})
+        tree = int(group["tree"].iloc[0])
+        nodes = np.array(grow(group.sort_values("_at")[names].to_numpy(float), seed, tree), float)
+        return pd.DataFrame({"dataset_id": [group["dataset_id"].iloc[0]], "tree": [tree], "size": [len(group)], "nodes": [nodes.ravel().tolist()]})
+
+    grown = pool.groupBy("dataset_id", "tree").applyInPandas(train, "dataset_id string, tree int, size int, nodes array<double>")
+    models: dict = {}
+    for r in sorted(grown.collect(), key=lambda r: (r["dataset_id"], r["tree"])):  # TREES rows a dataset
+        model = models.setdefault(r["dataset_id"], {"trees": [], "norm": float(_path(r["size"]))})
+        model["trees"].append(np.array(r["nodes"]).reshape(-1, 4))
+    forests = rows.sparkSession.sparkContext.broadcast(models)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

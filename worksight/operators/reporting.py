@@ -110,21 +110,22 @@ def in_scope(works: DataFrame, role: str, value: str | None) -> DataFrame:
 
 def stakeholder_summary(works: DataFrame, signals: DataFrame, cases: DataFrame, role: str, value: str | None = None) -> DataFrame:
     """measure, key, n: works by status, triggered signals by type and severity, cases by status, open and all. An MP's cases
-    are those of the whole country; other roles count the cases of their works."""
+    are those of the whole country; other roles count the cases of their works. Signals belong to a work of their dataset; a
+    case names a work, and its dataset if cases have that column."""
     own = in_scope(works, role, value)
-    ids = own.select(F.col("id").alias("project_id"))
-    seen = signals.filter("triggered").join(ids, "project_id", "left_semi")
-    held = cases if role == "MP" else cases.join(ids, "project_id", "left_semi")
+    ids = own.select("dataset_id", F.col("id").alias("project_id"))
+    seen = signals.filter("triggered").join(ids, ["dataset_id", "project_id"], "left_semi")
+    held = cases if role == "MP" else cases.join(ids, [c for c in ("dataset_id", "project_id") if c in cases.columns], "left_semi")
     count = lambda df, name, key: df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "key", "n")
     totals = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("status").isin("RESOLVED", "CLOSED")).alias("open")).select(F.lit("cases").alias("measure"), F.explode(F.create_map(F.lit("all"), "all", F.lit("open"), "open")).alias("key", "n"))
     return count(own, "works", "status").unionByName(count(seen, "signals", "signal_type")).unionByName(count(seen, "severity", "severity")).unionByName(count(held, "case_status", "status")).unionByName(totals)
 
 
 def headlines(works: DataFrame, signals: DataFrame, member: str | None, k: int = 10) -> DataFrame:
-    """A member's gravest signals: CRITICAL before HIGH, then work and title."""
-    own = in_scope(works, "MP", member).select(F.col("id").alias("project_id"), "work_id", "district")
-    hot = signals.filter(F.col("triggered") & F.col("severity").isin("HIGH", "CRITICAL")).join(own, "project_id")
-    return hot.orderBy(rank_of(F.col("severity"), PRIORITY_ORDER, 9), "work_id", "title").limit(k).select("work_id", "district", "signal_type", "severity", "title")
+    """A member's gravest signals: CRITICAL before HIGH, then by work, type and title."""
+    own = in_scope(works, "MP", member).select("dataset_id", F.col("id").alias("project_id"), "work_id", "district")
+    hot = signals.filter(F.col("triggered") & F.col("severity").isin("HIGH", "CRITICAL")).join(own, ["dataset_id", "project_id"])
+    return hot.orderBy(rank_of(F.col("severity"), PRIORITY_ORDER, 9), "work_id", "signal_type", "title").limit(k).select("work_id", "district", "signal_type", "severity", "title")
 
 
 def district_attention(works: DataFrame, signals: DataFrame, k: int = 8) -> DataFrame:
@@ -149,7 +150,7 @@ def alert_digest(signals: DataFrame, cases: DataFrame, role: str, cutoff: str, n
     on those, in that order."""
     floor = SEVERITY_RANK[DIGEST_FLOOR.get(role, "CRITICAL")]
     since = F.lit(cutoff).cast("timestamp")
-    s = signals.filter(F.col("triggered") & (F.col("created_at") > since)).orderBy(F.desc("created_at"), "project_id", "signal_type", "title").limit(n_signals)
+    s = signals.filter(F.col("triggered") & (F.col("created_at") > since)).orderBy(F.desc("created_at"), "project_id", "signal_type", rank_of(F.col("severity"), PRIORITY_ORDER, 9), "title").limit(n_signals)
     c = cases.filter(F.col("updated_at") > since).orderBy(F.desc("updated_at"), "case_id").limit(n_cases)
     rows = s.select(F.lit("signal").alias("kind"), F.col("project_id").alias("ref"), F.col("signal_type").alias("label"), "severity", F.col("created_at").alias("at")).unionByName(
         c.select(F.lit("case").alias("kind"), F.col("case_id").alias("ref"), F.col("status").alias("label"), F.col("priority").alias("severity"), F.col("updated_at").alias("at"))

@@ -26,18 +26,43 @@ def deterministic_signals(works: DataFrame, today: str, pairs: DataFrame | None
     return rule_signals(works, today).unionByName(duplicates.duplicate_signals(pairs))
 
 
+def counted(df: DataFrame, measure: str, key: str | None = None) -> DataFrame:
+    """dataset_id, measure, key, n: rows of a stage, for each value of key if there is one."""
+    by = ["dataset_id", *([F.col(key).alias("key")] if key else [])]
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return out.select("dataset_id", F.lit(measure).alias("measure"), F.col("key") if key else F.lit("all").alias("key"), "n")
+
+
 def run_detection(works: DataFrame, today: str, with_forest: bool = True) -> dict[str, DataFrame]:
-    """metrics, peers, pairs, signals, priorities, summary: a run is a pure function of the works and the date."""
+    """metrics, peers, pairs, scores, signals, priorities, summary: a run is a pure function of the works and the date. Pairs,
+    scores and signals are written once, as more than one stage reads them."""
     pairs = stash(duplicates.duplicate_pairs(works), "detection-pairs")
     metrics, peers = detect.work_metrics(works, today), detect.peer_stats(works)
     signals = deterministic_signals(works, today, pairs)
     out = {"metrics": metrics, "peers": peers, "pairs": pairs}
     if with_forest:
-        out["scores"] = forest.iforest_scores(forest.impute(forest.features(works, metrics, peers, duplicates.duplicate_score(pairs))))
+        out["scores"] = stash(forest.iforest_scores(forest.impute(forest.features(works, metrics, peers, duplicates.duplicate_score(pairs)))), "detection-scores")
         signals = signals.unionByName(forest.ml_signals(out["scores"]))
-    out["signals"] = signals
+    out["signals"] = signals = stash(signals, "detection-signals")
     out["priorities"] = fusion.fuse(signals)
-    stages = signals.groupBy("dataset_id", F.col("signal_type").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("measure", F.lit("signals"))
-    levels = out["priorities"].groupBy("dataset_id", F.col("level").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("measure", F.lit("priorities"))
-    out["summary"] = stages.unionByName(levels).withColumn("model_version", F.lit("iforest-v1")).withColumn("ruleset_version", F.lit("rules-v1"))
+    stages = [
+        counted(detect.quality_issues(works), "quality_issues"), counted(metrics, "metrics"), counted(detect.peer_groups(works), "peer_groups"), counted(pairs, "duplicate_pairs"),
+        counted(signals, "signals", "signal_type"), counted(out["priorities"], "priorities", "level"),
+    ]
+    if with_forest:
+        stages.append(counted(out["scores"], "scores"))
+    out["summary"] = reduce(DataFrame.unionByName, stages).withColumn("model_version", F.lit("iforest-v1")).withColumn("ruleset_version", F.lit("rules-v1"))
     return out
+
+
+def run_record(works: DataFrame, today: str, run=run_detection) -> DataFrame:
+    """A row for each dataset of a run: dataset_id, status (COMPLETED or FAILED), error (2000 characters of it at most), summary (a
+    map from measure:key to count; null if it failed). A failure is recorded, not raised."""
+    datasets = works.select("dataset_id").distinct()
+    try:
+        summary = stash(run(works, today)["summary"], "detection-summary")
+    except Exception as failure:  # whatever stops a run is its record
+        return datasets.select("dataset_id", F.lit("FAILED").alias("status"), F.lit(str(failure)[:2000]).alias("error"), F.lit(None).cast("map<string,bigint>").alias("summary"))
+    entries = F.sort_array(F.collect_list(F.struct(F.concat_ws(":", "measure", "key").alias("k"), "n")))
+    per = summary.groupBy("dataset_id").agg(F.map_from_entries(entries).alias("summary"))
+    return datasets.join(per, "dataset_id", "left").select("dataset_id", F.lit("COMPLETED").alias("status"), F.lit(None).cast("string").alias("error"), "summary")

@@ -11,17 +11,26 @@ from . import bench_views as views
 from .bench_views import TODAY
 from .operators import audit, cases, detect, duplicates, evaluate, forest, fusion, imports, reporting, signals
 from .plans import detection
-from .schemas import CASE_TRANSITIONS
-from .tables import stash
+from .schemas import ANOMALY_HIGH, ANOMALY_TRIGGER, CASE_TRANSITIONS
+from .tables import kept
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
     return views.works(spark, d)
 
 
+def _run(spark, d) -> dict[str, DataFrame]:
+    """pairs, scores and signals of the detection run over the tables of d: run once an application, read by all reports."""
+    def make() -> dict[str, DataFrame]:
+        run = detection.run_detection(works(spark, d), TODAY)
+        return {k: run[k] for k in ("pairs", "scores", "signals")}
+
+    return kept(spark, ("detection", d), [f"{d}/{t}.parquet" for t in views.TABLES] if d else [], make)
+
+
 def _signals(spark, d) -> DataFrame:
-    """All signals of a detection run, duplicates and outliers included, as one table: queries read them more than once."""
-    return stash(detection.run_detection(works(spark, d), TODAY)["signals"], "signals")
+    """All signals of the detection run, duplicates and outliers included."""
+    return _run(spark, d)["signals"]
 
 
 def _brief(found: DataFrame) -> DataFrame:
@@ -48,7 +57,7 @@ def _pairs(spark, d) -> DataFrame:
 
 def _features(spark, d) -> DataFrame:
     w = works(spark, d)
-    return forest.impute(forest.features(w, detect.work_metrics(w, TODAY), detect.peer_stats(w), duplicates.duplicate_score(duplicates.duplicate_pairs(w))))
+    return forest.impute(forest.features(w, detect.work_metrics(w, TODAY), detect.peer_stats(w), duplicates.duplicate_score(_run(spark, d)["pairs"])))
 
 
 def _found(spark, d) -> DataFrame:
@@ -66,11 +75,12 @@ def _chain(spark, d) -> DataFrame:
 
 
 def _broken(spark, d) -> DataFrame:
-    """Hashes of the events without their predecessors' (each links to the chain's fixed start): true where seq is 1, so chains
-    longer than that break at the second link; some chains have a changed hash or a gap before that."""
-    own = _chain(spark, d).withColumn("prev_hash", F.lit(audit.GENESIS)).withColumn("entry_hash", audit.entry_hash())
-    changed = F.col("chain_id").endswith("7") & (F.col("seq") == 1)
-    return own.withColumn("entry_hash", F.when(changed, F.lit("0")).otherwise(F.col("entry_hash"))).filter(~(F.col("chain_id").endswith("5") & (F.col("seq") == 2)))
+    """The built chains, of which some have a changed first hash, a gap after the first event or a changed action in the third."""
+    own = audit.build_chain(_chain(spark, d))
+    ends = F.col("chain_id").endswith
+    own = own.withColumn("entry_hash", F.when(ends("7") & (F.col("seq") == 1), F.lit("0")).otherwise(F.col("entry_hash")))
+    own = own.withColumn("action", F.when(ends("3") & (F.col("seq") == 3), F.lit("NONE")).otherwise(F.col("action")))
+    return own.filter(~(ends("5") & (F.col("seq") == 2)))
 
 
 def _patterns(spark) -> DataFrame:
@@ -108,21 +118,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "issue_summary": lambda s, d: imports.issue_summary(imports.validate_works(_raw(s, d))),
         "validate_allocation": lambda s, d: imports.validate_allocation(imports.normalize_allocation(views.view(s, d, views.RAW_ALLOCATION))).select("dataset_id", "row_number", "field", "rule", "severity"),
         "validate_aggregate": lambda s, d: imports.validate_aggregate(imports.normalize_aggregate(views.view(s, d, views.RAW_AGGREGATE))).select("dataset_id", "row_number", "field", "rule", "severity"),
-        "duplicate_pairs": lambda s, d: _pairs(s, d).select("dataset_id", "a_id", "b_id", "text_similarity", F.round("location_distance_m", 0).alias("location_distance_m"), "category_match", "time_overlap", "vendor_match", "contextual_confidence", "combined_score"),
-        "duplicate_score": lambda s, d: duplicates.duplicate_score(_pairs(s, d)).withColumn("duplicate_score", F.round("duplicate_score", 3)),
+        "duplicate_pairs": lambda s, d: _pairs(s, d).select("dataset_id", "a_id", "b_id", "text_similarity", "location_distance_m", "category_match", "time_overlap", "vendor_match", "contextual_confidence", "combined_score"),
+        "duplicate_score": lambda s, d: duplicates.duplicate_score(_run(s, d)["pairs"]),
+        "duplicate_signals": lambda s, d: _signals(s, d).filter("signal_type = 'DUPLICATE'").select("dataset_id", "project_id", F.element_at("observed", "other_id").alias("other_id"), "severity", "contextual_confidence", F.size("evidence").alias("evidence_rows")),
         "ml_features": lambda s, d: _features(s, d).select("dataset_id", "id", *[F.round(c, 3).alias(c) for c in forest.FEATURES]),
         "iforest_scores": lambda s, d: forest.iforest_scores(_features(s, d)),
-        "ml_signals": lambda s, d: _brief(forest.ml_signals(forest.iforest_scores(_features(s, d)))),
+        "ml_signals": lambda s, d: _brief(forest.ml_signals(_run(s, d)["scores"])),
         "signal_counts": lambda s, d: _signals(s, d).groupBy("dataset_id", "signal_type", "severity").agg(F.count(F.lit(1)).alias("n")),
         "evidence_rows": lambda s, d: signals.evidence_rows(_signals(s, d)).groupBy("signal_type").agg(F.count(F.lit(1)).alias("evidence_rows")),
-        "priorities": lambda s, d: fusion.fuse(_signals(s, d)).select("dataset_id", "project_id", "score", "level", "signal_count"),
-        "detection_run": lambda s, d: detection.run_detection(works(s, d), TODAY)["summary"],
+        "priorities": lambda s, d: fusion.fuse(_signals(s, d)).select("dataset_id", "project_id", "score", "level", "signal_count", "convergence_bonus", F.array_join("engines", ",").alias("engines")),
+        "queue_entry": lambda s, d: evaluate.enters_queue(fusion.fuse(_signals(s, d))).select("dataset_id", "project_id", "level", "enters_queue"),
+        "detection_run": lambda s, d: detection.run_record(works(s, d), TODAY).select("dataset_id", "status", "error", F.explode("summary").alias("measure", "n")),
         "queue_top": lambda s, d: reporting.queue(_summary(s, d))[0].select("work_id", "id", "district", "level", "score", "signal_count", "case_status"),
         "queue_search": lambda s, d: reporting.queue(_summary(s, d), sort="cost", size=50, search="temple", level="critical")[0].select("id", "level", "sanctioned_cost"),
         "dashboard": lambda s, d: (lambda found: reporting.dashboard(_summary(s, d, found), found))(_signals(s, d)),
         "district_rollup": lambda s, d: reporting.district_rollup(_summary(s, d)),
         "work_timeline": lambda s, d: reporting.work_timeline(works(s, d)),
-        "work_detail": lambda s, d: (lambda w: reporting.work_detail(w, _signals(s, d), detect.work_metrics(w, TODAY), detect.peer_stats(w), duplicates.duplicate_pairs(w)).select("dataset_id", "id", "delay_days", "peer_count", F.size("signals").alias("n_signals"), "why_flagged"))(works(s, d)),
+        "work_detail": lambda s, d: (lambda w: reporting.work_detail(w, _signals(s, d), detect.work_metrics(w, TODAY), detect.peer_stats(w), _run(s, d)["pairs"]).select("dataset_id", "id", "delay_days", "peer_count", F.coalesce(F.size("signals"), F.lit(0)).alias("n_signals"), F.array_join(F.transform("signals", lambda x: x["signal_type"]), ",").alias("signals"), F.array_join("related", ",").alias("related"), F.col("why_flagged").isNotNull().alias("flagged")))(works(s, d)),
         "case_per_work": lambda s, d: reporting.case_per_work(views.view(s, d, views.CASES)),
         "stakeholder_summary": lambda s, d: reporting.stakeholder_summary(works(s, d), _signals(s, d), views.view(s, d, views.CASES), "DISTRICT_AUTHORITY", "NATION_1"),
         "headlines": lambda s, d: reporting.headlines(works(s, d), _signals(s, d), "MP 7").select("work_id", "signal_type", "severity"),
@@ -132,12 +144,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trends": lambda s, d: _text(_trends(s, d)),
         "open_cases": lambda s, d: cases.open_cases(works(s, d), views.view(s, d, views.CASES), fusion.fuse(_signals(s, d))),
         "case_replay": lambda s, d: cases.replay_cases(views.view(s, d, views.CASE_EVENTS))[1],
-        "case_state": lambda s, d: _text(cases.case_state(views.view(s, d, views.CASE_EVENTS)).drop("closed_at")),
-        "verify_chain": lambda s, d: audit.verify_chain(_broken(s, d)).drop("chain_tip"),
+        "case_state": lambda s, d: cases.case_state(views.view(s, d, views.CASE_EVENTS)).withColumn("closed_at", F.date_format("closed_at", "yyyy-MM-dd HH:mm:ss")),
+        "verify_chain": lambda s, d: audit.verify_chain(_broken(s, d)),
         "build_chain": lambda s, d: audit.verify_chain(audit.build_chain(_chain(s, d))),
         "case_manifest": lambda s, d: audit.manifest(_text(views.view(s, d, views.CASE_EVENTS)).select("case_id", F.lit("case_event").alias("kind"), F.col("seq").alias("item_id"), "to_status", "resolution_type")).select("case_id", F.size("items").alias("n_items"), "root"),
         "confusion": lambda s, d: evaluate.by_scenario(_found(s, d)),
         "confusion_by_type": lambda s, d: evaluate.by_type(_found(s, d)),
+        "false_positives": lambda s, d: evaluate.errors(_found(s, d), "fp"),
+        "false_negatives": lambda s, d: evaluate.errors(_found(s, d), "fn"),
         "pattern_check": lambda s, d: evaluate.patterns(_patterns(s), works(s, d), _signals(s, d)),
     }
 
@@ -175,7 +189,7 @@ compliance AS (
   SELECT dataset_id, id, kind, arg_min(code, k) AS code, arg_min(term, k) AS term, arg_min(severity, k) AS severity
   FROM texts JOIN terms USING (kind) WHERE regexp_matches(t, '\\b' || term || '\\b') GROUP BY ALL)"""
 _AGENCY = """
-av AS (SELECT dataset_id, district, id, sanctioned_cost AS c, trim(coalesce(implementing_agency, '')) AS agency FROM works WHERE sanctioned_cost > 0),
+av AS MATERIALIZED (SELECT dataset_id, district, id, sanctioned_cost AS c, trim(coalesce(implementing_agency, '')) AS agency FROM works WHERE sanctioned_cost > 0),
 ag AS (SELECT dataset_id, district, agency, sum(c) AS agency_total, count(*) AS agency_works FROM av WHERE agency <> '' GROUP BY ALL),
 di AS (SELECT dataset_id, district, sum(c) AS district_total, count(*) AS district_works FROM av GROUP BY ALL),
 shares AS (SELECT ag.*, district_total, district_works, agency_total::DOUBLE / district_total::DOUBLE * 100 AS share_pct FROM ag JOIN di USING (dataset_id, district)),
@@ -197,15 +211,63 @@ quality AS (
   UNION ALL SELECT dataset_id, id, 'missing_mandatory', 'expected_duration_days', 'LOW' FROM works WHERE expected_duration_days IS NULL
   UNION ALL SELECT dataset_id, id, 'duplicate_work_id', 'work_id', 'HIGH' FROM again
   UNION ALL SELECT dataset_id, id, 'invalid_numeric', 'sanctioned_cost', 'MEDIUM' FROM works WHERE sanctioned_cost < 0)"""
+_FEATURES = """
+f AS (
+  SELECT w.dataset_id, w.id, CASE WHEN peer_median_cost <> 0 THEN round(sanctioned_cost::DOUBLE / peer_median_cost::DOUBLE, 6) END AS cost_ratio, financial_physical_gap::DOUBLE AS gap, delay_days::DOUBLE AS delay,
+    expenditure_ratio::DOUBLE AS expenditure_ratio, s::DOUBLE AS duplicate_score FROM works w LEFT JOIN metrics m ON m.dataset_id = w.dataset_id AND m.project_id = w.id
+    LEFT JOIN peers p ON p.dataset_id = w.dataset_id AND p.project_id = w.id LEFT JOIN dup d ON d.dataset_id = w.dataset_id AND d.project_id = w.id),
+imputed AS (SELECT dataset_id, id, """ + ", ".join(f"coalesce({c}, median({c}) OVER (PARTITION BY dataset_id), 0) AS {c}" for c in forest.FEATURES) + " FROM f)"
+
+
+def _forest() -> str:
+    """Isolation forests level by level: sampled rows go down with the drawn cuts (rN), nodes are what their rows make them (nN),
+    then all rows go down the finished trees (pN)."""
+    drawn = lambda key: f"(('0x' || substr(md5('{forest.SEED}:' || tree || ':' || node || ':{key}'), 1, 13))::BIGINT / {float(1 << 52)}::DOUBLE)"
+    rest = lambda n: f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} WHEN {n} = 2 THEN 1 ELSE 0 END"
+    each = range(1, len(forest.FEATURES) + 1)
+    parts = [f"""
+pool AS MATERIALIZED (SELECT dataset_id, id, [{", ".join(forest.FEATURES)}] AS v, count(*) OVER (PARTITION BY dataset_id) AS n, row_number() OVER (PARTITION BY dataset_id ORDER BY md5(id), id) - 1 AS at FROM imputed),
+r0 AS MATERIALIZED (
+  SELECT d.dataset_id, tree, 1::BIGINT AS node, v FROM (SELECT DISTINCT dataset_id, n FROM pool WHERE n >= {forest.MIN_ROWS}) d, range({forest.TREES}) t(tree), range({forest.SAMPLE}) k(k), pool p
+  WHERE k < d.n AND p.dataset_id = d.dataset_id AND p.at = (tree * {forest.SAMPLE} + k) % d.n)"""]
+    levels = 8  # the depth for SAMPLE rows
+    for k in range(levels):
+        parts.append(f"""
+n{k} AS MATERIALIZED (
+  SELECT *, lo[feature] + {drawn("c")} * (hi[feature] - lo[feature]) AS cut FROM (
+    SELECT *, CASE WHEN c > 1 AND len(vary) > 0 THEN vary[1 + floor({drawn("f")} * len(vary))::INT] END AS feature FROM (
+      SELECT *, list_filter({list(each)}, lambda i: hi[i] > lo[i]) AS vary FROM (
+        SELECT dataset_id, tree, node, count(*) AS c, [{", ".join(f"min(v[{i}])" for i in each)}] AS lo, [{", ".join(f"max(v[{i}])" for i in each)}] AS hi FROM r{k} GROUP BY ALL)))),
+r{k + 1} AS MATERIALIZED (SELECT r.dataset_id, r.tree, 2 * r.node + CASE WHEN v[feature] < cut THEN 0 ELSE 1 END AS node, v FROM r{k} r JOIN n{k} USING (dataset_id, tree, node) WHERE feature IS NOT NULL)""")
+    nodes = [f"SELECT dataset_id, tree, node, feature, cut, {k} + {rest('c')} AS leaf FROM n{k}" for k in range(levels)]
+    nodes.append(f"SELECT dataset_id, tree, node, NULL, NULL, {levels} + {rest('c')} FROM (SELECT dataset_id, tree, node, count(*) AS c FROM r{levels} GROUP BY ALL)")
+    parts.append("\nnodes AS MATERIALIZED (" + "\n  UNION ALL ".join(nodes) + ")")
+    parts.append(f"\np0 AS (SELECT dataset_id, id, v, tree, 1::BIGINT AS node FROM pool, range({forest.TREES}) t(tree))")
+    for k in range(levels):
+        parts.append(f"\np{k + 1} AS (SELECT p.dataset_id, p.id, p.v, p.tree, CASE WHEN feature IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN v[feature] < cut THEN 0 ELSE 1 END END AS node FROM p{k} p JOIN nodes USING (dataset_id, tree, node))")
+    parts.append(f"""
+outliers AS MATERIALIZED (
+  SELECT dataset_id, id AS project_id, round({-forest.OFFSET} - pow(2, -d / {forest.TREES} / ({rest("least(n, " + str(forest.SAMPLE) + ")")})), 4) AS ml_anomaly_score
+  FROM (SELECT p.dataset_id, p.id, sum(leaf) AS d FROM p{levels} p JOIN nodes USING (dataset_id, tree, node) GROUP BY ALL) JOIN pool USING (dataset_id, id)),
+ml_s AS (SELECT dataset_id, project_id, 'ML_ANOMALY' AS signal_type, CASE WHEN ml_anomaly_score <= {ANOMALY_HIGH} THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM outliers WHERE ml_anomaly_score < {ANOMALY_TRIGGER})""")
+    return ",".join(parts)
+
+
 _SIGNALS = """
-signals AS (
-  SELECT *, 'RULE' AS src FROM cost_s UNION ALL SELECT *, 'RULE' FROM gap_s UNION ALL SELECT *, 'RULE' FROM delay_s UNION ALL SELECT *, 'RULE' FROM agency_s
-  UNION ALL SELECT dataset_id, id, 'COMPLIANCE', severity, 'RULE' FROM compliance UNION ALL SELECT dataset_id, id, 'DATA_QUALITY', severity, 'DATA_QUALITY' FROM quality),
+dup_s AS MATERIALIZED (
+  SELECT dataset_id, unnest([a_id, b_id]) AS project_id, unnest([b_id, a_id]) AS other_id, 'DUPLICATE' AS signal_type, CASE band WHEN 'high' THEN 'HIGH' WHEN 'medium' THEN 'MEDIUM' ELSE 'LOW' END AS severity, band FROM pairs),
+signals AS MATERIALIZED (
+  SELECT *, 'RULE' AS src, NULL AS band FROM cost_s UNION ALL SELECT *, 'RULE', NULL FROM gap_s UNION ALL SELECT *, 'RULE', NULL FROM delay_s UNION ALL SELECT *, 'RULE', NULL FROM agency_s
+  UNION ALL SELECT dataset_id, id, 'COMPLIANCE', severity, 'RULE', NULL FROM compliance UNION ALL SELECT dataset_id, id, 'DATA_QUALITY', severity, 'DATA_QUALITY', NULL FROM quality
+  UNION ALL SELECT dataset_id, project_id, signal_type, severity, 'NLP', band FROM dup_s UNION ALL SELECT *, 'ML', NULL FROM ml_s),
 prio AS (
   SELECT dataset_id, project_id, sum(round(
-      CASE signal_type WHEN 'FIN_PHYS_GAP' THEN 3.0 WHEN 'COST_ANOMALY' THEN 3.0 WHEN 'COMPLIANCE' THEN 3.5 WHEN 'DELAY' THEN 2.0 WHEN 'AGENCY_CONCENTRATION' THEN 1.5 ELSE 1.0 END
-      * CASE severity WHEN 'LOW' THEN 0.5 WHEN 'MEDIUM' THEN 1.0 WHEN 'HIGH' THEN 1.5 ELSE 2.0 END, 2))::DECIMAL(12,2) AS score, count(*) AS signal_count FROM signals GROUP BY ALL),
-priorities AS (SELECT *, CASE WHEN score < 2 THEN 'LOW' WHEN score < 4.5 THEN 'MEDIUM' WHEN score < 7 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM prio)"""
+      CASE signal_type WHEN 'FIN_PHYS_GAP' THEN 3.0 WHEN 'COST_ANOMALY' THEN 3.0 WHEN 'COMPLIANCE' THEN 3.5 WHEN 'DUPLICATE' THEN 2.5 WHEN 'DELAY' THEN 2.0 WHEN 'AGENCY_CONCENTRATION' THEN 1.5 WHEN 'ML_ANOMALY' THEN 1.5 ELSE 1.0 END
+      * CASE severity WHEN 'LOW' THEN 0.5 WHEN 'MEDIUM' THEN 1.0 WHEN 'HIGH' THEN 1.5 ELSE 2.0 END * CASE WHEN band IN ('low', 'unavailable') THEN 0.6 ELSE 1.0 END, 2))::DECIMAL(12,2) AS own, count(*) AS signal_count,
+    list_sort(list(DISTINCT src) FILTER (src <> 'DATA_QUALITY')) AS engines FROM signals GROUP BY ALL),
+bonus AS (SELECT *, CASE WHEN len(engines) >= 3 THEN 3 WHEN len(engines) = 2 THEN 1.5 ELSE 0 END::DECIMAL(4,2) AS convergence_bonus FROM prio),
+scored_works AS (SELECT *, (own + convergence_bonus)::DECIMAL(12,2) AS score FROM bonus),
+priorities AS MATERIALIZED (SELECT *, CASE WHEN score < 2 THEN 'LOW' WHEN score < 4.5 THEN 'MEDIUM' WHEN score < 7 THEN 'HIGH' ELSE 'CRITICAL' END AS level FROM scored_works)"""
 _CASE1 = """first_case AS (SELECT project_id, arg_min(status, (opened_at, case_id)) AS case_status FROM cases GROUP BY project_id)"""
 _SUMMARY = """
 summary AS (
@@ -267,6 +329,10 @@ scored AS (
 pairs AS (
   SELECT *, CASE WHEN m IS NULL AND vm IS NULL THEN 'unavailable' WHEN m > 50 OR NOT vm THEN 'low' WHEN m <= 50 AND vm THEN 'high' ELSE 'medium' END AS band FROM scored WHERE score >= 0.6),
 dup AS (SELECT dataset_id, project_id, max(score) AS s FROM (SELECT dataset_id, a_id AS project_id, score FROM pairs UNION ALL SELECT dataset_id, b_id, score FROM pairs) GROUP BY ALL)"""
+_CHAIN = """c AS (
+  SELECT chain_id, n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || chain_id || '","entity_type":"case","payload":{"n":' || own || '},"prev_hash":"' || repeat('0', 64) || '","seq":1}') AS hash FROM e WHERE n = 1
+  UNION ALL SELECT e.chain_id, e.n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || e.chain_id || '","entity_type":"case","payload":{"n":' || own || '},"prev_hash":"' || hash || '","seq":' || e.n || '}')
+  FROM c JOIN e ON e.chain_id = c.chain_id AND e.n = c.n + 1)"""
 _FOUND = """
 truth AS ({truth}),
 kinds AS (SELECT dataset_id, project_id AS id, list(DISTINCT signal_type) AS kinds FROM signals WHERE signal_type <> 'DATA_QUALITY' GROUP BY ALL),
@@ -280,22 +346,19 @@ _RATES = """round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp
 def _with(*parts: str) -> str:
     """WITH works AS (...), and the parts."""
     views_ = {"raw_works": views.RAW_WORKS, "cases": views.CASES, "events_": views.CASE_EVENTS}
-    heads = [f"works AS ({views.sql(views.WORKS)})"]
+    heads = [f"works AS MATERIALIZED ({views.sql(views.WORKS)})"]
     heads += [f"{n} AS ({views.sql(t).replace('FROM (' + views.sql(views.WORKS) + ') w', 'FROM works w')})" for n, t in views_.items() if any(n in p for p in parts)]
     return "WITH " + ",\n".join([*heads, *[p.strip() for p in parts[:-1]]]) + "\n" + parts[-1]
 
 
 def oracle_sql() -> dict[str, str]:
-    rules = (_METRICS, _PEERS, _RULES, _COMPLIANCE, _AGENCY, _QUALITY, _SIGNALS)
+    outliers = _forest()
+    rules = (_METRICS, _PEERS, _RULES, _COMPLIANCE, _AGENCY, _QUALITY, _TOKENS, _FEATURES, outliers, _SIGNALS)
     brief = "SELECT dataset_id, project_id, signal_type, severity FROM "
     rank = "CASE level WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 9 END"
     srank = "CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
     found = _FOUND.format(truth=views.sql(views.TRUTH))
     counts = "count(*) FILTER (injected AND flagged) AS tp, count(*) FILTER (NOT injected AND flagged) AS fp, count(*) FILTER (NOT injected AND NOT flagged) AS tn, count(*) FILTER (injected AND NOT flagged) AS fn"
-    feats = """
-      f AS (SELECT w.dataset_id, w.id, CASE WHEN peer_median_cost <> 0 THEN round(sanctioned_cost::DOUBLE / peer_median_cost::DOUBLE, 6) END AS cost_ratio, financial_physical_gap::DOUBLE AS gap, delay_days::DOUBLE AS delay,
-        expenditure_ratio::DOUBLE AS expenditure_ratio, s::DOUBLE AS duplicate_score FROM works w LEFT JOIN metrics m ON m.dataset_id = w.dataset_id AND m.project_id = w.id
-        LEFT JOIN peers p ON p.dataset_id = w.dataset_id AND p.project_id = w.id LEFT JOIN dup d ON d.dataset_id = w.dataset_id AND d.project_id = w.id)"""
     return {
         "work_metrics": _with(_METRICS, "SELECT * FROM metrics"),
         "peer_groups": _with("SELECT dataset_id, district, coalesce(category, 'Uncategorised') AS peer_category, count(*) AS members FROM works WHERE sanctioned_cost IS NOT NULL GROUP BY ALL HAVING count(*) >= 6"),
@@ -327,12 +390,30 @@ def oracle_sql() -> dict[str, str]:
             SELECT dataset_id, source_row_number AS row_number, 'works_completed' AS field, 'invalid_count' AS rule, 'ERROR' AS severity FROM raw WHERE works_completed::INT < 0
             UNION ALL SELECT dataset_id, source_row_number, 'works_completed', 'aggregate_consistency_issue', 'WARNING' FROM raw WHERE works_completed::INT > works_sanctioned::INT
             UNION ALL SELECT dataset_id, source_row_number, 'allocated_limit', 'invalid_amount', 'ERROR' FROM raw WHERE replace(allocated_limit, ' Crore', '')::DECIMAL(14,2) < 0""",
-        "duplicate_pairs": _with(_TOKENS, "SELECT dataset_id, a_id, b_id, round(t, 4) AS text_similarity, round(m, 0) AS location_distance_m, cm AS category_match, ov AS time_overlap, vm AS vendor_match, band AS contextual_confidence, score AS combined_score FROM pairs"),
-        "duplicate_score": _with(_TOKENS, "SELECT dataset_id, project_id, round(s, 3) AS duplicate_score FROM dup"),
-        "ml_features": _with(_METRICS, _PEERS, _TOKENS, feats, "SELECT dataset_id, id, " + ", ".join(f"round(coalesce({c}, median({c}) OVER (PARTITION BY dataset_id), 0), 3) AS {c}" for c in forest.FEATURES) + " FROM f"),
+        "duplicate_pairs": _with(_TOKENS, "SELECT dataset_id, a_id, b_id, round(t, 4) AS text_similarity, round(m, 1) AS location_distance_m, cm AS category_match, ov AS time_overlap, vm AS vendor_match, band AS contextual_confidence, score AS combined_score FROM pairs"),
+        "duplicate_score": _with(_TOKENS, "SELECT dataset_id, project_id, s AS duplicate_score FROM dup"),
+        "ml_features": _with(_METRICS, _PEERS, _TOKENS, _FEATURES, "SELECT dataset_id, id, " + ", ".join(f"round({c}, 3) AS {c}" for c in forest.FEATURES) + " FROM imputed"),
+        "iforest_scores": _with(_METRICS, _PEERS, _TOKENS, _FEATURES, outliers, "SELECT dataset_id, project_id, ml_anomaly_score FROM outliers"),
+        "ml_signals": _with(_METRICS, _PEERS, _TOKENS, _FEATURES, outliers, brief + "ml_s"),
+        "duplicate_signals": _with(*rules, "SELECT dataset_id, project_id, other_id, severity, band AS contextual_confidence, 5 AS evidence_rows FROM dup_s"),
         "signal_counts": _with(*rules, "SELECT dataset_id, signal_type, severity, count(*) AS n FROM signals GROUP BY ALL"),
-        "evidence_rows": _with(*rules, "SELECT signal_type, count(*) AS evidence_rows FROM signals GROUP BY ALL"),
-        "priorities": _with(*rules, "SELECT dataset_id, project_id, score, level, signal_count FROM priorities"),
+        "evidence_rows": _with(*rules, "SELECT signal_type, sum(CASE signal_type WHEN 'DUPLICATE' THEN 5 ELSE 1 END)::BIGINT AS evidence_rows FROM signals GROUP BY ALL"),
+        "priorities": _with(*rules, "SELECT dataset_id, project_id, score, level, signal_count, convergence_bonus, coalesce(array_to_string(engines, ','), '') AS engines FROM priorities"),
+        "queue_entry": _with(*rules, "SELECT dataset_id, project_id, level, level <> 'LOW' AS enters_queue FROM priorities"),
+        "detection_run": _with(*rules, """counts AS (
+            SELECT dataset_id, 'quality_issues:all' AS measure, count(*) AS n FROM quality GROUP BY ALL UNION ALL SELECT dataset_id, 'metrics:all', count(*) FROM metrics GROUP BY ALL
+            UNION ALL SELECT dataset_id, 'peer_groups:all', count(*) FROM (SELECT dataset_id FROM works WHERE sanctioned_cost IS NOT NULL GROUP BY dataset_id, district, coalesce(category, 'Uncategorised') HAVING count(*) >= 6) GROUP BY ALL
+            UNION ALL SELECT dataset_id, 'duplicate_pairs:all', count(*) FROM pairs GROUP BY ALL UNION ALL SELECT dataset_id, 'scores:all', count(*) FROM outliers GROUP BY ALL
+            UNION ALL SELECT dataset_id, 'signals:' || signal_type, count(*) FROM signals GROUP BY ALL UNION ALL SELECT dataset_id, 'priorities:' || level, count(*) FROM priorities GROUP BY ALL)""",
+            "SELECT dataset_id, 'COMPLETED' AS status, NULL::VARCHAR AS error, measure, n FROM counts"),
+        "work_detail": _with(*rules, """sig AS (SELECT dataset_id, project_id, count(*) AS n, string_agg(signal_type, ',' ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, signal_type) AS kinds FROM signals GROUP BY ALL),
+            rel AS (SELECT dataset_id, project_id, string_agg(DISTINCT other_id, ',' ORDER BY other_id) AS related FROM dup_s GROUP BY ALL)""",
+            "SELECT w.dataset_id, w.id, delay_days, peer_count, coalesce(s.n, 0)::INT AS n_signals, kinds AS signals, related, s.n IS NOT NULL AS flagged FROM works w LEFT JOIN metrics m ON m.dataset_id = w.dataset_id AND m.project_id = w.id LEFT JOIN peers p ON p.dataset_id = w.dataset_id AND p.project_id = w.id LEFT JOIN sig s ON s.dataset_id = w.dataset_id AND s.project_id = w.id LEFT JOIN rel r ON r.dataset_id = w.dataset_id AND r.project_id = w.id"),
+        "headlines": _with(*rules, "SELECT work_id, signal_type, severity FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id WHERE mp_name = 'MP 7' AND severity IN ('HIGH', 'CRITICAL') ORDER BY severity, work_id, signal_type LIMIT 10"),
+        "alert_digest": _with(*rules, """s AS (SELECT s.*, sanction_date::TIMESTAMP AS happened FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id WHERE sanction_date > DATE '2001-01-01'
+              ORDER BY happened DESC, project_id, signal_type, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END LIMIT 25),
+            c AS (SELECT * FROM cases WHERE updated_at > TIMESTAMP '2001-01-01' ORDER BY updated_at DESC, case_id LIMIT 15)""",
+            "SELECT 'signal' AS kind, project_id AS ref, signal_type AS label, severity, strftime(happened, '%Y-%m-%d %H:%M:%S') AS at FROM s WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'case', case_id, status, priority, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM c WHERE priority IN ('HIGH', 'CRITICAL') -- cases"),
         "queue_top": _with(*rules, _CASE1, _SUMMARY, f"SELECT work_id, id, district, level, score, signal_count, case_status FROM summary ORDER BY {rank}, score DESC NULLS LAST, work_id, id LIMIT 20 -- cases"),
         "queue_search": _with(*rules, _CASE1, _SUMMARY, "SELECT id, level, sanctioned_cost FROM summary WHERE level = 'CRITICAL' AND contains(lower(concat_ws(' ', work_id, description, district, implementing_agency)), 'temple') ORDER BY sanctioned_cost DESC, work_id, id LIMIT 50 -- cases"),
         "dashboard": _with(*rules, _CASE1, _SUMMARY, "SELECT count(*) AS works, sum(sanctioned_cost) AS value, " + ", ".join(f"count(*) FILTER (level = '{x.upper()}') AS {x}" for x in ("critical", "high", "medium", "low")) + ", count(*) FILTER (case_status NOT IN ('RESOLVED', 'CLOSED')) AS open_cases, " + ", ".join(f"(SELECT count(DISTINCT (dataset_id, project_id)) FROM signals WHERE signal_type = '{k}') AS {n}" for k, n in (("DELAY", "delayed_works"), ("DUPLICATE", "duplicate_works"), ("DATA_QUALITY", "quality_works"))) + " FROM summary -- cases"),
@@ -346,7 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "trends": f"""WITH raw AS ({views.sql(views.RAW_AGGREGATE)}), a AS (SELECT dataset_id, house, sum(works_recommended::BIGINT) AS r, sum(works_sanctioned::BIGINT) AS s, sum(works_completed::BIGINT) AS c FROM raw GROUP BY ALL)
             SELECT dataset_id, CASE WHEN dataset_id = 'AG0' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS ingested_at, house, nullif(r, 0)::BIGINT AS works_recommended, nullif(s, 0)::BIGINT AS works_sanctioned, nullif(c, 0)::BIGINT AS works_completed, round(nullif(c, 0) / nullif(s, 0), 4) AS completion_ratio FROM a""",
         "open_cases": _with(*rules, "latest AS (SELECT project_id, arg_max(status, (opened_at, case_id)) AS st FROM cases GROUP BY project_id), o AS (SELECT w.dataset_id, w.id, w.work_id FROM works w LEFT JOIN latest l ON l.project_id = w.id WHERE st IS NULL OR st IN ('RESOLVED', 'CLOSED'))",
-            "SELECT o.dataset_id, id AS project_id, 'CASE-' || (1000 + row_number() OVER (ORDER BY o.dataset_id, substr(work_id, 1, 4), work_id, id)) AS case_number, 'OPEN' AS status, coalesce(level, 'MEDIUM') AS priority FROM o LEFT JOIN priorities p ON p.dataset_id = o.dataset_id AND p.project_id = o.id -- cases"),
+            "SELECT o.dataset_id, id AS project_id, 'CASE-' || (1000 + row_number() OVER (ORDER BY o.dataset_id, work_id, id)) AS case_number, 'OPEN' AS status, coalesce(level, 'MEDIUM') AS priority FROM o LEFT JOIN priorities p ON p.dataset_id = o.dataset_id AND p.project_id = o.id -- cases"),
         "case_replay": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), l AS (SELECT *, coalesce(lag(to_status) OVER (PARTITION BY case_id ORDER BY ts, seq), 'OPEN') AS f FROM e), ok AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, to in CASE_TRANSITIONS.items() for b in to)}) AS t(f, to_status))
             SELECT case_id, seq, 'transition_not_allowed' AS violation FROM l WHERE to_status <> f AND (f, to_status) NOT IN (SELECT (f, to_status) FROM ok)
             UNION ALL SELECT case_id, seq, 'resolution_type_required' FROM l WHERE to_status <> f AND to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED') AND resolution_type IS NULL
@@ -354,10 +435,21 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT case_id, seq, 'closing_needs_reason' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND resolution_reason IS NULL
             UNION ALL SELECT case_id, seq, 'closing_needs_text' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND coalesce(resolution_summary, '') = ''
             UNION ALL SELECT case_id, seq, 'unknown_resolution_type' FROM l WHERE resolution_type = 'NONSENSE'""",
-        "case_state": f"WITH e AS ({views.sql(views.CASE_EVENTS)}) SELECT case_id, arg_max(to_status, (ts, seq)) AS status, arg_max(resolution_type, (ts, seq)) FILTER (resolution_type IS NOT NULL) AS resolution_type, arg_max(resolution_reason, (ts, seq)) FILTER (resolution_reason IS NOT NULL) AS resolution_reason, arg_max(resolution_summary, (ts, seq)) FILTER (resolution_summary IS NOT NULL) AS resolution_summary FROM e GROUP BY case_id",
-        "verify_chain": f"""WITH e AS (SELECT case_id AS chain_id, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), c AS (SELECT chain_id, count(*) AS n FROM e GROUP BY ALL)
-            SELECT chain_id, n = 1 AND chain_id NOT LIKE '%7' AS valid, CASE WHEN chain_id LIKE '%7' THEN 1 WHEN n > 2 OR (n = 2 AND chain_id NOT LIKE '%5') THEN 2 END AS broken_at_seq,
-              CASE WHEN chain_id LIKE '%7' THEN 'entry_hash_mismatch' WHEN n > 2 AND chain_id LIKE '%5' THEN 'sequence_gap' WHEN n > 1 AND chain_id NOT LIKE '%5' THEN 'prev_hash_mismatch' END AS reason, CASE WHEN chain_id LIKE '%7' THEN 0 ELSE 1 END AS events_checked FROM c""",
+        "case_state": f"WITH e AS ({views.sql(views.CASE_EVENTS)}) SELECT case_id, arg_max(to_status, (ts, seq)) AS status, arg_max(resolution_type, (ts, seq)) FILTER (resolution_type IS NOT NULL) AS resolution_type, arg_max(resolution_reason, (ts, seq)) FILTER (resolution_reason IS NOT NULL) AS resolution_reason, arg_max(resolution_summary, (ts, seq)) FILTER (resolution_summary IS NOT NULL) AS resolution_summary, CASE WHEN arg_max(to_status, (ts, seq)) FILTER (to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED', 'UNDER_REVIEW')) <> 'UNDER_REVIEW' THEN strftime(arg_max(ts, (ts, seq)) FILTER (to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED', 'UNDER_REVIEW')), '%Y-%m-%d %H:%M:%S') END AS closed_at FROM e GROUP BY case_id",
+        "verify_chain": f"""WITH RECURSIVE e AS (SELECT case_id AS chain_id, seq AS own, to_status AS action, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), {_CHAIN},
+            t AS (SELECT chain_id, max(n) AS n, arg_max(hash, n) AS tip FROM c GROUP BY ALL),
+            b AS (SELECT *, CASE WHEN chain_id LIKE '%7' THEN 1 WHEN chain_id LIKE '%5' AND n > 2 THEN 2 WHEN chain_id LIKE '%3' AND n > 2 THEN 3 END AS broken_at_seq FROM t)
+            SELECT chain_id, broken_at_seq IS NULL AS valid, broken_at_seq, CASE broken_at_seq WHEN 1 THEN 'entry_hash_mismatch' WHEN 2 THEN 'sequence_gap' WHEN 3 THEN 'entry_hash_mismatch' END AS reason,
+              coalesce(broken_at_seq - 1, CASE WHEN chain_id LIKE '%5' THEN 1 ELSE n END) AS events_checked, CASE WHEN broken_at_seq IS NULL THEN CASE WHEN chain_id LIKE '%5' AND n = 2 THEN (SELECT hash FROM c WHERE c.chain_id = b.chain_id AND c.n = 1) ELSE tip END END AS chain_tip FROM b""",
+        "build_chain": f"""WITH RECURSIVE e AS (SELECT case_id AS chain_id, seq AS own, to_status AS action, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), {_CHAIN}
+            SELECT chain_id, true AS valid, NULL::BIGINT AS broken_at_seq, NULL::VARCHAR AS reason, max(n) AS events_checked, arg_max(hash, n) AS chain_tip FROM c GROUP BY chain_id""",
+        "case_manifest": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), h AS (SELECT case_id, seq, sha256('{{"item_id":' || seq || ',"kind":"case_event"' || CASE WHEN resolution_type IS NULL THEN '' ELSE ',"resolution_type":"' || resolution_type || '"' END || ',"to_status":"' || to_status || '"}}') AS hash FROM e)
+            SELECT case_id, count(*)::INT AS n_items, sha256('[' || string_agg('{{"kind":"case_event","item_id":"' || seq || '","hash":"' || hash || '"}}', ',' ORDER BY seq::VARCHAR) || ']') AS root FROM h GROUP BY case_id""",
+        "pattern_check": _with(*rules, """pat AS (SELECT * FROM (VALUES ('P1', 'FIN_PHYS_GAP', ['W-3', 'W-9']), ('P2', 'COST_ANOMALY', ['W-4']), ('P3', 'COMPLIANCE', ['W-41']), ('P4', 'DELAY', []::VARCHAR[]), ('P5', 'AGENCY_CONCENTRATION', ['W-none'])) AS x(pattern_id, expected, ids)),
+            seen AS (SELECT pattern_id, expected, len(ids) AS n, s.signal_type FROM pat LEFT JOIN works w ON list_contains(ids, work_id) LEFT JOIN signals s ON s.dataset_id = w.dataset_id AND s.project_id = w.id AND s.signal_type <> 'DATA_QUALITY')""",
+            "SELECT pattern_id, CASE WHEN any_value(n) = 0 THEN 'NOT_VALIDATABLE' WHEN count(*) FILTER (signal_type = expected) > 0 THEN 'FLAGGED' WHEN count(signal_type) > 0 THEN 'PARTIAL' ELSE 'MISSED' END AS result FROM seen GROUP BY pattern_id"),
+        "false_positives": _with(*rules, found, "SELECT dataset_id, id, anomaly_type FROM found WHERE NOT injected AND flagged"),
+        "false_negatives": _with(*rules, found, "SELECT dataset_id, id, anomaly_type FROM found WHERE injected AND NOT flagged"),
         "confusion": _with(*rules, found, f"c AS (SELECT dataset_id, {counts} FROM found GROUP BY ROLLUP (dataset_id))", f"SELECT dataset_id, tp, fp, tn, fn, {_RATES} FROM c"),
         "confusion_by_type": _with(*rules, found, "cl AS (SELECT count(*) FILTER (flagged) AS fp, count(*) FILTER (NOT flagged) AS tn FROM found WHERE NOT injected), pt AS (SELECT anomaly_type, count(*) FILTER (flagged) AS tp, count(*) FILTER (NOT flagged) AS fn, count(*) FILTER (hit) AS detector_hits FROM found WHERE injected GROUP BY ALL)", f"SELECT anomaly_type, tp, fn, detector_hits, fp, tn, {_RATES} FROM pt CROSS JOIN cl"),
     }

@@ -4,22 +4,72 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_kept: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where there are no other machines, a
+    session that names none gets a temporary one; on a cluster that is an error, as each machine would write to its own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors."""
+    """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors. The table goes
+    when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, key: tuple, inputs: list[str], make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The stashed tables that make() returns, made once an application for a key and the state (time and length) of its input
+    files. What was lost from the shared folder is made again."""
+    state = []
+    for path in inputs:
+        fs, where = _file_system(spark, path)
+        status = fs.getFileStatus(where)
+        state.append((path, status.getModificationTime(), status.getLen()))
+    full = (spark.sparkContext.applicationId, *key, *state)
+    found = _kept.get(full)
+    if found and all(_file_system(spark, p)[0].exists(_file_system(spark, p)[1]) for p, _ in found.values()):
+        return {k: spark.read.schema(schema).parquet(p) for k, (p, schema) in found.items()}
+    made = make()
+    files = {k: df.inputFiles() for k, df in made.items()}
+    if all(files.values()):
+        _kept[full] = {k: (files[k][0].rsplit("/", 1)[0], df.schema) for k, df in made.items()}
+    return made
+
+
+def in_ranges(df: DataFrame, order: list[Column | str], parts: int, name: str) -> DataFrame:
+    """df with _block, as a table: the rows in `parts` ranges of the order, numbered in that order. Equal rows share a range."""
+    return stash(df.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id()), name)
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column | str], to: str) -> DataFrame:
+    """df (with _block) with `to`: 1, 2, ... within each value of `by`, by block and then by order. Blocks are counted first and
+    offset by the sums before them, so that no task sees more than one block of a value."""
+    keys = [*by, "_block"]
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", inside).join(starts, keys).withColumn(to, (F.col("_start") + F.col("_rank")).cast("long")).drop("_rank", "_start")
