@@ -38,21 +38,57 @@ def test_a_group_above_a_shard_is_cut(spark):
     assert len(sizes) == 8 and max(sizes.values()) < 75
 
 
+def plain_packing(sizes, capacity):
+    """Best-fit-decreasing item by item: the contents of the bins, as sorted sizes."""
+    free, bins = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(f, b) for b, f in enumerate(free) if f >= size]
+        if fits:
+            b = min(fits)[1]
+            free[b] -= size
+        else:
+            b = len(free)
+            free.append(capacity - size)
+            bins.append([])
+        bins[b].append(size)
+    return sorted(sorted(b) for b in bins)
+
+
 def test_best_fit_decreasing_equals_a_plain_one():
     rng = random.Random(3)
-    for _ in range(40):
-        sizes = [(rng.randint(1, 60), k) for k in range(rng.randint(1, 80))]
-        free, want = [], {}
-        for size, item in sorted(sizes, key=lambda x: (-x[0], x[1])):
-            fits = [(f, b) for b, f in enumerate(free) if f >= size]
-            if fits:
-                f, b = min(fits)
-                free[b] -= size
-            else:
-                b = len(free)
-                free.append(100 - size)
-            want[item] = b
-        assert sharding.best_fit_decreasing(sizes, 100) == want
+    for _ in range(60):
+        sizes = [rng.randint(1, rng.choice([9, 60, 130])) for _ in range(rng.randint(1, 80))]
+        bins: dict = {}
+        for size, first, end, b in sharding.best_fit_decreasing(dict(Counter(sizes)), 100):
+            bins.setdefault(b, []).extend([size] * (end - first))
+        assert sorted(sorted(b) for b in bins.values()) == plain_packing(sizes, 100)
+
+
+def test_shards_of_a_capacity_equal_a_plain_packing(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 30, 90]))), None) for i in range(900)] + [(2000 + i, "y" * 9, None) for i in range(120)] + [(3000, "z" * 500, None)]
+    got = sharding.shard(docs(spark, rows), shards=None, capacity=256).collect()
+    texts, groups, held, sizes = {i: t for i, t, _ in rows}, Counter(), {}, Counter()
+    for t in texts.values():
+        groups[t] += len(t) + 1
+    for r in got:
+        held.setdefault(texts[r.doc_id], set()).add(r.shard)
+        sizes[r.shard] += r["size"]
+    items = []
+    for t, size in groups.items():
+        items += [size] if size <= 256 else [len(t) + 1] * (size // (len(t) + 1))
+        assert size > 256 or len(held[t]) == 1
+    assert sorted(sizes.values()) == sorted(sum(b) for b in plain_packing(items, 256))
+    assert sorted(got, key=lambda r: r.doc_id) and sum(v > 256 for v in sizes.values()) == 1 and len(got) == len(rows)
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_many_small_groups_stay_within_the_capacity(spark):
+    small = spark.range(200_000).select(F.col("id").alias("doc_id"), F.substring(F.conv("id", 10, 36), 1, 6).alias("text"))
+    got = sharding.shard(small, shards=None, capacity=2048).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("top"), F.count("slot").alias("n"))
+    total, least, most, bins, good = got.agg(F.sum("b"), F.min("b"), F.max("b"), F.count("b"), F.bool_and(F.col("top") == F.col("n") - 1)).first()
+    assert most <= 2048 and bins == -(-total // 2048) and good
 
 
 def test_mix_meets_targets(spark):
@@ -158,6 +194,17 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_in_very_long_texts(spark):
+    rng = random.Random(9)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(20_000)]
+    run = "".join(rng.choice(secrets.ALPHABET) for _ in range(100_000))
+    texts = {1: "a-1-" * 100_000 + "Zq9", 2: " ".join(hexes), 3: run, 4: "z1" * 100_000, 5: "-".join(hexes)}
+    got = {r.doc_id: r for r in secrets.scan(docs(spark, [(i, t, None) for i, t in texts.items()])).select("doc_id", F.size("base").alias("base"), secrets.written(F.col("spans")).alias("spans")).collect()}
+    assert got[2].base == len(hexes) and got[2].spans.startswith("hex:0:24,hex:25:49") and got[2].spans.endswith(f"hex:{25 * len(hexes) - 25}:{25 * len(hexes) - 1}")
+    assert got[1].spans == f"entropy:0:{len(texts[1])}" or got[1].spans == ""  # most of its windows are of four characters
+    assert got[3].spans == f"entropy:0:{len(run)}" and got[4].spans == "" and got[5].base == len(hexes)
+
+
 def test_entropy_windows(spark):
     rng = random.Random(7)
     values = ["".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randint(20, 50))) for _ in range(30)] + ["ab" * 15]
@@ -184,5 +231,54 @@ def test_urls(spark):
     assert urls.judge(df).count() == len(rows) and urls.judge(df.limit(0)).count() == 0
 
 
+def plain_judgement(rows):
+    """Scores of the urls, by counts in plain Python; fitted on three of four of the judged ones, cut by the others."""
+    def grams(u):
+        t = "\x02" * 4 + re.sub("[^\x21-\x7E]", "~", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in u or "")) + "\x03"
+        return [t[k : k + 5] for k in range(len(t) - 4)]
+
+    counts = {"allow": Counter(), "block": Counter()}
+    apart = lambda u: int(hashlib.md5((u or "").encode()).hexdigest()[:4], 16) % 4 == 0
+    for u, by in rows:
+        if by and not apart(u):
+            for g in grams(u):
+                for k in range(5):
+                    counts[by][g[4 - k :]] += 1
+                    counts[by][g[4 - k : 4] + "\x00"] += 1  # uses of the context
+
+    def p(side, g):
+        out = 1 / 97
+        for k in range(5):
+            out = (counts[side][g[4 - k :]] + 4 * out) / (counts[side][g[4 - k : 4] + "\x00"] + 4)
+        return out
+
+    return {u: sum(round((math.log(p("allow", g)) - math.log(p("block", g))) * 1e6) for g in grams(u)) / len(grams(u)) / 1e6 for u, _ in rows}
+
+
+def test_url_scores_equal_plain_counts_with_either_join(spark, monkeypatch):
+    rng = random.Random(8)
+    urls_ = [f"https://{rng.choice('abc')}{rng.randint(1, 30)}.{rng.choice(['org', 'com/de', 'com/fr', 'net'])}/{rng.choice(['news', 'spam', 'É'])}{rng.randint(1, 9)}" for _ in range(300)] + [None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, url string")
+    first = {r.url: r for r in urls.judge(df).collect()}
+    want = plain_judgement([(u, first[u].verdict if first[u].rule else None) for u in urls_])
+    assert all(abs(first[u].score - w) < 2e-6 for u, w in want.items())
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(urls, "HEAVY", 200)
+    assert {r.url: r for r in urls.judge(df).collect()} == first
+    assert {r.url for r in urls.keep(df).collect()} == {u for u, r in first.items() if r.verdict == "allow"}
+
+
+def test_findings_beyond_a_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choice("abcdefg") + str(rng.randint(0, 9)) for _ in range(14))) for k in range(20)]
+    rows = [(i, "x y " + items[i % 25][1] + " z" if i % 25 < 20 else "clean text", None) for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.report(docs(spark, rows), bench).collect())
+    want = plain()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2000)
+    assert plain() == want and sum(w[2] > 0 for w in want) == 80
+    assert decontaminate.remove_documents(docs(spark, rows), bench).count() == 20
+
+
 def test_queries_have_contract_columns():
     assert len(queries.queries()) == 10 and hashlib.sha256(b"").hexdigest().startswith("e3b0")

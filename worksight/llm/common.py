@@ -8,25 +8,17 @@ from pyspark.sql import functions as F
 from ..tables import shared_dir, stash  # noqa: F401
 from ..tasks import ship  # noqa: F401
 
-#: Lookup tables up to this many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Lookup tables up to this many bytes are broadcast; a broadcast row takes some ten times its text in memory.
+BROADCAST_BYTES = 24 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def unstash(df: DataFrame) -> None:
-    """Deletes a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def lookup(df: DataFrame, rows: int) -> DataFrame:
-    """df as the small side of a join: broadcast if its counted rows are few, else left to a shuffle join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def lookup(df: DataFrame, size: int) -> DataFrame:
+    """df as the small side of a join: broadcast if its `size` (bytes, as counted) is within BROADCAST_BYTES, else left to a shuffle join."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def az_lower(c: Column) -> Column:

@@ -9,6 +9,7 @@ set of steps, dense at the start and thinner from octave to octave.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ BLOCK = 8192
 STEPS, SAMPLES = 3 * BLOCK, 32
 #: Code points of own and edited texts that are walked at once.
 CHUNK = 3 << 20
-#: Documents of one range of doc_id, and ranges, about.
-RANGE_ROWS, RANGES = 2000, 2000
+#: Documents of one range of doc_id at least; of n, a range holds sqrt(n) where that is more.
+RANGE_ROWS = 2000
 BANDS, BAND_SAMPLES = 24, 4
 #: Bands inside each octave of a block.
 OCTAVE_BANDS = 8
@@ -118,18 +119,24 @@ def edited(own: str, after: str) -> str:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """_range, _tail, doc_id, text in ranges of doc_id: each range is followed by the first document of the next
-    (_tail 1), the last by the first of all. Texts are shuffled once; only range bounds come to the driver."""
+    (_tail 1), the last by the first of all. Texts are shuffled once; only the ids at which ranges begin come to the driver,
+    at most the square root of their number. A row finds its range in two steps, among every so-manieth begin and those after it."""
     ids = docs.select(F.col("doc_id").cast("long").alias("_id"))
     n = ids.count()
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    shares = [k / ranges for k in range(1, ranges)]
-    row = ids.agg(F.min("_id").alias("low"), *([F.percentile_approx("_id", shares, 100_000).alias("cuts")] if shares else [])).first()
-    cuts = sorted({c for c in (row["cuts"] or []) if c > row["low"]}) if shares and row["low"] is not None else []
-    table = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    at = F.when(F.col("_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(table, lambda c: c <= F.col("_id"))))
-    lowest = F.col("_id").isNull() if ids.filter("_id is null").limit(1).count() else F.coalesce(F.col("_id") == F.lit(row["low"]), F.lit(False))
+    ranges = max(1, int(n / max(RANGE_ROWS, n**0.5)))
+    dealt = ids.filter("_id is not null").repartitionByRange(ranges, "_id").groupBy(F.spark_partition_id()).agg(F.min("_id").alias("low"))
+    lows = sorted(r["low"] for r in dealt.collect())  # ranges rows
+    lowest, cuts = (lows[0] if lows else None), lows[1:]
+    width = max(1, int(len(cuts) ** 0.5))
+    steps = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    table = F.from_json(F.lit(json.dumps(steps)), "array<array<bigint>>")
+    step = F.size(F.filter(table, lambda some: some[0] <= F.col("_id"))) - 1
+    own = F.coalesce(F.get(table, step), F.array().cast("array<bigint>"))
+    at = F.when(F.col("_id").isNull() | (step < 0), F.lit(0)).otherwise(step * width + F.size(F.filter(own, lambda c: c <= F.col("_id"))))
+    first = F.col("_id").isNull() if ids.filter("_id is null").limit(1).count() else F.coalesce(F.col("_id") == F.lit(lowest), F.lit(False))
     place = lambda r, tail: F.struct(r.cast("int").alias("_range"), F.lit(tail).alias("_tail"))
-    places = F.array_compact(F.array(place(F.col("_at"), 0), F.when(F.array_contains(table, F.col("_id")), place(F.col("_at") - 1, 1)), F.when(lowest, place(F.lit(len(cuts)), 2))))
+    begins = F.col("_id").isNotNull() & (step >= 0) & F.array_contains(own, F.col("_id"))
+    places = F.array_compact(F.array(place(F.col("_at"), 0), F.when(begins, place(F.col("_at") - 1, 1)), F.when(first, place(F.lit(len(cuts)), 2))))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("_id")).withColumn("_at", at)
     return rows.select(F.explode(places).alias("_p"), "doc_id", "text", "_id").select("_p._range", "_p._tail", "doc_id", "text", "_id")
 
@@ -138,7 +145,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
     The next document is that of the next doc_id (after the last: the first; a single one is its own next); rows that share
-    a doc_id are ordered by text, null ids come first. A null text is empty, and an empty text has an empty fingerprint. An
+    a doc_id are ordered by text, null ids come first. Ids are integers, or texts of integers; others are an error. A null text is empty, and an empty text has an empty fingerprint. An
     empty table gives an empty result; other columns are not read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = with_next(docs).repartition("_range").sortWithinPartitions("_range", "_tail", "_id", "text").select("_range", "_tail", "doc_id", "text")

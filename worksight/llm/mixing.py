@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: float = MOST_COPIES, seed: int
     rows = stash(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     sources = stash(source_targets(rows, weights, most).withColumn("_want", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-sources")
     n_sources = sources.count()
-    side = lookup(sources.withColumnRenamed("source", "_source"), n_sources)
+    side = lookup(sources.withColumnRenamed("source", "_source"), n_sources * 100)
     rows = rows.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("id", F.xxhash64("doc_id", "source_no"))
     whole = F.floor("_want")
     fraction = F.col("_want") - whole

@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     width: words of a shingle; percent: 100 * intersection >= percent * union links two documents. component_id is the
     least doc_id that links lead to; kept marks that document. Null, empty and blank texts have no shingles and are linked
     with nothing. A null doc_id can't be linked: its row has a null component and is kept. Rows that share a doc_id are
-    one document and have one component; an empty table gives an empty result; other columns are not read.
+    one document and have one component. Ids are integers, or texts of integers; others are an error. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     shared_dir(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ _KINDS = list(LEXICON)
 _STEMS = [(stem, k) for k, words in enumerate(LEXICON.values()) for stem in words.split()]
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details".split()
 _TAG = {t: k for k, t in enumerate(TAGS)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag: up to the first `>` outside quotes or, once a page has had OPEN_TAGS tags that so never end, the first of all.
+_REST, _PLAIN, OPEN_TAGS = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S), re.compile(r"([^>]*)>", re.S), 16
 #: Where the content of a RAW element ends: at its end tag. An option, whose end tag may be left out, ends before what can't be in it.
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 _RAW_END["option"] = re.compile(rf"</option(?=[\s/>]|\Z)[^>]*(?:>|\Z)|(?=</?(?:option|optgroup|select|datalist|body|html|{'|'.join(sorted(CLOSES_P | set(ENDS)))})[\s/>])", re.I)
@@ -74,7 +77,7 @@ class Page:
         self.chars, self.link_chars, self.stops, self.elements, self.controls = [0], [0], [0], [1], [0]
         self.runs: list[tuple[int, list[str]]] = []  # node, pieces
         stack: list[tuple[str, int]] = [("html", 0)]
-        at, links, fresh, depth_limit = 0, 0, True, 400
+        at, links, fresh, look, unended, opened = 0, 0, True, 0, 0, Counter()
 
         def text(piece: str) -> None:
             nonlocal fresh
@@ -94,20 +97,28 @@ class Page:
         def close(k: int) -> None:
             nonlocal links, fresh
             for name, _ in stack[k:]:
+                opened[name] -= 1
                 links -= name == "a"
                 fresh = fresh or name not in INLINE
             del stack[k:]
 
         endless: set[str] = set()
-        while m := _TOKEN.search(source, at):
+        while m := _TOKEN.search(source, look):
+            rest = None
+            if m[2]:
+                if unended < OPEN_TAGS and not (rest := _REST.match(source, m.end())):
+                    unended, look = unended + 1, m.end()  # no tag but text
+                    continue
+                if not rest and not (rest := _PLAIN.match(source, m.end())):
+                    break  # no `>` is left
             if m.start() > at:
                 text(source[at : m.start()])
-            at = m.end()
+            at = look = (rest or m).end()
             if not m[2]:
                 continue
             name = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if opened[name] else 0, 0, -1):
                     if stack[k][0] == name:
                         close(k)
                         break
@@ -116,9 +127,9 @@ class Page:
             self.elements[node] += 1
             if name in RAW:
                 self.controls[node] += name in ("select", "textarea", "option")
-                if not m[3].endswith("/") and name not in endless:
+                if not rest[1].endswith("/") and name not in endless:
                     if end := _RAW_END[name].search(source, at):
-                        at = end.end()
+                        at = look = end.end()
                     else:  # the element ends at once, and so do all later ones of its name
                         endless.add(name)
                 continue
@@ -132,34 +143,33 @@ class Page:
                 links += name == "a"
                 self.controls[node] += name == "button"
                 stack.append((name, node))
+                opened[name] += 1
                 continue
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if opened["p"] else 0, 0, -1):
                     if stack[k][0] == "p":
                         close(k)
                         break
                     if stack[k][0] not in INLINE:
                         break
             if name in ENDS:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1 if any(opened[e] for e in ENDS[name]) else 0, 0, -1):
                     if stack[k][0] in ENDS[name]:
                         close(k)
                     elif stack[k][0] in SCOPES[name]:
                         break
             node = stack[-1][1]
             fresh = True
-            if len(stack) > depth_limit:
-                stack.append((name, node))
-                continue
             self.tag.append(name)
             self.parent.append(node)
             self.depth.append(self.depth[node] + 1)
-            self.kinds.append(kinds_of(m[3]) if m[3] else ())
+            self.kinds.append(kinds_of(rest[1]) if rest[1] else ())
             self.children.append([])
             self.children[node].append(len(self.tag) - 1)
             for column, value in ((self.chars, 0), (self.link_chars, 0), (self.stops, 0), (self.elements, 1), (self.controls, 0)):
                 column.append(value)
             stack.append((name, len(self.tag) - 1))
+            opened[name] += 1
         if at < len(source):
             text(source[at:])
 

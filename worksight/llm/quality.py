@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """The columns of docs (but text last of all) plus score and predicted (1 if score >= CUT). A null text is empty and is scored as such."""
+    """The columns of docs plus score and predicted (1 if score >= CUT), in the place of columns of these names. A null text is
+    empty and is scored as such; an empty table gives an empty result; other columns go through as they are."""
     others = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     place = [f.name for f in others].index("text")
 
@@ -151,4 +152,6 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = train(docs, labels, sample)
     if model.get("constant") == 0.5:  # labels of one kind make 0 or 1
         return docs
-    return score(docs, model).filter("predicted = 1").select(*docs.columns)
+    own = {c: f"_own_{k}" if c in ("score", "predicted") else c for k, c in enumerate(docs.columns)}
+    judged = score(docs.withColumnsRenamed({c: n for c, n in own.items() if n != c}), model).filter("predicted = 1")
+    return judged.select(*[F.col(n).alias(c) for c, n in own.items()])

@@ -87,14 +87,15 @@ r AS (
   FROM p),
 v AS (
   SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule,
+         ('0x' || substr(md5(coalesce(url, '')), 1, 4))::BIGINT % 4 = 0 AS apart,
          repeat(chr(2), 4) || regexp_replace(translate(coalesce(url, ''), {az}), '[^\x21-\x7E]', '~', 'g') || chr(3) AS padded
   FROM r),
-g AS (SELECT page_id, by_rule, unnest(list_transform(range(1, length(padded) - 3), lambda i: substr(padded, i, 5))) AS gram FROM v),
-t AS (SELECT gram, sum(CASE WHEN by_rule = 'allow' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN by_rule = 'block' THEN 1 ELSE 0 END) AS b FROM g GROUP BY gram),
+g AS (SELECT page_id, by_rule, apart, unnest(list_transform(range(1, length(padded) - 3), lambda i: substr(padded, i, 5))) AS gram FROM v),
+t AS (SELECT gram, sum(CASE WHEN by_rule = 'allow' AND NOT apart THEN 1 ELSE 0 END) AS a, sum(CASE WHEN by_rule = 'block' AND NOT apart THEN 1 ELSE 0 END) AS b FROM g GROUP BY gram),
 m0 AS (SELECT gram, a, b, (sum(a) OVER (PARTITION BY substr(gram, 5, 1)) + 4.0 / 97) / (sum(a) OVER () + 4.0) AS pa,
               (sum(b) OVER (PARTITION BY substr(gram, 5, 1)) + 4.0 / 97) / (sum(b) OVER () + 4.0) AS pb FROM t),
 {levels}
-s AS (SELECT page_id, any_value(by_rule) AS by_rule, sum(round((ln(pa) - ln(pb)) * 1000000)) / count(*) / 1000000 AS score
+s AS (SELECT page_id, CASE WHEN bool_and(apart) THEN any_value(by_rule) END AS by_rule, sum(round((ln(pa) - ln(pb)) * 1000000)) / count(*) / 1000000 AS score
       FROM g JOIN m4 USING (gram) GROUP BY page_id),
 c AS (SELECT avg(score) FILTER (by_rule = 'allow') AS ma, avg(score) FILTER (by_rule = 'block') AS mb,
              stddev_pop(score) FILTER (by_rule = 'allow') AS sa, stddev_pop(score) FILTER (by_rule = 'block') AS sb FROM s)
@@ -125,7 +126,7 @@ ok AS (SELECT doc_id, k, kind, m, s, s + length(m) AS e FROM pos WHERE regexp_ma
 cand AS (
   SELECT * FROM ok WHERE k = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')
     AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
-    AND NOT regexp_matches(m, '^[+/_=-]*([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$')
+    AND regexp_matches(m, '[A-Za-z][0-9]|[0-9][A-Za-z]')
     AND NOT regexp_matches(m, '(EXAMPLE|example|XXXX|xxxx|1234567890|0123456789|abcdefgh)')
     AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = ok.doc_id AND b.k < 3 AND b.s < ok.e AND ok.s < b.e)),
 ent AS (

@@ -17,48 +17,79 @@ CANDIDATE = rf"(?<!{_RUN})(?={_RUN}{{{WINDOW}}})(?={_RUN}*[0-9])(?={_RUN}*[A-Za-
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Character classes from the narrowest: a candidate belongs to the first that has all its characters, and needs so many bits.
 CLASSES = (("^([0-9a-f]+|[0-9A-F]+)$", 2.9), ("^([0-9a-z]+|[0-9A-Z]+)$", 3.4), ("^.*$", 3.6))
-#: What looks random but is no secret: identifiers in UUID form, words and numbers joined by signs, samples from manuals, one character repeated.
+#: What looks random but is no secret: identifiers in UUID form, samples from manuals, and words and numbers joined by signs, that
+#: is, runs in which no letter touches a digit. No pattern repeats a group: Java's engine would recurse with every repetition.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[+/_=-]*([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$",
     r"(EXAMPLE|example|XXXX|xxxx|1234567890|0123456789|abcdefgh)",
 )
+MIXED = "[A-Za-z][0-9]|[0-9][A-Za-z]"
+#: Spans that are summed up or compared at once, so that a text with many has cost in proportion to their number, not its square.
+PIECE = 64
 _SPAN = "struct<start:int,kind:int,end:int,text:string>"
 _XLOGX = [0.0, *[n * math.log2(n) for n in range(1, WINDOW + 2)]]
 
 
+def in_pieces(items: Column) -> Column:
+    """The array cut into arrays of PIECE items."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / PIECE).cast("int") - 1), lambda k: F.slice(items, k * PIECE + 1, F.lit(PIECE)))
+
+
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """The matches of pattern in text, leftmost and non-overlapping, with their places in code points (end exclusive)."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    span = lambda start, match: F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(match)).alias("end"), match.alias("text"))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
 
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("text")))).alias("out"))
+        return state(start + F.length(x["match"]), F.concat(a["out"], F.array(span(start, x["match"]))))
+
+    def piece(a, some):
+        # places inside a piece count from its start, and are moved to where it starts in the text
+        inside = F.aggregate(some, state(F.lit(0), none), step)
+        moved = F.transform(inside["out"], lambda x: span(x["start"] + a["at"], x["text"]))
+        return state(a["at"] + inside["at"], F.concat(a["out"], F.array(moved)))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step)["out"]).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    whole = F.aggregate(in_pieces(pairs), state(F.lit(0), F.array().cast(f"array<array<{_SPAN}>>")), piece)
+    return F.when(F.size(found) > 0, F.flatten(whole["out"])).otherwise(none)
+
+
+def apart_from(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others; a piece of these is looked into only where its whole extent is met."""
+    extent = F.transform(in_pieces(others), lambda some: F.struct(F.array_min(F.transform(some, lambda x: x["start"])).alias("start"), F.array_max(F.transform(some, lambda x: x["end"])).alias("end"), some.alias("some")))
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    free = lambda x: ~F.exists(extent, lambda e: meets(e, x) & F.exists(e["some"], lambda y: meets(y, x)))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.filter(spans, free))
 
 
 def best_entropy(c: Column) -> Column:
     """The greatest Shannon entropy (bits a character) of the windows of c. One pass: each step counts one character in and
-    one out and corrects the sum of n log n by those two alone."""
+    one out and corrects the sum of n log n by those two alone. The counts are a text with a letter for each character of
+    ALPHABET, of which a step overwrites two."""
     table, alphabet = F.array(*[F.lit(x) for x in _XLOGX]), F.lit(ALPHABET)
     xlogx = lambda n: F.get(table, n)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    zero = F.struct(F.lit("A" * len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    count = lambda n, at: F.ascii(F.substring(n, at, F.lit(1))) - ord("A")
+    put = lambda n, at, k: F.overlay(n, F.char(k + ord("A")), at)
+    slots = F.transform(F.split(c, ""), lambda x: F.call_function("locate", x, alphabet))
+
+    def over(slots: Column) -> Column:
+        def step(a, i):
+            come, go = F.get(slots, i), F.when(i >= WINDOW, F.get(slots, i - WINDOW)).otherwise(0)
+            there = count(a["n"], come)
+            more = put(a["n"], come, there + 1)
+            gone = F.when(go > 0, count(more, go)).otherwise(0)
+            s = a["s"] + xlogx(there + 1) - xlogx(there) + F.when(go > 0, xlogx(gone - 1) - xlogx(gone)).otherwise(0.0)
+            best = F.when(i >= WINDOW - 1, F.greatest(a["best"], F.lit(math.log2(WINDOW)) - s / WINDOW)).otherwise(a["best"])
+            return F.struct(F.when(go > 0, put(more, go, gone - 1)).otherwise(more).alias("n"), s.alias("s"), best.alias("best"))
 
-    def step(a, i):
-        come = F.call_function("locate", F.substring(c, i, F.lit(1)), alphabet)
-        go = F.when(i > WINDOW, F.call_function("locate", F.substring(c, i - WINDOW, F.lit(1)), alphabet)).otherwise(0)
-        n = F.transform(a["n"], lambda v, k: v + F.when(k + 1 == come, 1).otherwise(0) - F.when(k + 1 == go, 1).otherwise(0))
-        there = F.get(a["n"], come - 1)
-        gone = F.get(a["n"], go - 1) + F.when(come == go, 1).otherwise(0)
-        s = a["s"] + xlogx(there + 1) - xlogx(there) + F.when(go > 0, xlogx(gone - 1) - xlogx(gone)).otherwise(0.0)
-        best = F.when(i >= WINDOW, F.greatest(a["best"], F.lit(math.log2(WINDOW)) - s / WINDOW)).otherwise(a["best"])
-        return F.struct(n.alias("n"), s.alias("s"), best.alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(slots) - 1), zero, step)["best"]
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(c)), zero, step)["best"]
+    # one array in an array, so that the slots are found once and not again in each step
+    return F.get(F.transform(F.array(slots), over), 0)
 
 
 def needed(c: Column) -> Column:
@@ -90,7 +121,8 @@ def scan(docs: DataFrame) -> DataFrame:
         parts.append(F.col(f"_{name}"))
     out = out.withColumn("base", F.array_sort(F.concat(*parts)))
     odd = spans_of(F.col("_text"), CANDIDATE, len(BASE))
-    fresh = F.filter(odd, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    out = out.withColumn("_odd", F.filter(odd, lambda x: x["text"].rlike(MIXED)))
+    fresh = apart_from(F.col("_odd"), F.col("base"))
     for pattern in ALLOWED:
         fresh = F.filter(fresh, isn_t(pattern))
     fresh = F.filter(fresh, lambda x: best_entropy(x["text"]) >= needed(x["text"]))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..tables import numbered
 from .common import stash
 
-#: Small groups are gathered into this many parcels by the hash of their text; a parcel is packed as one item.
-PARCELS = 4096
-#: A group above total / (shards * LARGE) is packed by itself, so there are at most shards * LARGE of those.
-LARGE = 256
-#: Rows of one numbering block of a shard, and the most blocks of a shard.
-BLOCK_ROWS, MAX_BLOCKS = 1000, 4096
+#: Rows that one task numbers, about.
+BLOCK_ROWS = 20_000
+#: Ranks of items of one size that share a join key with the bins they go to.
+CHUNK = 64
+#: A group with more than one in so many of all rows meets its place by broadcast; there are fewer such groups than this.
+HOT = 1000
 
 
 class CapacityTree:
@@ -82,34 +82,44 @@ class CapacityTree:
         return best
 
 
-def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> dict[int, int] | None:
-    """Item id -> bin for (size, id) items; None if more than `most` bins would be needed.
-
-    Items enter in descending size (ties by id). An item larger than the capacity gets a bin of its own.
-    """
-    tree, where, bins = CapacityTree(), {}, 0
-    for size, item in sorted(sizes, key=lambda x: (-x[0], x[1])):
-        if at := tree.tightest(size):
-            tree.remove(*at)
-            tree.add(at[0] - size, at[1])
-            where[item] = at[1]
-        else:
-            if most is not None and bins == most:
-                return None
-            tree.add(max(0, capacity - size), bins)
-            where[item], bins = bins, bins + 1
-    return where
-
-
-def pack_into(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
+def best_fit_decreasing(sizes: dict[int, int], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """Places items, given as the number of items of each size: runs (size, first, end, bin) of the items of a size, numbered from
+    0, in order. None if more than `most` bins would be needed.
+
+    Sizes enter in descending order. Where an item enters the tightest bin that still has room for it, the next of its size
+    enters the same one as long as there is room, since that bin has only become tighter; so the items of a size enter by
+    runs. An item larger than the capacity gets a bin of its own."""
+    tree, runs, bins = CapacityTree(), [], 0
+    for size in sorted(sizes, reverse=True):
+        at, count = 0, sizes[size]
+        while at < count:
+            if found := tree.tightest(size):
+                room, bin_id = found
+                tree.remove(room, bin_id)
+            else:
+                if most is not None and bins == most:
+                    return None
+                room, bin_id, bins = max(capacity, size), bins, bins + 1
+            end = min(count, at + room // size)
+            runs.append((size, at, end, bin_id))
+            room -= (end - at) * size
+            if room:
+                tree.add(room, bin_id)
+            at = end
+    return runs
+
+
+def pack_into(sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
     """The packing of the smallest capacity (to 1 in 2^20) for which best-fit-decreasing needs at most `shards` bins."""
-    total = sum(s for s, _ in sizes)
-    low = max(-(-total // shards), max((s for s, _ in sizes), default=0))
-    high = low
-    while (best := best_fit_decreasing(sizes, high, shards)) is None:
-        high = high + max(1, high // 16)
-    step = max(1, total >> 20)
-    while high - low > step:
+    total = sum(s * n for s, n in sizes.items())
+    low = max(-(-total // shards), max(sizes, default=0))
+    if (best := best_fit_decreasing(sizes, low, shards)) is not None:
+        return best
+    least = step = max(1, total >> 20)
+    while (best := best_fit_decreasing(sizes, low + step, shards)) is None:
+        step *= 2
+    low, high = low + step // 2, low + step
+    while high - low > least:
         mid = (low + high) // 2
         if (found := best_fit_decreasing(sizes, mid, shards)) is None:
             low = mid
@@ -129,60 +139,66 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
+def in_blocks(rows: DataFrame, n: int, *keys: str | Column) -> DataFrame:
+    """rows with _block: a hash of the keys, for about BLOCK_ROWS rows a block if one value of what is numbered had all n."""
+    return rows.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(1 + n // BLOCK_ROWS)))
+
+
+def placed(items: DataFrame, runs: DataFrame, n: int) -> DataFrame:
+    """items (_key, _bytes and what else they have) with the shard of their run. Items of one size are numbered by blocks; numbers
+    and runs meet by chunks of CHUNK numbers, so that a size of many items and a size in many bins both spread."""
+    ranked = numbered(in_blocks(items, n, "_key"), ["_bytes"], ["_key"], "_n").withColumn("_n", F.col("_n") - 1)
+    ranked = ranked.withColumn("_chunk", F.floor(F.col("_n") / CHUNK)).drop("_block")
+    chunks = F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))
+    cut = runs.select(F.col("size").alias("_bytes"), "first", "end", "shard", F.explode(chunks).alias("_chunk"))
+    met = ranked.join(cut, ["_bytes", "_chunk"]).filter((F.col("_n") >= F.col("first")) & (F.col("_n") < F.col("end")))
+    return met.drop("_chunk", "_n", "first", "end")
+
+
 def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None) -> DataFrame:
     """Puts every row into a shard by size in bytes and numbers the rows of each shard from 0 without gaps.
 
     Groups (equal texts) are indivisible. They enter in descending size the bin whose remaining capacity is the tightest
-    that fits. With `capacity` the number of shards is what best-fit-decreasing needs; with `shards` the capacity is the
-    smallest for which it needs no more than that. Large groups are packed singly; the many small ones travel in at most
-    PARCELS parcels, each a set of whole groups, so that what reaches the driver is bounded: shards * LARGE + PARCELS sizes.
-    A group above a whole shard's share can't be held by a fixed capacity; it alone is cut, by doc_id, into pieces
-    of at most about 1/LARGE of a shard each. A null or empty text has size 1; repeated rows are rows of their own;
-    an empty table gives an empty result; other columns of docs are not read.
+    that fits. With `capacity` the number of shards is what best-fit-decreasing needs, and no shard is above the capacity but
+    one that holds a single row larger than that; with `shards` the capacity is the smallest for which it needs no more than
+    that. Only a group that no shard can hold, as it is above the capacity or above an even share, enters row by row.
+
+    The driver packs numbers of items by size: distinct sizes add up to no more than the total T, so there are fewer than
+    sqrt(2 T) of them, and runs are fewer than sizes and bins. Which group is the how-manieth of its size, and so in which
+    bin, is found on the executors. A null or empty text has size 1; repeated rows are rows of their own; doc_id may be of
+    any type; an empty table gives an empty result; other columns of docs are not read.
     """
+    spark = docs.sparkSession
     rows = stash(measured(docs), "shard-sizes")
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    groups = stash(rows.groupBy("_group").agg(F.sum("size").alias("_bytes"), F.count("size").alias("_rows")), "shard-groups")
+    total, n, n_groups = groups.agg(F.sum("_bytes"), F.sum("_rows"), F.count("_rows")).first()
     if not total:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     share = capacity or -(-total // shards)
-    floor = share // LARGE + 1
-    large = [(bytes(r[0]), r[1]) for r in groups.filter(F.col("_bytes") >= floor).collect()]  # at most total / floor
-    large.sort(key=lambda x: (-x[1], x[0]))
-    entries, sizes, item = [], [], PARCELS
-    for group, size in large:
-        pieces = 1 if size <= share else -(-size // floor)
-        entries.append((group, item, pieces))
-        sizes += [(-(-size // pieces), item + k) for k in range(pieces)]
-        item += pieces
-    spark = docs.sparkSession
-    large_df = spark.createDataFrame(entries, "_group binary, _item int, _pieces int")
-    placed = rows.join(F.broadcast(large_df), "_group", "left").withColumn(
-        "_item",
-        F.when(F.col("_item").isNull(), F.pmod(F.xxhash64("_group"), F.lit(PARCELS)).cast("int"))
-        .when(F.col("_pieces") == 1, F.col("_item"))
-        .otherwise(F.col("_item") + F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("_pieces")).cast("int")),
-    )
-    found = placed.filter(F.col("_item") < PARCELS).groupBy("_item").agg(F.sum("size")).collect()  # PARCELS rows at most
-    sizes += [(r[1], r[0]) for r in found]
-    where = best_fit_decreasing(sizes, capacity) if capacity else pack_into(sizes, shards)
-    shard_df = spark.createDataFrame(sorted(where.items()), "_item int, shard int")
-    placed = placed.join(F.broadcast(shard_df), "_item")
-    return numbered(placed, max(where.values()) + 1).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
-
-
-def numbered(rows: DataFrame, shards: int) -> DataFrame:
-    """Adds slot: 0, 1, ... within each shard. Each shard is cut into blocks by a hash, numbered apart and then offset."""
-    n = rows.count()
-    blocks = max(1, min(MAX_BLOCKS, 32768 // shards, n // (shards * BLOCK_ROWS)))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "_block").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size")
-    return (  # starts: at most 32768 rows
-        rows.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(starts), ["shard", "_block"])
-        .withColumn("slot", (F.col("_start") + F.col("_rank") - 1).cast("long"))
-    )
+    whole, above = groups.filter(F.col("_bytes") <= share), groups.filter(F.col("_bytes") > share)
+    single = F.col("_bytes") / F.col("_rows")  # rows of a group are of one size
+    counted = whole.groupBy("_bytes").agg(F.count("_rows").alias("n")).unionByName(above.groupBy(single.cast("long").alias("_bytes")).agg(F.sum("_rows").alias("n")))
+    sizes = {r["_bytes"]: r["n"] for r in counted.groupBy("_bytes").agg(F.sum("n").alias("n")).collect()}
+    packed = best_fit_decreasing(sizes, share) if capacity else pack_into(sizes, shards)
+    runs = stash(spark.createDataFrame(packed, "size long, first long, end long, shard int"), "shard-runs")
+    # hot groups, of which there are few, meet their rows by broadcast; no other group has many rows
+    hot = F.col("_rows") * HOT > n
+    kind = F.when(F.col("_bytes") > share, "above").otherwise("whole")
+    marked = rows.join(F.broadcast(groups.filter(hot).select("_group", kind.alias("_kind"))), "_group", "left")
+    own = ["doc_id", "size", "text_crc32"]
+    alone = marked.filter("_kind = 'above'").select("_group", *own)
+    if (seldom := above.filter(~hot)).limit(1).count():
+        alone = alone.unionByName(marked.filter("_kind is null").join(seldom.select("_group"), "_group").select("_group", *own))
+    # one numbering for all items: rows of groups that are too large, and groups
+    items = alone.select(F.col("size").alias("_bytes"), F.concat("_group", F.unhex(F.md5(F.concat_ws(":", "doc_id", "text_crc32").cast("binary")))).alias("_key"), F.struct(*own).alias("_row"))
+    items = items.unionByName(whole.select("_bytes", F.col("_group").alias("_key")), allowMissingColumns=True)
+    found = stash(placed(items, runs, n_groups + n if above.limit(1).count() else n_groups), "shard-places")
+    places = found.filter("_row is null").select(F.col("_key").alias("_group"), "shard")
+    hot_places = F.broadcast(groups.filter(hot).select("_group").join(places, "_group"))
+    out = found.filter("_row is not null").select("_row.*", "shard")
+    out = out.unionByName(marked.filter("_kind = 'whole'").join(hot_places, "_group").select(*own, "shard"))
+    out = out.unionByName(marked.filter("_kind is null").join(places, "_group").select(*own, "shard"))
+    bins = max(r[3] for r in packed) + 1
+    order = ["doc_id", "text_crc32", "size"]
+    slots = numbered(in_blocks(stash(out, "shard-rows"), n // bins, *order), ["shard"], order, "slot")
+    return slots.select(*own, F.lit("bytes").alias("law"), "shard", (F.col("slot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

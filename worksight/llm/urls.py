@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import az_lower, lookup, stash
+from .common import BROADCAST_BYTES, az_lower, stash
 
 #: (host, path, verdict). A rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Characters of context, and the weight of the next shorter context in counts.
 ORDER, BACKOFF = 4, 4.0
 SCALE = 1_000_000
+#: Distinct urls that one task spreads into grams, and bytes of a row of the model.
+TASK_URLS, MODEL_ROW = 4000, 16
+#: A gram with more than one in so many of all occurrences is heavy; there are fewer heavy grams than this.
+HEAVY = 4096
+#: Of the urls that rules judge, one in so many (by a hash) is left out of the models and sets the threshold.
+CALIBRATION = 4
 
 
 def host(url: Column) -> Column:
@@ -64,22 +70,22 @@ def fit(seen: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """The columns of pages plus host, path, rule, verdict, score (length-normalised log-likelihood difference), threshold.
 
-    The models learn from all urls that a rule accepts or rejects; the threshold lies between the means of the scores of the
-    two kinds, in proportion to their spreads (0 if either kind is missing). A url without a rule is accepted at or
-    above it. A null url, or one without `://`, has empty host and path and is judged by the model; repeated urls are judged alike."""
+    The models learn from the urls that a rule accepts or rejects, but for one in CALIBRATION by a hash. The scores of those
+    left out set the threshold: it lies between the means of the two kinds, in proportion to their spreads (0 if either
+    kind is missing). A url without a rule is accepted at or above it. A null url, or one without `://`, has empty host and path and is judged by the model; repeated urls are judged alike."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score", "threshold")]
     keyed = pages.select(*kept, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     keyed = keyed.withColumn("rule", rule).withColumn("_by_rule", verdict)
     # one row for each url: copies are counted, not repeated
     urls = stash(keyed.groupBy("url", "_by_rule").count(), "urls")
-    spread = urls.select("url", "_by_rule", "count", F.explode(grams(F.col("url"))).alias("gram"))
-    side = lambda v: F.sum(F.when(F.col("_by_rule") == v, F.col("count")).otherwise(0))
-    seen = stash(spread.groupBy("gram").agg(side("allow").alias("accepted"), side("block").alias("rejected")), "url-grams")
-    model = stash(fit(seen), "url-model")
-    scores = spread.join(lookup(model, model.count()), "gram").groupBy("url", "_by_rule", "count").agg((F.sum("llr") / F.count("llr") / SCALE).alias("score"))
-    scores = stash(scores, "url-scores")
-    stats = {r["_by_rule"]: r for r in scores.filter("_by_rule is not null").groupBy("_by_rule").agg(
+    urls = urls.withColumn("_apart", F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % CALIBRATION == 0)
+    spread = urls.repartition(max(1, urls.count() // TASK_URLS), "url").select("url", "_by_rule", "_apart", "count", F.explode(grams(F.col("url"))).alias("gram"))
+    side = lambda v: F.sum(F.when((F.col("_by_rule") == v) & ~F.col("_apart"), F.col("count")).otherwise(0))
+    seen = stash(spread.groupBy("gram").agg(side("allow").alias("accepted"), side("block").alias("rejected"), F.count(F.lit(1)).alias("uses")), "url-grams")
+    model = stash(fit(seen.drop("uses")), "url-model")
+    scores = stash(scored(spread, model, seen), "url-scores")
+    stats = {r["_by_rule"]: r for r in scores.filter("_by_rule is not null and _apart").groupBy("_by_rule").agg(
         (F.sum(F.col("score") * F.col("count")) / F.sum("count")).alias("mean"), F.sum("count").alias("n"),
         F.sqrt(F.sum(F.col("score") * F.col("score") * F.col("count")) / F.sum("count") - F.pow(F.sum(F.col("score") * F.col("count")) / F.sum("count"), 2)).alias("spread"),
     ).collect()}  # two rows
@@ -95,6 +101,21 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("verdict", F.coalesce("_by_rule", own)).drop("_by_rule").select(*kept, "host", "path", "rule", "verdict", "score", "threshold")
 
 
+def scored(spread: DataFrame, model: DataFrame, seen: DataFrame) -> DataFrame:
+    """url, _by_rule, _apart, count, score of the urls that spread holds gram by gram. A model within the bytes of a broadcast goes to
+    all tasks; beyond that its heavy grams alone do (fewer than HEAVY), and only the others, none of which is frequent,
+    are joined by shuffle."""
+    by = ["url", "_by_rule", "_apart", "count"]
+    if model.count() * MODEL_ROW <= BROADCAST_BYTES:
+        met = spread.join(F.broadcast(model), "gram")
+    else:
+        total = seen.agg(F.sum("uses")).first()[0]
+        heavy = model.join(seen.filter(F.col("uses") * HEAVY > total).select("gram"), "gram")
+        first = spread.join(F.broadcast(heavy), "gram", "left")
+        met = first.filter("llr is not null").unionByName(first.filter("llr is null").drop("llr").join(model, "gram"))
+    return met.groupBy(*by).agg((F.sum("llr") / F.count("llr") / SCALE).alias("score"))
+
+
 def keep(pages: DataFrame, rules=RULES) -> DataFrame:
     """The pages whose url is accepted. Columns stay as they are."""
     return judge(pages, rules).filter("verdict = 'allow'").select(*pages.columns)
