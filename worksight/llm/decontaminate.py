@@ -90,7 +90,10 @@ def met(docs: DataFrame, spots: DataFrame) -> DataFrame:
     before = F.length(F.regexp_extract(F.substring("_same", F.lit(1), F.col("_mid") + 1), "(1*)$", 1))
     ahead = F.length(F.regexp_extract(F.substring("_same", F.col("_mid") + 1, F.lit(1 << 30)), "^(1*)", 1))
     start, run = F.col("_from") + F.col("_mid") - before + 1 - F.col("_lead"), before + ahead - 1
-    return hits.filter((before > 0) & (run >= F.col("width"))).select("_row", start.alias("start"), run.alias("n"), "item_id")
+    # an explode and no filter: as a condition of the join the lambdas above would take it out of generated code, and each word
+    # of a document would be handed on with a copy of all its words
+    good = F.when((before > 0) & (run >= F.col("width")), F.array(F.struct(start.alias("start"), run.alias("n")))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+    return hits.select("_row", "item_id", F.explode(good).alias("_run")).select("_row", "_run.start", "_run.n", "item_id")
 
 
 def by_text(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
