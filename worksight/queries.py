@@ -116,6 +116,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "valid_works": lambda s, d: imports.to_work(imports.split_valid(_raw(s, d), imports.validate_works(_raw(s, d)))).select("dataset_id", "source_row_number", "work_id", "estimated_cost", "physical_progress", "status"),
         "import_grade": lambda s, d: imports.grade(_raw(s, d), imports.validate_works(_raw(s, d))),
         "issue_summary": lambda s, d: imports.issue_summary(imports.validate_works(_raw(s, d))),
+        "import_summary": lambda s, d: imports.import_summary(_raw(s, d), imports.validate_works(_raw(s, d))).select("dataset_id", "total_rows", "error_rows", "warning_rows", "kept_rows", "grade", F.array_join("reasons", "; ").alias("reasons")),
+        "field_summary": lambda s, d: imports.field_summary(imports.validate_works(_raw(s, d))),
+        "quality_report": lambda s, d: imports.quality_report(imports.validate_works(_raw(s, d)), "DS0").select("row_number", "field", "rule", "severity"),
+        "records_page": lambda s, d: imports.records(_raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "payment_ref"), "DS1", 50, 100),
         "validate_allocation": lambda s, d: imports.validate_allocation(imports.normalize_allocation(views.view(s, d, views.RAW_ALLOCATION))).select("dataset_id", "row_number", "field", "rule", "severity"),
         "validate_aggregate": lambda s, d: imports.validate_aggregate(imports.normalize_aggregate(views.view(s, d, views.RAW_AGGREGATE))).select("dataset_id", "row_number", "field", "rule", "severity"),
         "duplicate_pairs": lambda s, d: _pairs(s, d).select("dataset_id", "a_id", "b_id", "text_similarity", "location_distance_m", "category_match", "time_overlap", "vendor_match", "contextual_confidence", "combined_score"),
@@ -378,6 +382,13 @@ def oracle_sql() -> dict[str, str]:
         "import_grade": _with(_RAW, """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL)""",
             "SELECT dataset_id, total_rows, error_rows, warning_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade FROM t JOIN b USING (dataset_id) -- raw_works"),
         "issue_summary": _with(_RAW, "SELECT dataset_id, rule, severity, count(*) AS issues, count(DISTINCT row_number) AS rows, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity -- raw_works"),
+        "import_summary": _with(_RAW, """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL),
+            c AS (SELECT dataset_id, rule, severity, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity),
+            r AS (SELECT dataset_id, string_agg(reason, '; ' ORDER BY n DESC, rule, reason) AS reasons FROM c GROUP BY ALL)""",
+            "SELECT dataset_id, total_rows, error_rows, warning_rows, total_rows - error_rows AS kept_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade, reasons FROM t JOIN b USING (dataset_id) JOIN r USING (dataset_id) -- raw_works"),
+        "field_summary": _with(_RAW, "SELECT dataset_id, field, count(*) FILTER (rule LIKE 'missing\\_%' ESCAPE '\\') AS missing, count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (rule LIKE 'duplicate\\_%' ESCAPE '\\') AS duplicates FROM issues GROUP BY dataset_id, field -- raw_works"),
+        "quality_report": _with(_RAW, "SELECT row_number, field, rule, severity FROM issues WHERE dataset_id = 'DS0' ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, row_number, rule, field LIMIT 100 -- raw_works"),
+        "records_page": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, state, district, sanctioned_amount FROM norm WHERE dataset_id = 'DS1' ORDER BY source_row_number LIMIT 50 OFFSET 100 -- raw_works"),
         "validate_allocation": f"""WITH raw AS ({views.sql(views.RAW_ALLOCATION)}), n AS (SELECT dataset_id, source_row_number AS r, CASE WHEN serial_number = 'x' THEN NULL ELSE replace(serial_number, 'No. ', '')::BIGINT END AS serial, nullif(trim(state), '') AS state,
             CASE WHEN mp_name = 'n/a' THEN NULL ELSE regexp_replace(mp_name, ' +', ' ', 'g') END AS mp, CASE WHEN allocated_amount = '?' THEN NULL ELSE allocated_amount::DECIMAL(20,4) END AS amount FROM raw)
             SELECT dataset_id, r AS row_number, 'state' AS field, 'missing_state' AS rule, 'ERROR' AS severity FROM n WHERE state IS NULL
