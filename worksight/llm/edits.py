@@ -9,7 +9,6 @@ set of steps, dense at the start and thinner from octave to octave.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,7 +128,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     lowest, cuts = (lows[0] if lows else None), lows[1:]
     width = max(1, int(len(cuts) ** 0.5))
     steps = [cuts[k : k + width] for k in range(0, len(cuts), width)]
-    table = F.from_json(F.lit(json.dumps(steps)), "array<array<bigint>>")
+    long = lambda c: f"{c}L" if c > -(1 << 63) else "(-9223372036854775807L - 1L)"
+    listed = ", ".join(f"array({', '.join(map(long, some))})" for some in steps)
+    table = F.expr(f"array({listed})" if steps else "cast(array() as array<array<bigint>>)")
     step = F.size(F.filter(table, lambda some: some[0] <= F.col("_id"))) - 1
     own = F.coalesce(F.get(table, step), F.array().cast("array<bigint>"))
     at = F.when(F.col("_id").isNull() | (step < 0), F.lit(0)).otherwise(step * width + F.size(F.filter(own, lambda c: c <= F.col("_id"))))
