@@ -31,8 +31,9 @@ _XLOGX = [0.0, *[n * math.log2(n) for n in range(1, WINDOW + 2)]]
 
 
 def in_pieces(items: Column) -> Column:
-    """The array cut into arrays of PIECE items."""
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / PIECE).cast("int") - 1), lambda k: F.slice(items, k * PIECE + 1, F.lit(PIECE)))
+    """The array cut into arrays of PIECE items. It is an item of an array itself, so that it is made once and not for each piece."""
+    cut = lambda some: F.transform(F.sequence(F.lit(0), F.ceil(F.size(some) / PIECE).cast("int") - 1), lambda k: F.slice(some, k * PIECE + 1, F.lit(PIECE)))
+    return F.get(F.transform(F.array(items), cut), 0)
 
 
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
@@ -61,8 +62,8 @@ def apart_from(spans: Column, others: Column) -> Column:
     """The spans that overlap none of the others; a piece of these is looked into only where its whole extent is met."""
     extent = F.transform(in_pieces(others), lambda some: F.struct(F.array_min(F.transform(some, lambda x: x["start"])).alias("start"), F.array_max(F.transform(some, lambda x: x["end"])).alias("end"), some.alias("some")))
     meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = lambda x: ~F.exists(extent, lambda e: meets(e, x) & F.exists(e["some"], lambda y: meets(y, x)))
-    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.filter(spans, free))
+    free = lambda all_: F.filter(spans, lambda x: ~F.exists(all_, lambda e: meets(e, x) & F.exists(e["some"], lambda y: meets(y, x))))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.get(F.transform(F.array(extent), free), 0))
 
 
 def best_entropy(c: Column) -> Column:
