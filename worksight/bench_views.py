@@ -40,7 +40,19 @@ SELECT dataset_id, source_row_number, CASE WHEN source_row_number % 211 = 0 THEN
   CASE WHEN source_row_number % 2 = 0 THEN cast(sanction_date AS string) ELSE substr(cast(sanction_date AS string), 9, 2) || '/' || substr(cast(sanction_date AS string), 6, 2) || '/' || substr(cast(sanction_date AS string), 1, 4) END AS sanction_date,
   cast(completion_date AS string) AS completion_date, implementing_agency, CASE WHEN source_row_number % 401 = 0 THEN '123.5' ELSE cast(latitude AS string) END AS latitude, cast(longitude AS string) AS longitude,
   category, sector, status, contractor_name, cast(expected_duration_days AS string) AS expected_duration_days, cast(start_date AS string) AS start_date, location_text,
-  cast(NULL AS string) AS payment_ref, cast(NULL AS string) AS payment_amount, cast(NULL AS string) AS paid_on, cast(NULL AS string) AS payee, cast(NULL AS string) AS payment_stage
+  CASE WHEN source_row_number % 3 = 0 THEN ' PAY-' || cast(source_row_number AS string) END AS payment_ref,
+  CASE WHEN source_row_number % 21 = 0 THEN 'pending' WHEN source_row_number % 6 = 0 THEN '12.5 Lakh' WHEN source_row_number % 3 = 0 THEN cast(source_row_number % 900 + 1 AS string) || '.25' END AS payment_amount,
+  CASE WHEN source_row_number % 9 = 0 THEN cast(sanction_date AS string) END AS paid_on, cast(NULL AS string) AS payee, CASE WHEN source_row_number % 3 = 0 THEN 'Stage   ' || cast(source_row_number % 4 AS string) END AS payment_stage
+FROM ({works}) w
+"""
+
+#: The same in the older import's form.
+LEGACY_WORKS = """
+SELECT dataset_id, source_row_number, CASE WHEN source_row_number % 83 = 0 THEN '' ELSE work_id || ' ' END AS workid, state, CASE WHEN source_row_number % 89 = 0 THEN NULL ELSE district END AS district,
+  description AS work_description, '₹ ' || cast(estimated_cost AS string) AS estimated_cost,
+  CASE WHEN source_row_number % 101 = 0 THEN 'nil' WHEN source_row_number % 5 = 0 THEN cast(sanctioned_cost AS string) || ' L' WHEN source_row_number % 7 = 0 THEN '₹' || cast(sanctioned_cost AS string) || 'cr'
+    ELSE cast(sanctioned_cost AS string) END AS sanctioned_cost,
+  cast(financial_progress AS string) AS financial_progress, cast(physical_progress AS string) AS physical_progress, cast(latitude AS string) AS latitude_dd, cast(sanction_date AS string) AS sanction_date
 FROM ({works}) w
 """
 
@@ -84,6 +96,10 @@ SELECT cast(o_orderkey AS string) AS record_id, o_orderkey % 23 = 0 AS injected,
 TABLES = ("orders", "customer", "nation", "region", "part", "lineitem", "supplier", "events")
 
 
+#: Files that the raw works are written to as exports.
+FILES = 16
+
+
 def sql(text: str) -> str:
     """The text over plain table names, for DuckDB."""
     return text.format(works=WORKS.format(**{t: t for t in TABLES}) if "{works}" in text else "", **{t: t for t in TABLES})
@@ -99,4 +115,8 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(RAW_WORKS.replace("({works})", "{works}"), works=works(spark, sf_dir))
+    return over_works(spark, sf_dir, RAW_WORKS)
+
+
+def over_works(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return spark.sql(text.replace("({works})", "{works}"), works=works(spark, sf_dir))

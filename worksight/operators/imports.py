@@ -166,8 +166,10 @@ def validate_works(df: DataFrame) -> DataFrame:
     checks += [_issue(~F.col(c).between(0, 100), c, "progress_out_of_range", r, f"{words(c).capitalize()} is outside 0-100.") for c in ("physical_progress", "financial_progress")]
     checks.append(_issue(F.col("completion_date") < F.col("sanction_date"), "completion_date", "invalid_date_order", r, F.format_string("Completion date %s precedes sanction date %s.", F.col("completion_date").cast("string"), F.col("sanction_date").cast("string"))))
     checks += [_issue(~F.col(c).between(-most, most), c, "invalid_coordinates", r, F.format_string(f"{c.capitalize()} %s is outside the range of {most} degrees.", F.col(c).cast("string"))) for c, most in (("latitude", 90), ("longitude", 180))]
-    repeats = _repeats(df, ["work_id"], ~_absent("work_id"), "work_id", "duplicate_work_id", r, F.format_string("Work ID %s appears more than once (first seen in row %s).", "work_id", "_first"))
-    return _issues(df, checks).unionByName(repeats)
+    # only ids that occur again are joined, mostly few, so that one scan of the rows makes all their issues
+    again = df.filter(~_absent("work_id")).groupBy(F.col("dataset_id").alias("_ds"), F.col("work_id").alias("_id")).agg(F.min("source_row_number").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    checks.append(_issue(F.col("source_row_number") > F.col("_first"), "work_id", "duplicate_work_id", r, F.format_string("Work ID %s appears more than once (first seen in row %s).", "work_id", "_first")))
+    return _issues(df.join(again, F.col("dataset_id").eqNullSafe(F.col("_ds")) & (F.col("work_id") == F.col("_id")), "left"), checks)
 
 
 def split_valid(df: DataFrame, issues: DataFrame) -> DataFrame:
@@ -201,11 +203,14 @@ def field_summary(issues: DataFrame) -> DataFrame:
 
 
 def import_summary(df: DataFrame, issues: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """One row for each dataset: counts, grade, kept rows, reasons (most frequent first), number of notes on ragged rows."""
+    """One row for each dataset: counts, grade, kept rows, reasons (most frequent first), number of notes on ragged rows (of
+    the dataset, if they name it)."""
     reasons = issue_summary(issues).groupBy("dataset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("issues")).alias("n"), "rule", "reason"))), lambda x: x["reason"]).alias("reasons"))
     out = grade(df, issues).join(reasons, "dataset_id", "left").withColumn("kept_rows", F.col("total_rows") - F.col("error_rows"))
     out = out.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
-    return out.withColumn("notes", F.lit(notes.count() if notes is not None else 0))
+    if notes is None or "dataset_id" not in notes.columns:
+        return out.withColumn("notes", F.lit(notes.count() if notes is not None else 0).cast("long"))
+    return out.join(notes.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("notes")), "dataset_id", "left").na.fill(0, ["notes"])
 
 
 def quality_report(issues: DataFrame, dataset_id: str, limit: int = 100) -> DataFrame:

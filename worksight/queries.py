@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from . import bench_views as views
 from .bench_views import TODAY
 from .operators import audit, cases, detect, duplicates, evaluate, forest, fusion, imports, reporting, signals
-from .plans import detection
+from .plans import detection, importing
 from .schemas import ANOMALY_HIGH, ANOMALY_TRIGGER, CASE_TRANSITIONS
-from .tables import kept
+from .sources import exports
+from .tables import kept, shared_dir, stash, until_exit
 
 
 def works(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +53,48 @@ def _raw(spark, d) -> DataFrame:
     return imports.normalize_work(views.raw_works(spark, d))
 
 
+#: Headers of the written exports that are not just the column's name in words.
+_HEADERS = {"mp_name": " Hon'ble Members of Parliament ", "description": "Work Name", "sanctioned_amount": "Sanctioned Amount (₹)", "state": "STATE_NAME", "latitude": "Lat", "expenditure": "Expenditure (₹)"}
+
+
+def _exports(spark, d) -> str:
+    """A folder of the raw works as CSV exports: FILES files, each in source order."""
+    raw = views.raw_works(spark, d).withColumn("part", F.pmod("source_row_number", F.lit(views.FILES)))
+    cells = [F.col(c).alias(_HEADERS.get(c, c.replace("_", " ").title())) for c in raw.columns if c not in ("dataset_id", "source_row_number", "part")]
+    own = raw.repartition("part").sortWithinPartitions("part", "source_row_number").select("part", *cells, F.lit("as received").alias("Remarks"))
+    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    own.write.partitionBy("part").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return until_exit(spark, path)
+
+
+def _imported(spark, d) -> dict[str, DataFrame]:
+    """The import run over exports of the raw works, made once an application; `part` is the number in a file's path."""
+    def make() -> dict[str, DataFrame]:
+        path = _exports(spark, d)
+        out = f"{shared_dir(spark)}/imported-{uuid.uuid4().hex}"
+        run = importing.run_import(spark, path, out)
+        until_exit(spark, out)
+        part = F.regexp_extract("file_path", "part=([0-9]+)", 1).alias("part")
+        parts = run["datasets"].select("dataset_id", part)
+        found = {k: stash(df.join(F.broadcast(parts), "dataset_id"), f"imported-{k}") for k, df in run.items() if k != "datasets"}  # FILES rows
+        known = run["datasets"].filter(part.cast("int") < 8)
+        fresh = exports.new_files(exports.files(spark, path), known).select(part)
+        return found | {"datasets": stash(run["datasets"].select("*", part), "imported-datasets"), "new": stash(fresh, "imported-new")}
+
+    return kept(spark, ("import", d), [f"{d}/{t}.parquet" for t in views.TABLES], make)
+
+
+def _digests(spark, d) -> DataFrame:
+    return works(spark, d).groupBy(F.col("state").alias("role")).agg(F.count(F.lit(1)).alias("last_seen_seq"), F.max("sanction_date").cast("timestamp").alias("cutoff"))
+
+
+def _datasets(spark, d) -> DataFrame:
+    """Datasets of works, which have been imported when their last work was sanctioned, and of allocations."""
+    own = works(spark, d).groupBy("dataset_id").agg(F.max("sanction_date").cast("timestamp").alias("ingested_at"), F.min("sanction_date").cast("timestamp").alias("created_at"))
+    others = views.view(spark, d, views.RAW_ALLOCATION).select("dataset_id").distinct().withColumn("ingested_at", F.lit("2030-01-01").cast("timestamp")).withColumn("created_at", F.col("ingested_at"))
+    return own.withColumn("dataset_type", F.lit("WORK_LEVEL")).unionByName(others.withColumn("dataset_type", F.lit("MP_ALLOCATION")))
+
+
 def _pairs(spark, d) -> DataFrame:
     return duplicates.duplicate_pairs(works(spark, d))
 
@@ -119,7 +163,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "import_summary": lambda s, d: imports.import_summary(_raw(s, d), imports.validate_works(_raw(s, d))).select("dataset_id", "total_rows", "error_rows", "warning_rows", "kept_rows", "grade", F.array_join("reasons", "; ").alias("reasons")),
         "field_summary": lambda s, d: imports.field_summary(imports.validate_works(_raw(s, d))),
         "quality_report": lambda s, d: imports.quality_report(imports.validate_works(_raw(s, d)), "DS0").select("row_number", "field", "rule", "severity"),
-        "records_page": lambda s, d: imports.records(_raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "payment_ref"), "DS1", 50, 100),
+        "records_page": lambda s, d: imports.records(_raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "payee"), "DS1", 50, 100),
+        "payments": lambda s, d: imports.payments(_raw(s, d)).select(*imports.KEYS, "work_id", "payment_ref", "amount", "unit", "paid_on", "payee", "stage"),
+        "legacy_rows": lambda s, d: imports.ingest_rows(views.over_works(s, d, views.LEGACY_WORKS))[0].select(*imports.KEYS, "work_id", "estimated_cost", "sanctioned_cost", "financial_progress", "latitude", "sanction_date", "implementing_agency"),
+        "legacy_missing": lambda s, d: imports.ingest_rows(views.over_works(s, d, views.LEGACY_WORKS))[1].select("field", F.col("count").alias("n")),
+        "import_run": lambda s, d: _imported(s, d)["summary"].select("part", "total_rows", "error_rows", "warning_rows", "kept_rows", "grade", F.array_join("reasons", "; ").alias("reasons"), "notes"),
+        "import_works": lambda s, d: _imported(s, d)["records"].select("part", "source_row_number", "work_id", "mp_name", "state", "sanctioned_cost", "latitude", "sanction_date", "status"),
+        "import_payments": lambda s, d: _imported(s, d)["payments"].select("part", "source_row_number", "payment_ref", "amount", "unit"),
+        "import_issues": lambda s, d: _imported(s, d)["issues"].select("part", "row_number", "field", "rule", "severity"),
+        "import_datasets": lambda s, d: _imported(s, d)["datasets"].select("part", "source_type", "version", "dataset_type", "schema_id", F.size("detected_columns").alias("n_detected"), F.array_join("unmapped_columns", ",").alias("unmapped")),
+        "import_new_files": lambda s, d: _imported(s, d)["new"],
+        "digest_ack": lambda s, d: _text(reporting.ack_digest(_digests(s, d), "ASIA", "2030-01-01", 7)),
+        "current_dataset": lambda s, d: _text(reporting.current_dataset(_datasets(s, d))),
         "validate_allocation": lambda s, d: imports.validate_allocation(imports.normalize_allocation(views.view(s, d, views.RAW_ALLOCATION))).select("dataset_id", "row_number", "field", "rule", "severity"),
         "validate_aggregate": lambda s, d: imports.validate_aggregate(imports.normalize_aggregate(views.view(s, d, views.RAW_AGGREGATE))).select("dataset_id", "row_number", "field", "rule", "severity"),
         "duplicate_pairs": lambda s, d: _pairs(s, d).select("dataset_id", "a_id", "b_id", "text_similarity", "location_distance_m", "category_match", "time_overlap", "vendor_match", "contextual_confidence", "combined_score"),
@@ -299,6 +354,29 @@ issues AS (
   UNION ALL SELECT dataset_id, source_row_number, 'latitude', 'invalid_coordinates', 'WARNING' FROM norm WHERE latitude NOT BETWEEN -90 AND 90
   UNION ALL SELECT dataset_id, source_row_number, 'work_id', 'duplicate_work_id', 'ERROR' FROM (
     SELECT *, min(source_row_number) OVER (PARTITION BY dataset_id, work_id) AS f FROM norm WHERE work_id IS NOT NULL) WHERE source_row_number > f)"""
+_FILES = f"""
+exports AS (
+  SELECT * REPLACE ((source_row_number % {views.FILES})::VARCHAR AS dataset_id, row_number() OVER (PARTITION BY source_row_number % {views.FILES} ORDER BY source_row_number) AS source_row_number) FROM raw_works)"""
+_IMPORTED = _RAW.replace("FROM raw_works", "FROM exports")
+_VALID = "NOT EXISTS (SELECT 1 FROM issues i WHERE i.severity = 'ERROR' AND i.dataset_id = n.dataset_id AND i.row_number = n.source_row_number)"
+_PAID = """
+paid AS (
+  SELECT dataset_id, source_row_number, trim(payment_ref) AS payment_ref, replace(payment_amount, ' Lakh', '')::DECIMAL(14,2) AS amount, CASE WHEN payment_amount LIKE '%Lakh' THEN 'LAKH' ELSE 'RUPEE' END AS unit,
+    paid_on::DATE AS paid_on, payee, regexp_replace(payment_stage, ' +', ' ', 'g') AS stage FROM {rows} WHERE payment_amount <> 'pending')"""
+_LEGACY = """
+legacy AS (
+  SELECT dataset_id, source_row_number, nullif(trim(workid), '') AS work_id, district, replace(estimated_cost, '₹ ', '')::DECIMAL(30,4) AS estimated_cost,
+    CASE WHEN sanctioned_cost = 'nil' THEN NULL WHEN sanctioned_cost LIKE '% L' THEN replace(sanctioned_cost, ' L', '')::DECIMAL(20,4) * 100000
+      WHEN sanctioned_cost LIKE '%cr' THEN replace(replace(sanctioned_cost, '₹', ''), 'cr', '')::DECIMAL(20,4) * 10000000 ELSE sanctioned_cost::DECIMAL(20,4) END::DECIMAL(30,4) AS sanctioned_cost,
+    financial_progress::DECIMAL(30,4) AS financial_progress, physical_progress::DECIMAL(30,4) AS physical_progress, latitude_dd::DECIMAL(20,4)::DECIMAL(30,4) AS latitude, sanction_date::DATE AS sanction_date FROM legacy_works)"""
+_SUMMED = """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL),
+b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL),
+c AS (SELECT dataset_id, rule, severity, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity),
+r AS (SELECT dataset_id, string_agg(reason, '; ' ORDER BY n DESC, rule, reason) AS reasons FROM c GROUP BY ALL),
+summed AS (
+  SELECT t.dataset_id, total_rows, coalesce(error_rows, 0) AS error_rows, coalesce(warning_rows, 0) AS warning_rows, total_rows - coalesce(error_rows, 0) AS kept_rows,
+    CASE WHEN error_rows IS NULL OR error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade,
+    coalesce(reasons, '') AS reasons FROM t LEFT JOIN b USING (dataset_id) LEFT JOIN r USING (dataset_id))"""
 _TOKENS = """
 tok AS (
   SELECT dataset_id, id, list_filter(string_split_regex(regexp_replace(lower(description), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 2 AND w NOT IN
@@ -349,7 +427,7 @@ _RATES = """round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp
 
 def _with(*parts: str) -> str:
     """WITH works AS (...), and the parts."""
-    views_ = {"raw_works": views.RAW_WORKS, "cases": views.CASES, "events_": views.CASE_EVENTS}
+    views_ = {"raw_works": views.RAW_WORKS, "legacy_works": views.LEGACY_WORKS, "cases": views.CASES, "events_": views.CASE_EVENTS}
     heads = [f"works AS MATERIALIZED ({views.sql(views.WORKS)})"]
     heads += [f"{n} AS ({views.sql(t).replace('FROM (' + views.sql(views.WORKS) + ') w', 'FROM works w')})" for n, t in views_.items() if any(n in p for p in parts)]
     return "WITH " + ",\n".join([*heads, *[p.strip() for p in parts[:-1]]]) + "\n" + parts[-1]
@@ -382,10 +460,18 @@ def oracle_sql() -> dict[str, str]:
         "import_grade": _with(_RAW, """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL)""",
             "SELECT dataset_id, total_rows, error_rows, warning_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade FROM t JOIN b USING (dataset_id) -- raw_works"),
         "issue_summary": _with(_RAW, "SELECT dataset_id, rule, severity, count(*) AS issues, count(DISTINCT row_number) AS rows, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity -- raw_works"),
-        "import_summary": _with(_RAW, """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL),
-            c AS (SELECT dataset_id, rule, severity, count(*) AS n, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity),
-            r AS (SELECT dataset_id, string_agg(reason, '; ' ORDER BY n DESC, rule, reason) AS reasons FROM c GROUP BY ALL)""",
-            "SELECT dataset_id, total_rows, error_rows, warning_rows, total_rows - error_rows AS kept_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade, reasons FROM t JOIN b USING (dataset_id) JOIN r USING (dataset_id) -- raw_works"),
+        "import_summary": _with(_RAW, _SUMMED, "SELECT * FROM summed -- raw_works"),
+        "payments": _with(_RAW, _PAID.format(rows="raw_works"), "SELECT dataset_id, source_row_number, work_id, payment_ref, amount, unit, paid_on, payee, stage FROM paid JOIN norm USING (dataset_id, source_row_number)"),
+        "legacy_rows": _with(_LEGACY, "SELECT dataset_id, source_row_number, work_id, estimated_cost, sanctioned_cost, financial_progress, latitude, sanction_date, NULL::VARCHAR AS implementing_agency FROM legacy WHERE work_id IS NOT NULL AND district IS NOT NULL AND sanctioned_cost IS NOT NULL AND physical_progress IS NOT NULL"),
+        "legacy_missing": _with(_LEGACY, "SELECT field, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field FROM legacy WHERE {c} IS NULL" for c in ("work_id", "district", "estimated_cost", "sanctioned_cost", "financial_progress", "physical_progress")) + ") GROUP BY field"),
+        "import_run": _with(_FILES, _IMPORTED, _SUMMED, "SELECT dataset_id AS part, * EXCLUDE (dataset_id), 0::BIGINT AS notes FROM summed"),
+        "import_works": _with(_FILES, _IMPORTED, f"SELECT dataset_id AS part, source_row_number, work_id, mp_name, n.state, sanctioned_amount::DECIMAL(14,2) AS sanctioned_cost, n.latitude::DECIMAL(10,7) AS latitude, n.sanction_date, coalesce(n.status, 'Unknown') AS status FROM norm n JOIN (SELECT dataset_id, source_row_number, mp_name FROM exports) USING (dataset_id, source_row_number) WHERE {_VALID}"),
+        "import_payments": _with(_FILES, _IMPORTED, _PAID.format(rows="exports"), f"SELECT dataset_id AS part, source_row_number, payment_ref, amount, unit FROM paid n WHERE {_VALID}"),
+        "import_issues": _with(_FILES, _IMPORTED, "SELECT dataset_id AS part, * EXCLUDE (dataset_id) FROM issues"),
+        "import_datasets": _with(_FILES, "SELECT DISTINCT dataset_id AS part, 'OFFICIAL_FILE_UPLOAD' AS source_type, 'import-001' AS version, 'WORK_LEVEL' AS dataset_type, 'work_level_v1' AS schema_id, 28::INT AS n_detected, 'Remarks' AS unmapped FROM exports"),
+        "import_new_files": _with(_FILES, "SELECT DISTINCT dataset_id AS part FROM exports WHERE dataset_id::INT >= 8"),
+        "digest_ack": _with("SELECT state AS role, CASE WHEN state = 'ASIA' THEN 7 ELSE count(*) END AS last_seen_seq, CASE WHEN state = 'ASIA' THEN '2030-01-01 00:00:00' ELSE strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') END AS cutoff FROM works GROUP BY state"),
+        "current_dataset": _with("SELECT dataset_id, strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') AS ingested_at, strftime(min(sanction_date), '%Y-%m-%d %H:%M:%S') AS created_at, 'WORK_LEVEL' AS dataset_type FROM works GROUP BY dataset_id ORDER BY ingested_at DESC, created_at DESC, dataset_id LIMIT 1"),
         "field_summary": _with(_RAW, "SELECT dataset_id, field, count(*) FILTER (rule LIKE 'missing\\_%' ESCAPE '\\') AS missing, count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (rule LIKE 'duplicate\\_%' ESCAPE '\\') AS duplicates FROM issues GROUP BY dataset_id, field -- raw_works"),
         "quality_report": _with(_RAW, "SELECT row_number, field, rule, severity FROM issues WHERE dataset_id = 'DS0' ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, row_number, rule, field LIMIT 100 -- raw_works"),
         "records_page": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, state, district, sanctioned_amount FROM norm WHERE dataset_id = 'DS1' ORDER BY source_row_number LIMIT 50 OFFSET 100 -- raw_works"),

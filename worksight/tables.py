@@ -36,9 +36,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path, which goes when the application ends."""
     fs, where = _file_system(spark, path)
     fs.deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def kept(spark: SparkSession, key: tuple, inputs: list[str], make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
