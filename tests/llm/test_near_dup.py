@@ -89,3 +89,10 @@ def test_estimates_follow_similarity():
             true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
             seen.append(near_dup.estimate(regs[:1], regs[1:], np.array([len(sets[0])]), np.array([len(sets[1])]))[0] - true)
         assert abs(np.mean(seen)) < 0.02 and np.max(np.abs(seen)) < 0.2
+
+
+def test_near_copies_of_each_text_of_a_repeated_id(spark):
+    base = {p: [f"{p}{k}" for k in range(60)] for p in "ab"}
+    rows = [(1, " ".join(base["a"])), (1, " ".join(base["b"])), (2, " ".join([*base["a"][:-1], "x"])), (3, " ".join([*base["b"][:-1], "y"])), (4, " ".join(f"c{k}" for k in range(60)))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]

@@ -133,17 +133,18 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), found, batch.column(2).slice(a, b - a)], ["id", "elements", "_to"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, hub = None, None
+        at, hubs = None, []  # rows of one doc_id may hold several sets
         for batch in batches:
             links = []
             for key, other, member, elements in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 own = np.frombuffer(elements.as_buffer(), np.uint64)
                 if not member:
-                    at, hub = key, own
+                    at, hubs = key, [*(hubs if at == key else []), own]
                 elif at == key:
-                    both = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
-                    if 100 * both >= percent * (len(hub) + len(own) - both):
-                        links.append((key, other))
+                    for hub in filter(len, hubs):
+                        both = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
+                        if 100 * both >= percent * (len(hub) + len(own) - both):
+                            links.append((key, other))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     made = source.mapInArrow(sets, "id long, elements binary, _to array<struct<a:bigint,part:int,member:int>>")
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sig = stash(sketches(docs, width), "near-sketches")
     sized = sig.filter("digest is not null and doc_id is not null")
     classes = stash(sized.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = sized.join(classes, (sized["digest"] == classes["digest"]) & (sized["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "regs")
-    reps = stash(reps.dropDuplicates(["rep", "n"]), "near-reps")
+    reps = sized.join(classes, (sized["digest"] == classes["digest"]) & (sized["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "regs", classes["digest"])
+    reps = stash(reps.dropDuplicates(["digest"]).drop("digest"), "near-reps")  # a rep whose rows hold different sets has a row for each
     # rows of one doc_id with different sets: those sets belong together
     same = sized.join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     twice = reps.groupBy("rep").count().filter("count > 1").limit(1).count() > 0
