@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edits, mixing, near_dup, pages, quality, secrets, sharding, toxicity, urls
+from . import decontaminate, dialogues, edits, importance, mixing, near_dup, packing, pages, quality, secrets, sharding, toxicity, urls
 from .common import read
 
 
@@ -55,6 +55,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return dialogues.repair(dialogues.damaged(turns), turns)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
@@ -67,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
+        "op11_dialogue_repair": op11_dialogue_repair,
+        "op12_importance": op12_importance,
+        "op13_packing": op13_packing,
     }
 
 

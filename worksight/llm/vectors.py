@@ -64,8 +64,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, A-Z lower-cased; with `most`, of its first bytes only."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int | None = None, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, A-Z lower-cased if `fold`; with `most`, of its first bytes only."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts if most is None else np.minimum(ends - starts, most)
@@ -75,5 +75,6 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int
     powers = np.full(int(lengths.max()), _POWER, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    values = BYTE_CODES[LOWER[data[np.repeat(starts, lengths) + inside]]] * powers[inside]
+    letters = data[np.repeat(starts, lengths) + inside]
+    values = BYTE_CODES[LOWER[letters] if fold else letters] * powers[inside]
     return mix64(np.add.reduceat(values, heads[:-1]) + lengths.astype(np.uint64))
