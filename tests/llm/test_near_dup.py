@@ -96,3 +96,23 @@ def test_near_copies_of_each_text_of_a_repeated_id(spark):
     rows = [(1, " ".join(base["a"])), (1, " ".join(base["b"])), (2, " ".join([*base["a"][:-1], "x"])), (3, " ".join([*base["b"][:-1], "y"])), (4, " ".join(f"c{k}" for k in range(60)))]
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_sets_of_one_id_are_counted_apart(spark):
+    """A document that shares one shingle only, beside a short one with the same id that has a near copy, hides no link of that one."""
+    short = [f"s{k}" for k in range(30)]
+    long = short[:2] + [f"l{k}" for k in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(short)), (1, " ".join(long)), (2, " ".join([*short[:-1], "other"]))], "doc_id long, text string")
+    held = spark.createDataFrame([(7, 1, 30, 1), (7, 1, 401, 1), (7, 2, 29, 2)], "key long, rep long, n long, comp long")
+    rows, sets = near_dup.linkable(docs, held, 2, 80)
+    assert {r["rep"] for r in rows.collect()} == {1, 2} and sets.count() == 3
+    assert {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(docs, width=2).collect()} == {(1, 1), (2, 1)}
+
+
+def test_long_texts_link_by_their_whole_sets(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    near = words[:55_000] + [f"x{k}" for k in range(5_000)] + words[60_000:]
+    far = words[:60_000] + [f"y{k}" for k in range(60_000)]
+    docs = spark.createDataFrame([(5, " ".join(words)), (6, " ".join(near)), (7, " ".join(far))], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(docs).collect()} == {(5, 5), (6, 5), (7, 7)}

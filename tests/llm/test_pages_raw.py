@@ -1,5 +1,7 @@
 """Nothing of a page is lost behind scripts and elements without end tags."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -33,3 +35,19 @@ def test_an_option_does_not_reach_to_a_later_one():
 
 def test_many_elements_without_end_tags_are_read_in_linear_time():
     assert text_of("<svg>" * 50_000 + ARTICLE) == "The whole article stands here."
+
+
+def test_quotes_without_end_leave_no_markup():
+    for n in (1, 3, 15, 16, 17, 40, 41):
+        page = "<body><article>" + "".join(f'<p title="it>broken {k}</p><p>Part {k} of the text.</p>' for k in range(n)) + "</article></body>"
+        text = "\n".join("".join(x) for _, x in pages.Page(page).runs)
+        assert "<" not in text and "title" not in text and f"Part {n - 1} of the text." in text, n
+    assert ["".join(x) for _, x in pages.Page("<p>kept</p><p class='no end").runs] == ["kept"]
+    assert ["".join(x) for _, x in pages.Page("<p title='a > b' id=\"it's\">kept</p>").runs] == ["kept"]
+
+
+def test_many_quotes_take_time_in_proportion():
+    page = "".join(f"<p a=\"{k}' b='>x" for k in range(60_000)) + "'"
+    began = time.process_time()
+    pages.Page(page)
+    assert time.process_time() - began < 20

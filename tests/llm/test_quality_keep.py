@@ -1,4 +1,4 @@
-"""Without labels to learn from, the quality stage keeps all documents."""
+"""Without labels that rank, the quality stage keeps all documents."""
 
 from worksight.llm import quality
 
@@ -6,7 +6,7 @@ from worksight.llm import quality
 def test_no_usable_labels_keep_everything(spark):
     docs = spark.createDataFrame([(i, f"the text number {i}") for i in range(20)] + [(None, None)], "doc_id long, text string")
     hidden = [i for i in range(20) if spark.range(1).select((quality.fold(quality.F.lit(i), 4) == 2).alias("x")).first().x][:3]
-    for rows in ([], [(i, 0) for i in hidden], [(1, None)], [(10_000, 1)]):
+    for rows in ([], [(i, 0) for i in hidden], [(1, None)], [(10_000, 1)], [(i, 0) for i in range(20)], [(i, 1) for i in range(20)]):
         labels = spark.createDataFrame(rows, "doc_id long, quality int")
         kept = quality.keep(docs, labels)
         assert kept.columns == docs.columns and kept.count() == 21

@@ -21,6 +21,12 @@ def lookup(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with other names for its columns that begin with `_`, as the operators' own do, and what these were called."""
+    names = {c: f"own {c}" for c in docs.columns if c.startswith("_")}
+    return docs.withColumnsRenamed(names) if names else docs, {n: c for c, n in names.items()}
+
+
 def az_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

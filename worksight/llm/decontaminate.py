@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, az_lower, stash
+from .common import BROADCAST_BYTES, az_lower, set_aside, stash
 
 #: A word is a run of letters a-z, digits and everything beyond ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -65,17 +65,23 @@ def found(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     only matching anchors leave it. Each is verified on the words around it: runs of at least a window's width count.
     Anchors beyond BROADCAST_BYTES are broadcast in several sets, by item, each for a scan of its own."""
     spots = stash(anchors(benchmark, window).withColumnRenamed("at", "_at"), "anchors")
-    size = spots.agg(F.sum(F.length(F.concat_ws(" ", "near")) + 60)).first()[0] or 0
+    length = F.length(F.concat_ws(" ", "near")) + 60
+    pairs, alone = F.col("second").isNotNull(), F.col("second").isNull()
+    size, single = spots.agg(F.coalesce(F.sum(F.when(pairs, length)), F.lit(0)), F.coalesce(F.sum(F.when(alone, length)), F.lit(0))).first()
     sets = 1 + size // BROADCAST_BYTES
-    parts = [met(docs, spots if sets == 1 else spots.filter(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k)) for k in range(sets)]
+    parts = [met(docs, spots.filter(pairs if sets == 1 else pairs & (F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k)), True) for k in range(sets)]
+    # items of a single word meet that word, in sets of their own; mostly there are none
+    sets = 1 + single // BROADCAST_BYTES if single else 0
+    parts += [met(docs, spots.filter(alone if sets == 1 else alone & (F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k)), False) for k in range(sets)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def met(docs: DataFrame, spots: DataFrame) -> DataFrame:
+def met(docs: DataFrame, spots: DataFrame, pairs: bool) -> DataFrame:
+    """The runs at anchors of one set: pairs are looked up by both words as one key, so a frequent first word leads to no long list."""
     pieces = docs.select("_row", words(F.col("text")).alias("_words"))
     spread = pieces.select("_row", "_words", F.posexplode("_words").alias("_pos", "_word"))
     key, after = F.lower("_word") == F.lower("first"), F.lower(F.get("_words", F.col("_pos") + 1))
-    hits = spread.join(F.broadcast(spots), key & (F.col("second").isNull() | (after == F.lower("second"))))
+    hits = spread.join(F.broadcast(spots), key & (after == F.lower("second")) if pairs else key)
     # the words near the anchor lie over the document's from place _pos - _at on
     low = F.greatest(F.lit(0), F.col("_at") - F.col("_pos"))
     high = F.least(F.size("near"), F.col("_at") - F.col("_pos") + F.size("_words"))
@@ -119,6 +125,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """The columns of docs plus n_words, n_hit (words inside an occurrence of a window), items (sorted ids, as strings),
     n_items and contaminated, a row for each row of docs. Null and empty texts have no words; benchmark items without
     words have no windows; items with equal texts all count; an empty benchmark hits nothing."""
+    docs, names = set_aside(docs)
     keyed = with_key(docs)
     hits = by_text(keyed, benchmark, window)
     size = hits.agg(F.sum(F.length(F.concat_ws(",", "items")) + 40)).first()[0] or 0
@@ -126,21 +133,23 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "n_items", "contaminated")]
     out = with_hits(keyed.select(*own, "_row", n_words(words(F.col("text"))).alias("n_words")), hits, size, "left")
     return out.select(
-        *own, "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
+        *[F.col(c).alias(names.get(c, c)) for c in own], "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), F.col("_hit").isNotNull().alias("contaminated"),
     )
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the rows in which any window of the benchmark occurs. Columns stay as they are."""
+    docs, names = set_aside(docs)
     keyed = with_key(docs)
     hits = by_text(keyed, benchmark, window).select("_row")
-    return with_hits(keyed, hits, hits.count() * 40, "left_anti").select(*docs.columns)
+    return with_hits(keyed, hits, hits.count() * 40, "left_anti").select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the words that windows cover cut out of text, each with the gap before it. Other columns stay as they are; null and
     empty texts stay too, and an empty table gives an empty result."""
+    docs, names = set_aside(docs)
     keyed = with_key(docs)
     hits = by_text(keyed, benchmark, window).select("_row", F.col("pos").alias("_hit"))
     size = hits.agg(F.sum(F.size("_hit") * 8 + 40)).first()[0] or 0
@@ -148,4 +157,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     kept = F.transform(own, lambda w, i: F.when(F.array_contains("_hit", i), F.lit("")).otherwise(F.concat(F.get("_gaps", i), w)))
     cut = F.concat(F.array_join(kept, ""), F.element_at("_gaps", -1))
     out = with_hits(keyed, hits, size, "left").withColumn("_gaps", gaps).withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(cut))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns])

@@ -251,7 +251,8 @@ def linkable(docs: DataFrame, held: DataFrame, width: int, percent: int) -> tupl
         for batch in batches:
             for a, b, data, offsets in byte_slices(batch.column(1)):
                 found = [s.view(np.int64) for s in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], ["rep", "elements"])
+                digest = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digest, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rep", "own", "elements"])
 
     def apart(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "key")
@@ -260,12 +261,13 @@ def linkable(docs: DataFrame, held: DataFrame, width: int, percent: int) -> tupl
     ids = stash(held.select("rep").distinct(), "near-apart-ids")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_PAIRS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(side, "rep").select("rep", "text")
-    elements = stash(texts.mapInArrow(sets, "rep long, elements array<bigint>").filter(F.size("elements") > 0), "near-apart-sets")
-    each = elements.select("rep", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    # rows of one doc_id may hold several sets, so what is counted is counted by set
+    elements = stash(texts.mapInArrow(sets, "rep long, own long, elements array<bigint>").filter(F.size("elements") > 0), "near-apart-sets")
+    each = elements.select("rep", "own", F.size("elements").alias("n"), F.explode("elements").alias("e"))
     shared = each.groupBy("e").agg(F.count("rep").alias("c")).filter("c > 1").select("e")
-    enough = each.join(shared, "e").groupBy("rep").agg(F.count("e").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 100 >= F.col("n") * percent)
-    held = stash(apart(held.join(enough.select("rep"), "rep", "left_semi")), "near-apart")
-    return held, elements
+    enough = each.join(shared, "e").groupBy("rep", "own").agg(F.count("e").alias("m"), F.max("n").alias("n")).filter(F.col("m") * 100 >= F.col("n") * percent)
+    held = stash(apart(held.join(enough.select("rep").distinct(), "rep", "left_semi")), "near-apart")
+    return held, elements.drop("own")
 
 
 def merged(labels: np.ndarray, x: int, others: np.ndarray) -> None:

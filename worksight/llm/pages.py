@@ -41,8 +41,7 @@ _STEMS = [(stem, k) for k, words in enumerate(LEXICON.values()) for stem in word
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details".split()
 _TAG = {t: k for k, t in enumerate(TAGS)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-#: The rest of a tag: up to the first `>` outside quotes or, once a page has had OPEN_TAGS tags that so never end, the first of all.
-_REST, _PLAIN, OPEN_TAGS = re.compile(r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S), re.compile(r"([^>]*)>", re.S), 16
+_ENDS = re.compile("[>\"']")
 #: Where the content of a RAW element ends: at its end tag. An option, whose end tag may be left out, ends before what can't be in it.
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 _RAW_END["option"] = re.compile(rf"</option(?=[\s/>]|\Z)[^>]*(?:>|\Z)|(?=</?(?:option|optgroup|select|datalist|body|html|{'|'.join(sorted(CLOSES_P | set(ENDS)))})[\s/>])", re.I)
@@ -69,6 +68,27 @@ def kinds_of(attributes: str) -> tuple[int, ...]:
     return _memo[attributes]
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first `>` outside quotes or, where a quote has no end, at the first of all. Quotes from which no
+    end is reached are remembered, so a page is looked through once however many there are."""
+
+    def __init__(self, source: str):
+        self.source, self.lost = source, {source.rfind(q) for q in "\"'"}
+
+    def of(self, at: int) -> int:
+        """The place of the `>` of the tag whose name ends before `at`; -1 if none is left."""
+        seen, look = [], at
+        while m := _ENDS.search(self.source, look):
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            if m.start() in self.lost:
+                break
+            look = self.source.find(m[0], m.end()) + 1
+        self.lost.update(seen)
+        return self.source.find(">", at)
+
+
 class Page:
     """The tree of a page's block elements: parallel lists by node. Text runs belong to the innermost block element."""
 
@@ -77,7 +97,7 @@ class Page:
         self.chars, self.link_chars, self.stops, self.elements, self.controls = [0], [0], [0], [1], [0]
         self.runs: list[tuple[int, list[str]]] = []  # node, pieces
         stack: list[tuple[str, int]] = [("html", 0)]
-        at, links, fresh, look, unended, opened = 0, 0, True, 0, 0, Counter()
+        at, links, fresh, look, opened, ends = 0, 0, True, 0, Counter(), TagEnds(source)
 
         def text(piece: str) -> None:
             nonlocal fresh
@@ -104,18 +124,15 @@ class Page:
 
         endless: set[str] = set()
         while m := _TOKEN.search(source, look):
-            rest = None
-            if m[2]:
-                if unended < OPEN_TAGS and not (rest := _REST.match(source, m.end())):
-                    unended, look = unended + 1, m.end()  # no tag but text
-                    continue
-                if not rest and not (rest := _PLAIN.match(source, m.end())):
-                    break  # no `>` is left
             if m.start() > at:
                 text(source[at : m.start()])
-            at = look = (rest or m).end()
             if not m[2]:
+                at = look = m.end()
                 continue
+            if (end := ends.of(m.end())) < 0:
+                at = len(source)  # a tag that the page breaks off in is no text
+                break
+            rest, at, look = source[m.end() : end], end + 1, end + 1
             name = m[2].lower()
             if m[1]:
                 for k in range(len(stack) - 1 if opened[name] else 0, 0, -1):
@@ -127,7 +144,7 @@ class Page:
             self.elements[node] += 1
             if name in RAW:
                 self.controls[node] += name in ("select", "textarea", "option")
-                if not rest[1].endswith("/") and name not in endless:
+                if not rest.endswith("/") and name not in endless:
                     if end := _RAW_END[name].search(source, at):
                         at = look = end.end()
                     else:  # the element ends at once, and so do all later ones of its name
@@ -163,7 +180,7 @@ class Page:
             self.tag.append(name)
             self.parent.append(node)
             self.depth.append(self.depth[node] + 1)
-            self.kinds.append(kinds_of(rest[1]) if rest[1] else ())
+            self.kinds.append(kinds_of(rest) if rest else ())
             self.children.append([])
             self.children[node].append(len(self.tag) - 1)
             for column, value in ((self.chars, 0), (self.link_chars, 0), (self.stops, 0), (self.elements, 1), (self.controls, 0)):

@@ -147,10 +147,10 @@ def rank(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that are predicted 0; all of docs if no label is usable, since nothing was judged bad. Columns
-    stay as they are."""
+    """docs without the rows that are predicted 0; all of docs if usable labels are missing or all of one kind, as they rank
+    nothing then. Columns stay as they are."""
     model = train(docs, labels, sample)
-    if model.get("constant") == 0.5:  # labels of one kind make 0 or 1
+    if "constant" in model:
         return docs
     own = {c: f"_own_{k}" if c in ("score", "predicted") else c for k, c in enumerate(docs.columns)}
     judged = score(docs.withColumnsRenamed({c: n for c, n in own.items() if n != c}), model).filter("predicted = 1")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 #: The kinds in order of listing: name, pattern, and the group and length that a match needs to stand.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}", 0, 16))
@@ -112,7 +114,9 @@ def of_kind(kind: int):
 def scan(docs: DataFrame) -> DataFrame:
     """The columns of docs plus base and spans: arrays of (start, kind, end, text) in order of start and kind (0 assign,
     1 access, 2 hex, 3 entropy). spans holds base and what entropy adds beside it: a candidate that overlaps no base span,
-    is on no allow-list and has a window with the bits that its class needs. A null or empty text has none."""
+    is on no allow-list and has a window with the bits that its class needs. A null or empty text has none; repeated rows
+    are scanned as they are; an empty table gives an empty result; columns called base or spans are replaced, all others stay."""
+    docs, names = set_aside(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.withColumn("_text", text)
     parts = []
@@ -128,7 +132,7 @@ def scan(docs: DataFrame) -> DataFrame:
         fresh = F.filter(fresh, isn_t(pattern))
     fresh = F.filter(fresh, lambda x: best_entropy(x["text"]) >= needed(x["text"]))
     out = out.withColumn("spans", F.array_sort(F.concat(F.col("base"), fresh)))
-    return out.select(*[F.col(c) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
+    return out.select(*[F.col(c).alias(names.get(c, c)) for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 
 
 def written(spans: Column) -> Column:
