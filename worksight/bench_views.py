@@ -88,6 +88,16 @@ SELECT 'K' || cast(o_orderkey AS string) || '-' || cast(k AS string) AS case_id,
 FROM {orders} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) t WHERE o_orderkey % 37 = 0 AND (k = 1 OR o_orderkey % 74 = 0)
 """
 
+#: What else a report on a case holds: its events, and notes.
+REPORT_EVENTS = """
+SELECT 'K' || cast(user_id * 37 AS string) || '-1' AS case_id, 'E' || cast(event_id AS string) AS event_id, event_id AS seq, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'OPEN' END AS from_status,
+  CASE WHEN event_id % 3 = 0 THEN 'RESOLVED' ELSE 'UNDER_REVIEW' END AS to_status, CASE WHEN event_id % 10 = 0 THEN date_trunc('hour', cast(ts AS timestamp)) ELSE cast(ts AS timestamp) END AS created_at FROM {events}
+"""
+REPORT_NOTES = """
+SELECT 'K' || cast(user_id * 37 AS string) || '-1' AS case_id, 'N' || cast(event_id AS string) AS note_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'officer ' || cast(event_id % 5 AS string) END AS author_id,
+  'seen on site: ' || props AS body, cast(ts AS timestamp) AS created_at FROM {events} WHERE event_id % 3 = 0
+"""
+
 TRUTH = """
 SELECT cast(o_orderkey AS string) AS record_id, o_orderkey % 23 = 0 AS injected, CASE WHEN o_orderkey % 23 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'gap' ELSE 'cost' END END AS anomaly_type,
   CASE WHEN o_orderkey % 2 = 0 THEN 'FIN_PHYS_GAP' ELSE 'COST_ANOMALY' END AS expected_detector FROM {orders}

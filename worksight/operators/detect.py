@@ -43,7 +43,10 @@ def quality_signals(works: DataFrame) -> DataFrame:
     issues = quality_issues(works)
     titles = F.create_map(*[F.lit(x) for pair in _TITLES.items() for x in pair])
     shown = F.coalesce("observed", F.lit("missing"))
-    return make_signals(issues, "DATA_QUALITY", F.col("severity"), titles[F.col("rule")], "DATA_QUALITY", {"value": F.col("observed")}, {}, {"field": F.col("field"), "rule": F.col("rule")}, [evidence(F.col("field"), shown, "expected", None, F.col("rule"), engine="quality", version="v1")])
+    why = F.concat(F.lit("Field "), F.col("field"), F.lit(" of the source record holds "), shown, F.lit("; rule "), F.col("rule"), F.lit("."))
+    return make_signals(issues, "DATA_QUALITY", F.col("severity"), titles[F.col("rule")], "DATA_QUALITY", {"value": F.col("observed")}, {}, {"field": F.col("field"), "rule": F.col("rule")}, [
+        evidence(F.col("field"), shown, "expected", None, F.col("rule"), engine="quality", version="v1")
+    ], explanation=why)
 
 
 def quality_status(works: DataFrame, issues: DataFrame) -> DataFrame:
@@ -113,6 +116,11 @@ def _level(value: Column, trigger: float, critical: float) -> Column:
     return F.when(value >= critical, "CRITICAL").when(value >= trigger, "HIGH")
 
 
+def _whole(value: Column) -> Column:
+    """A decimal to the next whole number, halves to the even one, for `%.0f`."""
+    return F.bround(value, 0).cast("double")
+
+
 def _beside(works: DataFrame, metrics: DataFrame) -> DataFrame:
     return works.join(metrics.withColumnRenamed("project_id", "id"), ["dataset_id", "id"])
 
@@ -120,43 +128,49 @@ def _beside(works: DataFrame, metrics: DataFrame) -> DataFrame:
 def cost_anomaly(works: DataFrame, peers: DataFrame) -> DataFrame:
     df = _beside(works, peers)
     dev, cost, median = F.col("cost_deviation_pct"), F.col("sanctioned_cost"), F.col("peer_median_cost")
-    title = F.format_string("Cost %s is %+.0f%% vs peer median", fmt_lakh(cost), dev.cast("double"))
+    title = F.format_string("Cost %s is %+.0f%% vs peer median", fmt_lakh(cost), _whole(dev))
+    why = F.format_string("The sanctioned cost of %s is %+.0f%% off %s, the median of %d other works of its district and category; three quarters of them cost %s at most.", fmt_lakh(cost), _whole(dev), fmt_lakh(median), "peer_count", fmt_lakh(F.col("peer_p75_cost")))
+    sums = F.format_string("(%.0f - %.0f) / %.0f x 100 = %+.1f%%", _whole(cost), _whole(median), _whole(median), dev.cast("double"))
     return make_signals(df, "COST_ANOMALY", _level(dev, DEVIATION_TRIGGER, DEVIATION_CRITICAL), title, "RULE", {"sanctioned_cost": cost}, {"peer_median": median, "peer_p75": F.col("peer_p75_cost")}, {"deviation_pct": dev}, [
-        evidence("sanctioned_cost", fmt_lakh(cost), "peer median (district+category)", fmt_lakh(median), F.format_string("(%s - %s) / %s x 100 = %s%%", cost.cast("string"), median.cast("string"), median.cast("string"), dev.cast("string")), rule="COST_ANOMALY", threshold_pct=str(DEVIATION_TRIGGER))
-    ])
+        evidence("sanctioned_cost", fmt_lakh(cost), "peer median (district+category)", fmt_lakh(median), sums, rule="COST_ANOMALY", threshold_pct=str(DEVIATION_TRIGGER))
+    ], explanation=why)
 
 
 def progress_gap(works: DataFrame) -> DataFrame:
     gap = F.col("financial_progress") - F.col("physical_progress")
-    title = F.format_string("Financial vs physical gap %+.0f pp", gap.cast("double"))
+    title = F.format_string("Financial vs physical gap %+.0f pp", _whole(gap))
+    done = [_whole(F.col(c)) for c in ("financial_progress", "physical_progress")]
+    why = F.format_string("%.0f%% of the money is spent and %.0f%% of the work is done, %+.0f points apart.", *done, _whole(gap))
     return make_signals(works, "FIN_PHYS_GAP", _level(gap, GAP_TRIGGER, GAP_CRITICAL), title, "RULE", {"financial_pct": F.col("financial_progress"), "physical_pct": F.col("physical_progress")}, {"expected": "financial = physical progress"}, {"gap_pp": gap}, [
-        evidence("progress (financial / physical)", F.format_string("%.0f%% / %.0f%%", F.col("financial_progress").cast("double"), F.col("physical_progress").cast("double")), "expected", F.lit("financial = physical"), F.format_string("%+.0f pp", gap.cast("double")), rule="FIN_PHYS_GAP", threshold_pp=str(GAP_TRIGGER))
-    ])
+        evidence("progress (financial / physical)", F.format_string("%.0f%% / %.0f%%", *done), "expected", F.lit("financial = physical"), F.format_string("%+.0f pp", _whole(gap)), rule="FIN_PHYS_GAP", threshold_pp=str(GAP_TRIGGER))
+    ], explanation=why)
 
 
 def delay(works: DataFrame, metrics: DataFrame) -> DataFrame:
     df = _beside(works.drop("expected_duration_days"), metrics)
     days = F.col("delay_days")
+    why = F.format_string("%d days have passed since the sanction of a work that was to take %d, %d days more.", "elapsed_days", "expected_duration_days", days)
     return make_signals(df, "DELAY", _level(days, DELAY_TRIGGER, DELAY_CRITICAL), F.format_string("Delay of %d days", days), "RULE", {"elapsed_days": F.col("elapsed_days")}, {"expected_days": F.col("expected_duration_days")}, {"delay_days": days}, [
         evidence("duration (elapsed / expected)", F.format_string("%dd / %dd", "elapsed_days", "expected_duration_days"), "expected duration", F.format_string("%dd", "expected_duration_days"), F.format_string("%d - %d = +%dd", "elapsed_days", "expected_duration_days", days), rule="DELAY", threshold_days=str(DELAY_TRIGGER))
-    ])
+    ], explanation=why)
 
 
-def _first_term(c: Column, table) -> Column:
-    """struct<code, label, term, severity, basis> of the first entry, in order, whose first term, in order, stands in the text
-    between word bounds. Runs of other characters than letters and blanks part the text and leave their blanks."""
-    plain = F.trim(F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z ]+"), F.lit(0)), " "))
-    entries = F.array(*[
-        F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), F.lit(t).alias("term"), F.lit(severity).alias("severity"), F.lit(basis).alias("basis"))
+def _first_term(plain: Column, table) -> Column:
+    """struct<code, label, term, severity, basis> of the first entry, in order, whose first term, in order, stands in the plain text
+    between word bounds. Each pattern is a literal, so it is compiled once a task."""
+    return F.coalesce(*[
+        F.when(plain.rlike(rf"\b{t}\b"), F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), F.lit(t).alias("term"), F.lit(severity).alias("severity"), F.lit(basis).alias("basis")))
         for code, label, terms, severity, basis in table for t in terms
     ])
-    # a one-element array, so that the plain text is made once
-    return F.get(F.transform(F.array(plain), lambda text: F.get(F.filter(entries, lambda e: F.rlike(text, F.concat(F.lit(r"\b"), e["term"], F.lit(r"\b")))), F.lit(0))), F.lit(0))
 
 
 def _findings(works: DataFrame, column: str, kind: str, table) -> DataFrame:
-    hit = works.select("dataset_id", "id", F.col(column).alias("observed"), _first_term(F.col(column), table).alias("f"))
-    return hit.filter("f is not null").select("dataset_id", "id", F.lit(kind).alias("kind"), "observed", "f.*")
+    """Runs of other characters than letters and blanks part a text and leave their blanks. One pattern of all terms tells the few texts
+    with a finding; which term comes first is looked for in these."""
+    plain = F.trim(F.array_join(F.regexp_extract_all(F.lower(column), F.lit("[a-z ]+"), F.lit(0)), " "))
+    some = rf"\b(?:{'|'.join(t for _, _, terms, *_ in table for t in terms)})\b"
+    hit = works.select("dataset_id", "id", F.col(column).alias("observed"), plain.alias("_plain")).filter(F.col("_plain").rlike(some))
+    return hit.select("dataset_id", "id", F.lit(kind).alias("kind"), "observed", _first_term(F.col("_plain"), table).alias("f")).select("dataset_id", "id", "kind", "observed", "f.*")
 
 
 def category_findings(works: DataFrame) -> DataFrame:
@@ -174,9 +188,10 @@ def compliance_findings(works: DataFrame) -> DataFrame:
 def compliance_signals(works: DataFrame) -> DataFrame:
     df = compliance_findings(works)
     title = F.concat(F.lit("Compliance indicator: "), F.col("label"))
+    why = F.concat(F.lit("The "), F.lower("kind"), F.lit(" text holds the term "), F.col("term"), F.lit(", which "), F.col("basis"), F.lit(" of the guidelines is about."))
     return make_signals(df, "COMPLIANCE", F.col("severity"), title, "RULE", {"text": F.col("observed"), "matched_term": F.col("term")}, {"guideline": F.col("basis")}, {"code": F.col("code"), "kind": F.col("kind")}, [
         evidence(F.lower("kind"), F.col("observed"), "guideline", F.col("basis"), F.concat(F.lit("matched term: "), F.col("term")), rule="COMPLIANCE")
-    ])
+    ], explanation=why)
 
 
 def agency_share(works: DataFrame) -> DataFrame:
@@ -200,6 +215,7 @@ def agency_concentration(works: DataFrame) -> DataFrame:
     own = works.filter(F.col("sanctioned_cost") > 0).withColumn("agency", F.trim("implementing_agency")).select("dataset_id", "id", "district", "agency")
     df = own.join(heavy, ["dataset_id", "district", "agency"])
     share = F.round("share_pct", 1)
+    why = F.format_string("%d of %d works of the district, %.1f%% of their sanctioned value, are with one agency.", "agency_works", "district_works", share)
     return make_signals(df, "AGENCY_CONCENTRATION", _level(F.col("share_pct"), AGENCY_TRIGGER, AGENCY_CRITICAL), F.format_string("Agency holds %.0f%% of district sanctioned value", "share_pct"), "RULE", {"agency": F.col("agency"), "agency_works": F.col("agency_works"), "share_pct": share}, {"district": F.col("district"), "district_works": F.col("district_works")}, {"excess_share_pct": F.round(F.col("share_pct") - AGENCY_TRIGGER, 1)}, [
         evidence("agency share", share, "threshold", F.lit(AGENCY_TRIGGER), F.format_string("%s / %s", F.col("agency_total").cast("string"), F.col("district_total").cast("string")), rule="AGENCY_CONCENTRATION")
-    ])
+    ], explanation=why)

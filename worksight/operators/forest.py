@@ -140,4 +140,6 @@ def ml_signals(scores: DataFrame) -> DataFrame:
     df = scores.withColumnRenamed("project_id", "id")
     s = F.col("ml_anomaly_score")
     severity = F.when(s <= ANOMALY_HIGH, "HIGH").when(s < ANOMALY_TRIGGER, "MEDIUM")
-    return make_signals(df, "ML_ANOMALY", severity, F.format_string("Statistically unusual profile (score %.3f)", s), "ML", {"score": s}, {"trigger": str(ANOMALY_TRIGGER)}, {"score": s}, [evidence("isolation forest score", s, "trigger", F.lit(ANOMALY_TRIGGER), None, model="iforest-v1")], version="iforest-v1")
+    return make_signals(df, "ML_ANOMALY", severity, F.format_string("Statistically unusual profile (score %.3f)", s), "ML", {"score": s}, {"trigger": str(ANOMALY_TRIGGER)}, {"score": s}, [
+        evidence("isolation forest score", s, "trigger", F.lit(ANOMALY_TRIGGER), None, model="iforest-v1")
+    ], version="iforest-v1", explanation=F.format_string("Cost, progress, delay, spending and likeness together set the work apart from others of its dataset (score %.4f).", s))

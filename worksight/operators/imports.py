@@ -213,12 +213,29 @@ def import_summary(df: DataFrame, issues: DataFrame, notes: DataFrame | None = N
     return out.join(notes.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("notes")), "dataset_id", "left").na.fill(0, ["notes"])
 
 
-def quality_report(issues: DataFrame, dataset_id: str, limit: int = 100) -> DataFrame:
-    """A dataset's issues, the gravest first, then by row; `limit` rows of them."""
-    rank = F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)
+def quality_report(issues: DataFrame, dataset_id: str, limit: int = 200, gravest_first: bool = True) -> DataFrame:
+    """A dataset's issues, the gravest first, then by row; `limit` rows of them. gravest_first false: severities backwards as texts, so WARNING, INFO, ERROR."""
+    rank = F.when(F.col("severity") == "ERROR", 0).when(F.col("severity") == "WARNING", 1).otherwise(2) if gravest_first else F.desc("severity")
     return issues.filter(F.col("dataset_id") == dataset_id).orderBy(rank, "row_number", "rule", "field").limit(limit)
 
 
+def quality_totals(df: DataFrame, issues: DataFrame, found: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """A row for each dataset beside its report: total_rows, valid_rows, warning_rows, error_rows, quality_status (the grade), reasons, notes,
+    issue_count, detection_issue_count (DATA_QUALITY signals of the dataset that a detection run has found), and maps from field to count: missing_field_counts,
+    invalid_field_counts, duplicate_counts."""
+    out = import_summary(df, issues, notes).withColumnRenamed("grade", "quality_status").withColumnRenamed("kept_rows", "valid_rows")
+    fields = field_summary(issues)
+    of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("field", c)))))
+    fields = fields.groupBy("dataset_id").agg(of("missing").alias("missing_field_counts"), of("invalid").alias("invalid_field_counts"), of("duplicates").alias("duplicate_counts"))
+    out = out.join(fields, "dataset_id", "left").join(issues.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("issue_count")), "dataset_id", "left")
+    if found is None:
+        out = out.withColumn("detection_issue_count", F.lit(0).cast("long"))
+    else:
+        raised = found.filter("signal_type = 'DATA_QUALITY' and triggered").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("detection_issue_count"))
+        out = out.join(raised, "dataset_id", "left")
+    return out.na.fill(0, ["issue_count", "detection_issue_count"])
+
+
 def records(df: DataFrame, dataset_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of a dataset's rows in source order, without columns that are null throughout the dataset."""
     own = df.filter(F.col("dataset_id") == dataset_id)

@@ -16,7 +16,7 @@ ACTIONS = {
     "AGENCY_CONCENTRATION": "Review the agency's whole portfolio in the district.",
     "DATA_QUALITY": "Correct the source record and validate the dataset again.",
 }
-COLUMNS = ("dataset_id", "project_id", "signal_type", "severity", "triggered", "title", "source_type", "source_version", "contextual_confidence", "observed", "reference", "difference", "recommended_action", "evidence")
+COLUMNS = ("dataset_id", "project_id", "signal_type", "severity", "triggered", "title", "explanation", "source_type", "source_version", "contextual_confidence", "observed", "reference", "difference", "recommended_action", "evidence")
 
 
 def as_map(values: dict[str, Column | str]) -> Column:
@@ -33,11 +33,13 @@ def evidence(field: str | Column, value: Column, label: str, reference: Column |
 
 
 def make_signals(
-    df: DataFrame, kind: str, severity: Column, title: Column, source: str, observed: dict, reference: dict, difference: dict, rows: list[Column], confidence: Column | None = None, version: str = VERSION
+    df: DataFrame, kind: str, severity: Column, title: Column, source: str, observed: dict, reference: dict, difference: dict, rows: list[Column], confidence: Column | None = None, version: str = VERSION,
+    explanation: Column | None = None,
 ) -> DataFrame:
-    """A triggered signal for each row of df (dataset_id, id). severity null: no signal."""
+    """A triggered signal for each row of df (dataset_id, id). severity null: no signal. explanation: a sentence with the figures behind the title."""
     return df.withColumn("_severity", severity).filter("_severity is not null").select(
         "dataset_id", F.col("id").alias("project_id"), F.lit(kind).alias("signal_type"), F.col("_severity").alias("severity"), F.lit(True).alias("triggered"), title.alias("title"),
+        (explanation if explanation is not None else title).alias("explanation"),
         F.lit(source).alias("source_type"), F.lit(version).alias("source_version"), (confidence if confidence is not None else F.lit(None).cast("string")).alias("contextual_confidence"),
         as_map(observed).alias("observed"), as_map(reference).alias("reference"), as_map(difference).alias("difference"), F.lit(ACTIONS[kind]).alias("recommended_action"), F.array(*rows).alias("evidence"),
     )

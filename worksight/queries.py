@@ -114,7 +114,7 @@ def _chain(spark, d) -> DataFrame:
 
     return own.select(
         F.col("case_id").alias("chain_id"), F.row_number().over(Window.partitionBy("case_id").orderBy("seq")).cast("long").alias("seq"), F.col("to_status").alias("action"), F.lit("officer").alias("actor_id"),
-        F.lit("case").alias("entity_type"), F.col("case_id").alias("entity_id"), F.concat(F.lit('{"n":'), F.col("seq").cast("string"), F.lit("}")).alias("payload"), F.col("seq").cast("string").alias("created_at"),
+        F.lit('"case"\x1f').alias("entity_type"), F.col("case_id").alias("entity_id"), F.format_string('{"n": %d, "a": {"y": 1.50, "x": "\\u000B"}}', "seq").alias("payload"), F.col("seq").cast("string").alias("created_at"),
     )
 
 
@@ -127,6 +127,29 @@ def _broken(spark, d) -> DataFrame:
     return own.filter(~(ends("5") & (F.col("seq") == 2)))
 
 
+def _texts(spark, d) -> DataFrame:
+    """The signals of the three rules that compare figures, each with an id."""
+    w = works(spark, d)
+    found = detect.cost_anomaly(w, detect.peer_stats(w)).unionByName(detect.progress_gap(w)).unionByName(detect.delay(w, detect.work_metrics(w, TODAY)))
+    return found.withColumn("signal_id", F.concat_ws("-", "project_id", "signal_type"))
+
+
+def _manifest(spark, d) -> DataFrame:
+    """Manifests of all cases, with these signals dated by the sanction of their works."""
+    dated = works(spark, d).select("dataset_id", F.col("id").alias("project_id"), F.col("sanction_date").cast("timestamp").alias("created_at"))
+    found = stash(_texts(spark, d).join(views.view(spark, d, views.CASES).select("project_id").distinct(), "project_id", "left_semi").join(dated, ["dataset_id", "project_id"]), "manifest-signals")
+    rows = found.select("signal_id", F.posexplode("evidence").alias("place", "e")).select(F.concat_ws("-", "signal_id", "place").alias("evidence_id"), "signal_id", "place", "e.*")
+    return audit.manifest(audit.manifest_items(views.view(spark, d, views.CASES), found, rows, views.view(spark, d, views.REPORT_EVENTS), views.view(spark, d, views.REPORT_NOTES)))
+
+
+def _quality(spark, d) -> DataFrame:
+    raw = _raw(spark, d)
+    found = detect.quality_signals(works(spark, d))
+    out = imports.quality_totals(raw, imports.validate_works(raw), found)
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
+    return out.select("dataset_id", "quality_status", "total_rows", "valid_rows", "warning_rows", "error_rows", "issue_count", "detection_issue_count", flat("missing_field_counts"), flat("invalid_field_counts"), flat("duplicate_counts"))
+
+
 def _patterns(spark) -> DataFrame:
     rows = [("P1", "FIN_PHYS_GAP", ["W-3", "W-9"]), ("P2", "COST_ANOMALY", ["W-4"]), ("P3", "COMPLIANCE", ["W-41"]), ("P4", "DELAY", []), ("P5", "AGENCY_CONCENTRATION", ["W-none"])]
     return spark.createDataFrame(rows, "pattern_id string, expected_signal string, work_ids array<string>")
@@ -206,7 +229,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "case_state": lambda s, d: cases.case_state(views.view(s, d, views.CASE_EVENTS)).withColumn("closed_at", F.date_format("closed_at", "yyyy-MM-dd HH:mm:ss")),
         "verify_chain": lambda s, d: audit.verify_chain(_broken(s, d)),
         "build_chain": lambda s, d: audit.verify_chain(audit.build_chain(_chain(s, d))),
-        "case_manifest": lambda s, d: audit.manifest(_text(views.view(s, d, views.CASE_EVENTS)).select("case_id", F.lit("case_event").alias("kind"), F.col("seq").alias("item_id"), "to_status", "resolution_type")).select("case_id", F.size("items").alias("n_items"), "root"),
+        "case_manifest": _manifest,
+        "signal_texts": lambda s, d: _texts(s, d).select("dataset_id", "project_id", "signal_type", "title", "explanation", F.explode("evidence").alias("e")).select("dataset_id", "project_id", "signal_type", "title", "explanation", "e.field_name", "e.field_value", "e.reference_value", "e.calculation"),
+        "quality_totals": _quality,
         "confusion": lambda s, d: evaluate.by_scenario(_found(s, d)),
         "confusion_by_type": lambda s, d: evaluate.by_type(_found(s, d)),
         "false_positives": lambda s, d: evaluate.errors(_found(s, d), "fp"),
@@ -237,6 +262,27 @@ _RULES = """
 cost_s AS (SELECT dataset_id, project_id, 'COST_ANOMALY' AS signal_type, CASE WHEN cost_deviation_pct >= 60 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM peers WHERE cost_deviation_pct >= 40),
 gap_s AS (SELECT dataset_id, id AS project_id, 'FIN_PHYS_GAP' AS signal_type, CASE WHEN financial_progress - physical_progress >= 40 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM works WHERE financial_progress - physical_progress >= 25),
 delay_s AS (SELECT dataset_id, project_id, 'DELAY' AS signal_type, CASE WHEN delay_days >= 180 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM metrics WHERE delay_days >= 90)"""
+_STAMP = "CASE WHEN created_at = date_trunc('second', created_at) THEN strftime(created_at, '%Y-%m-%d %H:%M:%S') ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') END"
+_TEXTS = """
+lakh AS (SELECT p.*, sanctioned_cost AS cost, '₹' || printf('%.1f', sanctioned_cost::DOUBLE / 100000) || 'L' AS own, '₹' || printf('%.1f', peer_median_cost::DOUBLE / 100000) || 'L' AS mid, '₹' || printf('%.1f', peer_p75_cost::DOUBLE / 100000) || 'L' AS p75,
+    printf('%+.0f', cost_deviation_pct::DOUBLE) AS dev FROM peers p JOIN works w ON w.dataset_id = p.dataset_id AND w.id = p.project_id),
+signal_text AS MATERIALIZED (
+  SELECT s.dataset_id, s.project_id, s.signal_type, s.severity, 'Cost ' || own || ' is ' || dev || '% vs peer median' AS title,
+    'The sanctioned cost of ' || own || ' is ' || dev || '% off ' || mid || ', the median of ' || peer_count || ' other works of its district and category; three quarters of them cost ' || p75 || ' at most.' AS explanation,
+    '{"sanctioned_cost": "' || cost || '"}' AS observed, '{"peer_median": "' || peer_median_cost || '", "peer_p75": "' || peer_p75_cost || '"}' AS reference, '{"deviation_pct": "' || cost_deviation_pct || '"}' AS difference,
+    'sanctioned_cost' AS field_name, own AS field_value, mid AS reference_value,
+    '(' || printf('%.0f', cost::DOUBLE) || ' - ' || printf('%.0f', peer_median_cost::DOUBLE) || ') / ' || printf('%.0f', peer_median_cost::DOUBLE) || ' x 100 = ' || printf('%+.1f', cost_deviation_pct::DOUBLE) || '%' AS calculation
+  FROM cost_s s JOIN lakh USING (dataset_id, project_id)
+  UNION ALL SELECT s.dataset_id, s.project_id, s.signal_type, s.severity, 'Financial vs physical gap ' || printf('%+.0f', gap::DOUBLE) || ' pp',
+    printf('%.0f', f::DOUBLE) || '% of the money is spent and ' || printf('%.0f', p::DOUBLE) || '% of the work is done, ' || printf('%+.0f', gap::DOUBLE) || ' points apart.',
+    '{"financial_pct": "' || f || '", "physical_pct": "' || p || '"}', '{"expected": "financial = physical progress"}', '{"gap_pp": "' || gap || '"}',
+    'progress (financial / physical)', printf('%.0f', f::DOUBLE) || '% / ' || printf('%.0f', p::DOUBLE) || '%', 'financial = physical', printf('%+.0f', gap::DOUBLE) || ' pp'
+  FROM gap_s s JOIN (SELECT dataset_id, id AS project_id, financial_progress AS f, physical_progress AS p, (financial_progress - physical_progress)::DECIMAL(6,2) AS gap FROM works) USING (dataset_id, project_id)
+  UNION ALL SELECT s.dataset_id, s.project_id, s.signal_type, s.severity, 'Delay of ' || delay_days || ' days',
+    elapsed_days || ' days have passed since the sanction of a work that was to take ' || expected_duration_days || ', ' || delay_days || ' days more.',
+    '{"elapsed_days": "' || elapsed_days || '"}', '{"expected_days": "' || expected_duration_days || '"}', '{"delay_days": "' || delay_days || '"}',
+    'duration (elapsed / expected)', elapsed_days || 'd / ' || expected_duration_days || 'd', expected_duration_days || 'd', elapsed_days || ' - ' || expected_duration_days || ' = +' || delay_days || 'd'
+  FROM delay_s s JOIN metrics USING (dataset_id, project_id))"""
 _COMPLIANCE = """
 texts AS (
   SELECT dataset_id, id, 'CATEGORY' AS kind, trim(array_to_string(regexp_extract_all(lower(description), '[a-z ]+'), ' ')) AS t FROM works
@@ -412,8 +458,8 @@ pairs AS (
   SELECT *, CASE WHEN m IS NULL AND vm IS NULL THEN 'unavailable' WHEN m > 50 OR NOT vm THEN 'low' WHEN m <= 50 AND vm THEN 'high' ELSE 'medium' END AS band FROM scored WHERE score >= 0.6),
 dup AS (SELECT dataset_id, project_id, max(score) AS s FROM (SELECT dataset_id, a_id AS project_id, score FROM pairs UNION ALL SELECT dataset_id, b_id, score FROM pairs) GROUP BY ALL)"""
 _CHAIN = """c AS (
-  SELECT chain_id, n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || chain_id || '","entity_type":"case","payload":{"n":' || own || '},"prev_hash":"' || repeat('0', 64) || '","seq":1}') AS hash FROM e WHERE n = 1
-  UNION ALL SELECT e.chain_id, e.n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || e.chain_id || '","entity_type":"case","payload":{"n":' || own || '},"prev_hash":"' || hash || '","seq":' || e.n || '}')
+  SELECT chain_id, n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || chain_id || '","entity_type":"\\"case\\"\\u001f","payload":{"a":{"x":"\\u000b","y":1.5},"n":' || own || '},"prev_hash":"' || repeat('0', 64) || '","seq":1}') AS hash FROM e WHERE n = 1
+  UNION ALL SELECT e.chain_id, e.n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || e.chain_id || '","entity_type":"\\"case\\"\\u001f","payload":{"a":{"x":"\\u000b","y":1.5},"n":' || own || '},"prev_hash":"' || hash || '","seq":' || e.n || '}')
   FROM c JOIN e ON e.chain_id = c.chain_id AND e.n = c.n + 1)"""
 _FOUND = """
 truth AS ({truth}),
@@ -473,7 +519,14 @@ def oracle_sql() -> dict[str, str]:
         "digest_ack": _with("SELECT state AS role, CASE WHEN state = 'ASIA' THEN 7 ELSE count(*) END AS last_seen_seq, CASE WHEN state = 'ASIA' THEN '2030-01-01 00:00:00' ELSE strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') END AS cutoff FROM works GROUP BY state"),
         "current_dataset": _with("SELECT dataset_id, strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') AS ingested_at, strftime(min(sanction_date), '%Y-%m-%d %H:%M:%S') AS created_at, 'WORK_LEVEL' AS dataset_type FROM works GROUP BY dataset_id ORDER BY ingested_at DESC, created_at DESC, dataset_id LIMIT 1"),
         "field_summary": _with(_RAW, "SELECT dataset_id, field, count(*) FILTER (rule LIKE 'missing\\_%' ESCAPE '\\') AS missing, count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (rule LIKE 'duplicate\\_%' ESCAPE '\\') AS duplicates FROM issues GROUP BY dataset_id, field -- raw_works"),
-        "quality_report": _with(_RAW, "SELECT row_number, field, rule, severity FROM issues WHERE dataset_id = 'DS0' ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, row_number, rule, field LIMIT 100 -- raw_works"),
+        "quality_report": _with(_RAW, "SELECT row_number, field, rule, severity FROM issues WHERE dataset_id = 'DS0' ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, row_number, rule, field LIMIT 200 -- raw_works"),
+        "quality_totals": _with(_RAW, _QUALITY, """q AS (SELECT dataset_id, count(*) AS n FROM quality GROUP BY ALL),
+            fields AS (SELECT dataset_id, field, count(*) FILTER (starts_with(rule, 'missing_')) AS missing, count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (starts_with(rule, 'duplicate_')) AS again FROM issues GROUP BY ALL),
+            maps AS (SELECT dataset_id, coalesce(string_agg(field || '=' || missing, ',' ORDER BY field) FILTER (missing > 0), '') AS missing_field_counts, coalesce(string_agg(field || '=' || invalid, ',' ORDER BY field) FILTER (invalid > 0), '') AS invalid_field_counts,
+              coalesce(string_agg(field || '=' || again, ',' ORDER BY field) FILTER (again > 0), '') AS duplicate_counts FROM fields GROUP BY ALL),
+            many AS (SELECT dataset_id, count(*) AS issue_count FROM issues GROUP BY ALL)""", _SUMMED,
+            """SELECT dataset_id, grade AS quality_status, total_rows, kept_rows AS valid_rows, warning_rows, error_rows, issue_count, n AS detection_issue_count, missing_field_counts, invalid_field_counts, duplicate_counts
+            FROM summed JOIN many USING (dataset_id) JOIN q USING (dataset_id) JOIN maps USING (dataset_id) -- raw_works"""),
         "records_page": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, state, district, sanctioned_amount FROM norm WHERE dataset_id = 'DS1' ORDER BY source_row_number LIMIT 50 OFFSET 100 -- raw_works"),
         "validate_allocation": f"""WITH raw AS ({views.sql(views.RAW_ALLOCATION)}), n AS (SELECT dataset_id, source_row_number AS r, CASE WHEN serial_number = 'x' THEN NULL ELSE replace(serial_number, 'No. ', '')::BIGINT END AS serial, nullif(trim(state), '') AS state,
             CASE WHEN mp_name = 'n/a' THEN NULL ELSE regexp_replace(mp_name, ' +', ' ', 'g') END AS mp, CASE WHEN allocated_amount = '?' THEN NULL ELSE allocated_amount::DECIMAL(20,4) END AS amount FROM raw)
@@ -540,8 +593,17 @@ def oracle_sql() -> dict[str, str]:
               coalesce(broken_at_seq - 1, CASE WHEN chain_id LIKE '%5' THEN 1 ELSE n END) AS events_checked, CASE WHEN broken_at_seq IS NULL THEN CASE WHEN chain_id LIKE '%5' AND n = 2 THEN (SELECT hash FROM c WHERE c.chain_id = b.chain_id AND c.n = 1) ELSE tip END END AS chain_tip FROM b""",
         "build_chain": f"""WITH RECURSIVE e AS (SELECT case_id AS chain_id, seq AS own, to_status AS action, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), {_CHAIN}
             SELECT chain_id, true AS valid, NULL::BIGINT AS broken_at_seq, NULL::VARCHAR AS reason, max(n) AS events_checked, arg_max(hash, n) AS chain_tip FROM c GROUP BY chain_id""",
-        "case_manifest": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), h AS (SELECT case_id, seq, sha256('{{"item_id":' || seq || ',"kind":"case_event"' || CASE WHEN resolution_type IS NULL THEN '' ELSE ',"resolution_type":"' || resolution_type || '"' END || ',"to_status":"' || to_status || '"}}') AS hash FROM e)
-            SELECT case_id, count(*)::INT AS n_items, sha256('[' || string_agg('{{"kind":"case_event","item_id":"' || seq || '","hash":"' || hash || '"}}', ',' ORDER BY seq::VARCHAR) || ']') AS root FROM h GROUP BY case_id""",
+        "case_manifest": _with(_METRICS, _PEERS, _RULES, _TEXTS, f"""dated AS (SELECT t.*, t.project_id || '-' || t.signal_type AS signal_id, sanction_date FROM signal_text t JOIN works w ON w.dataset_id = t.dataset_id AND w.id = t.project_id),
+            owned AS (SELECT case_id, d.*, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END AS rank FROM cases JOIN dated d USING (project_id)),
+            ev AS ({views.sql(views.REPORT_EVENTS)}), nt AS ({views.sql(views.REPORT_NOTES)}),
+            items AS (
+              SELECT case_id, 'signal' AS kind, signal_id AS id, 0 AS k0, rank AS k1, signal_type AS k2, NULL::TIMESTAMP AS k3, sha256('{{"created": "' || sanction_date || ' 00:00:00", "difference": ' || difference || ', "explanation": "' || explanation || '", "id": "' || signal_id || '", "observed": ' || observed
+                || ', "reference": ' || reference || ', "severity": "' || severity || '", "title": "' || title || '", "type": "' || signal_type || '"}}') AS hash FROM owned
+              UNION ALL SELECT case_id, 'evidence', signal_id || '-0', 1, rank, signal_type, NULL, sha256('{{"calculation": "' || calculation || '", "field": "' || field_name || '", "id": "' || signal_id || '-0", "reference": "' || reference_value || '", "value": "' || field_value || '"}}') FROM owned
+              UNION ALL SELECT case_id, 'case_event', event_id, 2, seq, '', NULL, sha256('{{"created": "' || {_STAMP} || '", "from": ' || coalesce('"' || from_status || '"', 'null') || ', "id": "' || event_id || '", "to": "' || to_status || '", "type": "' || event_type || '"}}') FROM ev
+              UNION ALL SELECT case_id, 'note', note_id, 3, 0, note_id, created_at, sha256('{{"author": ' || coalesce('"' || author_id || '"', 'null') || ', "body": "' || replace(body, '"', '\\"') || '", "created": "' || {_STAMP} || '", "id": "' || note_id || '"}}') FROM nt)""",
+            """SELECT case_id, count(*) AS items, sha256('[' || string_agg('{"hash": "' || hash || '", "id": "' || id || '", "kind": "' || kind || '"}', ', ' ORDER BY k0, k1, k3, k2) || ']') AS root FROM items GROUP BY case_id -- cases"""),
+        "signal_texts": _with(_METRICS, _PEERS, _RULES, _TEXTS, "SELECT dataset_id, project_id, signal_type, title, explanation, field_name, field_value, reference_value, calculation FROM signal_text"),
         "pattern_check": _with(*rules, """pat AS (SELECT * FROM (VALUES ('P1', 'FIN_PHYS_GAP', ['W-3', 'W-9']), ('P2', 'COST_ANOMALY', ['W-4']), ('P3', 'COMPLIANCE', ['W-41']), ('P4', 'DELAY', []::VARCHAR[]), ('P5', 'AGENCY_CONCENTRATION', ['W-none'])) AS x(pattern_id, expected, ids)),
             seen AS (SELECT pattern_id, expected, len(ids) AS n, s.signal_type FROM pat LEFT JOIN works w ON list_contains(ids, work_id) LEFT JOIN signals s ON s.dataset_id = w.dataset_id AND s.project_id = w.id AND s.signal_type <> 'DATA_QUALITY')""",
             "SELECT pattern_id, CASE WHEN any_value(n) = 0 THEN 'NOT_VALIDATABLE' WHEN count(*) FILTER (signal_type = expected) > 0 THEN 'FLAGGED' WHEN count(signal_type) > 0 THEN 'PARTIAL' ELSE 'MISSED' END AS result FROM seen GROUP BY pattern_id"),
