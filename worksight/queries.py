@@ -56,14 +56,20 @@ def _raw(spark, d) -> DataFrame:
 #: Headers of the written exports that are not just the column's name in words.
 _HEADERS = {"mp_name": " Hon'ble Members of Parliament ", "description": "Work Name", "sanctioned_amount": "Sanctioned Amount (₹)", "state": "STATE_NAME", "latitude": "Lat", "expenditure": "Expenditure (₹)"}
 
+_LATER = {"mp_name": "MP Name", "description": "Work Description", "sanctioned_amount": "Sanctioned Cost", "latitude": "latitude", "state": "State", "work_id": "WorkID"}
+
 
 def _exports(spark, d) -> str:
-    """A folder of the raw works as CSV exports: FILES files, each in source order."""
+    """A folder of the raw works as CSV exports: FILES files, each in source order. The second half of them has its columns in another order, and
+    some under other names."""
     raw = views.raw_works(spark, d).withColumn("part", F.pmod("source_row_number", F.lit(views.FILES)))
-    cells = [F.col(c).alias(_HEADERS.get(c, c.replace("_", " ").title())) for c in raw.columns if c not in ("dataset_id", "source_row_number", "part")]
-    own = raw.repartition("part").sortWithinPartitions("part", "source_row_number").select("part", *cells, F.lit("as received").alias("Remarks"))
+    names = [c for c in raw.columns if c not in ("dataset_id", "source_row_number", "part")]
     path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
-    own.write.partitionBy("part").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    own = raw.repartition("part").sortWithinPartitions("part", "source_row_number")
+    for later in (False, True):
+        cells = [F.col(c).alias((_LATER if later else _HEADERS).get(c, c.replace("_", " ").title())) for c in (reversed(names) if later else names)]
+        half = own.filter((F.col("part") >= views.FILES // 2) == later).select("part", *cells, F.lit("as received").alias("Remarks"))
+        half.write.mode("append").partitionBy("part").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return until_exit(spark, path)
 
 
@@ -76,7 +82,7 @@ def _imported(spark, d) -> dict[str, DataFrame]:
         until_exit(spark, out)
         part = F.regexp_extract("file_path", "part=([0-9]+)", 1).alias("part")
         parts = run["datasets"].select("dataset_id", part)
-        found = {k: stash(df.join(F.broadcast(parts), "dataset_id"), f"imported-{k}") for k, df in run.items() if k != "datasets"}  # FILES rows
+        found = {k: stash(df.join(F.broadcast(parts), "dataset_id"), f"imported-{k}") for k, df in run.items() if k not in ("datasets", "rejected")}  # FILES rows
         known = run["datasets"].filter(part.cast("int") < 8)
         fresh = exports.new_files(exports.files(spark, path), known).select(part)
         return found | {"datasets": stash(run["datasets"].select("*", part), "imported-datasets"), "new": stash(fresh, "imported-new")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     session that names none gets a temporary one; on a cluster that is an error, as each machine would write to its own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -66,6 +67,15 @@ def kept(spark: SparkSession, key: tuple, inputs: list[str], make: Callable[[],
     return made
 
 
+#: Lookup tables up to this many bytes are broadcast; a broadcast row takes some ten times its text in memory.
+BROADCAST_BYTES = 24 << 20
+
+
+def lookup(df: DataFrame, size: int) -> DataFrame:
+    """df as the small side of a join: broadcast if its `size` (bytes, as counted) is within BROADCAST_BYTES, else left to a shuffle join."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def in_ranges(df: DataFrame, order: list[Column | str], parts: int, name: str) -> DataFrame:
     """df with _block, as a table: the rows in `parts` ranges of the order, numbered in that order. Equal rows share a range."""
     return stash(df.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id()), name)
