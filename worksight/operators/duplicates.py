@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +20,16 @@ from .signals import evidence, make_signals
 BAND = 0.018
 #: Works of a term that one task looks at.
 PART_ROWS = 20_000
+#: Tails of one range differ by this factor at most. Ranges are numbered from that of tails up to 1; the sum of two numbers bounds the product.
+RANGE = 1.25
+LAST_RANGE = int(math.log(1 / (TEXT_TRIGGER - 1e-9)) / math.log(RANGE))
+#: For each sum of two range numbers, how far the logarithms of two costs may be apart: the text gives its weight times the
+#: product of the tails at most, category and time all of theirs. None: any costs will do.
+_GOAL = (DUPLICATE_TRIGGER - 1e-4) * (1 - SCORE_WEIGHTS["location"]) - SCORE_WEIGHTS["category"] - SCORE_WEIGHTS["time"]
+_LEAST = [(_GOAL - SCORE_WEIGHTS["text"] * RANGE**-k) / SCORE_WEIGHTS["cost"] - 1e-6 for k in range(LAST_RANGE + 1)]
+_WIDTHS = [-math.log(x) if 0 < x < 1 else None for x in _LEAST]
+#: The band of costs that are null or not above 0, which are like each other at most.
+NO_COST = -1_000_000
 
 
 def tfidf(works: DataFrame) -> DataFrame:
@@ -28,13 +43,18 @@ def tfidf(works: DataFrame) -> DataFrame:
     return weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(length))).select("dataset_id", "id", "term", "df", "w")
 
 
+def postings(weights: DataFrame) -> DataFrame:
+    """dataset_id, id, h (the term as a 64-bit hash), df, w, tail: with a work's terms from the rarest to the most common of its dataset, the length
+    of what is left of its vector from the term on."""
+    after = Window.partitionBy("dataset_id", "id").orderBy(F.desc("df"), F.desc("h")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = weights.select("dataset_id", "id", F.xxhash64("term").alias("h"), "df", "w")
+    return rows.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(after)))
+
+
 def vectors(weights: DataFrame) -> DataFrame:
-    """dataset_id, id, terms, ws, dfs, tails: a work's terms (as 64-bit hashes) from the rarest to the most common of its dataset, their
-    weights and document frequencies, and the length of the vector from each term on."""
-    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("term").alias("h"), "w")))
-    rows = weights.groupBy("dataset_id", "id").agg(order.alias("t"))
-    tails = F.transform("t", lambda x, k: F.sqrt(F.aggregate(F.slice("t", k + 1, F.size("t")), F.lit(0.0), lambda a, y: a + y["w"] * y["w"])))
-    return rows.select("dataset_id", "id", F.col("t.h").alias("terms"), F.col("t.w").alias("ws"), F.col("t.df").alias("dfs"), tails.alias("tails"))
+    """dataset_id, id, terms (hashes, in order), ws: a work's vector."""
+    rows = weights.groupBy("dataset_id", "id").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("t"))
+    return rows.select("dataset_id", "id", F.col("t.h").alias("terms"), F.col("t.w").alias("ws"))
 
 
 def geo_pairs(works: DataFrame) -> DataFrame:
@@ -60,14 +80,15 @@ def with_facts(works: DataFrame) -> DataFrame:
     return works.select("dataset_id", "id", (F.col("latitude").isNull() | F.col("longitude").isNull()).alias("lost"), facts.alias("f"))
 
 
-def likenesses(a: Column, b: Column) -> dict[str, Column]:
-    """What two works' facts say about them, but for their texts."""
-    return {
-        "location_distance_m": haversine(a["latitude"], a["longitude"], b["latitude"], b["longitude"]),
+def likenesses(a: Column, b: Column, context: bool = True) -> dict[str, Column]:
+    """What two works' facts say about them, but for their texts; without `context` what a score is made of, but for the place."""
+    every = {} if not context else {
+        "location_distance_m": haversine(a["latitude"], a["longitude"], b["latitude"], b["longitude"]), "vendor_match": token_overlap(a["vendor"], b["vendor"]),
+    }
+    return every | {
         "cost_similarity": F.coalesce(cost_similarity(a["sanctioned_cost"], b["sanctioned_cost"]), F.lit(0.0)),
         "category_match": F.coalesce(a["category"] == b["category"], F.lit(False)),
         "time_overlap": time_overlap(a["begins"], a["ends"], b["begins"], b["ends"]),
-        "vendor_match": token_overlap(a["vendor"], b["vendor"]),
     }
 
 
@@ -81,51 +102,84 @@ def text_needed(distance_known: bool, c: dict[str, Column]) -> Column:
     return F.greatest(F.lit(TEXT_TRIGGER), (F.lit(goal) - given) / w["text"]) - 1e-9
 
 
-def dot(terms_a: Column, ws_a: Column, terms_b: Column, ws_b: Column) -> Column:
-    """The product of two vectors over the terms that both have."""
-    weight = lambda h: F.get(ws_b, (F.array_position(terms_b, h) - 1).cast("int"))
-    return F.aggregate(F.zip_with(terms_a, ws_a, lambda h, w: w * F.coalesce(F.when(F.array_contains(terms_b, h), weight(h)), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-
+def levels(postings: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which postings of a term may meet: those of works without a place (x), and all (y), by dataset, term, part, the pair of tail ranges
+    and the band of cost.
+
+    The likeness of two works from a shared term on is at most the product of their tails there, so ranges whose largest tails have a
+    smaller product than TEXT_TRIGGER never meet. A pair of ranges also bounds what the text can give to a score, and so from below
+    how alike the costs must be: works meet in bands of the cost's logarithm that are as wide as that. Parts spread a common term."""
+    facts = rows.select("dataset_id", "id", "lost", F.struct("f.sanctioned_cost", "f.category", "f.begins", "f.ends").alias("f"))
+    at = postings.filter(F.col("tail") >= TEXT_TRIGGER - 1e-9).join(facts, ["dataset_id", "id"])
+    at = at.withColumn("range", F.greatest(F.lit(0), F.floor(-F.ln("tail") / math.log(RANGE)).cast("int"))).withColumn("parts", F.ceil(F.col("df") / PART_ROWS).cast("int"))
+    cost = F.col("f.sanctioned_cost").cast("double")
+    # a pair of ranges i, j is told by i + j; where any cost will do, and for costs that are null or not above 0, there is one band
+    other = F.explode(F.sequence(F.lit(0), F.lit(LAST_RANGE) - F.col("range")))
+    width = F.get(F.array(*[F.lit(x) for x in _WIDTHS]), F.col("range") + F.col("other"))
+    band = F.when(width.isNull(), F.lit(0)).when(cost > 0, F.floor(F.ln(cost) / width)).otherwise(NO_COST).cast("long")
+    keys = ["dataset_id", "h", "part", "i", "j", "band"]
+    pack = F.struct("id", "lost", "f", "tail")
+    x = at.filter("lost").withColumn("other", other).withColumn("band", band)
+    x = x.withColumn("band", F.explode(F.when(width.isNull() | (F.col("band") == NO_COST), F.array("band")).otherwise(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
+    x = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dataset_id", "h", "part", F.col("range").alias("i"), F.col("other").alias("j"), "band", pack.alias("x"))
+    y = at.withColumn("other", other).withColumn("band", band).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return x.select(*keys, "x"), y.select("dataset_id", "h", "part", F.col("other").alias("i"), F.col("range").alias("j"), "band", pack.alias("y"))
+
+
+def text_candidates(postings: DataFrame, rows: DataFrame) -> DataFrame:
+    """dataset_id, a_id, b_id: works of which one at least has no place and whose texts may be alike enough for their score. At their rarest common
+    term the product of their tails reaches what the pair needs, so no pair is missed; texts are not looked at here."""
+    x, y = levels(postings, rows)
+    met = x.join(y, ["dataset_id", "h", "part", "i", "j", "band"])
+    a, b = F.col("x"), F.col("y")
+    met = met.filter((a["id"] != b["id"]) & (~b["lost"] | (a["id"] < b["id"])))
+    met = met.filter(a["tail"] * b["tail"] >= text_needed(False, likenesses(a["f"], b["f"], False)))
+    return met.select("dataset_id", F.least(a["id"], b["id"]).alias("a_id"), F.greatest(a["id"], b["id"]).alias("b_id")).distinct()
 
-def text_pairs(rows: DataFrame) -> DataFrame:
-    """dataset_id, a, b, _text: works of which one at least has no place and whose texts are alike enough for their score.
 
-    Two works meet at the terms that both have. The part of their likeness from a term on is at most the product of what is
-    left of both vectors there, so at the rarest term they share that product reaches what the pair needs; the common terms
-    at the ends of the vectors never meet at all. Only at their rarest common term a pair is computed, once. Works of a
-    common term are dealt over parts of PART_ROWS, each with a copy of the term's unplaced works."""
-    least = F.lit(TEXT_TRIGGER - 1e-9)
-    at = rows.select("dataset_id", "id", "lost", "f", "terms", "ws", "dfs", "tails", F.posexplode("terms").alias("k", "term")).withColumn("tail", F.get("tails", F.col("k"))).filter(F.col("tail") >= least)
-    at = at.withColumn("parts", F.ceil(F.get("dfs", F.col("k")) / PART_ROWS).cast("int")).drop("dfs", "tails")
-    pack = lambda n: F.struct("id", "lost", "f", "terms", "ws", "k", "tail").alias(n)
-    x = at.filter("lost").select("dataset_id", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), pack("x"))
-    y = at.select("dataset_id", "term", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), pack("y"))
-    a, b = F.col("x"), F.col("y")
-    met = x.join(y, ["dataset_id", "term", "part"]).filter((a["id"] != b["id"]) & (~b["lost"] | (a["id"] < b["id"])) & (a["tail"] * b["tail"] >= least))
-    met = met.filter(a["tail"] * b["tail"] >= text_needed(False, likenesses(a["f"], b["f"])))
-    met = met.filter(~F.arrays_overlap(F.slice(a["terms"], F.lit(1), a["k"]), F.slice(b["terms"], F.lit(1), b["k"])))
-    met = met.withColumn("_text", dot(a["terms"], a["ws"], b["terms"], b["ws"])).filter(F.col("_text") >= least)
-    side = lambda c: F.struct(c["id"].alias("id"), c["f"].alias("f"))
-    return met.select("dataset_id", F.when(a["id"] < b["id"], side(a)).otherwise(side(b)).alias("a"), F.when(a["id"] < b["id"], side(b)).otherwise(side(a)).alias("b"), "_text")
-
-
-def placed_pairs(rows: DataFrame) -> DataFrame:
-    """dataset_id, a, b, _text: the same of the pairs of located works at most 2 km apart."""
-    pack = lambda n: F.struct("id", "f", "terms", "ws").alias(n)
-    side = lambda n: rows.select("dataset_id", F.col("id").alias(f"{n}_id"), pack(n))
+def placed_candidates(rows: DataFrame) -> DataFrame:
+    """dataset_id, a_id, b_id: the same of located works at most 2 km apart."""
+    side = lambda n: rows.select("dataset_id", F.col("id").alias(f"{n}_id"), F.col("f").alias(n))
     both = geo_pairs(rows.select("dataset_id", "id", "f.latitude", "f.longitude")).join(side("a"), ["dataset_id", "a_id"]).join(side("b"), ["dataset_id", "b_id"])
-    a, b = F.col("a"), F.col("b")
-    both = both.filter(text_needed(True, likenesses(a["f"], b["f"])) <= 1).withColumn("_text", dot(a["terms"], a["ws"], b["terms"], b["ws"])).filter(F.col("_text") >= TEXT_TRIGGER - 1e-9)
-    return both.select("dataset_id", *[F.struct(c["id"].alias("id"), c["f"].alias("f")).alias(n) for n, c in (("a", a), ("b", b))], "_text")
+    return both.filter(text_needed(True, likenesses(F.col("a"), F.col("b"), False)) <= 1).select("dataset_id", "a_id", "b_id")
+
+
+def with_texts(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The pairs whose texts are alike, with _text, the product of their vectors: a search of the shorter one's terms in the longer one's."""
+    side = lambda n: vectors.select("dataset_id", F.col("id").alias(f"{n}_id"), F.col("terms").alias(f"{n}_terms"), F.col("ws").alias(f"{n}_ws"))
+    both = pairs.join(side("a"), ["dataset_id", "a_id"]).join(side("b"), ["dataset_id", "b_id"])
+    names = ["dataset_id", "a_id", "b_id"]
+    least = TEXT_TRIGGER - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(k) for k in range(3, 7)]
+            values = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+            ends = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in lists]
+            out = np.zeros(batch.num_rows)
+            for k in range(batch.num_rows):
+                ta, wa, tb, wb = (v[e[k] : e[k + 1]] for v, e in zip(values, ends, strict=True))
+                if len(ta) > len(tb):
+                    ta, wa, tb, wb = tb, wb, ta, wa
+                at = np.minimum(np.searchsorted(tb, ta), len(tb) - 1)
+                out[k] = (wa * wb[at])[tb[at] == ta].sum()
+            good = out >= least
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(good)) for k in range(3)), pa.array(out[good])], [*names, "_text"])
+
+    return both.select(*names, "a_terms", "a_ws", "b_terms", "b_ws").mapInArrow(run, "dataset_id string, a_id string, b_id string, _text double")
 
 
 def duplicate_pairs(works: DataFrame) -> DataFrame:
     """The candidate pairs (a_id < b_id) with their likenesses: text cosine 0.25 at least, at most 2 km apart if both are
     located, combined score 0.60 at least. Texts without terms pair with nothing."""
-    rows = stash(with_facts(works).join(vectors(tfidf(works)), ["dataset_id", "id"]), "duplicate-vectors")
-    both = stash(text_pairs(rows).unionByName(placed_pairs(rows)), "duplicate-candidates").filter(F.col("_text") >= TEXT_TRIGGER)
-    c = likenesses(F.col("a.f"), F.col("b.f"))
-    both = both.select("dataset_id", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "_text", *[v.alias(k) for k, v in c.items()])
+    rows = stash(with_facts(works), "duplicate-facts")
+    terms = stash(postings(tfidf(works)), "duplicate-terms")
+    found = stash(text_candidates(terms, rows).unionByName(placed_candidates(rows)), "duplicate-candidates")
+    both = stash(with_texts(found, stash(vectors(terms), "duplicate-vectors")), "duplicate-texts").filter(F.col("_text") >= TEXT_TRIGGER)
+    side = lambda n: rows.select("dataset_id", F.col("id").alias(f"{n}_id"), F.col("f").alias(n))
+    both = both.join(side("a"), ["dataset_id", "a_id"]).join(side("b"), ["dataset_id", "b_id"])
+    c = likenesses(F.col("a"), F.col("b"))
+    both = both.select("dataset_id", "a_id", "b_id", "_text", *[v.alias(k) for k, v in c.items()])
     both = both.withColumn("combined_score", combined_score(F.col("_text"), *(F.col(k) for k in ("location_distance_m", "cost_similarity", "category_match", "time_overlap")))).filter(F.col("combined_score") >= DUPLICATE_TRIGGER)
     context = contextual_confidence(*(F.col(k) for k in ("location_distance_m", "vendor_match", "cost_similarity", "category_match", "time_overlap")))
     return both.withColumn("_c", context).select(
