@@ -10,6 +10,9 @@ from ..schemas import CASE_TRANSITIONS, CONCLUDING, RESOLUTION_REASONS, RESOLUTI
 from ..tables import in_ranges, numbered
 from .reporting import case_per_work
 
+#: Events that one task replays, about.
+RANGE_ROWS = 200_000
+
 
 def open_cases(works: DataFrame, cases: DataFrame, priorities: DataFrame, first_number: int = 1001, ranges: int = 200) -> DataFrame:
     """A new case for each work whose latest case is absent, RESOLVED or CLOSED, with the fused priority (MEDIUM without one) and
@@ -25,15 +28,23 @@ def open_cases(works: DataFrame, cases: DataFrame, priorities: DataFrame, first_
     return rows.select("dataset_id", F.col("id").alias("project_id"), F.format_string("CASE-%d", F.lit(start) + F.col("_n") - 1).alias("case_number"), F.lit("OPEN").alias("status"), "priority")
 
 
+def in_turn(changes: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """changes with _from, the status before each of them. Logs are cut into ranges by case and time: a range needs to know of what came before only
+    the last status of each case, so a case with any share of the events spreads over tasks."""
+    ranges = in_ranges(changes, ["case_id", "ts", "seq"], 1 + changes.count() // range_rows, "case-ranges")
+    last = ranges.groupBy("case_id", "_block").agg(F.max_by("to_status", F.struct("ts", "seq")).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("case_id").orderBy("_block"))).drop("_last")
+    inside = F.lag("to_status").over(Window.partitionBy("case_id", "_block").orderBy("ts", "seq"))
+    return ranges.withColumn("_inside", inside).join(last, ["case_id", "_block"]).withColumn("_from", F.coalesce("_inside", "_before", F.lit("OPEN"))).drop("_block", "_inside", "_before")
+
+
 def replay_cases(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The last status of each case, and violations (case_id, seq, violation) of its log.
 
     events: case_id, seq, ts, event_type, to_status and resolution columns. A case starts OPEN. A change of status must be an
     allowed one from the status before it; a concluding one needs a resolution type; CLOSED needs NOT_SUBSTANTIATED, a reason
     and a text; unknown codes are violations too. The log is taken as it stands: a violation doesn't undo the change."""
-    own = events.filter(F.col("event_type") == "STATUS_CHANGED")
-    log = Window.partitionBy("case_id").orderBy("ts", "seq")
-    own = own.withColumn("_from", F.coalesce(F.lag("to_status").over(log), F.lit("OPEN")))
+    own = in_turn(events.filter(F.col("event_type") == "STATUS_CHANGED"))
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, to in CASE_TRANSITIONS.items() for b in to])
     step = F.concat("_from", F.lit(">"), "to_status")
     concluding, closed = F.col("to_status").isin(*CONCLUDING), F.col("to_status") == "CLOSED"

@@ -6,7 +6,6 @@ So a forest depends on its dataset alone, not on partitions or a generator's sta
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schemas import ANOMALY_HIGH, ANOMALY_TRIGGER
+from ..tables import lookup, stash
 from ..tasks import ship
 from .signals import evidence, make_signals
 
@@ -22,6 +22,8 @@ ship(__name__)
 
 FEATURES = ("cost_ratio", "gap", "delay", "expenditure_ratio", "duplicate_score")
 TREES, SAMPLE, SEED, OFFSET, MIN_ROWS = 200, 256, 26102, -0.5, 10
+#: Rows of a dataset that one task scores, about.
+SCORE_ROWS = 100_000
 #: Rows of each dataset that enter trees, at most.
 POOL = TREES * SAMPLE
 
@@ -104,12 +106,15 @@ def iforest_scores(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """dataset_id, project_id, ml_anomaly_score (4 places) of imputed rows; datasets under MIN_ROWS rows have no scores.
 
     A dataset's rows enter trees in order of the hash of their id: all of a small dataset, POOL of a large one. Each tree is
-    grown in a group of its own, of SAMPLE rows at most; a forest (3 MB at most a dataset) goes to all tasks that score."""
-    counts = rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_ROWS)
+    grown in a group of its own, of SAMPLE rows at most. The trees are a table; a dataset's forest (3 MB at most) meets its rows in
+    groups of SCORE_ROWS of them, so nothing of them passes through the driver however many datasets there are."""
+    rows = rows.select("dataset_id", "id", *FEATURES)
+    counts = stash(rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_ROWS), "forest-counts")
+    sized = lookup(counts, 80 * counts.count())
     digest = F.md5(F.col("id").cast("binary"))
     unit = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
     # twice as many by the hash as are needed, then exactly those by rank
-    entering = rows.join(F.broadcast(counts), "dataset_id").filter(unit * F.col("_n") < 2 * POOL).withColumn("_at", F.row_number().over(Window.partitionBy("dataset_id").orderBy(digest, "id")) - 1)
+    entering = rows.join(sized, "dataset_id").filter(unit * F.col("_n") < 2 * POOL).withColumn("_at", F.row_number().over(Window.partitionBy("dataset_id").orderBy(digest, "id")) - 1)
     places = F.transform(F.sequence(F.lit(0), F.lit(POOL - 1)), lambda k: F.when(k % SAMPLE < F.col("_n"), F.struct(F.floor(k / SAMPLE).cast("int").alias("tree"), (k % F.col("_n")).cast("int").alias("_at"))))
     dealt = counts.select("dataset_id", F.explode(F.array_compact(places)).alias("_p")).select("dataset_id", "_p.*")
     names = list(FEATURES)
@@ -120,20 +125,21 @@ def iforest_scores(rows: DataFrame, seed: int = SEED) -> DataFrame:
         nodes = np.array(grow(group.sort_values("_at")[names].to_numpy(float), seed, tree), float)
         return pd.DataFrame({"dataset_id": [group["dataset_id"].iloc[0]], "tree": [tree], "size": [len(group)], "nodes": [nodes.ravel().tolist()]})
 
-    grown = pool.groupBy("dataset_id", "tree").applyInPandas(train, "dataset_id string, tree int, size int, nodes array<double>")
-    models: dict = {}
-    for r in sorted(grown.collect(), key=lambda r: (r["dataset_id"], r["tree"])):  # TREES rows a dataset
-        model = models.setdefault(r["dataset_id"], {"trees": [], "norm": float(_path(r["size"]))})
-        model["trees"].append(np.array(r["nodes"]).reshape(-1, 4))
-    forests = rows.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, part in batch.groupby("dataset_id"):
-                if name in forests.value:
-                    yield pd.DataFrame({"dataset_id": name, "project_id": part["id"].to_numpy(), "ml_anomaly_score": np.round(decide(forests.value[name], part[names].to_numpy(float)), 4)})
-
-    return rows.select("dataset_id", "id", *FEATURES).mapInPandas(score, "dataset_id string, project_id string, ml_anomaly_score double")
+    grown = stash(pool.groupBy("dataset_id", "tree").applyInPandas(train, "dataset_id string, tree int, size int, nodes array<double>"), "forest-trees")
+    blocks = F.ceil(F.col("_n") / SCORE_ROWS).cast("int")
+    forests = grown.groupBy("dataset_id").agg(F.sort_array(F.collect_list(F.struct("tree", "size", "nodes"))).alias("trees")).join(sized, "dataset_id")
+    forests = forests.select("dataset_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), "trees")
+    own = rows.join(sized, "dataset_id").select("dataset_id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("_block"), "id", *names)
+
+    def score(part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"dataset_id": [], "project_id": [], "ml_anomaly_score": []})
+        trees = forest["trees"].iloc[0]
+        model = {"trees": [np.array(t["nodes"], float).reshape(-1, 4) for t in trees], "norm": float(_path(trees[0]["size"]))}
+        return pd.DataFrame({"dataset_id": part["dataset_id"], "project_id": part["id"], "ml_anomaly_score": np.round(decide(model, part[names].to_numpy(float)), 4)})
+
+    keys = ["dataset_id", "_block"]
+    return own.groupBy(*keys).cogroup(forests.groupBy(*keys)).applyInPandas(score, "dataset_id string, project_id string, ml_anomaly_score double")
 
 
 def ml_signals(scores: DataFrame) -> DataFrame:

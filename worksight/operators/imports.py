@@ -236,8 +236,11 @@ def quality_totals(df: DataFrame, issues: DataFrame, found: DataFrame | None = N
     return out.na.fill(0, ["issue_count", "detection_issue_count"])
 
 
-def records(df: DataFrame, dataset_id: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of a dataset's rows in source order, without columns that are null throughout the dataset."""
+def records(df: DataFrame, dataset_id: str, limit: int = 50, offset: int = 0, after: int | None = None) -> DataFrame:
+    """A page of a dataset's rows in source order, without columns that are null throughout the dataset. after: the row number of the last row of the
+    page before; the page is then read from there, whichever it is."""
     own = df.filter(F.col("dataset_id") == dataset_id)
     filled = own.agg(*[F.count(F.col(c)).alias(c) for c in own.columns]).first()
+    if after is not None:
+        own = own.filter(F.col("source_row_number") > after)
     return own.select(*[c for c in own.columns if filled[c]]).orderBy("source_row_number").offset(offset).limit(limit) if any(filled) else own.limit(0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DIGEST_FLOOR, PRIORITY_ORDER, SEVERITY_RANK
+from ..tables import in_ranges, numbered
 
 
 def rank_of(c: Column, table: dict[str, int], other: int) -> Column:
@@ -34,8 +35,22 @@ def work_summary(works: DataFrame, priorities: DataFrame, signals: DataFrame, ca
     return out.withColumn("top_signals", F.coalesce("top_signals", F.array().cast("array<string>")))
 
 
-def queue(summary: DataFrame, sort: str = "priority", page: int = 1, size: int = 20, search: str | None = None, signal_type: str | None = None, case_status: str | None = None, **equal: str) -> tuple[DataFrame, DataFrame]:
-    """A page of the investigation queue and the one-row total. equal: level, state, district, category, letter case aside."""
+def _order(sort: str) -> list[Column]:
+    """What a sort of the queue goes by, upwards; nothing in it is null, so that keys of rows can be compared."""
+    down = lambda c: F.coalesce(-F.col(c).cast("double"), F.lit(float("inf")))
+    first = {
+        "priority": [rank_of(F.col("level"), PRIORITY_ORDER, 9), down("score")], "cost": [down("sanctioned_cost")], "district": [F.col("district").isNull(), F.coalesce("district", F.lit(""))],
+    }[sort]
+    return [*first, F.col("work_id").isNotNull(), F.coalesce("work_id", F.lit("")), F.col("id")]
+
+
+def queue(
+    summary: DataFrame, sort: str = "priority", page: int = 1, size: int = 20, search: str | None = None, signal_type: str | None = None, case_status: str | None = None, after: str | None = None, **equal: str
+) -> tuple[DataFrame, DataFrame]:
+    """A page of the investigation queue and the one-row total. equal: level, state, district, category, letter case aside.
+
+    after: the id of the last work of the page before. The page then is what follows that work's key, so any page costs as much as the
+    first one; pages by number keep all rows before them in one task, and are for the head of the queue."""
     for name, value in equal.items():
         summary = summary.filter(F.lower(name) == value.lower())
     if signal_type:
@@ -45,10 +60,24 @@ def queue(summary: DataFrame, sort: str = "priority", page: int = 1, size: int =
     if search:
         text = F.lower(F.concat_ws(" ", "work_id", "description", "district", "implementing_agency"))
         summary = summary.filter(F.contains(text, F.lit(search.lower())))
-    order = {
-        "priority": [rank_of(F.col("level"), PRIORITY_ORDER, 9), F.col("score").desc_nulls_last()], "cost": [F.col("sanctioned_cost").desc_nulls_last()], "district": [F.col("district").asc_nulls_last()],
-    }[sort]
-    return summary.orderBy(*order, "work_id", "id").offset((page - 1) * size).limit(size), summary.agg(F.count(F.lit(1)).alias("total"))
+    total, order = summary.agg(F.count(F.lit(1)).alias("total")), _order(sort)
+    if after is None:
+        return summary.orderBy(*order).offset((page - 1) * size).limit(size), total
+    key = summary.filter(F.col("id") == after).select(*[c.alias(f"k{i}") for i, c in enumerate(order)]).first()
+    if key is None:
+        raise ValueError(f"no work {after!r} is in this queue")
+    later = F.lit(False)
+    for c, value in reversed(list(zip(order, key, strict=True))):
+        later = (c > F.lit(value)) | ((c == F.lit(value)) & later)
+    return summary.filter(later).orderBy(*order).limit(size), total
+
+
+def queue_places(summary: DataFrame, sort: str = "priority", ranges: int = 200) -> DataFrame:
+    """summary with place: 1, 2, ... in the order of the queue, for pages by number anywhere in it. Ranges of the order are counted, offset and
+    numbered inside, so no task sees more than one; a page is a filter on place."""
+    order = [c.alias(f"_k{i}") for i, c in enumerate(_order(sort))]
+    names = [f"_k{i}" for i in range(len(order))]
+    return numbered(in_ranges(summary.select("*", *order), names, ranges, "queue-ranges"), [], names, "place").drop("_block", *names)
 
 
 def work_detail(works: DataFrame, signals: DataFrame, metrics: DataFrame, peers: DataFrame, pairs: DataFrame) -> DataFrame:
