@@ -28,9 +28,11 @@ STEPS, SAMPLES = 3 * BLOCK, 32
 CHUNK = 3 << 20
 #: Documents of one range of doc_id at least; of n, a range holds sqrt(n) where that is more.
 RANGE_ROWS = 2000
-BANDS, BAND_SAMPLES = 24, 4
-#: Bands inside each octave of a block.
-OCTAVE_BANDS = 8
+BANDS, BAND_SAMPLES = 24, 6
+#: Bands inside each octave of a block, and the digit from which on octaves are banded.
+OCTAVE_BANDS, BAND_FROM = 12, 32
+#: Pairs whose fingerprints are further below the threshold than this are not verified.
+MARGIN = 0.2
 _made: dict = {}
 
 
@@ -219,19 +221,44 @@ def walked_alike(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
 
 
 def band_spots() -> list[list[int]]:
-    """The digits of a block that each band reads: BANDS over the first octaves together, OCTAVE_BANDS inside each octave."""
+    """The digits of a block that each band reads: OCTAVE_BANDS inside each octave from digit BAND_FROM on, BANDS over the first of these
+    together, and for short walks, which end before, OCTAVE_BANDS over the digits below."""
     rng = np.random.default_rng(11)
-    spots = rng.integers(0, 160, (BANDS, BAND_SAMPLES)).tolist()
-    bounds = [0, 8, 16, 32, *range(64, len(tables()[1]) + 1, SAMPLES)]
-    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-        spots += rng.integers(low, high, (OCTAVE_BANDS, BAND_SAMPLES)).tolist()
+    pick = lambda low, high, n: [sorted(rng.choice(np.arange(low, high), BAND_SAMPLES, replace=False).tolist()) for _ in range(n)]
+    spots = pick(0, BAND_FROM, OCTAVE_BANDS) + pick(BAND_FROM, 5 * SAMPLES, BANDS)
+    for low in range(BAND_FROM, len(tables()[1]) - SAMPLES + 1, SAMPLES):
+        spots += pick(low, low + SAMPLES, OCTAVE_BANDS)
     return spots
 
 
-def band_keys(fingerprint: str) -> list[str]:
-    """The bands of every block. One with no digit inside the block's walk is left out: it would tell texts by length alone."""
-    spots = band_spots()
-    return [f"{k}.{b}.{own}" for k, block in enumerate(fingerprint.split(":")) for b, spot in enumerate(spots) if (own := ",".join(block[s : s + 1] for s in spot)).strip(",")]
+def band_keys(fingerprint: str, spots: list[list[int]] | None = None) -> list[str]:
+    """The bands of every block that lie inside its walk. The first digits, some fifteen characters of text, are often alike in texts that
+    are not; only blocks that are hardly longer are banded by them. A block shorter than a band's digits is one band as it is."""
+    spots = spots or band_spots()
+    out = []
+    for k, block in enumerate(fingerprint.split(":")):
+        own = spots[:OCTAVE_BANDS] if len(block) < 2 * BAND_FROM else spots[OCTAVE_BANDS:]
+        found = [f"{k}.{b}." + "".join(block[s] for s in spot) for b, spot in enumerate(own, len(spots) - len(own)) if spot[-1] < len(block)]
+        out += found or ([f"{k}.w.{block}"] if block else [])
+    return out
+
+
+def estimates(prints: list[str], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """likeness() of the pairs left[i], right[i] of fingerprints, many at once; each block counts by the steps that its digits stand for."""
+    weights = tables()[3]
+    blocks = [p.split(":") for p in prints]
+    same, total = np.zeros(len(left)), np.zeros(len(left))
+    for k in range(max(map(len, blocks), default=0)):
+        digits = np.full((len(prints), len(weights)), 46, np.uint8)  # a dot where a walk has ended
+        for row, own in enumerate(blocks):
+            if k < len(own):
+                code = np.frombuffer(own[k].encode(), np.uint8)
+                digits[row, : len(code)] = code
+        for low in range(0, len(left), 20_000):
+            a, b = digits[left[low : low + 20_000]], digits[right[low : low + 20_000]]
+            total[low : low + 20_000] += ((a != 46) | (b != 46)) @ weights
+            same[low : low + 20_000] += ((a == b) & (a != 46)) @ weights
+    return np.where(total > 0, np.maximum(0.0, (same / np.maximum(total, 1e-9) - 1 / 16) * 16 / 15), 1.0)
 
 
 def near(prints: DataFrame, least: float = 0.7, docs: DataFrame | None = None) -> DataFrame:
@@ -239,15 +266,17 @@ def near(prints: DataFrame, least: float = 0.7, docs: DataFrame | None = None) -
     prints has doc_id and fingerprint; empty ones and null ids are left out. alike compares the whole walks of the texts in
     docs (doc_id, text), or the fingerprints alone without docs.
 
-    Each bucket is compared with its least doc_id; then all members that links have left apart are compared with each
-    other, by blocks. So any two alike documents of a bucket are a pair or joined by a chain of pairs, and n copies make about n
-    pairs; a bucket of n documents that are not alike costs n^2 comparisons."""
+    Documents with equal fingerprints are compared with the least of them and stand for one from then on. Each bucket is compared with its
+    least doc_id; then all members that links have left apart are compared with each other, fingerprints first and by blocks. So any
+    two alike documents of a bucket are a pair or joined by a chain of pairs, and n copies make about n pairs. A pair whose
+    fingerprints are less alike than `least` by more than MARGIN is not verified, so texts are fetched for pairs that are likely alike only;
+    a bucket of n documents that are not costs n^2 / 512 copies of fingerprints."""
     known = prints.filter("doc_id is not null and fingerprint <> ''").select("doc_id", "fingerprint")
-    kind, whole = prints.schema["doc_id"].dataType.simpleString(), docs is not None
+    kind, whole, spots = prints.schema["doc_id"].dataType.simpleString(), docs is not None, band_spots()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([band_keys(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([band_keys(x, spots) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "keys"])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,16 +300,43 @@ def near(prints: DataFrame, least: float = 0.7, docs: DataFrame | None = None) -
         found = both.select("doc_id", "near_id", "_own", "_other").mapInArrow(judged, f"doc_id {kind}, near_id {kind}, alike double")
         return stash(found.filter(F.col("alike") >= least), "edit-links")
 
-    banded = known.mapInArrow(keys, f"doc_id {kind}, keys array<string>").select("doc_id", F.explode("keys").alias("band"))
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            prints = batch.column(2).to_pylist() + batch.column(3).to_pylist()
+            good = pa.array(estimates(prints, np.arange(n), np.arange(n) + n) >= least - MARGIN)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["doc_id", "near_id"])
+
+    pair, print_of = f"doc_id {kind}, near_id {kind}", lambda n: known.select(F.col("doc_id").alias(n), F.col("fingerprint").alias(f"_p_{n}"))
+    known = stash(known, "edit-prints")
+    reps = stash(known.groupBy("fingerprint").agg(F.min("doc_id").alias("near_id")), "edit-reps")
+    same = known.join(reps, "fingerprint").filter("doc_id <> near_id").select("doc_id", "near_id").distinct()
+    ones = stash(reps.select(F.col("near_id").alias("doc_id"), "fingerprint"), "edit-ones")
+    banded = ones.mapInArrow(keys, f"doc_id {kind}, keys array<string>").select("doc_id", F.explode("keys").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("near_id"), F.max("doc_id").alias("_high")).filter("near_id < _high").drop("_high")
     banded = stash(banded.join(hubs, "band").distinct(), "edit-bands")
-    links = verified(stash(banded.filter("doc_id <> near_id").select("doc_id", "near_id").distinct(), "edit-pairs"))
+    tried = stash(banded.filter("doc_id <> near_id").select("doc_id", "near_id").distinct(), "edit-tried")
+    hopeful = tried.join(print_of("doc_id"), "doc_id").join(print_of("near_id"), "near_id").select("doc_id", "near_id", "_p_doc_id", "_p_near_id").mapInArrow(likely, pair)
+    links = verified(stash(hopeful.unionByName(same).distinct(), "edit-pairs"))
     comps = components(links.select(F.col("doc_id").alias("a"), F.col("near_id").alias("b")))
     held = banded.select(F.col("doc_id").alias("rep"), "band").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     apart = held.groupBy("band").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("band")
-    rows = in_blocks(stash(held.join(apart, "band"), "edit-apart"), "band")
-    first = rows.filter("block = i").select("band", "i", "j", F.col("rep").alias("_a"), F.col("comp").alias("_c"))
-    second = rows.filter("block = j").select("band", "i", "j", F.col("rep").alias("_b"), "comp")
-    met = first.join(second, ["band", "i", "j"]).filter(F.col("_c") != F.col("comp")).select(F.greatest("_a", "_b").alias("doc_id"), F.least("_a", "_b").alias("near_id")).distinct()
-    tried = banded.select("doc_id", "near_id").distinct()
-    return links.unionByName(verified(stash(met.join(tried, ["doc_id", "near_id"], "left_anti"), "edit-pairs")))
+    rows = in_blocks(stash(held.join(apart, "band"), "edit-apart"), "band").join(known.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def met(table: pa.Table) -> pa.Table:
+        block, comp = table.column("block").to_numpy(), table.column("comp").to_pylist()
+        comp = np.unique(np.array(comp, dtype=object), return_inverse=True)[1]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij")
+        left, right = left.ravel(), right.ravel()
+        keep = (comp[left] != comp[right]) & ((i != j) | (left < right))
+        left, right = left[keep], right[keep]
+        good = estimates(table.column("fingerprint").to_pylist(), left, right) >= least - MARGIN
+        ids = table.column("rep").to_pylist()
+        both = [(ids[x], ids[y]) for x, y in zip(left[good], right[good], strict=True)]
+        of = table.schema.field("rep").type
+        return pa.table({"doc_id": pa.array([max(p) for p in both], of), "near_id": pa.array([min(p) for p in both], of)})
+
+    wanted = ["band", "i", "j", "block", "rep", "comp", "fingerprint"]
+    fresh = stash(rows.select(*wanted).groupBy("band", "i", "j").applyInArrow(met, pair).distinct(), "edit-met")
+    return links.unionByName(verified(stash(fresh.join(tried, ["doc_id", "near_id"], "left_anti"), "edit-pairs")))
