@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from worksight.llm import decontaminate, mixing, queries, secrets, sharding, urls
@@ -186,7 +187,7 @@ def test_secrets(spark):
     }
     df = docs(spark, [(i, t, None) for i, t in texts.items()])
     got = {r.doc_id: r for r in secrets.scan(df).select("doc_id", "size", "base", secrets.written(F.col("spans")).alias("spans")).collect()}
-    assert got[1].spans == f"assign:2:29,access:34:{34 + len(key)}".replace("2:29", "2:28" if texts[1][2:28].endswith("2") and texts[1][28] == "'" else "2:29")
+    assert got[1].spans == f"assign:2:28,access:34:{34 + len(key)}"
     assert got[2].spans == "" and got[3].spans == "hex:0:32" and got[4].spans == got[5].spans == got[6].spans == ""
     assert got[7].spans == "entropy:4:28" and got[8].spans == "" and got[9].spans == "" and got[10].spans == "assign:0:40010"
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
@@ -201,7 +202,7 @@ def test_secrets_in_very_long_texts(spark):
     texts = {1: "a-1-" * 20_000 + "Zq9", 2: " ".join(hexes), 3: run, 4: "z1" * 20_000, 5: "-".join(hexes)}
     got = {r.doc_id: r for r in secrets.scan(docs(spark, [(i, t, None) for i, t in texts.items()])).select("doc_id", F.size("base").alias("base"), secrets.written(F.col("spans")).alias("spans")).collect()}
     assert got[2].base == len(hexes) and got[2].spans.startswith("hex:0:24,hex:25:49") and got[2].spans.endswith(f"hex:{25 * len(hexes) - 25}:{25 * len(hexes) - 1}")
-    assert got[1].spans == f"entropy:0:{len(texts[1])}" or got[1].spans == ""  # most of its windows are of four characters
+    assert got[1].spans == ""  # its windows are of four characters, the last ones of seven
     assert got[3].spans == f"entropy:0:{len(run)}" and got[4].spans == "" and got[5].base == len(hexes)
 
 
@@ -280,5 +281,74 @@ def test_findings_beyond_a_broadcast(spark, monkeypatch):
     assert decontaminate.remove_documents(docs(spark, rows), bench).count() == 20
 
 
-def test_queries_have_contract_columns():
-    assert len(queries.queries()) == 10 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_rounding_equals_a_plain_fold(spark):
+    """Mass goes from one to the other of two units until one is whole, in the direction drawn; at the root a carried unit keeps the one it drew first."""
+    rng = random.Random(13)
+    nodes = [(k, [(0, rng.randrange(-(2**62), 2**62), float(rng.randint(1, 50)), rng.uniform(0.01, 0.99)) for _ in range(rng.randint(1, 40))]) for k in range(60)]
+
+    def drawn(*ids, seed):
+        h = 42
+        for v in ids:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if v else b"\0\0\0\0", seed=h)  # the literal 0 is an int
+        return (xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=h) >> 11) / 2**53
+
+    def fold(items, last, seed=7):
+        (_, one, w, p), out = items[0], []
+        p0 = p
+        for _, other, v, q in items[1:]:
+            to, fro = min((1 - p) * w, q * v), min(p * w, (1 - q) * v)
+            u = drawn(one, 0 if last else other, seed=seed)
+            if u < p0 if last else u * (to + fro) < fro:
+                if (1 - p) * w <= q * v:
+                    out.append((one, 1))
+                    x = max(0.0, q - (1 - p) * w / v)
+                    one, w, p, p0 = other, v, x, x
+                else:
+                    out.append((other, 0))
+                    p = min(1.0, p + q * v / w)
+            elif p * w <= (1 - q) * v:
+                out.append((one, 0))
+                x = min(1.0, q + p * w / v)
+                one, w, p, p0 = other, v, x, x
+            else:
+                out.append((other, 1))
+                p = max(0.0, p - (1 - q) * v / w)
+        return one, round(p, 9), out
+
+    df = spark.createDataFrame(nodes, "node int, items array<struct<r:int,id:bigint,w:double,p:double>>")
+    for last in (False, True):
+        got = {r["node"]: (r["a"]["id"], round(r["a"]["p"], 9), [tuple(x) for x in r["a"]["out"]]) for r in df.select("node", mixing._fold(7, last).alias("a")).collect()}
+        assert got == {k: fold(items, last) for k, items in nodes}
+
+
+CONTRACT = {
+    "op1": "page_id url text n_chars", "op2": "doc_id n_shingles component_id kept", "op3": "page_id host path rule verdict", "op4": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op5": "doc_id held_out score predicted", "op6": "doc_id n_words n_hit n_items items_sha256 contaminated", "op7": "doc_id size text_crc32 law shard slot grown_shard", "op8": "doc_id held_out score predicted",
+    "op9": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op10": "doc_id size source_size target taken",
+    "op11": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256", "op12": "doc_id n_features weight score rank", "op13": "doc_id piece start length ids_crc32 sequence_id offset",
+}
+
+
+def test_queries_have_contract_columns(spark):
+    known = {name.split("_")[0]: query for name, query in queries.queries().items()}
+    assert known.keys() == CONTRACT.keys()
+    for name, columns in CONTRACT.items():
+        if name not in ("op1", "op8"):  # their lessons and fits take long; test_models reads their columns
+            assert set(columns.split()) <= set(known[name](spark, "/root/testdata/sf0.001").columns), name
+
+
+def test_very_long_texts_pass_whole(spark):
+    """Half a million characters, of which the last words decide."""
+    filler = "word%d other%d " * 20_000 % tuple(range(40_000))
+    window = "one two three four five six seven eight nine ten"
+    rows = docs(spark, [(1, filler + window, "s"), (2, filler, "s"), (3, "short text", "t")])
+    bench = spark.createDataFrame([(1, window)], "item_id long, text string")
+    report = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.report(rows, bench).collect()}
+    assert report == {1: (40_010, 10), 2: (40_000, 0), 3: (2, 0)}
+    shards = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.shard(rows).collect()}
+    assert shards[1] == (len(filler + window) + 1, zlib.crc32((filler + window).encode()))
+    assert {r.doc_id: r["size"] for r in mixing.mixed(rows).collect()} == {1: 40_010, 2: 40_000, 3: 2}
+    pages = spark.createDataFrame([(1, "https://a.org/" + "x" * 300_000, ""), (2, "https://b.example.org/es/" + "é" * 200_000, ""), (3, "http://c.net/" + "/z" * 100_000, "")], "page_id long, url string, rule string")
+    judged = {r.page_id: (r.rule, r.verdict, len(r.path)) for r in urls.judge(pages).collect()}
+    assert judged[1] == ("org/", "allow", 300_001) and judged[2] == ("example.org/es/", "block", 200_004) and judged[3][0] is None and judged[3][2] == 200_001
+    assert urls.judge(pages.limit(0)).count() == 0

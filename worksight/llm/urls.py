@@ -42,7 +42,8 @@ def grams(url: Column) -> Column:
     what isn't printable ASCII becomes `~`, so there are 97 characters at most. A null url has the end alone."""
     plain = F.regexp_replace(az_lower(F.coalesce(url, F.lit(""))), r"[^\x21-\x7E]", "~")
     padded = F.concat(F.lit("\x02" * ORDER), plain, F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - ORDER), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    # seen ahead from every place, in one pass: a substring for each place would cost a long url its square
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))"), F.lit(1))
 
 
 def fit(seen: DataFrame) -> DataFrame:
@@ -72,15 +73,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     The models learn from the urls that a rule accepts or rejects, but for one in CALIBRATION by a hash. The scores of those
     left out set the threshold: it lies between the means of the two kinds, in proportion to their spreads (0 if either
-    kind is missing). A url without a rule is accepted at or above it. A null url, or one without `://`, has empty host and path and is judged by the model; repeated urls are judged alike."""
+    kind is missing). A url without a rule is accepted at or above it. A null url, or one without `://`, has empty host and path and is judged by the model; repeated urls are judged alike; urls of any
+    length are read whole, in time in proportion; an empty table gives an empty result; columns named like new ones are replaced."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score", "threshold")]
     keyed = pages.select(*kept, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    keyed = keyed.withColumn("rule", rule).withColumn("_by_rule", verdict)
-    # one row for each url: copies are counted, not repeated
-    urls = stash(keyed.groupBy("url", "_by_rule").count(), "urls")
+    digest = F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col("url").cast("string")), F.lit("")).cast("binary")))
+    keyed = keyed.withColumn("rule", rule).withColumn("_by_rule", verdict).withColumn("_url", digest)
+    # one row for each url: copies are counted, not repeated; grams carry its digest, as a long url has many
+    urls = stash(keyed.groupBy("url", "_url", "_by_rule").count(), "urls")
     urls = urls.withColumn("_apart", F.conv(F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % CALIBRATION == 0)
-    spread = urls.repartition(max(1, urls.count() // TASK_URLS), "url").select("url", "_by_rule", "_apart", "count", F.explode(grams(F.col("url"))).alias("gram"))
+    spread = urls.repartition(max(1, urls.count() // TASK_URLS), "_url").select("_url", "_by_rule", "_apart", "count", F.explode(grams(F.col("url"))).alias("gram"))
     side = lambda v: F.sum(F.when((F.col("_by_rule") == v) & ~F.col("_apart"), F.col("count")).otherwise(0))
     seen = stash(spread.groupBy("gram").agg(side("allow").alias("accepted"), side("block").alias("rejected"), F.count(F.lit(1)).alias("uses")), "url-grams")
     model = stash(fit(seen.drop("uses")), "url-model")
@@ -95,17 +98,28 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         wide = (a["spread"] or 0.0) + (b["spread"] or 0.0)
         share = (b["spread"] or 0.0) / wide if wide and wide == wide else 0.5
         cut = round(b["mean"] + share * (a["mean"] - b["mean"]), 6)
-    by_url = scores.select(F.col("url").alias("_url"), "score")
-    out = keyed.join(by_url, F.col("url").eqNullSafe(F.col("_url"))).drop("_url").withColumn("threshold", F.lit(cut))
+    out = with_scores(keyed, scores).drop("_url").withColumn("threshold", F.lit(cut))
     own = F.when(F.col("score") >= F.col("threshold"), F.lit("allow")).otherwise(F.lit("block"))
     return out.withColumn("verdict", F.coalesce("_by_rule", own)).drop("_by_rule").select(*kept, "host", "path", "rule", "verdict", "score", "threshold")
 
 
+def with_scores(keyed: DataFrame, scores: DataFrame) -> DataFrame:
+    """keyed with the score of its url. Scores within the bytes of a broadcast go to all tasks; beyond that those of urls that more than one
+    in HEAVY rows have do, and only urls that are not frequent are joined by shuffle."""
+    n, total = scores.agg(F.count(F.lit(1)), F.sum("count")).first()
+    side = scores.select("_url", "score")
+    if n * 64 <= BROADCAST_BYTES:
+        return keyed.join(F.broadcast(side), "_url")
+    heavy = scores.filter(F.col("count") * HEAVY > total).select("_url", "score")
+    first = keyed.join(F.broadcast(heavy), "_url", "left")
+    return first.filter("score is not null").unionByName(first.filter("score is null").drop("score").join(side, "_url"))
+
+
 def scored(spread: DataFrame, model: DataFrame, seen: DataFrame) -> DataFrame:
-    """url, _by_rule, _apart, count, score of the urls that spread holds gram by gram. A model within the bytes of a broadcast goes to
+    """_url, _by_rule, _apart, count, score of the urls that spread holds gram by gram. A model within the bytes of a broadcast goes to
     all tasks; beyond that its heavy grams alone do (fewer than HEAVY), and only the others, none of which is frequent,
     are joined by shuffle."""
-    by = ["url", "_by_rule", "_apart", "count"]
+    by = ["_url", "_by_rule", "_apart", "count"]
     if model.count() * MODEL_ROW <= BROADCAST_BYTES:
         met = spread.join(F.broadcast(model), "gram")
     else:
