@@ -81,7 +81,7 @@ def ingest_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = {h.strip().lower().replace("-", "_").replace(" ", "_"): h for h in df.columns}
     cell = {}
     for field, keys in LEGACY_KEYS.items():
-        header = next((named[k] for k in keys.split() if k in named), None)
+        header = next((named[k] for k in keys if k in named), None)
         cell[field] = F.col(f"`{header}`").cast("string") if header else F.lit(None).cast("string")
     numbers = ("estimated_cost", "sanctioned_cost", "expenditure", "financial_progress", "physical_progress", "latitude", "longitude", "expected_duration_days")
     typed = []

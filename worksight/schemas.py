@@ -72,7 +72,7 @@ class Field(NamedTuple):
     """A canonical field of an export: header keys that stand for it (the first field with the key wins) and whether it must be there."""
 
     name: str
-    keys: str
+    keys: tuple[str, ...]
     required: bool = False
 
 
@@ -82,42 +82,42 @@ class Export(NamedTuple):
     fields: tuple[Field, ...]
 
 
-_SERIAL = Field("serial_number", "sr_no s_no serial_no sr_number")
-_STATE = Field("state", "state state_name state_ut", True)
-_MEMBER = Field("mp_name", "hon_ble_members_of_parliament honble_members_of_parliament member_of_parliament mp_name mp", True)
-_ALLOCATED = Field("allocated_amount", "allocated_amount_rs_ allocated_amount amount_allocated_rs_", True)
+_SERIAL = Field("serial_number", ("sr_no", "s_no", "serial_no", "sr_number"))
+_STATE = Field("state", ("state", "state_name", "state_ut"), True)
+_MEMBER = Field("mp_name", ("hon_ble_members_of_parliament", "honble_members_of_parliament", "member_of_parliament", "mp_name", "mp"), True)
+_ALLOCATED = Field("allocated_amount", ("allocated_amount_rs_", "allocated_amount", "amount_allocated_rs_"), True)
 EXPORTS = (
-    Export("ls_allocation_v1", "MP_ALLOCATION", (_SERIAL, _STATE, _MEMBER, Field("constituency", "constituency constituency_name parliamentary_constituency"), _ALLOCATED)),
-    Export("rs_allocation_v1", "MP_ALLOCATION", (_SERIAL, _STATE, _MEMBER, Field("elected_nominated", "elected_nominated elected_or_nominated"), _ALLOCATED)),
+    Export("ls_allocation_v1", "MP_ALLOCATION", (_SERIAL, _STATE, _MEMBER, Field("constituency", ("constituency", "constituency_name", "parliamentary_constituency")), _ALLOCATED)),
+    Export("rs_allocation_v1", "MP_ALLOCATION", (_SERIAL, _STATE, _MEMBER, Field("elected_nominated", ("elected_nominated", "elected_or_nominated")), _ALLOCATED)),
     Export("scheme_aggregate_v1", "SCHEME_AGGREGATE", (
-        Field("house", "house lok_sabha_rajya_sabha segment"),
-        Field("allocated_limit", "allocated_limit_for_hon_ble_mps allocated_limit_for_honble_mps allocated_limit"),
-        Field("amount_consented_for_calamity", "amount_consented_for_calamity"),
-        Field("works_recommended", "works_recommended"), Field("works_sanctioned", "works_sanctioned"), Field("works_completed", "works_completed"),
-        Field("expenditure_completed_and_ongoing", "expenditure_on_completed_and_ongoing_works expenditure_completed_and_ongoing"),
-        Field("as_of_date", "as_of_date as_on_date date"),
+        Field("house", ("house", "lok_sabha_rajya_sabha", "segment")),
+        Field("allocated_limit", ("allocated_limit_for_hon_ble_mps", "allocated_limit_for_honble_mps", "allocated_limit")),
+        Field("amount_consented_for_calamity", ("amount_consented_for_calamity",)),
+        Field("works_recommended", ("works_recommended",)), Field("works_sanctioned", ("works_sanctioned",)), Field("works_completed", ("works_completed",)),
+        Field("expenditure_completed_and_ongoing", ("expenditure_on_completed_and_ongoing_works", "expenditure_completed_and_ongoing")),
+        Field("as_of_date", ("as_of_date", "as_on_date", "date")),
     )),
     Export("work_level_v1", "WORK_LEVEL", (
-        Field("work_id", "work_id workid work_no", True),
-        Field("mp_name", "mp_name hon_ble_members_of_parliament honble_members_of_parliament member_of_parliament"),
-        Field("constituency", "constituency constituency_name"), Field("state", "state state_name", True), Field("district", "district district_name", True),
-        Field("description", "work_name work_description description work", True),
-        Field("estimated_cost", "estimated_cost estimated_cost_rs_"), Field("sanctioned_amount", "sanctioned_amount sanctioned_cost sanctioned_amount_rs_", True),
-        Field("expenditure", "expenditure expenditure_rs_"), Field("physical_progress", "physical_progress"), Field("financial_progress", "financial_progress"),
-        Field("sanction_date", "sanction_date"), Field("completion_date", "completion_date"), Field("implementing_agency", "implementing_agency agency"),
-        Field("latitude", "latitude lat"), Field("longitude", "longitude lon lng"), Field("category", "category work_category"), Field("sector", "sector"),
-        Field("status", "status work_status"), Field("contractor_name", "contractor_name contractor vendor"),
-        Field("expected_duration_days", "expected_duration_days expected_duration"), Field("start_date", "start_date"),
-        Field("location_text", "location location_text village_town"), Field("payment_ref", "payment_ref payment_id payment_no"),
-        Field("payment_amount", "payment_amount amount_paid payment_amount_rs_"), Field("paid_on", "paid_on payment_date"),
-        Field("payee", "payee paid_to vendor_name"), Field("payment_stage", "payment_stage stage"),
+        Field("work_id", ("work_id", "workid", "work_no"), True),
+        Field("mp_name", ("mp_name", "hon_ble_members_of_parliament", "honble_members_of_parliament", "member_of_parliament")),
+        Field("constituency", ("constituency", "constituency_name")), Field("state", ("state", "state_name"), True), Field("district", ("district", "district_name"), True),
+        Field("description", ("work_name", "work_description", "description", "work"), True),
+        Field("estimated_cost", ("estimated_cost", "estimated_cost_rs_")), Field("sanctioned_amount", ("sanctioned_amount", "sanctioned_cost", "sanctioned_amount_rs_"), True),
+        Field("expenditure", ("expenditure", "expenditure_rs_")), Field("physical_progress", ("physical_progress",)), Field("financial_progress", ("financial_progress",)),
+        Field("sanction_date", ("sanction_date",)), Field("completion_date", ("completion_date",)), Field("implementing_agency", ("implementing_agency", "agency")),
+        Field("latitude", ("latitude", "lat")), Field("longitude", ("longitude", "lon", "lng")), Field("category", ("category", "work_category")), Field("sector", ("sector",)),
+        Field("status", ("status", "work_status")), Field("contractor_name", ("contractor_name", "contractor", "vendor")),
+        Field("expected_duration_days", ("expected_duration_days", "expected_duration")), Field("start_date", ("start_date",)),
+        Field("location_text", ("location", "location_text", "village_town")), Field("payment_ref", ("payment_ref", "payment_id", "payment_no")),
+        Field("payment_amount", ("payment_amount", "amount_paid", "payment_amount_rs_")), Field("paid_on", ("paid_on", "payment_date")),
+        Field("payee", ("payee", "paid_to", "vendor_name")), Field("payment_stage", ("payment_stage", "stage")),
     )),
 )
 #: Header keys of the older import path.
 LEGACY_KEYS = {
-    "work_id": "work_id workid id", "mp_name": "mp_name mp", "constituency": "constituency", "state": "state", "district": "district", "location_text": "location location_text",
-    "latitude": "latitude latitude_dd lat", "longitude": "longitude longitude_dd lon", "category": "category", "sector": "sector", "description": "description work_description",
-    "estimated_cost": "estimated_cost", "sanctioned_cost": "sanctioned_cost", "expenditure": "expenditure exp_amount", "financial_progress": "financial_progress",
-    "physical_progress": "physical_progress", "sanction_date": "sanction_date", "start_date": "start_date", "completion_date": "completion_date", "status": "status",
-    "implementing_agency": "implementing_agency agency", "contractor_name": "contractor_name contractor", "expected_duration_days": "expected_duration_days expected_duration",
+    "work_id": ("work_id", "workid", "id"), "mp_name": ("mp_name", "mp"), "constituency": ("constituency",), "state": ("state",), "district": ("district",), "location_text": ("location", "location_text"),
+    "latitude": ("latitude", "latitude_dd", "lat"), "longitude": ("longitude", "longitude_dd", "lon"), "category": ("category",), "sector": ("sector",), "description": ("description", "work_description"),
+    "estimated_cost": ("estimated_cost",), "sanctioned_cost": ("sanctioned_cost",), "expenditure": ("expenditure", "exp_amount"), "financial_progress": ("financial_progress",),
+    "physical_progress": ("physical_progress",), "sanction_date": ("sanction_date",), "start_date": ("start_date",), "completion_date": ("completion_date",), "status": ("status",),
+    "implementing_agency": ("implementing_agency", "agency"), "contractor_name": ("contractor_name", "contractor"), "expected_duration_days": ("expected_duration_days", "expected_duration"),
 }
