@@ -333,7 +333,7 @@ def test_queries_have_contract_columns(spark):
     known = {name.split("_")[0]: query for name, query in queries.queries().items()}
     assert known.keys() == CONTRACT.keys()
     for name, columns in CONTRACT.items():
-        if name not in ("op1", "op8"):  # their lessons and fits take long; test_models reads their columns
+        if name in ("op3", "op4", "op6", "op10"):  # the other queries' columns are read by the tests that hold them against plain versions
             assert set(columns.split()) <= set(known[name](spark, "/root/testdata/sf0.001").columns), name
 
 
