@@ -25,9 +25,9 @@ SELECT 'DS' || cast(n_regionkey % 2 AS string) AS dataset_id, o_orderkey + 1 AS
   CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'Seva Trust ' || n_name WHEN o_orderkey % 7 = 0 THEN 'Balaji Builders'
     WHEN o_orderkey % 10 < 5 + n_nationkey % 3 THEN 'Sri Balaji Constructions Pvt. Ltd.' WHEN o_orderkey % 2 = 0 THEN 'Kaveri Engineering Division' ELSE 'Narmada Works' END AS implementing_agency,
   cast(NULL AS string) AS contractor_name, CASE WHEN o_orderkey % 71 = 0 THEN NULL ELSE cast(200 + (o_orderkey % 7) * 60 AS int) END AS expected_duration_days
-FROM (SELECT *, CASE WHEN o_orderkey % 19 = 0 AND o_orderkey > 0 THEN o_orderkey - 1 ELSE o_orderkey END AS k0 FROM {orders}) o
+FROM (SELECT *, CASE WHEN o_orderkey % 19 = 0 AND o_orderkey > 0 THEN o_orderkey - 1 ELSE o_orderkey END AS k0, (SELECT count(*) FROM {part}) AS parts FROM {orders}) o
 JOIN {customer} c ON o_custkey = c_custkey JOIN {nation} n ON c_nationkey = n_nationkey JOIN {region} r ON n_regionkey = r_regionkey
-JOIN {part} p ON p_partkey = k0 % 200
+JOIN {part} p ON p_partkey = k0 % parts
 LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM {lineitem} GROUP BY l_orderkey) l ON l_orderkey = o_orderkey
 """
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.cells import fmt_lakh
 from ..schemas import (
     AGENCY_CRITICAL, AGENCY_DISTRICT_WORKS, AGENCY_TRIGGER, AGENCY_WORKS, CATEGORY_TERMS, DELAY_CRITICAL, DELAY_TRIGGER, DEVIATION_CRITICAL, DEVIATION_TRIGGER, GAP_CRITICAL,
     GAP_TRIGGER, MIN_PEERS, PAYEE_TERMS,
 )
+from . import ranks
 from .signals import evidence, make_signals
 
 _TITLES = {
@@ -87,21 +87,17 @@ def peer_stats(works: DataFrame) -> DataFrame:
 
     Without listing the others of each work: with the group sorted as v[0..], and L the place of the work's own cost, the k-th
     of the others is v[k] below L and v[k + 1] from L on. A group needs a few k, known from its size; they come from
-    cumulative counts of distinct costs, so ties shrink the work and a group is not collected."""
-    own = with_peer_key(works)
-    costs = own.groupBy(*PEER_KEYS, "sanctioned_cost").agg(F.count(F.lit(1)).alias("c"))
-    upward = Window.partitionBy(*PEER_KEYS).orderBy("sanctioned_cost").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*PEER_KEYS)
-    costs = costs.withColumn("cum", F.sum("c").over(upward)).withColumn("members", F.sum("c").over(whole)).filter(F.col("members") >= MIN_PEERS)
+    cumulative counts of distinct costs in ranges, so a group of any share of the works spreads over tasks."""
+    own, keys = with_peer_key(works), list(PEER_KEYS)
+    costs = ranks.counted(own, keys, "sanctioned_cost", "peer-costs")
+    sizes = ranks.members(costs, keys, MIN_PEERS, "peer-sizes")
     others = F.col("members") - 1
     low, high = F.floor((others - 1) / 2), F.floor(others / 2)
     third = F.bround((others - 1) * 0.75, 0).cast("long")
-    at = lambda k: F.max(F.when((F.col("cum") > k) & (F.col("cum") - F.col("c") <= k), F.col("sanctioned_cost")))
-    picks = costs.groupBy(*PEER_KEYS).agg(F.max("members").alias("members"), *[at(k + d).alias(f"{n}{d}") for n, k in (("low", low), ("high", high), ("third", third)) for d in (0, 1)])
-    place = costs.select(*PEER_KEYS, "sanctioned_cost", "cum").join(picks, list(PEER_KEYS))
+    picks = ranks.nth(costs, sizes, keys, "sanctioned_cost", {f"{n}{d}": k + d for n, k in (("low", low), ("high", high), ("third", third)) for d in (0, 1)})
+    place = costs.select(*keys, "sanctioned_cost", "cum").join(picks, keys)
     n, last = F.col("members") - 1, F.col("cum") - 1
     nth = lambda name, k: F.when(k < last, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
-    low, high, third = F.floor((n - 1) / 2), F.floor(n / 2), F.bround((n - 1) * 0.75, 0).cast("long")
     median = (nth("low", low).cast("decimal(18,4)") + nth("high", high).cast("decimal(18,4)")) / 2
     stats = place.select(
         *PEER_KEYS, "sanctioned_cost", n.alias("peer_count"), median.cast("decimal(18,4)").alias("_median"), nth("third", third).alias("peer_p75_cost"), F.round(last / n * 100, 1).cast("decimal(5,2)").alias("peer_percentile"),
@@ -188,7 +184,7 @@ def compliance_findings(works: DataFrame) -> DataFrame:
 def compliance_signals(works: DataFrame) -> DataFrame:
     df = compliance_findings(works)
     title = F.concat(F.lit("Compliance indicator: "), F.col("label"))
-    why = F.concat(F.lit("The "), F.lower("kind"), F.lit(" text holds the term "), F.col("term"), F.lit(", which "), F.col("basis"), F.lit(" of the guidelines is about."))
+    why = F.concat(F.lit("The "), F.lower("kind"), F.lit(" text holds the term "), F.col("term"), F.lit(". "), F.col("basis"), F.lit(". It is to be checked against them and no finding of wrongdoing."))
     return make_signals(df, "COMPLIANCE", F.col("severity"), title, "RULE", {"text": F.col("observed"), "matched_term": F.col("term")}, {"guideline": F.col("basis")}, {"code": F.col("code"), "kind": F.col("kind")}, [
         evidence(F.lower("kind"), F.col("observed"), "guideline", F.col("basis"), F.concat(F.lit("matched term: "), F.col("term")), rule="COMPLIANCE")
     ], explanation=why)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..schemas import ANOMALY_HIGH, ANOMALY_TRIGGER
 from ..tables import lookup, stash
 from ..tasks import ship
+from . import ranks
 from .signals import evidence, make_signals
 
 ship(__name__)
@@ -40,8 +41,14 @@ def features(works: DataFrame, metrics: DataFrame, peers: DataFrame, scores: Dat
 
 def impute(rows: DataFrame) -> DataFrame:
     """Nulls become the exact median of their column in the dataset; 0 where a column has none."""
-    medians = rows.groupBy("dataset_id").agg(*[F.median(c).alias(f"_{c}") for c in FEATURES])
-    joined = rows.join(medians, "dataset_id")
+    keys = ["dataset_id", "_feature"]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_feature"), F.col(c).alias("_value")) for k, c in enumerate(FEATURES)])).alias("_e")
+    counts = ranks.counted(rows.select("dataset_id", each).select("dataset_id", "_e.*"), keys, "_value", "feature-values")
+    sizes = ranks.members(counts, keys, 1, "feature-sizes")
+    middle = ranks.nth(counts, sizes, keys, "_value", {"_low": F.floor((F.col("members") - 1) / 2), "_high": F.floor(F.col("members") / 2)})
+    of = lambda k: F.max(F.when(F.col("_feature") == k, F.col("_low") * 0.5 + F.col("_high") * 0.5))
+    medians = middle.groupBy("dataset_id").agg(*[of(k).alias(f"_{c}") for k, c in enumerate(FEATURES)])
+    joined = rows.join(lookup(medians, sizes[1]), "dataset_id", "left")
     return joined.select("dataset_id", "id", *[F.coalesce(F.col(c), F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in FEATURES])
 
 

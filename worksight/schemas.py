@@ -35,13 +35,13 @@ ERROR_ACCEPTABLE, ERROR_DEGRADED, WARNING_DEGRADED = 0.02, 0.10, 0.15
 IMPLAUSIBLE_BELOW = 100_000
 #: Works that guidelines exclude: code, label, terms in order, severity, basis.
 CATEGORY_TERMS = (
-    ("RELIGIOUS_STRUCTURE", "Religious structure", ("temple", "mandir", "mosque", "masjid", "church", "gurudwara", "gurdwara", "shrine", "prayer hall", "dargah"), "CRITICAL", "para 2.1"),
-    ("MEMORIAL_STATUE", "Memorial / statue", ("memorial", "statue", "pratima", "bust", "samadhi", "smarak"), "CRITICAL", "para 2.1"),
-    ("PRIVATE_PROPERTY", "Private property benefit", ("private school", "private trust", "private society", "private hospital", "personal residence"), "HIGH", "para 2.2"),
-    ("REPAIR_UNPERMITTED", "Repair/maintenance beyond limits", ("repair of road", "repair work", "annual repair", "maintenance of building", "repainting"), "MEDIUM", "repair limits"),
-    ("OFFICE_BUILDING", "Office building", ("office building", "office complex", "secretariat building", "legislative assembly building"), "HIGH", "para 2.1"),
+    ("RELIGIOUS_STRUCTURE", "Religious structure", ("temple", "mandir", "mosque", "masjid", "church", "gurudwara", "gurdwara", "shrine", "prayer hall", "dargah"), "CRITICAL", "Guidelines para 2.1: works for religious purposes are prohibited"),
+    ("MEMORIAL_STATUE", "Memorial / statue", ("memorial", "statue", "pratima", "bust", "samadhi", "smarak"), "CRITICAL", "Guidelines para 2.1: memorials/statues prohibited"),
+    ("PRIVATE_PROPERTY", "Private property benefit", ("private school", "private trust", "private society", "private hospital", "personal residence"), "HIGH", "Guidelines para 2.2: works on private property prohibited"),
+    ("REPAIR_UNPERMITTED", "Repair/maintenance beyond limits", ("repair of road", "repair work", "annual repair", "maintenance of building", "repainting"), "MEDIUM", "Guidelines: repair/maintenance spend restricted to specified assets/limits"),
+    ("OFFICE_BUILDING", "Office building", ("office building", "office complex", "secretariat building", "legislative assembly building"), "HIGH", "Guidelines para 2.1: government office buildings prohibited"),
 )
-PAYEE_TERMS = (("UNAPPROVED_TRUST", "Trust/society implementing agency", ("trust", "society", "foundation", "seva samiti"), "MEDIUM", "agency approval"),)
+PAYEE_TERMS = (("UNAPPROVED_TRUST", "Trust/society implementing agency", ("trust", "society", "foundation", "seva samiti"), "MEDIUM", "Guidelines: trust/society agencies require State Nodal approval"),)
 CASE_TRANSITIONS = {
     "OPEN": ("UNDER_REVIEW", "FIELD_VERIFICATION"),
     "UNDER_REVIEW": ("FIELD_VERIFICATION", "RESOLVED", "ESCALATED"),

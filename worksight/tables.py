@@ -48,14 +48,21 @@ def until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Newest time, number and bytes of the files at or below a path."""
+    fs, where = _file_system(spark, path)
+    files, newest, count, size = fs.listFiles(where, True), 0, 0, 0
+    while files.hasNext():
+        status = files.next()
+        newest, count, size = max(newest, status.getModificationTime()), count + 1, size + status.getLen()
+    return newest, count, size
+
+
 def kept(spark: SparkSession, key: tuple, inputs: list[str], make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The stashed tables that make() returns, made once an application for a key and the state (time and length) of its input
-    files. What was lost from the shared folder is made again."""
-    state = []
-    for path in inputs:
-        fs, where = _file_system(spark, path)
-        status = fs.getFileStatus(where)
-        state.append((path, status.getModificationTime(), status.getLen()))
+    """The stashed tables that make() returns, made once an application for a key and the state of its inputs: the newest time, the
+    number and the length of the files inside, as a folder of an object store has neither of its own. What was lost from the shared
+    folder is made again."""
+    state = [(path, *_state(spark, path)) for path in inputs]
     full = (spark.sparkContext.applicationId, *key, *state)
     found = _kept.get(full)
     if found and all(_file_system(spark, p)[0].exists(_file_system(spark, p)[1]) for p, _ in found.values()):
@@ -81,6 +88,16 @@ def in_ranges(df: DataFrame, order: list[Column | str], parts: int, name: str) -
     return stash(df.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id()), name)
 
 
+def running(df: DataFrame, by: list[str], order: list[Column | str], value: str, to: str) -> DataFrame:
+    """df (with _block) with `to`: the sum of `value` within each value of `by`, up to and with the row, by block and then by order.
+    Blocks are summed first and offset by the sums before them, so that no task sees more than one block of a value."""
+    keys = [*by, "_block"]
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*keys).agg(F.sum(value).alias("_sum")).select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_upto", inside).join(starts, keys).withColumn(to, F.col("_start") + F.col("_upto")).drop("_upto", "_start")
+
+
 def numbered(df: DataFrame, by: list[str], order: list[Column | str], to: str) -> DataFrame:
     """df (with _block) with `to`: 1, 2, ... within each value of `by`, by block and then by order. Blocks are counted first and
     offset by the sums before them, so that no task sees more than one block of a value."""
