@@ -74,13 +74,15 @@ def test_json_of_columns_equals_python(spark):
 
 def test_manifest_is_the_digest_of_the_ordered_list(spark):
     at = datetime(2024, 5, 1, 8, 30, 0, 120)
-    signals = [("s1", "W1", "DELAY", "HIGH", "late", 'why "so"\n', {"b": "1", "a": "2"}, {}, None, at), ("s2", "W1", "COST_ANOMALY", "CRITICAL", "dear", None, {}, {"x": "é"}, {"d": "5"}, at.replace(microsecond=0)), ("s3", "W2", "DELAY", "LOW", "t", "e", {}, {}, {}, at)]
+    signals = [("s1", "W1", "DELAY", "HIGH", "late", 'why "so"\n', {"b": "1", "a": "2"}, {}, None, at), ("s2", "W1", "COST_ANOMALY", "CRITICAL", "dear", None, {},
+        {"x": "é"}, {"d": "5"}, at.replace(microsecond=0)), ("s3", "W2", "DELAY", "LOW", "t", "e", {}, {}, {}, at)]
     evidence = [("e1", "s1", 0, "f", "1", None, "c"), ("e2", "s1", 1, "g", None, "r", None), ("e3", "s2", 0, "h", "v", "r", "c"), ("e4", "s3", 0, "i", "v", "r", "c")]
     events = [(f"v{k}", "K1", k, "STATUS_CHANGED", None if k == 1 else "OPEN", "UNDER_REVIEW", at.replace(second=k)) for k in range(1, 12)] + [("v99", "K2", 1, "OPENED", None, "OPEN", at)]
     notes = [("n2", "K1", "u1", "later", at.replace(hour=9)), ("n1", "K1", None, "first\ttab", at)]
     frames = (
         spark.createDataFrame([("K1", "W1"), ("K2", "W9")], "case_id string, project_id string"),
-        spark.createDataFrame(signals, "signal_id string, project_id string, signal_type string, severity string, title string, explanation string, observed map<string,string>, reference map<string,string>, difference map<string,string>, created_at timestamp"),
+        spark.createDataFrame(signals, "signal_id string, project_id string, signal_type string, severity string, title string, explanation string, observed "
+            "map<string,string>, reference map<string,string>, difference map<string,string>, created_at timestamp"),
         spark.createDataFrame(evidence, "evidence_id string, signal_id string, place int, field_name string, field_value string, reference_value string, calculation string"),
         spark.createDataFrame(events, "event_id string, case_id string, seq long, event_type string, from_status string, to_status string, created_at timestamp"),
         spark.createDataFrame(notes, "note_id string, case_id string, author_id string, body string, created_at timestamp"),

@@ -60,7 +60,8 @@ def test_agency_concentration(spark):
 
 def test_fusion(spark):
     def fuse(rows):
-        df = spark.createDataFrame([("D", "1", t, s, on, f"{t}", src, c) for t, s, on, src, c in rows], "dataset_id string, project_id string, signal_type string, severity string, triggered boolean, title string, source_type string, contextual_confidence string")
+        df = spark.createDataFrame([("D", "1", t, s, on, f"{t}", src, c) for t, s, on, src, c in rows], "dataset_id string, project_id string, signal_type string, "
+            "severity string, triggered boolean, title string, source_type string, contextual_confidence string")
         return fusion.fuse(df).first()
 
     assert float(fuse([("DELAY", "HIGH", True, "RULE", None)]).score) == 3.0
@@ -78,7 +79,8 @@ def test_duplicates_equal_brute_force(spark):
     rows = []
     for _ in range(60):
         place = rng.choice([None, (13.0 + rng.random() / 20, 77.0 + rng.random() / 20)])
-        rows.append({"description": " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))), "sanctioned_cost": Decimal(rng.randint(90, 110)), "category": rng.choice(["a", "b"]), **({"latitude": Decimal(f"{place[0]:.5f}"), "longitude": Decimal(f"{place[1]:.5f}")} if place else {})})
+        rows.append({"description": " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))), "sanctioned_cost": Decimal(rng.randint(90, 110)),
+            "category": rng.choice(["a", "b"]), **({"latitude": Decimal(f"{place[0]:.5f}"), "longitude": Decimal(f"{place[1]:.5f}")} if place else {})})
     df = works(spark, rows)
     got = {(r.a_id, r.b_id): r.combined_score for r in duplicates.duplicate_pairs(df).collect()}
     texts = [r["description"].split() for r in rows]
@@ -126,8 +128,10 @@ def test_chain(spark):
 
 
 def test_case_log(spark):
-    log = [("a", 1, "CLOSED", None, None, None), ("b", 1, "FIELD_VERIFICATION", None, None, None), ("b", 2, "CLOSED", "NOT_SUBSTANTIATED", "OTHER", "fine"), ("c", 1, "UNDER_REVIEW", None, None, None), ("c", 2, "CLOSED", "NOT_SUBSTANTIATED", "OTHER", "x"), ("b", 3, "UNDER_REVIEW", None, None, None)]
-    df = spark.createDataFrame(log, "case_id string, seq long, to_status string, resolution_type string, resolution_reason string, resolution_summary string").withColumn("ts", F.timestamp_seconds("seq")).withColumn("event_type", F.lit("STATUS_CHANGED"))
+    log = [("a", 1, "CLOSED", None, None, None), ("b", 1, "FIELD_VERIFICATION", None, None, None), ("b", 2, "CLOSED", "NOT_SUBSTANTIATED", "OTHER", "fine"), ("c", 1,
+        "UNDER_REVIEW", None, None, None), ("c", 2, "CLOSED", "NOT_SUBSTANTIATED", "OTHER", "x"), ("b", 3, "UNDER_REVIEW", None, None, None)]
+    df = spark.createDataFrame(log, "case_id string, seq long, to_status string, resolution_type string, resolution_reason string, resolution_summary "
+        "string").withColumn("ts", F.timestamp_seconds("seq")).withColumn("event_type", F.lit("STATUS_CHANGED"))
     state, violations = cases.replay_cases(df)
     assert sorted((r.case_id, r.violation) for r in violations.collect()) == [("a", "closing_needs_reason"), ("a", "closing_needs_text"), ("a", "resolution_type_required"), ("a", "transition_not_allowed"), ("c", "transition_not_allowed")]
     final = {r.case_id: (r.status, r.closed_at is None, r.resolution_type) for r in cases.case_state(df).collect()}

@@ -26,7 +26,8 @@ def some_works(n, seed):
             text[rng.randrange(len(text))] = rng.choice(words)
         placed = rng.random() < 0.6
         out.append((
-            f"D{k % 2}", f"{k:03d}", rng.choice([" ".join(text)] * 9 + [None, "", "--"]), Decimal(rng.choice(["12.9700000", "12.9750000", "13.2000000"])) if placed else None, Decimal("77.5900000") if placed and rng.random() < 0.95 else None,
+            f"D{k % 2}", f"{k:03d}", rng.choice([" ".join(text)] * 9 + [None, "", "--"]), Decimal(rng.choice(["12.9700000", "12.9750000",
+                "13.2000000"])) if placed else None, Decimal("77.5900000") if placed and rng.random() < 0.95 else None,
             rng.choice([None, Decimal("0"), Decimal("-50"), *[Decimal(rng.choice([1000, 1020, 1500, 4000, 90000])) for _ in range(9)]]), rng.choice(["A", "A", "B", None]),
             rng.choice([None, date(2020, 1, 1)]), rng.choice([None, date(2020, 3, 1), date(2021, 1, 1)]), rng.choice([None, date(2020, 6, 1)]), rng.choice(["Sri Balaji Constructions", "Kaveri Works Agency", None]),
         ))

@@ -35,9 +35,11 @@ LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM {lineitem} GROUP B
 RAW_WORKS = """
 SELECT dataset_id, source_row_number, CASE WHEN source_row_number % 211 = 0 THEN 'N/A' ELSE work_id END AS work_id, mp_name, constituency, '  ' || state || '  ' AS state,
   CASE WHEN source_row_number % 307 = 0 THEN '-' ELSE district END AS district, description, cast(estimated_cost AS string) AS estimated_cost,
-  CASE WHEN source_row_number % 101 = 0 THEN 'nil' WHEN source_row_number % 103 = 0 THEN '-5' WHEN source_row_number % 5 = 0 THEN '₹ ' || cast(sanctioned_cost AS string) || ' Lakh' ELSE cast(sanctioned_cost AS string) END AS sanctioned_amount,
+  CASE WHEN source_row_number % 101 = 0 THEN 'nil' WHEN source_row_number % 103 = 0 THEN '-5' WHEN source_row_number % 5 = 0 THEN '₹ ' || cast(sanctioned_cost AS string) || ' Lakh'
+    ELSE cast(sanctioned_cost AS string) END AS sanctioned_amount,
   cast(expenditure AS string) AS expenditure, cast(cast(physical_progress AS int) AS string) || '%' AS physical_progress, cast(cast(financial_progress AS int) AS string) || ' %' AS financial_progress,
-  CASE WHEN source_row_number % 2 = 0 THEN cast(sanction_date AS string) ELSE substr(cast(sanction_date AS string), 9, 2) || '/' || substr(cast(sanction_date AS string), 6, 2) || '/' || substr(cast(sanction_date AS string), 1, 4) END AS sanction_date,
+  CASE WHEN source_row_number % 2 = 0 THEN cast(sanction_date AS string) ELSE substr(cast(sanction_date AS string), 9, 2) || '/' || substr(cast(sanction_date AS string), 6,
+    2) || '/' || substr(cast(sanction_date AS string), 1, 4) END AS sanction_date,
   cast(completion_date AS string) AS completion_date, implementing_agency, CASE WHEN source_row_number % 401 = 0 THEN '123.5' ELSE cast(latitude AS string) END AS latitude, cast(longitude AS string) AS longitude,
   category, sector, status, contractor_name, cast(expected_duration_days AS string) AS expected_duration_days, cast(start_date AS string) AS start_date, location_text,
   CASE WHEN source_row_number % 3 = 0 THEN ' PAY-' || cast(source_row_number AS string) END AS payment_ref,

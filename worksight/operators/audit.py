@@ -70,7 +70,8 @@ def build_chain(events: DataFrame, tips: DataFrame | None = None, order: list[st
     )
     if tips is not None:
         none = [F.lit(None).cast("string").alias(c) for c in (*TEXTS, "payload")]
-        own = own.unionByName(tips.select(F.col("chain_id").cast("string").alias("chain_id"), F.col("seq").cast("long").alias("seq"), *none, F.col("entry_hash").alias("_tip"), F.lit(None).cast(own.schema["_order"].dataType).alias("_order")))
+        own = own.unionByName(tips.select(F.col("chain_id").cast("string").alias("chain_id"), F.col("seq").cast("long").alias("seq"), *none,
+            F.col("entry_hash").alias("_tip"), F.lit(None).cast(own.schema["_order"].dataType).alias("_order")))
     dealt = own.repartition("chain_id").sortWithinPartitions("chain_id", F.col("_tip").isNull(), "_order").select(*names, "_tip")
     genesis, texts, tidy = GENESIS, TEXTS, canonical
 

@@ -125,7 +125,8 @@ def cost_anomaly(works: DataFrame, peers: DataFrame) -> DataFrame:
     df = _beside(works, peers)
     dev, cost, median = F.col("cost_deviation_pct"), F.col("sanctioned_cost"), F.col("peer_median_cost")
     title = F.format_string("Cost %s is %+.0f%% vs peer median", fmt_lakh(cost), _whole(dev))
-    why = F.format_string("The sanctioned cost of %s is %+.0f%% off %s, the median of %d other works of its district and category; three quarters of them cost %s at most.", fmt_lakh(cost), _whole(dev), fmt_lakh(median), "peer_count", fmt_lakh(F.col("peer_p75_cost")))
+    why = F.format_string("The sanctioned cost of %s is %+.0f%% off %s, the median of %d other works of its district and category; three quarters of them cost %s at "
+        "most.", fmt_lakh(cost), _whole(dev), fmt_lakh(median), "peer_count", fmt_lakh(F.col("peer_p75_cost")))
     sums = F.format_string("(%.0f - %.0f) / %.0f x 100 = %+.1f%%", _whole(cost), _whole(median), _whole(median), dev.cast("double"))
     return make_signals(df, "COST_ANOMALY", _level(dev, DEVIATION_TRIGGER, DEVIATION_CRITICAL), title, "RULE", {"sanctioned_cost": cost}, {"peer_median": median, "peer_p75": F.col("peer_p75_cost")}, {"deviation_pct": dev}, [
         evidence("sanctioned_cost", fmt_lakh(cost), "peer median (district+category)", fmt_lakh(median), sums, rule="COST_ANOMALY", threshold_pct=str(DEVIATION_TRIGGER))
@@ -137,7 +138,8 @@ def progress_gap(works: DataFrame) -> DataFrame:
     title = F.format_string("Financial vs physical gap %+.0f pp", _whole(gap))
     done = [_whole(F.col(c)) for c in ("financial_progress", "physical_progress")]
     why = F.format_string("%.0f%% of the money is spent and %.0f%% of the work is done, %+.0f points apart.", *done, _whole(gap))
-    return make_signals(works, "FIN_PHYS_GAP", _level(gap, GAP_TRIGGER, GAP_CRITICAL), title, "RULE", {"financial_pct": F.col("financial_progress"), "physical_pct": F.col("physical_progress")}, {"expected": "financial = physical progress"}, {"gap_pp": gap}, [
+    return make_signals(works, "FIN_PHYS_GAP", _level(gap, GAP_TRIGGER, GAP_CRITICAL), title, "RULE", {"financial_pct": F.col("financial_progress"),
+        "physical_pct": F.col("physical_progress")}, {"expected": "financial = physical progress"}, {"gap_pp": gap}, [
         evidence("progress (financial / physical)", F.format_string("%.0f%% / %.0f%%", *done), "expected", F.lit("financial = physical"), F.format_string("%+.0f pp", _whole(gap)), rule="FIN_PHYS_GAP", threshold_pp=str(GAP_TRIGGER))
     ], explanation=why)
 
@@ -146,8 +148,10 @@ def delay(works: DataFrame, metrics: DataFrame) -> DataFrame:
     df = _beside(works.drop("expected_duration_days"), metrics)
     days = F.col("delay_days")
     why = F.format_string("%d days have passed since the sanction of a work that was to take %d, %d days more.", "elapsed_days", "expected_duration_days", days)
-    return make_signals(df, "DELAY", _level(days, DELAY_TRIGGER, DELAY_CRITICAL), F.format_string("Delay of %d days", days), "RULE", {"elapsed_days": F.col("elapsed_days")}, {"expected_days": F.col("expected_duration_days")}, {"delay_days": days}, [
-        evidence("duration (elapsed / expected)", F.format_string("%dd / %dd", "elapsed_days", "expected_duration_days"), "expected duration", F.format_string("%dd", "expected_duration_days"), F.format_string("%d - %d = +%dd", "elapsed_days", "expected_duration_days", days), rule="DELAY", threshold_days=str(DELAY_TRIGGER))
+    return make_signals(df, "DELAY", _level(days, DELAY_TRIGGER, DELAY_CRITICAL), F.format_string("Delay of %d days", days), "RULE",
+        {"elapsed_days": F.col("elapsed_days")}, {"expected_days": F.col("expected_duration_days")}, {"delay_days": days}, [
+        evidence("duration (elapsed / expected)", F.format_string("%dd / %dd", "elapsed_days", "expected_duration_days"), "expected duration", F.format_string("%dd",
+            "expected_duration_days"), F.format_string("%d - %d = +%dd", "elapsed_days", "expected_duration_days", days), rule="DELAY", threshold_days=str(DELAY_TRIGGER))
     ], explanation=why)
 
 
@@ -212,6 +216,8 @@ def agency_concentration(works: DataFrame) -> DataFrame:
     df = own.join(heavy, ["dataset_id", "district", "agency"])
     share = F.round("share_pct", 1)
     why = F.format_string("%d of %d works of the district, %.1f%% of their sanctioned value, are with one agency.", "agency_works", "district_works", share)
-    return make_signals(df, "AGENCY_CONCENTRATION", _level(F.col("share_pct"), AGENCY_TRIGGER, AGENCY_CRITICAL), F.format_string("Agency holds %.0f%% of district sanctioned value", "share_pct"), "RULE", {"agency": F.col("agency"), "agency_works": F.col("agency_works"), "share_pct": share}, {"district": F.col("district"), "district_works": F.col("district_works")}, {"excess_share_pct": F.round(F.col("share_pct") - AGENCY_TRIGGER, 1)}, [
+    return make_signals(df, "AGENCY_CONCENTRATION", _level(F.col("share_pct"), AGENCY_TRIGGER, AGENCY_CRITICAL), F.format_string("Agency holds %.0f%% of district "
+        "sanctioned value", "share_pct"), "RULE", {"agency": F.col("agency"), "agency_works": F.col("agency_works"), "share_pct": share}, {"district": F.col("district"),
+        "district_works": F.col("district_works")}, {"excess_share_pct": F.round(F.col("share_pct") - AGENCY_TRIGGER, 1)}, [
         evidence("agency share", share, "threshold", F.lit(AGENCY_TRIGGER), F.format_string("%s / %s", F.col("agency_total").cast("string"), F.col("district_total").cast("string")), rule="AGENCY_CONCENTRATION")
     ], explanation=why)

@@ -199,7 +199,8 @@ def duplicate_signals(pairs: DataFrame) -> DataFrame:
     severity = F.when(band == "high", "HIGH").when(band == "medium", "MEDIUM").otherwise("LOW")
     why = F.concat(F.lit("Text, place, cost and dates of work "), F.col("other_id"), F.lit(" are alike, with a score of "), F.col("combined_score").cast("string"), F.lit(" and "), band, F.lit(" confidence."))
     row = lambda field, c: evidence(field, F.coalesce(F.col(c).cast("string"), F.lit("unavailable")), "other work", F.col("other_id"), None, rule="DUPLICATE")
-    return make_signals(df, "DUPLICATE", severity, F.concat(F.lit("Possible duplicate of "), F.col("other_id")), "NLP", {"other_id": F.col("other_id")}, {"threshold": str(DUPLICATE_TRIGGER)}, {"combined_score": F.col("combined_score"), "contextual_confidence": band}, [
+    return make_signals(df, "DUPLICATE", severity, F.concat(F.lit("Possible duplicate of "), F.col("other_id")), "NLP", {"other_id": F.col("other_id")},
+        {"threshold": str(DUPLICATE_TRIGGER)}, {"combined_score": F.col("combined_score"), "contextual_confidence": band}, [
         row("text_similarity", "text_similarity"), row("location_distance_m", "location_distance_m"), row("cost_similarity", "cost_similarity"), row("vendor_match", "vendor_match"), row("contextual_confidence", "contextual_confidence"),
     ], band, explanation=why)
 

@@ -31,7 +31,8 @@ POOL = TREES * SAMPLE
 
 def features(works: DataFrame, metrics: DataFrame, peers: DataFrame, scores: DataFrame) -> DataFrame:
     """dataset_id, id and FEATURES; what is unknown is null."""
-    m = metrics.select("dataset_id", F.col("project_id").alias("id"), F.col("financial_physical_gap").cast("double").alias("gap"), F.col("delay_days").cast("double").alias("delay"), F.col("expenditure_ratio").cast("double").alias("expenditure_ratio"))
+    m = metrics.select("dataset_id", F.col("project_id").alias("id"), F.col("financial_physical_gap").cast("double").alias("gap"),
+        F.col("delay_days").cast("double").alias("delay"), F.col("expenditure_ratio").cast("double").alias("expenditure_ratio"))
     p = peers.select("dataset_id", F.col("project_id").alias("id"), F.col("peer_median_cost").cast("double").alias("_median"))
     d = scores.select("dataset_id", F.col("project_id").alias("id"), F.col("duplicate_score").cast("double").alias("duplicate_score"))
     key = ["dataset_id", "id"]

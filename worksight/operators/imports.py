@@ -146,7 +146,8 @@ def validate_aggregate(df: DataFrame) -> DataFrame:
     """Issues of normalised aggregate rows."""
     r = AGGREGATE_RULES
     checks = [_issue(F.col(c) < 0, c, "invalid_count", r, f"{c} is negative.") for c in ("works_recommended", "works_sanctioned", "works_completed")]
-    checks.append(_issue(F.col("works_completed") > F.col("works_sanctioned"), "works_completed", "aggregate_consistency_issue", r, F.format_string("Works completed (%s) exceed works sanctioned (%s).", "works_completed", "works_sanctioned")))
+    checks.append(_issue(F.col("works_completed") > F.col("works_sanctioned"), "works_completed", "aggregate_consistency_issue", r, F.format_string("Works completed (%s) "
+        "exceed works sanctioned (%s).", "works_completed", "works_sanctioned")))
     checks += [_issue(F.col(c) < 0, c, "invalid_amount", r, f"{c} is negative.") for c in ("allocated_limit", "amount_consented_for_calamity", "expenditure_completed_and_ongoing")]
     return _issues(df, checks)
 
@@ -164,8 +165,10 @@ def validate_works(df: DataFrame) -> DataFrame:
         _issue((sanctioned > 0) & (F.col("expenditure") > sanctioned), "expenditure", "expenditure_above_sanctioned", r, "Expenditure exceeds sanctioned amount."),
     ]
     checks += [_issue(~F.col(c).between(0, 100), c, "progress_out_of_range", r, f"{words(c).capitalize()} is outside 0-100.") for c in ("physical_progress", "financial_progress")]
-    checks.append(_issue(F.col("completion_date") < F.col("sanction_date"), "completion_date", "invalid_date_order", r, F.format_string("Completion date %s precedes sanction date %s.", F.col("completion_date").cast("string"), F.col("sanction_date").cast("string"))))
-    checks += [_issue(~F.col(c).between(-most, most), c, "invalid_coordinates", r, F.format_string(f"{c.capitalize()} %s is outside the range of {most} degrees.", F.col(c).cast("string"))) for c, most in (("latitude", 90), ("longitude", 180))]
+    checks.append(_issue(F.col("completion_date") < F.col("sanction_date"), "completion_date", "invalid_date_order", r, F.format_string("Completion date %s precedes "
+        "sanction date %s.", F.col("completion_date").cast("string"), F.col("sanction_date").cast("string"))))
+    checks += [_issue(~F.col(c).between(-most, most), c, "invalid_coordinates", r, F.format_string(f"{c.capitalize()} %s is outside the range of {most} degrees.",
+        F.col(c).cast("string"))) for c, most in (("latitude", 90), ("longitude", 180))]
     # only ids that occur again are joined, mostly few, so that one scan of the rows makes all their issues
     again = df.filter(~_absent("work_id")).groupBy(F.col("dataset_id").alias("_ds"), F.col("work_id").alias("_id")).agg(F.min("source_row_number").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     checks.append(_issue(F.col("source_row_number") > F.col("_first"), "work_id", "duplicate_work_id", r, F.format_string("Work ID %s appears more than once (first seen in row %s).", "work_id", "_first")))

@@ -17,7 +17,8 @@ def case_per_work(cases: DataFrame, which: str = "latest") -> DataFrame:
     """The first or the latest case (by opened_at, then case_id) of each work."""
     order = F.struct("opened_at", "case_id")
     pick = F.max if which == "latest" else F.min
-    return cases.groupBy("project_id").agg(pick(F.struct(order.alias("o"), "case_id", "status", "priority", "resolution_type")).alias("c")).select("project_id", F.col("c.case_id").alias("case_id"), F.col("c.status").alias("case_status"), F.col("c.resolution_type").alias("resolution_type"))
+    return cases.groupBy("project_id").agg(pick(F.struct(order.alias("o"), "case_id", "status", "priority", "resolution_type")).alias("c")).select("project_id",
+        F.col("c.case_id").alias("case_id"), F.col("c.status").alias("case_status"), F.col("c.resolution_type").alias("resolution_type"))
 
 
 def top_signals(signals: DataFrame, k: int = 3) -> DataFrame:
@@ -146,7 +147,8 @@ def stakeholder_summary(works: DataFrame, signals: DataFrame, cases: DataFrame,
     seen = signals.filter("triggered").join(ids, ["dataset_id", "project_id"], "left_semi")
     held = cases if role == "MP" else cases.join(ids, [c for c in ("dataset_id", "project_id") if c in cases.columns], "left_semi")
     count = lambda df, name, key: df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "key", "n")
-    totals = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("status").isin("RESOLVED", "CLOSED")).alias("open")).select(F.lit("cases").alias("measure"), F.explode(F.create_map(F.lit("all"), "all", F.lit("open"), "open")).alias("key", "n"))
+    totals = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("status").isin("RESOLVED", "CLOSED")).alias("open")).select(F.lit("cases").alias("measure"),
+        F.explode(F.create_map(F.lit("all"), "all", F.lit("open"), "open")).alias("key", "n"))
     return count(own, "works", "status").unionByName(count(seen, "signals", "signal_type")).unionByName(count(seen, "severity", "severity")).unionByName(count(held, "case_status", "status")).unionByName(totals)
 
 

@@ -184,23 +184,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "agency_concentration": lambda s, d: _brief(detect.agency_concentration(works(s, d))),
         "quality_issues": lambda s, d: detect.quality_issues(works(s, d)).select("dataset_id", "id", "rule", "field", "severity"),
         "quality_status": lambda s, d: detect.quality_status(works(s, d), detect.quality_issues(works(s, d))),
-        "normalize_works": lambda s, d: _raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "monetary_unit", "physical_progress", "financial_progress", "sanction_date", "completion_date", "expected_duration_days"),
+        "normalize_works": lambda s, d: _raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "monetary_unit",
+            "physical_progress", "financial_progress", "sanction_date", "completion_date", "expected_duration_days"),
         "validate_works": lambda s, d: imports.validate_works(_raw(s, d)).select("dataset_id", "row_number", "field", "rule", "severity"),
         "valid_works": lambda s, d: imports.to_work(imports.split_valid(_raw(s, d), imports.validate_works(_raw(s, d)))).select("dataset_id", "source_row_number", "work_id", "estimated_cost", "physical_progress", "status"),
         "import_grade": lambda s, d: imports.grade(_raw(s, d), imports.validate_works(_raw(s, d))),
         "issue_summary": lambda s, d: imports.issue_summary(imports.validate_works(_raw(s, d))),
-        "import_summary": lambda s, d: imports.import_summary(_raw(s, d), imports.validate_works(_raw(s, d))).select("dataset_id", "total_rows", "error_rows", "warning_rows", "kept_rows", "grade", F.array_join("reasons", "; ").alias("reasons")),
+        "import_summary": lambda s, d: imports.import_summary(_raw(s, d), imports.validate_works(_raw(s, d))).select("dataset_id", "total_rows", "error_rows",
+            "warning_rows", "kept_rows", "grade", F.array_join("reasons", "; ").alias("reasons")),
         "field_summary": lambda s, d: imports.field_summary(imports.validate_works(_raw(s, d))),
         "quality_report": lambda s, d: imports.quality_report(imports.validate_works(_raw(s, d)), "DS0").select("row_number", "field", "rule", "severity"),
         "records_page": lambda s, d: imports.records(_raw(s, d).select("dataset_id", "source_row_number", "work_id", "state", "district", "sanctioned_amount", "payee"), "DS1", 50, 100),
         "payments": lambda s, d: imports.payments(_raw(s, d)).select(*imports.KEYS, "work_id", "payment_ref", "amount", "unit", "paid_on", "payee", "stage"),
-        "legacy_rows": lambda s, d: imports.ingest_rows(views.over_works(s, d, views.LEGACY_WORKS))[0].select(*imports.KEYS, "work_id", "estimated_cost", "sanctioned_cost", "financial_progress", "latitude", "sanction_date", "implementing_agency"),
+        "legacy_rows": lambda s, d: imports.ingest_rows(views.over_works(s, d, views.LEGACY_WORKS))[0].select(*imports.KEYS, "work_id", "estimated_cost",
+            "sanctioned_cost", "financial_progress", "latitude", "sanction_date", "implementing_agency"),
         "legacy_missing": lambda s, d: imports.ingest_rows(views.over_works(s, d, views.LEGACY_WORKS))[1].select("field", F.col("count").alias("n")),
         "import_run": lambda s, d: _imported(s, d)["summary"].select("part", "total_rows", "error_rows", "warning_rows", "kept_rows", "grade", F.array_join("reasons", "; ").alias("reasons"), "notes"),
         "import_works": lambda s, d: _imported(s, d)["records"].select("part", "source_row_number", "work_id", "mp_name", "state", "sanctioned_cost", "latitude", "sanction_date", "status"),
         "import_payments": lambda s, d: _imported(s, d)["payments"].select("part", "source_row_number", "payment_ref", "amount", "unit"),
         "import_issues": lambda s, d: _imported(s, d)["issues"].select("part", "row_number", "field", "rule", "severity"),
-        "import_datasets": lambda s, d: _imported(s, d)["datasets"].select("part", "source_type", "version", "dataset_type", "schema_id", F.size("detected_columns").alias("n_detected"), F.array_join("unmapped_columns", ",").alias("unmapped")),
+        "import_datasets": lambda s, d: _imported(s, d)["datasets"].select("part", "source_type", "version", "dataset_type", "schema_id",
+            F.size("detected_columns").alias("n_detected"), F.array_join("unmapped_columns", ",").alias("unmapped")),
         "import_new_files": lambda s, d: _imported(s, d)["new"],
         "digest_ack": lambda s, d: _text(reporting.ack_digest(_digests(s, d), "ASIA", "2030-01-01", 7)),
         "current_dataset": lambda s, d: _text(reporting.current_dataset(_datasets(s, d))),
@@ -208,7 +212,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_aggregate": lambda s, d: imports.validate_aggregate(imports.normalize_aggregate(views.view(s, d, views.RAW_AGGREGATE))).select("dataset_id", "row_number", "field", "rule", "severity"),
         "duplicate_pairs": lambda s, d: _pairs(s, d).select("dataset_id", "a_id", "b_id", "text_similarity", "location_distance_m", "category_match", "time_overlap", "vendor_match", "contextual_confidence", "combined_score"),
         "duplicate_score": lambda s, d: duplicates.duplicate_score(_run(s, d)["pairs"]),
-        "duplicate_signals": lambda s, d: _signals(s, d).filter("signal_type = 'DUPLICATE'").select("dataset_id", "project_id", F.element_at("observed", "other_id").alias("other_id"), "severity", "contextual_confidence", F.size("evidence").alias("evidence_rows")),
+        "duplicate_signals": lambda s, d: _signals(s, d).filter("signal_type = 'DUPLICATE'").select("dataset_id", "project_id", F.element_at("observed",
+            "other_id").alias("other_id"), "severity", "contextual_confidence", F.size("evidence").alias("evidence_rows")),
         "ml_features": lambda s, d: _features(s, d).select("dataset_id", "id", *[F.round(c, 3).alias(c) for c in forest.FEATURES]),
         "iforest_scores": lambda s, d: forest.iforest_scores(_features(s, d)),
         "ml_signals": lambda s, d: _brief(forest.ml_signals(_run(s, d)["scores"])),
@@ -222,7 +227,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dashboard": lambda s, d: (lambda found: reporting.dashboard(_summary(s, d, found), found))(_signals(s, d)),
         "district_rollup": lambda s, d: reporting.district_rollup(_summary(s, d)),
         "work_timeline": lambda s, d: reporting.work_timeline(works(s, d)),
-        "work_detail": lambda s, d: (lambda w: reporting.work_detail(w, _signals(s, d), detect.work_metrics(w, TODAY), detect.peer_stats(w), _run(s, d)["pairs"]).select("dataset_id", "id", "delay_days", "peer_count", F.coalesce(F.size("signals"), F.lit(0)).alias("n_signals"), F.array_join(F.transform("signals", lambda x: x["signal_type"]), ",").alias("signals"), F.array_join("related", ",").alias("related"), F.col("why_flagged").isNotNull().alias("flagged")))(works(s, d)),
+        "work_detail": lambda s, d: (lambda w: reporting.work_detail(w, _signals(s, d), detect.work_metrics(w, TODAY), detect.peer_stats(w), _run(s,
+            d)["pairs"]).select("dataset_id", "id", "delay_days", "peer_count", F.coalesce(F.size("signals"), F.lit(0)).alias("n_signals"), F.array_join(F.transform("signals",
+            lambda x: x["signal_type"]), ",").alias("signals"), F.array_join("related", ",").alias("related"), F.col("why_flagged").isNotNull().alias("flagged")))(works(s, d)),
         "case_per_work": lambda s, d: reporting.case_per_work(views.view(s, d, views.CASES)),
         "stakeholder_summary": lambda s, d: reporting.stakeholder_summary(works(s, d), _signals(s, d), views.view(s, d, views.CASES), "DISTRICT_AUTHORITY", "NATION_1"),
         "headlines": lambda s, d: reporting.headlines(works(s, d), _signals(s, d), "MP 7").select("work_id", "signal_type", "severity"),
@@ -236,7 +243,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verify_chain": lambda s, d: audit.verify_chain(_broken(s, d)),
         "build_chain": lambda s, d: audit.verify_chain(audit.build_chain(_chain(s, d))),
         "case_manifest": _manifest,
-        "signal_texts": lambda s, d: _texts(s, d).select("dataset_id", "project_id", "signal_type", "title", "explanation", F.explode("evidence").alias("e")).select("dataset_id", "project_id", "signal_type", "title", "explanation", "e.field_name", "e.field_value", "e.reference_value", "e.calculation"),
+        "signal_texts": lambda s, d: _texts(s, d).select("dataset_id", "project_id", "signal_type", "title", "explanation",
+            F.explode("evidence").alias("e")).select("dataset_id", "project_id", "signal_type", "title", "explanation", "e.field_name", "e.field_value", "e.reference_value", "e.calculation"),
         "quality_totals": _quality,
         "confusion": lambda s, d: evaluate.by_scenario(_found(s, d)),
         "confusion_by_type": lambda s, d: evaluate.by_type(_found(s, d)),
@@ -270,7 +278,8 @@ gap_s AS (SELECT dataset_id, id AS project_id, 'FIN_PHYS_GAP' AS signal_type, CA
 delay_s AS (SELECT dataset_id, project_id, 'DELAY' AS signal_type, CASE WHEN delay_days >= 180 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM metrics WHERE delay_days >= 90)"""
 _STAMP = "CASE WHEN created_at = date_trunc('second', created_at) THEN strftime(created_at, '%Y-%m-%d %H:%M:%S') ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') END"
 _TEXTS = """
-lakh AS (SELECT p.*, sanctioned_cost AS cost, '₹' || printf('%.1f', sanctioned_cost::DOUBLE / 100000) || 'L' AS own, '₹' || printf('%.1f', peer_median_cost::DOUBLE / 100000) || 'L' AS mid, '₹' || printf('%.1f', peer_p75_cost::DOUBLE / 100000) || 'L' AS p75,
+lakh AS (SELECT p.*, sanctioned_cost AS cost, '₹' || printf('%.1f', sanctioned_cost::DOUBLE / 100000) || 'L' AS own, '₹' || printf('%.1f', peer_median_cost::DOUBLE / 100000) || 'L'
+  AS mid, '₹' || printf('%.1f', peer_p75_cost::DOUBLE / 100000) || 'L' AS p75,
     printf('%+.0f', cost_deviation_pct::DOUBLE) AS dev FROM peers p JOIN works w ON w.dataset_id = p.dataset_id AND w.id = p.project_id),
 signal_text AS MATERIALIZED (
   SELECT s.dataset_id, s.project_id, s.signal_type, s.severity, 'Cost ' || own || ' is ' || dev || '% vs peer median' AS title,
@@ -355,7 +364,8 @@ r{k + 1} AS MATERIALIZED (SELECT r.dataset_id, r.tree, 2 * r.node + CASE WHEN v[
     parts.append("\nnodes AS MATERIALIZED (" + "\n  UNION ALL ".join(nodes) + ")")
     parts.append(f"\np0 AS (SELECT dataset_id, id, v, tree, 1::BIGINT AS node FROM pool, range({forest.TREES}) t(tree))")
     for k in range(levels):
-        parts.append(f"\np{k + 1} AS (SELECT p.dataset_id, p.id, p.v, p.tree, CASE WHEN feature IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN v[feature] < cut THEN 0 ELSE 1 END END AS node FROM p{k} p JOIN nodes USING (dataset_id, tree, node))")
+        parts.append(f"\np{k + 1} AS (SELECT p.dataset_id, p.id, p.v, p.tree, CASE WHEN feature IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN v[feature] < cut THEN 0 "
+            f"ELSE 1 END END AS node FROM p{k} p JOIN nodes USING (dataset_id, tree, node))")
     parts.append(f"""
 outliers AS MATERIALIZED (
   SELECT dataset_id, id AS project_id, round({-forest.OFFSET} - pow(2, -d / {forest.TREES} / ({rest("least(n, " + str(forest.SAMPLE) + ")")})), 4) AS ml_anomaly_score
@@ -427,7 +437,8 @@ c AS (SELECT dataset_id, rule, severity, count(*) AS n, count(*) || CASE WHEN co
 r AS (SELECT dataset_id, string_agg(reason, '; ' ORDER BY n DESC, rule, reason) AS reasons FROM c GROUP BY ALL),
 summed AS (
   SELECT t.dataset_id, total_rows, coalesce(error_rows, 0) AS error_rows, coalesce(warning_rows, 0) AS warning_rows, total_rows - coalesce(error_rows, 0) AS kept_rows,
-    CASE WHEN error_rows IS NULL OR error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade,
+    CASE WHEN error_rows IS NULL OR error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE'
+      WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade,
     coalesce(reasons, '') AS reasons FROM t LEFT JOIN b USING (dataset_id) LEFT JOIN r USING (dataset_id))"""
 _TOKENS = """
 tok AS (
@@ -446,7 +457,8 @@ lost AS (SELECT dataset_id, id FROM pos WHERE lat IS NULL),
 cos_lost AS (
   SELECT dataset_id, least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id, sum(x.w * y.w) AS t
   FROM (SELECT vec.* FROM vec JOIN lost USING (dataset_id, id)) x JOIN vec y USING (dataset_id, term) WHERE x.id <> y.id GROUP BY dataset_id, x.id, y.id HAVING sum(x.w * y.w) >= 0.25),
-cos_near AS (SELECT n.dataset_id, a_id, b_id, sum(x.w * y.w) AS t FROM near n JOIN vec x ON x.dataset_id = n.dataset_id AND x.id = a_id JOIN vec y ON y.dataset_id = n.dataset_id AND y.id = b_id AND y.term = x.term WHERE m <= 2000 GROUP BY n.dataset_id, a_id, b_id HAVING sum(x.w * y.w) >= 0.25),
+cos_near AS (SELECT n.dataset_id, a_id, b_id, sum(x.w * y.w) AS t FROM near n JOIN vec x ON x.dataset_id = n.dataset_id AND x.id = a_id JOIN vec y ON y.dataset_id = n.dataset_id
+  AND y.id = b_id AND y.term = x.term WHERE m <= 2000 GROUP BY n.dataset_id, a_id, b_id HAVING sum(x.w * y.w) >= 0.25),
 cand AS (SELECT dataset_id, a_id, b_id, max(t) AS t FROM (SELECT * FROM cos_lost UNION ALL SELECT * FROM cos_near) GROUP BY ALL),
 vend AS (
   SELECT dataset_id, id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(coalesce(implementing_agency, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN
@@ -464,8 +476,10 @@ pairs AS (
   SELECT *, CASE WHEN m IS NULL AND vm IS NULL THEN 'unavailable' WHEN m > 50 OR NOT vm THEN 'low' WHEN m <= 50 AND vm THEN 'high' ELSE 'medium' END AS band FROM scored WHERE score >= 0.6),
 dup AS (SELECT dataset_id, project_id, max(score) AS s FROM (SELECT dataset_id, a_id AS project_id, score FROM pairs UNION ALL SELECT dataset_id, b_id, score FROM pairs) GROUP BY ALL)"""
 _CHAIN = """c AS (
-  SELECT chain_id, n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || chain_id || '","entity_type":"\\"case\\"\\u001f","payload":{"a":{"x":"\\u000b","y":1.5},"n":' || own || '},"prev_hash":"' || repeat('0', 64) || '","seq":1}') AS hash FROM e WHERE n = 1
-  UNION ALL SELECT e.chain_id, e.n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' || e.chain_id || '","entity_type":"\\"case\\"\\u001f","payload":{"a":{"x":"\\u000b","y":1.5},"n":' || own || '},"prev_hash":"' || hash || '","seq":' || e.n || '}')
+  SELECT chain_id, n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' ||
+    chain_id || '","entity_type":"\\"case\\"\\u001f","payload":{"a":{"x":"\\u000b","y":1.5},"n":' || own || '},"prev_hash":"' || repeat('0', 64) || '","seq":1}') AS hash FROM e WHERE n = 1
+  UNION ALL SELECT e.chain_id, e.n, sha256('{"action":"' || action || '","actor_id":"officer","created_at":"' || own || '","entity_id":"' ||
+    e.chain_id || '","entity_type":"\\"case\\"\\u001f","payload":{"a":{"x":"\\u000b","y":1.5},"n":' || own || '},"prev_hash":"' || hash || '","seq":' || e.n || '}')
   FROM c JOIN e ON e.chain_id = c.chain_id AND e.n = c.n + 1)"""
 _FOUND = """
 truth AS ({truth}),
@@ -505,30 +519,51 @@ def oracle_sql() -> dict[str, str]:
         "agency_concentration": _with(_AGENCY, brief + "agency_s"),
         "quality_issues": _with(_QUALITY, "SELECT * FROM quality"),
         "quality_status": _with(_QUALITY, """t AS (SELECT dataset_id, count(*) AS total_rows FROM works GROUP BY ALL), q AS (SELECT dataset_id, count(DISTINCT id) AS rows_with_issues, count(*) AS total_issues FROM quality GROUP BY ALL)""",
-            "SELECT dataset_id, total_rows, coalesce(rows_with_issues, 0) AS rows_with_issues, coalesce(total_issues, 0) AS total_issues, CASE WHEN coalesce(total_issues, 0) = 0 THEN 'VALID' WHEN total_issues < greatest(3, total_rows * 0.2) THEN 'VALID_WITH_WARNINGS' ELSE 'INVALID' END AS quality_status FROM t LEFT JOIN q USING (dataset_id)"),
-        "normalize_works": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, state, district, sanctioned_amount, monetary_unit, physical_progress, financial_progress, sanction_date, completion_date, expected_duration_days FROM norm, (SELECT 1 FROM raw_works LIMIT 1)"),
+            "SELECT dataset_id, total_rows, coalesce(rows_with_issues, 0) AS rows_with_issues, coalesce(total_issues, 0) AS total_issues, "
+                "CASE WHEN coalesce(total_issues, 0) = 0 THEN 'VALID' WHEN total_issues < greatest(3, total_rows * 0.2) THEN 'VALID_WITH_WARNINGS' "
+                "ELSE 'INVALID' END AS quality_status FROM t LEFT JOIN q USING (dataset_id)"),
+        "normalize_works": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, state, district, sanctioned_amount, monetary_unit, physical_progress, "
+            "financial_progress, sanction_date, completion_date, expected_duration_days FROM norm, (SELECT 1 FROM raw_works LIMIT 1)"),
         "validate_works": _with(_RAW, "SELECT * FROM issues -- raw_works"),
-        "valid_works": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, coalesce(estimated_cost, sanctioned_amount)::DECIMAL(14,2) AS estimated_cost, coalesce(physical_progress, 0)::DECIMAL(5,2) AS physical_progress, coalesce(status, 'Unknown') AS status FROM norm n WHERE NOT EXISTS (SELECT 1 FROM issues i WHERE i.severity = 'ERROR' AND i.dataset_id = n.dataset_id AND i.row_number = n.source_row_number) -- raw_works"),
-        "import_grade": _with(_RAW, """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL)""",
-            "SELECT dataset_id, total_rows, error_rows, warning_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= 0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade FROM t JOIN b USING (dataset_id) -- raw_works"),
-        "issue_summary": _with(_RAW, "SELECT dataset_id, rule, severity, count(*) AS issues, count(DISTINCT row_number) AS rows, count(*) || CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity -- raw_works"),
+        "valid_works": _with(_RAW, "SELECT dataset_id, source_row_number, work_id, coalesce(estimated_cost, sanctioned_amount)::DECIMAL(14,2) AS estimated_cost, "
+            "coalesce(physical_progress, 0)::DECIMAL(5,2) AS physical_progress, coalesce(status, 'Unknown') AS status FROM norm n WHERE NOT EXISTS (SELECT 1 FROM issues i "
+            "WHERE i.severity = 'ERROR' AND i.dataset_id = n.dataset_id AND i.row_number = n.source_row_number) -- raw_works"),
+        "import_grade": _with(_RAW,
+            """t AS (SELECT dataset_id, count(*) AS total_rows FROM norm GROUP BY ALL), b AS (SELECT dataset_id, count(DISTINCT row_number) FILTER (severity = 'ERROR') AS error_rows, count(DISTINCT row_number) FILTER (severity = 'WARNING') AS warning_rows FROM issues GROUP BY ALL)""",
+            "SELECT dataset_id, total_rows, error_rows, warning_rows, CASE WHEN error_rows = 0 AND warning_rows = 0 THEN 'GOOD' WHEN error_rows / total_rows <= "
+                "0.02 AND warning_rows / total_rows <= 0.15 THEN 'ACCEPTABLE' WHEN error_rows / total_rows <= 0.1 THEN 'DEGRADED' ELSE 'FAILED' END AS grade FROM t "
+                "JOIN b USING (dataset_id) -- raw_works"),
+        "issue_summary": _with(_RAW, "SELECT dataset_id, rule, severity, count(*) AS issues, count(DISTINCT row_number) AS rows, count(*) || "
+            "CASE WHEN count(*) = 1 THEN ' record with ' ELSE ' records with ' END || replace(rule, '_', ' ') AS reason FROM issues GROUP BY dataset_id, rule, severity -- raw_works"),
         "import_summary": _with(_RAW, _SUMMED, "SELECT * FROM summed -- raw_works"),
         "payments": _with(_RAW, _PAID.format(rows="raw_works"), "SELECT dataset_id, source_row_number, work_id, payment_ref, amount, unit, paid_on, payee, stage FROM paid JOIN norm USING (dataset_id, source_row_number)"),
-        "legacy_rows": _with(_LEGACY, "SELECT dataset_id, source_row_number, work_id, estimated_cost, sanctioned_cost, financial_progress, latitude, sanction_date, NULL::VARCHAR AS implementing_agency FROM legacy WHERE work_id IS NOT NULL AND district IS NOT NULL AND sanctioned_cost IS NOT NULL AND physical_progress IS NOT NULL"),
-        "legacy_missing": _with(_LEGACY, "SELECT field, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field FROM legacy WHERE {c} IS NULL" for c in ("work_id", "district", "estimated_cost", "sanctioned_cost", "financial_progress", "physical_progress")) + ") GROUP BY field"),
+        "legacy_rows": _with(_LEGACY, "SELECT dataset_id, source_row_number, work_id, estimated_cost, sanctioned_cost, financial_progress, latitude, sanction_date, "
+            "NULL::VARCHAR AS implementing_agency FROM legacy WHERE work_id IS NOT NULL AND district IS NOT NULL AND sanctioned_cost IS NOT NULL AND physical_progress IS NOT NULL"),
+        "legacy_missing": _with(_LEGACY, "SELECT field, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS field FROM legacy "
+            f"WHERE {c} IS NULL" for c in ("work_id", "district", "estimated_cost", "sanctioned_cost", "financial_progress", "physical_progress")) + ") GROUP BY field"),
         "import_run": _with(_FILES, _IMPORTED, _SUMMED, "SELECT dataset_id AS part, * EXCLUDE (dataset_id), 0::BIGINT AS notes FROM summed"),
-        "import_works": _with(_FILES, _IMPORTED, f"SELECT dataset_id AS part, source_row_number, work_id, mp_name, n.state, sanctioned_amount::DECIMAL(14,2) AS sanctioned_cost, n.latitude::DECIMAL(10,7) AS latitude, n.sanction_date, coalesce(n.status, 'Unknown') AS status FROM norm n JOIN (SELECT dataset_id, source_row_number, mp_name FROM exports) USING (dataset_id, source_row_number) WHERE {_VALID}"),
+        "import_works": _with(_FILES, _IMPORTED, f"SELECT dataset_id AS part, source_row_number, work_id, mp_name, n.state, sanctioned_amount::DECIMAL(14,2) AS "
+            f"sanctioned_cost, n.latitude::DECIMAL(10,7) AS latitude, n.sanction_date, coalesce(n.status, 'Unknown') AS status FROM norm n "
+            f"JOIN (SELECT dataset_id, source_row_number, mp_name FROM exports) USING (dataset_id, source_row_number) WHERE {_VALID}"),
         "import_payments": _with(_FILES, _IMPORTED, _PAID.format(rows="exports"), f"SELECT dataset_id AS part, source_row_number, payment_ref, amount, unit FROM paid n WHERE {_VALID}"),
         "import_issues": _with(_FILES, _IMPORTED, "SELECT dataset_id AS part, * EXCLUDE (dataset_id) FROM issues"),
-        "import_datasets": _with(_FILES, "SELECT DISTINCT dataset_id AS part, 'OFFICIAL_FILE_UPLOAD' AS source_type, 'import-001' AS version, 'WORK_LEVEL' AS dataset_type, 'work_level_v1' AS schema_id, 28::INT AS n_detected, 'Remarks' AS unmapped FROM exports"),
+        "import_datasets": _with(_FILES, "SELECT DISTINCT dataset_id AS part, 'OFFICIAL_FILE_UPLOAD' AS source_type, 'import-001' AS version, 'WORK_LEVEL' AS "
+            "dataset_type, 'work_level_v1' AS schema_id, 28::INT AS n_detected, 'Remarks' AS unmapped FROM exports"),
         "import_new_files": _with(_FILES, "SELECT DISTINCT dataset_id AS part FROM exports WHERE dataset_id::INT >= 8"),
-        "digest_ack": _with("SELECT state AS role, CASE WHEN state = 'ASIA' THEN 7 ELSE count(*) END AS last_seen_seq, CASE WHEN state = 'ASIA' THEN '2030-01-01 00:00:00' ELSE strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') END AS cutoff FROM works GROUP BY state"),
-        "current_dataset": _with("SELECT dataset_id, strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') AS ingested_at, strftime(min(sanction_date), '%Y-%m-%d %H:%M:%S') AS created_at, 'WORK_LEVEL' AS dataset_type FROM works GROUP BY dataset_id ORDER BY ingested_at DESC, created_at DESC, dataset_id LIMIT 1"),
-        "field_summary": _with(_RAW, "SELECT dataset_id, field, count(*) FILTER (rule LIKE 'missing\\_%' ESCAPE '\\') AS missing, count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (rule LIKE 'duplicate\\_%' ESCAPE '\\') AS duplicates FROM issues GROUP BY dataset_id, field -- raw_works"),
-        "quality_report": _with(_RAW, "SELECT row_number, field, rule, severity FROM issues WHERE dataset_id = 'DS0' ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, row_number, rule, field LIMIT 200 -- raw_works"),
+        "digest_ack": _with("SELECT state AS role, CASE WHEN state = 'ASIA' THEN 7 ELSE count(*) END AS last_seen_seq, CASE WHEN state = 'ASIA' THEN '2030-01-01 "
+            "00:00:00' ELSE strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') END AS cutoff FROM works GROUP BY state"),
+        "current_dataset": _with("SELECT dataset_id, strftime(max(sanction_date), '%Y-%m-%d %H:%M:%S') AS ingested_at, strftime(min(sanction_date), '%Y-%m-%d "
+            "%H:%M:%S') AS created_at, 'WORK_LEVEL' AS dataset_type FROM works GROUP BY dataset_id ORDER BY ingested_at DESC, created_at DESC, dataset_id LIMIT 1"),
+        "field_summary": _with(_RAW, "SELECT dataset_id, field, count(*) FILTER (rule LIKE 'missing\\_%' ESCAPE '\\') AS missing, count(*) FILTER (regexp_matches(rule, "
+            "'^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (rule LIKE 'duplicate\\_%' ESCAPE '\\') AS duplicates FROM issues GROUP BY dataset_id, field "
+            "-- raw_works"),
+        "quality_report": _with(_RAW, "SELECT row_number, field, rule, severity FROM issues WHERE dataset_id = 'DS0' ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN "
+            "'WARNING' THEN 1 ELSE 2 END, row_number, rule, field LIMIT 200 -- raw_works"),
         "quality_totals": _with(_RAW, _QUALITY, """q AS (SELECT dataset_id, count(*) AS n FROM quality GROUP BY ALL),
-            fields AS (SELECT dataset_id, field, count(*) FILTER (starts_with(rule, 'missing_')) AS missing, count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (starts_with(rule, 'duplicate_')) AS again FROM issues GROUP BY ALL),
-            maps AS (SELECT dataset_id, coalesce(string_agg(field || '=' || missing, ',' ORDER BY field) FILTER (missing > 0), '') AS missing_field_counts, coalesce(string_agg(field || '=' || invalid, ',' ORDER BY field) FILTER (invalid > 0), '') AS invalid_field_counts,
+            fields AS (SELECT dataset_id, field, count(*) FILTER (starts_with(rule, 'missing_')) AS missing,
+              count(*) FILTER (regexp_matches(rule, '^(invalid|negative|progress|implausible)_')) AS invalid, count(*) FILTER (starts_with(rule, 'duplicate_')) AS again FROM issues GROUP BY ALL),
+            maps AS (SELECT dataset_id, coalesce(string_agg(field || '=' || missing, ',' ORDER BY field) FILTER (missing > 0), '') AS missing_field_counts,
+              coalesce(string_agg(field || '=' || invalid, ',' ORDER BY field) FILTER (invalid > 0), '') AS invalid_field_counts,
               coalesce(string_agg(field || '=' || again, ',' ORDER BY field) FILTER (again > 0), '') AS duplicate_counts FROM fields GROUP BY ALL),
             many AS (SELECT dataset_id, count(*) AS issue_count FROM issues GROUP BY ALL)""", _SUMMED,
             """SELECT dataset_id, grade AS quality_status, total_rows, kept_rows AS valid_rows, warning_rows, error_rows, issue_count, n AS detection_issue_count, missing_field_counts, invalid_field_counts, duplicate_counts
@@ -538,7 +573,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN mp_name = 'n/a' THEN NULL ELSE regexp_replace(mp_name, ' +', ' ', 'g') END AS mp, CASE WHEN allocated_amount = '?' THEN NULL ELSE allocated_amount::DECIMAL(20,4) END AS amount FROM raw)
             SELECT dataset_id, r AS row_number, 'state' AS field, 'missing_state' AS rule, 'ERROR' AS severity FROM n WHERE state IS NULL
             UNION ALL SELECT dataset_id, r, 'mp_name', 'missing_mp_name', 'ERROR' FROM n WHERE mp IS NULL UNION ALL SELECT dataset_id, r, 'allocated_amount', 'invalid_amount', 'ERROR' FROM n WHERE amount IS NULL
-            UNION ALL SELECT dataset_id, r, 'allocated_amount', 'negative_amount', 'ERROR' FROM n WHERE amount < 0 UNION ALL SELECT dataset_id, r, 'allocated_amount', 'implausible_amount', 'WARNING' FROM n WHERE amount >= 0 AND amount < 100000
+            UNION ALL SELECT dataset_id, r, 'allocated_amount', 'negative_amount', 'ERROR' FROM n WHERE amount < 0 UNION ALL SELECT dataset_id,
+              r, 'allocated_amount', 'implausible_amount', 'WARNING' FROM n WHERE amount >= 0 AND amount < 100000
             UNION ALL SELECT dataset_id, r, 'serial_number', 'invalid_serial', 'INFO' FROM n WHERE serial IS NULL
             UNION ALL SELECT dataset_id, r, 'serial_number', 'duplicate_serial', 'WARNING' FROM (SELECT *, min(r) OVER (PARTITION BY dataset_id, serial) AS f FROM n WHERE serial IS NOT NULL) WHERE r > f
             UNION ALL SELECT dataset_id, r, 'mp_name', 'duplicate_mp_record', 'WARNING' FROM (SELECT *, min(r) OVER (PARTITION BY dataset_id, state, mp) AS f FROM n WHERE mp IS NOT NULL) WHERE r > f""",
@@ -546,7 +582,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT dataset_id, source_row_number AS row_number, 'works_completed' AS field, 'invalid_count' AS rule, 'ERROR' AS severity FROM raw WHERE works_completed::INT < 0
             UNION ALL SELECT dataset_id, source_row_number, 'works_completed', 'aggregate_consistency_issue', 'WARNING' FROM raw WHERE works_completed::INT > works_sanctioned::INT
             UNION ALL SELECT dataset_id, source_row_number, 'allocated_limit', 'invalid_amount', 'ERROR' FROM raw WHERE replace(allocated_limit, ' Crore', '')::DECIMAL(14,2) < 0""",
-        "duplicate_pairs": _with(_TOKENS, "SELECT dataset_id, a_id, b_id, round(t, 4) AS text_similarity, round(m, 1) AS location_distance_m, cm AS category_match, ov AS time_overlap, vm AS vendor_match, band AS contextual_confidence, score AS combined_score FROM pairs"),
+        "duplicate_pairs": _with(_TOKENS, "SELECT dataset_id, a_id, b_id, round(t, 4) AS text_similarity, round(m, 1) AS location_distance_m, cm AS category_match, ov "
+            "AS time_overlap, vm AS vendor_match, band AS contextual_confidence, score AS combined_score FROM pairs"),
         "duplicate_score": _with(_TOKENS, "SELECT dataset_id, project_id, s AS duplicate_score FROM dup"),
         "ml_features": _with(_METRICS, _PEERS, _TOKENS, _FEATURES, "SELECT dataset_id, id, " + ", ".join(f"round({c}, 3) AS {c}" for c in forest.FEATURES) + " FROM imputed"),
         "iforest_scores": _with(_METRICS, _PEERS, _TOKENS, _FEATURES, outliers, "SELECT dataset_id, project_id, ml_anomaly_score FROM outliers"),
@@ -562,28 +599,51 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT dataset_id, 'duplicate_pairs:all', count(*) FROM pairs GROUP BY ALL UNION ALL SELECT dataset_id, 'scores:all', count(*) FROM outliers GROUP BY ALL
             UNION ALL SELECT dataset_id, 'signals:' || signal_type, count(*) FROM signals GROUP BY ALL UNION ALL SELECT dataset_id, 'priorities:' || level, count(*) FROM priorities GROUP BY ALL)""",
             "SELECT dataset_id, 'COMPLETED' AS status, NULL::VARCHAR AS error, measure, n FROM counts"),
-        "work_detail": _with(*rules, """sig AS (SELECT dataset_id, project_id, count(*) AS n, string_agg(signal_type, ',' ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, signal_type) AS kinds FROM signals GROUP BY ALL),
+        "work_detail": _with(*rules,
+            """sig AS (SELECT dataset_id, project_id, count(*) AS n, string_agg(signal_type, ',' ORDER BY CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END DESC, signal_type) AS kinds FROM signals GROUP BY ALL),
             rel AS (SELECT dataset_id, project_id, string_agg(DISTINCT other_id, ',' ORDER BY other_id) AS related FROM dup_s GROUP BY ALL)""",
-            "SELECT w.dataset_id, w.id, delay_days, peer_count, coalesce(s.n, 0)::INT AS n_signals, kinds AS signals, related, s.n IS NOT NULL AS flagged FROM works w LEFT JOIN metrics m ON m.dataset_id = w.dataset_id AND m.project_id = w.id LEFT JOIN peers p ON p.dataset_id = w.dataset_id AND p.project_id = w.id LEFT JOIN sig s ON s.dataset_id = w.dataset_id AND s.project_id = w.id LEFT JOIN rel r ON r.dataset_id = w.dataset_id AND r.project_id = w.id"),
-        "headlines": _with(*rules, "SELECT work_id, signal_type, severity FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id WHERE mp_name = 'MP 7' AND severity IN ('HIGH', 'CRITICAL') ORDER BY severity, work_id, signal_type LIMIT 10"),
+            "SELECT w.dataset_id, w.id, delay_days, peer_count, coalesce(s.n, 0)::INT AS n_signals, kinds AS signals, related, s.n IS NOT NULL AS flagged "
+                "FROM works w LEFT JOIN metrics m ON m.dataset_id = w.dataset_id AND m.project_id = w.id LEFT JOIN peers p ON p.dataset_id = w.dataset_id AND p.project_id = w.id "
+                "LEFT JOIN sig s ON s.dataset_id = w.dataset_id AND s.project_id = w.id LEFT JOIN rel r ON r.dataset_id = w.dataset_id AND r.project_id = w.id"),
+        "headlines": _with(*rules, "SELECT work_id, signal_type, severity FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id "
+            "WHERE mp_name = 'MP 7' AND severity IN ('HIGH', 'CRITICAL') ORDER BY severity, work_id, signal_type LIMIT 10"),
         "alert_digest": _with(*rules, """s AS (SELECT s.*, sanction_date::TIMESTAMP AS happened FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id WHERE sanction_date > DATE '2001-01-01'
               ORDER BY happened DESC, project_id, signal_type, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END LIMIT 25),
             c AS (SELECT * FROM cases WHERE updated_at > TIMESTAMP '2001-01-01' ORDER BY updated_at DESC, case_id LIMIT 15)""",
-            "SELECT 'signal' AS kind, project_id AS ref, signal_type AS label, severity, strftime(happened, '%Y-%m-%d %H:%M:%S') AS at FROM s WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'case', case_id, status, priority, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM c WHERE priority IN ('HIGH', 'CRITICAL') -- cases"),
+            "SELECT 'signal' AS kind, project_id AS ref, signal_type AS label, severity, strftime(happened, '%Y-%m-%d %H:%M:%S') AS at FROM s "
+                "WHERE severity IN ('HIGH', 'CRITICAL') UNION ALL SELECT 'case', case_id, status, priority, strftime(updated_at, '%Y-%m-%d %H:%M:%S') FROM c "
+                "WHERE priority IN ('HIGH', 'CRITICAL') -- cases"),
         "queue_top": _with(*rules, _CASE1, _SUMMARY, f"SELECT work_id, id, district, level, score, signal_count, case_status FROM summary ORDER BY {rank}, score DESC NULLS LAST, work_id, id LIMIT 20 -- cases"),
-        "queue_search": _with(*rules, _CASE1, _SUMMARY, "SELECT id, level, sanctioned_cost FROM summary WHERE level = 'CRITICAL' AND contains(lower(concat_ws(' ', work_id, description, district, implementing_agency)), 'temple') ORDER BY sanctioned_cost DESC, work_id, id LIMIT 50 -- cases"),
-        "dashboard": _with(*rules, _CASE1, _SUMMARY, "SELECT count(*) AS works, sum(sanctioned_cost) AS value, " + ", ".join(f"count(*) FILTER (level = '{x.upper()}') AS {x}" for x in ("critical", "high", "medium", "low")) + ", count(*) FILTER (case_status NOT IN ('RESOLVED', 'CLOSED')) AS open_cases, " + ", ".join(f"(SELECT count(DISTINCT (dataset_id, project_id)) FROM signals WHERE signal_type = '{k}') AS {n}" for k, n in (("DELAY", "delayed_works"), ("DUPLICATE", "duplicate_works"), ("DATA_QUALITY", "quality_works"))) + " FROM summary -- cases"),
+        "queue_search": _with(*rules, _CASE1, _SUMMARY, "SELECT id, level, sanctioned_cost FROM summary WHERE level = 'CRITICAL' AND contains(lower(concat_ws(' ', "
+            "work_id, description, district, implementing_agency)), 'temple') ORDER BY sanctioned_cost DESC, work_id, id LIMIT 50 -- cases"),
+        "dashboard": _with(*rules, _CASE1, _SUMMARY, "SELECT count(*) AS works, sum(sanctioned_cost) AS value, " + ", ".join(f"count(*) FILTER (level = '{x.upper()}') "
+            f"AS {x}" for x in ("critical", "high", "medium", "low")) + ", count(*) FILTER (case_status NOT IN ('RESOLVED', 'CLOSED')) AS open_cases, " + ", ".join(f"(SELECT "
+            f"count(DISTINCT (dataset_id, project_id)) FROM signals WHERE signal_type = '{k}') AS {n}" for k, n in (("DELAY", "delayed_works"), ("DUPLICATE", "duplicate_works"),
+            ("DATA_QUALITY", "quality_works"))) + " FROM summary -- cases"),
         "district_rollup": _with(*rules, _CASE1, _SUMMARY, "SELECT district, count(*) AS works, sum(sanctioned_cost) AS value, count(*) FILTER (level IN ('HIGH', 'CRITICAL')) AS high_risk FROM summary GROUP BY ALL -- cases"),
-        "work_timeline": _with("SELECT dataset_id, id, 'sanctioned' AS step, sanction_date AS date FROM works WHERE sanction_date IS NOT NULL UNION ALL SELECT dataset_id, id, 'started', start_date FROM works WHERE start_date IS NOT NULL UNION ALL SELECT dataset_id, id, 'expected_completion', sanction_date + expected_duration_days FROM works WHERE expected_duration_days IS NOT NULL UNION ALL SELECT dataset_id, id, 'completed', completion_date FROM works WHERE completion_date IS NOT NULL"),
-        "case_per_work": f"WITH cases AS ({views.sql(views.CASES)}) SELECT project_id, arg_max(case_id, (opened_at, case_id)) AS case_id, arg_max(status, (opened_at, case_id)) AS case_status, arg_max({{'r': resolution_type}}, (opened_at, case_id)).r AS resolution_type FROM cases GROUP BY project_id",
-        "stakeholder_summary": _with(*rules, "own AS (SELECT * FROM works WHERE district = 'NATION_1'), c AS (SELECT * FROM cases WHERE project_id IN (SELECT id FROM own)), s AS (SELECT * FROM signals WHERE project_id IN (SELECT id FROM own))",
-            "SELECT 'works' AS measure, status AS key, count(*) AS n FROM own GROUP BY ALL UNION ALL SELECT 'signals', signal_type, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'severity', severity, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'case_status', status, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'cases', 'all', count(*) FROM c UNION ALL SELECT 'cases', 'open', count(*) FROM c WHERE status NOT IN ('RESOLVED', 'CLOSED')"),
-        "district_attention": _with(*rules, "SELECT district, count(*) AS signals FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id WHERE severity IN ('HIGH', 'CRITICAL') GROUP BY district ORDER BY signals DESC, district LIMIT 8"),
-        "precision_summary": _with(*rules, "SELECT (SELECT count(*) FROM works) AS works, (SELECT count(DISTINCT (dataset_id, project_id)) FROM signals) AS flagged_works, count(*) FILTER (resolution_type = 'CONFIRMED_CONCERN') AS confirmed, count(*) FILTER (resolution_type = 'FALSE_POSITIVE') AS false_positive, round(count(*) FILTER (resolution_type = 'CONFIRMED_CONCERN') / nullif(count(*) FILTER (resolution_type IN ('CONFIRMED_CONCERN', 'FALSE_POSITIVE')), 0), 4) AS precision, round((SELECT count(DISTINCT (dataset_id, project_id)) FROM signals) / (SELECT count(*) FROM works), 4) AS flag_rate FROM cases"),
+        "work_timeline": _with("SELECT dataset_id, id, 'sanctioned' AS step, sanction_date AS date FROM works WHERE sanction_date IS NOT NULL UNION ALL "
+            "SELECT dataset_id, id, 'started', start_date FROM works WHERE start_date IS NOT NULL UNION ALL SELECT dataset_id, id, 'expected_completion', sanction_date + "
+            "expected_duration_days FROM works WHERE expected_duration_days IS NOT NULL UNION ALL SELECT dataset_id, id, 'completed', completion_date FROM works "
+            "WHERE completion_date IS NOT NULL"),
+        "case_per_work": f"WITH cases AS ({views.sql(views.CASES)}) SELECT project_id, arg_max(case_id, (opened_at, case_id)) AS case_id, arg_max(status, (opened_at, "
+            f"case_id)) AS case_status, arg_max({{'r': resolution_type}}, (opened_at, case_id)).r AS resolution_type FROM cases GROUP BY project_id",
+        "stakeholder_summary": _with(*rules, "own AS (SELECT * FROM works WHERE district = 'NATION_1'), c AS (SELECT * FROM cases WHERE project_id IN (SELECT id "
+            "FROM own)), s AS (SELECT * FROM signals WHERE project_id IN (SELECT id FROM own))",
+            "SELECT 'works' AS measure, status AS key, count(*) AS n FROM own GROUP BY ALL UNION ALL SELECT 'signals', signal_type, count(*) FROM s GROUP BY ALL "
+                "UNION ALL SELECT 'severity', severity, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'case_status', status, count(*) FROM c GROUP BY ALL UNION ALL "
+                "SELECT 'cases', 'all', count(*) FROM c UNION ALL SELECT 'cases', 'open', count(*) FROM c WHERE status NOT IN ('RESOLVED', 'CLOSED')"),
+        "district_attention": _with(*rules, "SELECT district, count(*) AS signals FROM signals s JOIN works w ON w.dataset_id = s.dataset_id AND w.id = s.project_id "
+            "WHERE severity IN ('HIGH', 'CRITICAL') GROUP BY district ORDER BY signals DESC, district LIMIT 8"),
+        "precision_summary": _with(*rules, "SELECT (SELECT count(*) FROM works) AS works, (SELECT count(DISTINCT (dataset_id, project_id)) "
+            "FROM signals) AS flagged_works, count(*) FILTER (resolution_type = 'CONFIRMED_CONCERN') AS confirmed, count(*) FILTER (resolution_type = 'FALSE_POSITIVE') AS "
+            "false_positive, round(count(*) FILTER (resolution_type = 'CONFIRMED_CONCERN') / nullif(count(*) FILTER (resolution_type IN ('CONFIRMED_CONCERN', 'FALSE_POSITIVE')), "
+            "0), 4) AS precision, round((SELECT count(DISTINCT (dataset_id, project_id)) FROM signals) / (SELECT count(*) FROM works), 4) AS flag_rate FROM cases"),
         "trends": f"""WITH raw AS ({views.sql(views.RAW_AGGREGATE)}), a AS (SELECT dataset_id, house, sum(works_recommended::BIGINT) AS r, sum(works_sanctioned::BIGINT) AS s, sum(works_completed::BIGINT) AS c FROM raw GROUP BY ALL)
             SELECT dataset_id, CASE WHEN dataset_id = 'AG0' THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS ingested_at, house, nullif(r, 0)::BIGINT AS works_recommended, nullif(s, 0)::BIGINT AS works_sanctioned, nullif(c, 0)::BIGINT AS works_completed, round(nullif(c, 0) / nullif(s, 0), 4) AS completion_ratio FROM a""",
-        "open_cases": _with(*rules, "latest AS (SELECT project_id, arg_max(status, (opened_at, case_id)) AS st FROM cases GROUP BY project_id), o AS (SELECT w.dataset_id, w.id, w.work_id FROM works w LEFT JOIN latest l ON l.project_id = w.id WHERE st IS NULL OR st IN ('RESOLVED', 'CLOSED'))",
-            "SELECT o.dataset_id, id AS project_id, 'CASE-' || (1000 + row_number() OVER (ORDER BY o.dataset_id, work_id, id)) AS case_number, 'OPEN' AS status, coalesce(level, 'MEDIUM') AS priority FROM o LEFT JOIN priorities p ON p.dataset_id = o.dataset_id AND p.project_id = o.id -- cases"),
+        "open_cases": _with(*rules, "latest AS (SELECT project_id, arg_max(status, (opened_at, case_id)) AS st FROM cases GROUP BY project_id), o AS (SELECT "
+            "w.dataset_id, w.id, w.work_id FROM works w LEFT JOIN latest l ON l.project_id = w.id WHERE st IS NULL OR st IN ('RESOLVED', 'CLOSED'))",
+            "SELECT o.dataset_id, id AS project_id, 'CASE-' || (1000 + row_number() OVER (ORDER BY o.dataset_id, work_id, id)) AS case_number, 'OPEN' AS status, "
+                "coalesce(level, 'MEDIUM') AS priority FROM o LEFT JOIN priorities p ON p.dataset_id = o.dataset_id AND p.project_id = o.id -- cases"),
         "case_replay": f"""WITH e AS ({views.sql(views.CASE_EVENTS)}), l AS (SELECT *, coalesce(lag(to_status) OVER (PARTITION BY case_id ORDER BY ts, seq), 'OPEN') AS f FROM e), ok AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, to in CASE_TRANSITIONS.items() for b in to)}) AS t(f, to_status))
             SELECT case_id, seq, 'transition_not_allowed' AS violation FROM l WHERE to_status <> f AND (f, to_status) NOT IN (SELECT (f, to_status) FROM ok)
             UNION ALL SELECT case_id, seq, 'resolution_type_required' FROM l WHERE to_status <> f AND to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED') AND resolution_type IS NULL
@@ -591,7 +651,11 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT case_id, seq, 'closing_needs_reason' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND resolution_reason IS NULL
             UNION ALL SELECT case_id, seq, 'closing_needs_text' FROM l WHERE to_status <> f AND to_status = 'CLOSED' AND coalesce(resolution_summary, '') = ''
             UNION ALL SELECT case_id, seq, 'unknown_resolution_type' FROM l WHERE resolution_type = 'NONSENSE'""",
-        "case_state": f"WITH e AS ({views.sql(views.CASE_EVENTS)}) SELECT case_id, arg_max(to_status, (ts, seq)) AS status, arg_max(resolution_type, (ts, seq)) FILTER (resolution_type IS NOT NULL) AS resolution_type, arg_max(resolution_reason, (ts, seq)) FILTER (resolution_reason IS NOT NULL) AS resolution_reason, arg_max(resolution_summary, (ts, seq)) FILTER (resolution_summary IS NOT NULL) AS resolution_summary, CASE WHEN arg_max(to_status, (ts, seq)) FILTER (to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED', 'UNDER_REVIEW')) <> 'UNDER_REVIEW' THEN strftime(arg_max(ts, (ts, seq)) FILTER (to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED', 'UNDER_REVIEW')), '%Y-%m-%d %H:%M:%S') END AS closed_at FROM e GROUP BY case_id",
+        "case_state": f"WITH e AS ({views.sql(views.CASE_EVENTS)}) SELECT case_id, arg_max(to_status, (ts, seq)) AS status, arg_max(resolution_type, (ts, seq)) FILTER "
+            f"(resolution_type IS NOT NULL) AS resolution_type, arg_max(resolution_reason, (ts, seq)) FILTER (resolution_reason IS NOT NULL) AS resolution_reason, "
+            f"arg_max(resolution_summary, (ts, seq)) FILTER (resolution_summary IS NOT NULL) AS resolution_summary, CASE WHEN arg_max(to_status, (ts, seq)) FILTER (to_status IN "
+            f"('RESOLVED', 'ESCALATED', 'CLOSED', 'UNDER_REVIEW')) <> 'UNDER_REVIEW' THEN strftime(arg_max(ts, (ts, seq)) FILTER (to_status IN ('RESOLVED', 'ESCALATED', 'CLOSED', "
+            f"'UNDER_REVIEW')), '%Y-%m-%d %H:%M:%S') END AS closed_at FROM e GROUP BY case_id",
         "verify_chain": f"""WITH RECURSIVE e AS (SELECT case_id AS chain_id, seq AS own, to_status AS action, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), {_CHAIN},
             t AS (SELECT chain_id, max(n) AS n, arg_max(hash, n) AS tip FROM c GROUP BY ALL),
             b AS (SELECT *, CASE WHEN chain_id LIKE '%7' THEN 1 WHEN chain_id LIKE '%5' AND n > 2 THEN 2 WHEN chain_id LIKE '%3' AND n > 2 THEN 3 END AS broken_at_seq FROM t)
@@ -599,22 +663,30 @@ def oracle_sql() -> dict[str, str]:
               coalesce(broken_at_seq - 1, CASE WHEN chain_id LIKE '%5' THEN 1 ELSE n END) AS events_checked, CASE WHEN broken_at_seq IS NULL THEN CASE WHEN chain_id LIKE '%5' AND n = 2 THEN (SELECT hash FROM c WHERE c.chain_id = b.chain_id AND c.n = 1) ELSE tip END END AS chain_tip FROM b""",
         "build_chain": f"""WITH RECURSIVE e AS (SELECT case_id AS chain_id, seq AS own, to_status AS action, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({views.sql(views.CASE_EVENTS)}) WHERE case_id IS NOT NULL), {_CHAIN}
             SELECT chain_id, true AS valid, NULL::BIGINT AS broken_at_seq, NULL::VARCHAR AS reason, max(n) AS events_checked, arg_max(hash, n) AS chain_tip FROM c GROUP BY chain_id""",
-        "case_manifest": _with(_METRICS, _PEERS, _RULES, _TEXTS, f"""dated AS (SELECT t.*, t.project_id || '-' || t.signal_type AS signal_id, sanction_date FROM signal_text t JOIN works w ON w.dataset_id = t.dataset_id AND w.id = t.project_id),
+        "case_manifest": _with(_METRICS, _PEERS, _RULES, _TEXTS,
+            f"""dated AS (SELECT t.*, t.project_id || '-' || t.signal_type AS signal_id, sanction_date FROM signal_text t JOIN works w ON w.dataset_id = t.dataset_id AND w.id = t.project_id),
             owned AS (SELECT case_id, d.*, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 ELSE 2 END AS rank FROM cases JOIN dated d USING (project_id)),
             ev AS ({views.sql(views.REPORT_EVENTS)}), nt AS ({views.sql(views.REPORT_NOTES)}),
             items AS (
-              SELECT case_id, 'signal' AS kind, signal_id AS id, 0 AS k0, rank AS k1, signal_type AS k2, NULL::TIMESTAMP AS k3, sha256('{{"created": "' || sanction_date || ' 00:00:00", "difference": ' || difference || ', "explanation": "' || explanation || '", "id": "' || signal_id || '", "observed": ' || observed
+              SELECT case_id, 'signal' AS kind, signal_id AS id, 0 AS k0, rank AS k1, signal_type AS k2, NULL::TIMESTAMP AS k3, sha256('{{"created": "' ||
+                sanction_date || ' 00:00:00", "difference": ' || difference || ', "explanation": "' || explanation || '", "id": "' || signal_id || '", "observed": ' || observed
                 || ', "reference": ' || reference || ', "severity": "' || severity || '", "title": "' || title || '", "type": "' || signal_type || '"}}') AS hash FROM owned
-              UNION ALL SELECT case_id, 'evidence', signal_id || '-0', 1, rank, signal_type, NULL, sha256('{{"calculation": "' || calculation || '", "field": "' || field_name || '", "id": "' || signal_id || '-0", "reference": "' || reference_value || '", "value": "' || field_value || '"}}') FROM owned
-              UNION ALL SELECT case_id, 'case_event', event_id, 2, seq, '', NULL, sha256('{{"created": "' || {_STAMP} || '", "from": ' || coalesce('"' || from_status || '"', 'null') || ', "id": "' || event_id || '", "to": "' || to_status || '", "type": "' || event_type || '"}}') FROM ev
+              UNION ALL SELECT case_id, 'evidence', signal_id || '-0', 1, rank, signal_type, NULL, sha256('{{"calculation": "' || calculation || '", "field": "' ||
+                field_name || '", "id": "' || signal_id || '-0", "reference": "' || reference_value || '", "value": "' || field_value || '"}}') FROM owned
+              UNION ALL SELECT case_id, 'case_event', event_id, 2, seq, '', NULL, sha256('{{"created": "' || {_STAMP} || '", "from": ' || coalesce('"' ||
+                from_status || '"', 'null') || ', "id": "' || event_id || '", "to": "' || to_status || '", "type": "' || event_type || '"}}') FROM ev
               UNION ALL SELECT case_id, 'note', note_id, 3, 0, note_id, created_at, sha256('{{"author": ' || coalesce('"' || author_id || '"', 'null') || ', "body": "' || replace(body, '"', '\\"') || '", "created": "' || {_STAMP} || '", "id": "' || note_id || '"}}') FROM nt)""",
             """SELECT case_id, count(*) AS items, sha256('[' || string_agg('{"hash": "' || hash || '", "id": "' || id || '", "kind": "' || kind || '"}', ', ' ORDER BY k0, k1, k3, k2) || ']') AS root FROM items GROUP BY case_id -- cases"""),
         "signal_texts": _with(_METRICS, _PEERS, _RULES, _TEXTS, "SELECT dataset_id, project_id, signal_type, title, explanation, field_name, field_value, reference_value, calculation FROM signal_text"),
-        "pattern_check": _with(*rules, """pat AS (SELECT * FROM (VALUES ('P1', 'FIN_PHYS_GAP', ['W-3', 'W-9']), ('P2', 'COST_ANOMALY', ['W-4']), ('P3', 'COMPLIANCE', ['W-41']), ('P4', 'DELAY', []::VARCHAR[]), ('P5', 'AGENCY_CONCENTRATION', ['W-none'])) AS x(pattern_id, expected, ids)),
+        "pattern_check": _with(*rules,
+            """pat AS (SELECT * FROM (VALUES ('P1', 'FIN_PHYS_GAP', ['W-3', 'W-9']), ('P2', 'COST_ANOMALY', ['W-4']), ('P3', 'COMPLIANCE', ['W-41']), ('P4', 'DELAY', []::VARCHAR[]), ('P5', 'AGENCY_CONCENTRATION', ['W-none'])) AS x(pattern_id, expected, ids)),
             seen AS (SELECT pattern_id, expected, len(ids) AS n, s.signal_type FROM pat LEFT JOIN works w ON list_contains(ids, work_id) LEFT JOIN signals s ON s.dataset_id = w.dataset_id AND s.project_id = w.id AND s.signal_type <> 'DATA_QUALITY')""",
-            "SELECT pattern_id, CASE WHEN any_value(n) = 0 THEN 'NOT_VALIDATABLE' WHEN count(*) FILTER (signal_type = expected) > 0 THEN 'FLAGGED' WHEN count(signal_type) > 0 THEN 'PARTIAL' ELSE 'MISSED' END AS result FROM seen GROUP BY pattern_id"),
+            "SELECT pattern_id, CASE WHEN any_value(n) = 0 THEN 'NOT_VALIDATABLE' WHEN count(*) FILTER (signal_type = expected) > 0 THEN 'FLAGGED' WHEN "
+                "count(signal_type) > 0 THEN 'PARTIAL' ELSE 'MISSED' END AS result FROM seen GROUP BY pattern_id"),
         "false_positives": _with(*rules, found, "SELECT dataset_id, id, anomaly_type FROM found WHERE NOT injected AND flagged"),
         "false_negatives": _with(*rules, found, "SELECT dataset_id, id, anomaly_type FROM found WHERE injected AND NOT flagged"),
         "confusion": _with(*rules, found, f"c AS (SELECT dataset_id, {counts} FROM found GROUP BY ROLLUP (dataset_id))", f"SELECT dataset_id, tp, fp, tn, fn, {_RATES} FROM c"),
-        "confusion_by_type": _with(*rules, found, "cl AS (SELECT count(*) FILTER (flagged) AS fp, count(*) FILTER (NOT flagged) AS tn FROM found WHERE NOT injected), pt AS (SELECT anomaly_type, count(*) FILTER (flagged) AS tp, count(*) FILTER (NOT flagged) AS fn, count(*) FILTER (hit) AS detector_hits FROM found WHERE injected GROUP BY ALL)", f"SELECT anomaly_type, tp, fn, detector_hits, fp, tn, {_RATES} FROM pt CROSS JOIN cl"),
+        "confusion_by_type": _with(*rules, found, "cl AS (SELECT count(*) FILTER (flagged) AS fp, count(*) FILTER (NOT flagged) AS tn FROM found "
+            "WHERE NOT injected), pt AS (SELECT anomaly_type, count(*) FILTER (flagged) AS tp, count(*) FILTER (NOT flagged) AS fn, count(*) FILTER (hit) AS detector_hits "
+            "FROM found WHERE injected GROUP BY ALL)", f"SELECT anomaly_type, tp, fn, detector_hits, fp, tn, {_RATES} FROM pt CROSS JOIN cl"),
     }
