@@ -10,6 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 QUERIES = (
     "duplicate_pairs",
     "duplicate_score",
+    "duplicate_signals",
 )
 
 
