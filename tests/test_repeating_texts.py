@@ -11,6 +11,7 @@ QUERIES = (
     "duplicate_pairs",
     "duplicate_score",
     "duplicate_signals",
+    "iforest_scores",
 )
 
 
