@@ -12,6 +12,7 @@ QUERIES = (
     "duplicate_score",
     "duplicate_signals",
     "iforest_scores",
+    "signal_counts",
 )
 
 
