@@ -13,6 +13,7 @@ QUERIES = (
     "duplicate_signals",
     "iforest_scores",
     "signal_counts",
+    "priorities",
 )
 
 
