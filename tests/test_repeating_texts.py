@@ -14,6 +14,7 @@ QUERIES = (
     "iforest_scores",
     "signal_counts",
     "priorities",
+    "queue_top",
 )
 
 
