@@ -15,6 +15,7 @@ QUERIES = (
     "signal_counts",
     "priorities",
     "queue_top",
+    "district_rollup",
 )
 
 
