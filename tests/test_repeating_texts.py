@@ -16,6 +16,7 @@ QUERIES = (
     "priorities",
     "queue_top",
     "district_rollup",
+    "work_detail",
 )
 
 
