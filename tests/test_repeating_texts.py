@@ -17,6 +17,7 @@ QUERIES = (
     "queue_top",
     "district_rollup",
     "work_detail",
+    "stakeholder_summary",
 )
 
 
