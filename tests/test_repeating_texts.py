@@ -18,6 +18,7 @@ QUERIES = (
     "district_rollup",
     "work_detail",
     "stakeholder_summary",
+    "precision_summary",
 )
 
 
