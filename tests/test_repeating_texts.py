@@ -21,6 +21,7 @@ QUERIES = (
     "precision_summary",
     "alert_digest",
     "open_cases",
+    "confusion",
 )
 
 
