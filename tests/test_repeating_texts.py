@@ -22,6 +22,7 @@ QUERIES = (
     "alert_digest",
     "open_cases",
     "confusion",
+    "confusion_by_type",
 )
 
 
