@@ -9,6 +9,7 @@ from worksight import queries as own
 SMALL = "/root/testdata/sf0.001"
 QUERIES = (
     "iforest_scores",
+    "priorities",
 )
 
 
