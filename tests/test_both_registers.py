@@ -10,6 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 QUERIES = (
     "iforest_scores",
     "priorities",
+    "queue_top",
 )
 
 
