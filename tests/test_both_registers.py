@@ -11,6 +11,7 @@ QUERIES = (
     "iforest_scores",
     "priorities",
     "queue_top",
+    "district_rollup",
 )
 
 
