@@ -12,6 +12,7 @@ QUERIES = (
     "priorities",
     "queue_top",
     "district_rollup",
+    "work_detail",
 )
 
 
