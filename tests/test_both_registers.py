@@ -15,6 +15,7 @@ QUERIES = (
     "work_detail",
     "stakeholder_summary",
     "precision_summary",
+    "alert_digest",
 )
 
 
