@@ -16,6 +16,7 @@ QUERIES = (
     "stakeholder_summary",
     "precision_summary",
     "alert_digest",
+    "open_cases",
 )
 
 
