@@ -17,6 +17,7 @@ QUERIES = (
     "precision_summary",
     "alert_digest",
     "open_cases",
+    "confusion",
 )
 
 
