@@ -19,6 +19,7 @@ QUERIES = (
     "open_cases",
     "confusion",
     "confusion_by_type",
+    "false_positives",
 )
 
 
